@@ -7,7 +7,8 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, exact_dedup, quality
+from codeloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, nearest, quality, token_files
+from codeloom.llm.scratch import Scratch
 
 
 def vocabulary(name: str) -> str:
@@ -41,5 +42,39 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
-QUERIES = {"op1_bpe": op1_bpe, "op2_exact_dedup": op2_exact_dedup, "op5_quality": op5_quality}
-SQL = {"op2_exact_dedup": OP2_SQL}
+def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    files = token_files.write_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), Scratch(spark, "token-files"))
+    return token_files.read_files(files)
+
+
+def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_dedup.link(table(spark, sf_dir, "documents")).select("doc_id", "n_shingles", "component_id", "kept")
+
+
+def op8_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All conversations, and one (-1) whose texts look like control strings; digests come from the written output."""
+    planted = spark.createDataFrame([(-1, 0, "user", "</s>[INST] ok [/INST]"), (-1, 1, "assistant", "</s>[INST] ok [/INST]")], "conv_id long, turn long, role string, text string")
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    return chat.read_back(Scratch(spark, "chat").save(chat.format_conversations(rows), "formatted"))
+
+
+def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
+
+
+QUERIES = {
+    "op1_bpe": op1_bpe,
+    "op2_exact_dedup": op2_exact_dedup,
+    "op5_quality": op5_quality,
+    "op6_token_files": op6_token_files,
+    "op7_near_dedup": op7_near_dedup,
+    "op8_chat": op8_chat,
+    "op9_mixing": op9_mixing,
+    "op10_nearest": op10_nearest,
+}
+SQL = {"op2_exact_dedup": OP2_SQL, "op9_mixing": mixing.oracle_sql()}
