@@ -7,7 +7,7 @@ import os
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, nearest, quality, token_files
+from codeloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, nearest, quality, secrets, token_files, wrappers
 from codeloom.llm.scratch import Scratch
 
 
@@ -38,6 +38,14 @@ FROM d WINDOW w AS (PARTITION BY t)
 """
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrappers.extract(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("long"))
+
+
+def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digest(secrets.scan(table(spark, sf_dir, "documents")))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -70,6 +78,8 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
+    "op3_html": op3_html,
+    "op4_secrets": op4_secrets,
     "op5_quality": op5_quality,
     "op6_token_files": op6_token_files,
     "op7_near_dedup": op7_near_dedup,
