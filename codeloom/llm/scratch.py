@@ -26,7 +26,8 @@ class Scratch:
 
     def save(self, df: DataFrame, name: str) -> DataFrame:
         path = f"{self.root}/{name}"
-        df.write.mode("overwrite").parquet(path)
+        # Short-lived and mostly numbers: a compressor for each column of many small files costs more memory than it saves disk.
+        df.write.mode("overwrite").option("compression", "none").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, *names: str) -> None:
