@@ -204,7 +204,7 @@ def resolve_all(g: CodeGraph) -> CodeGraph:
     left = left.join(learned.select("ref_ord"), "ref_ord", "left_anti")
     new = done.select(*g.refs.columns, "target", "provenance").unionByName(learned)
     null = F.lit(None).cast(g.edges.schema["metadata"].dataType)
-    new = new.select((F.col("ref_ord") + (1 << 40)).alias("edge_ord"), F.col("from_node_id").alias("source"), "target", F.when(F.col("reference_kind") == "references", "references").otherwise("calls").alias("kind"), "line", "col", "provenance", null.alias("metadata"))
+    new = new.select(F.col("ref_ord").alias("edge_ord"), F.col("from_node_id").alias("source"), "target", F.when(F.col("reference_kind") == "references", "references").otherwise("calls").alias("kind"), "line", "col", "provenance", null.alias("metadata"))
     return g.with_(edges=scratch.save(upsert_edges(g.edges, new.select(*g.edges.columns)), "all"), refs=scratch.save(left, "left"))
 
 
