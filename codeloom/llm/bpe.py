@@ -21,9 +21,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.batches import bounded, trimmed
+
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 #: Distinct words whose encodings a worker keeps between batches.
-CACHE_WORDS = 250_000
+CACHE_WORDS = 160_000
 
 
 def byte_symbols() -> list[str]:
@@ -86,7 +88,7 @@ class TrieBpe:
         key = a << 20 | b
         got = self.fits.get(key)
         if got is None:
-            if len(self.fits) > 2_000_000:
+            if len(self.fits) > 400_000:
                 self.fits.clear()
             got = self.fits[key] = self._merge(self.symbols[a] + self.symbols[b]) == [a, b]
         return got
@@ -195,6 +197,7 @@ def encode_decode(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000
 
     vocabulary is a path the driver can read; its content (a few MB, whatever the corpus) is broadcast.
     """
+    bounded(docs.sparkSession)
     with open(vocabulary, encoding="utf-8") as file:
         spec = docs.sparkSession.sparkContext.broadcast(file.read())
 
@@ -216,4 +219,4 @@ def encode_decode(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000
                 )
                 start = end
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: trimmed(run(b)), SCHEMA)

@@ -24,6 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.batches import bounded
+
 START, STOP = "<s>", "</s>"
 FRAMES = {"user": ("[INST] ", " [/INST]"), "assistant": ("[OUT] ", " " + STOP), "system": ("[SYS] ", " [/SYS]")}
 OTHER, TEXT, END_OTHER = "[ROLE] ", " [TEXT] ", " [/ROLE]"
@@ -124,6 +126,7 @@ def format_conversations(conversations: DataFrame, piece_chars: int = 1_000_000)
     own; rows without a conv_id are one conversation. Conversations stream through: memory is bounded by a piece and the
     longest text.
     """
+    bounded(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))
     ordered = rows.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text")
     return ordered.mapInArrow(lambda b: _format(b, piece_chars), "conv_id long, part long, formatted string")

@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.batches import bounded, trimmed
+
 SCHEMA = "doc_id long, score double"
 BITS = 18
 #: Labelled rows that a model is fitted on at most; they are those with the smallest md5 of their doc_id.
@@ -23,6 +25,10 @@ _TAIL = re.compile(r"[^\w]+$")
 _known: dict[str, int] = {}
 
 
+def _forget() -> None:
+    _known.clear()
+
+
 def _shape(word: str) -> str:
     tail = _TAIL.search(word)
     end = tail[0][:3] if tail else ""
@@ -34,7 +40,7 @@ def _shape(word: str) -> str:
 def _codes(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """32-bit hashes of each word and of its shape."""
     known = _known
-    if len(known) > 400_000:
+    if len(known) > 200_000:
         known.clear()
     for w in set(words).difference(known):
         known[w] = zlib.crc32(w.encode("utf-8", "surrogatepass")) | zlib.crc32(_shape(w).encode()) << 32
@@ -106,6 +112,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     The sample is bounded, so the ids are broadcast, and only hashed features come to the driver. Several labels of one
     doc_id count as their largest.
     """
+    bounded(docs.sparkSession)
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id"))
@@ -128,7 +135,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     found = (
         texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
-        .mapInArrow(run, "doc_id long, y int, slots binary, row_values binary")
+        .mapInArrow(lambda b: trimmed(run(b), _forget), "doc_id long, y int, slots binary, row_values binary")
         .collect()
     )
     rows = [(np.frombuffer(r.slots, np.int32).astype(np.int64), np.frombuffer(r.row_values, np.float32).astype(float), r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y, bytes(r.slots)))]
@@ -137,6 +144,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
     """A row (doc_id, score) for each row of docs: the probability of label 1 by a sparse dot product. A null text scores as empty."""
+    bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -148,7 +156,7 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
                 got.append(1 / (1 + math.exp(-max(-35.0, min(35.0, float(w[slots] @ values + 0.3 * w[-1]))))))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(got, pa.float64())], names=["doc_id", "score"])
 
-    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(run, SCHEMA)
+    return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: trimmed(run(b), _forget), SCHEMA)
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
@@ -159,6 +167,7 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
     """The rows of docs that are not rejected, with all their columns, in one pass over the texts."""
+    bounded(docs.sparkSession)
     model = train(docs, labels, sample_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model.tobytes())
     at = docs.columns.index("text")
@@ -172,4 +181,4 @@ def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS
                 good.append(float(w[slots] @ values + 0.3 * w[-1]) >= 0)
             yield batch.filter(pa.array(good, pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return docs.mapInArrow(lambda b: trimmed(run(b), _forget), docs.schema)

@@ -23,6 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from codeloom.llm.batches import bounded
 from codeloom.llm.scratch import Scratch
 
 SCHEMA = "page_id long, url string, text string"
@@ -404,6 +405,7 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     A null or empty html has the empty text. Pages without a url or host share one wrapper. Repeated rows each have a row.
     """
     scratch = scratch or Scratch(pages.sparkSession, "wrappers")
+    bounded(pages.sparkSession)
     host = F.lower(F.coalesce(F.regexp_extract(F.col("url").cast("string"), _HOST.pattern, 1), F.lit("")))
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"), host.alias("host"))
     found = scratch.save(infer(rows.select("host", "html")), "wrappers")
