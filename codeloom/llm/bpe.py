@@ -12,6 +12,7 @@ is the encoding of its symbols if and only if each neighbouring pair is compatib
 from __future__ import annotations
 
 import json
+import re
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
@@ -37,6 +38,22 @@ def byte_symbols() -> list[str]:
     return [names[b] for b in range(256)]
 
 
+def _unassigned() -> str:
+    """A character class of what the regex module takes for letters or digits and the library, with other tables, doesn't."""
+    from tokenizers import Regex, pre_tokenizers
+
+    letter, out = regex.compile(r"[\p{L}\p{N}]"), []
+    new = [chr(c) for c in range(0x80, 0x40000) if unicodedata.category(chr(c)) == "Cn" and letter.match(chr(c))]
+    pieces = pre_tokenizers.Split(Regex(r"[\p{L}\p{N}]"), "isolated").pre_tokenize_str("!".join(new))
+    known = {p for p, _ in pieces if len(p) == 1}
+    for c in (ord(x) for x in new if x not in known):
+        if out and out[-1][1] == c - 1:
+            out[-1][1] = c
+        else:
+            out.append([c, c])
+    return "".join(f"\\U{a:08x}-\\U{b:08x}" for a, b in out) or "\\U0010fffe"
+
+
 class TrieBpe:
     """One vocabulary with an end-of-word suffix, lower case, white space dropped."""
 
@@ -71,6 +88,9 @@ class TrieBpe:
         self.known: dict[str, tuple[int, bytes, str]] = {}
         rules = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.pieces = regex.compile(rules[0])
+        odd = _unassigned()
+        self.odd = re.compile(f"[{odd}]")
+        self.odd_pieces = regex.compile("(?V1)" + rules[0].replace("[^\\s\\p{L}\\p{N}]", f"[[^\\s\\p{{L}}\\p{{N}}]||[{odd}]]").replace("[\\p{L}]", f"[\\p{{L}}--[{odd}]]").replace("[\\p{N}]", f"[\\p{{N}}--[{odd}]]"))
         self.marks = regex.compile("(" + "|".join(regex.escape(s) for s in self.special) + ")") if self.special else None
 
     def _merge(self, ids: list[int]) -> list[int]:
@@ -150,6 +170,8 @@ class TrieBpe:
     def _words(self, text: str) -> list[str]:
         if not text.isascii():
             text = unicodedata.normalize("NFC", text).replace("Σ", "σ")
+            if self.odd.search(text):
+                return self.odd_pieces.findall(text.lower())
         # \x1c-\x1f are no white space to the vocabulary's rules, and so belong to words.
         return self.pieces.findall(text.lower())
 
