@@ -119,4 +119,4 @@ def test_workbench_and_servers(spark, tmp_path):
     sink = io.BytesIO()
     EditorServer(bench).run(io.BytesIO(raw), sink)
     replies = [json.loads(p.split(b"\r\n\r\n", 1)[-1]) for p in sink.getvalue().split(b"Content-Length: ")[1:]]
-    assert replies[0]["result"][0]["range"]["start"]["line"] == 1 and "twice" in replies[1]["result"]["contents"]["value"] and len(replies[2]["result"]) == 7 and replies[3]["result"][0]["name"] == "A::twice"
+    assert replies[0]["result"][0]["range"]["start"]["line"] == 1 and "twice" in replies[1]["result"]["contents"]["value"] and len(replies[2]["result"]) == 6 and replies[3]["result"][0]["name"] == "A::twice"
