@@ -11,6 +11,8 @@ A file also holds the doc_ids in it and where each document starts. Documents ar
 from __future__ import annotations
 
 import json
+import os
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -18,10 +20,11 @@ from itertools import islice
 
 import numpy as np
 import pyarrow as pa
-import regex
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.batches import bounded, trimmed
 from codeloom.llm.scratch import Scratch
 
 MAGIC = b"DAC1"
@@ -29,11 +32,14 @@ BLOCK = 512
 #: A file ends at the first document's end after so many tokens.
 FILE_TOKENS = 1 << 20
 END_ID = 0
-CACHE_PIECES = 250_000
+CACHE_PIECES = 800_000
 
-#: Fixed by the vocabulary: the byte-level pre-tokenizer's pattern, with the white space it knows.
-_SPACE = r"\t-\r \x85\xa0  -     　"
-_PIECES = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_SPACE}\p{{L}}\p{{N}}]+|[{_SPACE}]+(?![^{_SPACE}])|[{_SPACE}]+")
+#: Fixed by the vocabulary's pre-tokenizer: its white space. Pieces begin at a space or a line end between two other characters,
+#: whatever stands before or behind.
+_SPACE = re.compile("[\\t-\\r \\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000\\x1c-\\x1f]")
+_SPACES = re.compile(_SPACE.pattern + "{2}")
+_ASCII = "\t\x0b\x0c\r\x1c\x1d\x1e\x1f"
+_OTHERS = _ASCII + "\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 class DacWriter:
@@ -113,17 +119,17 @@ class DacReader:
 
     def tokens(self, start: int, end: int) -> np.ndarray:
         """Tokens start to end: each level's run begins at the rank of its first."""
-        out = np.zeros(end - start, np.uint32)
-        at = np.arange(end - start)
+        out, at = self.levels[0][0][start:end].astype(np.uint32), None
         for k, (chunks, bits, rank) in enumerate(self.levels):
-            out[at] |= chunks[start:end].astype(np.uint32) << np.uint32(8 * k)
+            if k:
+                out[at] |= chunks[start:end].astype(np.uint32) << np.uint32(8 * k)
             if bits is None or start == end:
                 break
             low = start // 8
             more = np.unpackbits(bits[low : (end + 7) // 8], bitorder="little")[start - low * 8 : end - low * 8].astype(bool)
             start = self._rank(bits, rank, start)
             end = start + int(more.sum())
-            at = at[more]
+            at = np.flatnonzero(more) if at is None else at[more]
         return out
 
     def document(self, k: int) -> np.ndarray:
@@ -131,43 +137,101 @@ class DacReader:
 
 
 class PieceEncoder:
-    """The tokenizers library's ids of whole texts. Pieces, which its pre-tokenizer never joins, go through it once each."""
+    """The tokenizers library's ids of whole texts, as unsigned integers of width bytes.
+
+    A text is cut before its spaces and line ends, where the library's pre-tokenizer cuts too, and each distinct cut goes through
+    the library once. Texts with special tokens, or with two white-space characters in a row, go through it whole.
+    """
 
     def __init__(self, spec: str):
+        # A task has one core; the library's own threads would take those of others.
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_str(spec)
         self.tokenizer.no_truncation()
         self.tokenizer.no_padding()
-        marks = {t["content"]: t["id"] for t in json.loads(spec).get("added_tokens") or []}
-        self.marks = marks
-        self.cut = regex.compile("(" + "|".join(regex.escape(m) for m in marks) + ")") if marks else None
+        self.marks = [t["content"] for t in json.loads(spec).get("added_tokens") or []]
+        self.width = 2 if self.tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
+        self.line_id = self._ids(["\n"])[0]
+        self.tails = {e: self._ids(["a" + e])[0][len(self._ids(["a"])[0]) :] for e in (",", ".")}
         self.known: dict[str, bytes] = {}
 
-    def pieces(self, text: str) -> list[str]:
-        if self.cut is None or not self.cut.search(text):
-            return _PIECES.findall(text)
-        return [p for part in self.cut.split(text) for p in (["\0" + part] if part in self.marks else _PIECES.findall(part))]
+    def _ids(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _lines(self, words: list[str], most: int = 200) -> list[bytes]:
+        """Ids of words without white space but for one space before them, as lines of some texts: a line end is one id of its own.
+
+        One long text costs the library more a word than several of most lines.
+        """
+        groups = [words[k : k + most] for k in range(0, len(words), most)]
+        line, w, out = int.from_bytes(self.line_id, "little"), self.width, []
+        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+            ids = np.array(e.ids, f"<u{w}")
+            ends = np.flatnonzero(ids == line)
+            if len(ends) != len(group) - 1:
+                out += self._ids(group)
+                continue
+            raw = ids.tobytes()
+            out += [raw[a:b] for a, b in zip([0, *(w * (ends + 1)).tolist()], [*(w * ends).tolist(), len(raw)])]
+        return out
 
-    def encode(self, texts: list[str]) -> list[bytes]:
-        """Ids as little-endian unsigned 32-bit integers."""
-        split = [self.pieces(t) for t in texts]
-        new = set().union(*split).difference(self.known) if split else set()
+    def _simple(self, text: str) -> bool:
+        if "  " in text or "\n\n" in text or " \n" in text or "\n " in text:
+            return False
+        for m in self.marks:
+            if m in text:
+                return False
+        for c in _ASCII if text.isascii() else _OTHERS:
+            if c in text:
+                return not _SPACES.search(text)
+        return True
+
+    def _learn(self, new: set[str]) -> None:
         if len(self.known) + len(new) > CACHE_PIECES:
-            # Pieces met early are the frequent ones.
+            # Cuts met early are the frequent ones.
             self.known = dict(islice(self.known.items(), CACHE_PIECES // 2))
-            new = set().union(*split).difference(self.known)
-        for mark in [p for p in new if p[0] == "\0" and p[1:] in self.marks]:
-            new.discard(mark)
-            self.known[mark] = struct.pack("<I", self.marks[mark[1:]])
-        rest = list(new)
-        for k in range(0, len(rest), 20_000):
-            some = rest[k : k + 20_000]
-            for piece, got in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                ids = got.ids
-                self.known[piece] = struct.pack(f"<{len(ids)}I", *ids)
-        known = self.known
-        return [b"".join([known[p] for p in s]) for s in split]
+        known, ends, first, odd = self.known, self.tails, [], []
+        plain = set(filter(str.isalnum, new))
+        # A word's closing comma or full stop is a piece of its own, so words that differ by it alone are one.
+        tails = [w for w in new if w[-1:] in ends and w[:-1].isalpha()]
+        for w in new.difference(plain, tails):
+            if not w or _SPACE.search(w, 1) or w[0] != "\n" and _SPACE.match(w):
+                odd.append(w)
+            elif w[0] == "\n":
+                (first if len(w) > 1 else odd).append(w)
+            else:
+                plain.add(w)
+        plain.update([w[:-1] for w in tails if w[:-1] not in known])
+        known.update(zip(odd, self._ids([w if w[:1] == "\n" else " " + w for w in odd])))
+        known.update(zip(plain, self._lines([" " + w for w in plain])))
+        known.update(zip(first, [self.line_id + x for x in self._lines([w[1:] for w in first])]))
+        for w in tails:
+            known[w] = known[w[:-1]] + ends[w[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """Ids of each text as little-endian unsigned integers of width bytes."""
+        # With a line end before it, a text's first cut is like that of any other line; its id is taken off again.
+        cuts = [("\n" + t.replace("\n", " \n")).split(" ") if self._simple(t) else None for t in texts]
+        get = self.known.get
+        new: set[str] = set()
+        found, gaps = [], []
+        for c in cuts:
+            got = list(map(get, c)) if c is not None else []
+            gap = [k for k, g in enumerate(got) if g is None]
+            new.update([c[k] for k in gap])
+            found.append(got)
+            gaps.append(gap)
+        if new:
+            self._learn(new)
+        known, line, join = self.known, len(self.line_id), b"".join
+        out = []
+        for t, c, got, gap in zip(texts, cuts, found, gaps):
+            for k in gap:
+                got[k] = known[c[k]]
+            out.append(self._ids([t])[0] if c is None else join(got)[line:])
+        return out
 
 
 _LOADED: dict[int, PieceEncoder] = {}
@@ -183,26 +247,25 @@ def _encoder(spec: str) -> PieceEncoder:
 
 def _encoded(batches: Iterator[pa.RecordBatch], spec: str, bounds: np.ndarray, batch_chars: int = 2_000_000) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(spec)
-    end_id = struct.pack("<I", END_ID)
+    end_id = END_ID.to_bytes(encoder.width, "little")
     for batch in batches:
-        texts = batch.column(1).to_pylist()
-        place = np.array([-1 if i is None else int(np.searchsorted(bounds, i, "right")) for i in batch.column(0).to_pylist()], np.int32)
+        ids = batch.column(0).to_pylist()
+        place = np.array([-1 if i is None else int(np.searchsorted(bounds, i, "right")) for i in ids], np.int32)
+        length = pc.fill_null(pc.utf8_length(batch.column(1)), 0).to_numpy(zero_copy_only=False)
         start = 0
-        while start < len(texts):
+        while start < len(ids):
             end, held = start, 0
-            while end < len(texts) and (end == start or held < batch_chars):
-                held += len(texts[end] or "")
+            while end < len(ids) and (end == start or held < batch_chars):
+                held += int(length[end])
                 end += 1
-            ids = [x + end_id for x in encoder.encode([t or "" for t in texts[start:end]])]
-            # Two bytes an id while that is enough.
-            small = [np.frombuffer(x, "<u4") for x in ids]
-            packed = [b"\2" + x.astype("<u2").tobytes() if int(x.max()) < 65_536 else b"\4" + x.tobytes() for x in small]
+            head = bytes([encoder.width])
+            packed = [head + x + end_id for x in encoder.encode([t or "" for t in batch.column(1).slice(start, end - start).to_pylist()])]
             yield pa.RecordBatch.from_arrays([pa.array(place[start:end]), batch.column(0).slice(start, end - start), pa.array(packed, pa.binary())], names=["place", "doc_id", "packed"])
             start = end
 
 
 def _unpack(raw: bytes) -> np.ndarray:
-    return np.frombuffer(raw, "<u2" if raw[0] == 2 else "<u4", offset=1).astype(np.uint32)
+    return np.frombuffer(raw, f"<u{raw[0]}", offset=1).astype(np.uint32)
 
 
 def _files(batches: Iterator[pa.RecordBatch], file_tokens: int) -> Iterator[pa.RecordBatch]:
@@ -236,7 +299,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for place, part, payload in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             file = DacReader(payload.as_buffer().to_pybytes())
             n = len(file.doc_ids)
-            ids = [file.document(k).astype("<u4").tobytes() for k in range(n)]
+            whole = memoryview(file.tokens(0, file.size).astype("<u4").tobytes())
+            ends = [*file.starts[1:].tolist(), file.size]
+            ids = [whole[4 * a : 4 * b] for a, b in zip(file.starts.tolist(), ends)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([place] * n, pa.int32()), pa.array([part] * n, pa.int32()), pa.array(file.doc_ids, pa.int64()), pa.array(file.starts), pa.array([len(x) // 4 for x in ids], pa.int64()), pa.array([zlib.crc32(x) for x in ids], pa.int64())],
                 names=["place", "part", "doc_id", "local", "n_tokens", "ids_crc32"],
@@ -250,6 +315,7 @@ def write_files(docs: DataFrame, vocabulary: str, scratch: Scratch, file_tokens:
     stand in the order of their ids' bytes. Memory is bounded by a file and the longest text.
     """
     spark = docs.sparkSession
+    bounded(spark)
     with open(vocabulary, encoding="utf-8") as file:
         spec = spark.sparkContext.broadcast(file.read())
     # One bound a partition, as a range exchange has; it is drawn from the ids alone, so that no text is encoded twice.
@@ -257,9 +323,9 @@ def write_files(docs: DataFrame, vocabulary: str, scratch: Scratch, file_tokens:
     cuts = docs.agg(F.percentile_approx(F.col("doc_id").cast("long"), [k / n for k in range(1, n)], 10 * n)).first()[0]
     bounds = np.unique(np.array(cuts or [], np.int64))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    encoded = rows.mapInArrow(lambda b: _encoded(b, spec.value, bounds), "place int, doc_id long, packed binary")
+    encoded = rows.mapInArrow(lambda b: trimmed(_encoded(b, spec.value, bounds)), "place int, doc_id long, packed binary")
     ordered = encoded.repartition(n, "place").sortWithinPartitions("place", "doc_id", "packed")
-    return scratch.save(ordered.mapInArrow(lambda b: _files(b, file_tokens), "place int, part int, n_tokens long, payload binary"), name)
+    return scratch.save(ordered.mapInArrow(lambda b: trimmed(_files(b, file_tokens)), "place int, part int, n_tokens long, payload binary"), name)
 
 
 def read_files(files: DataFrame) -> DataFrame:
