@@ -133,14 +133,14 @@ def test_unused_and_api(spark):
 
 def test_targets_by_division(spark):
     g = graph(
-        spark, [{"id": "App::run"}] + [{"id": x, "kind": "method"} for x in ("Db::insert", "Db::close", "Log::insert")], [],
-        [{"from_node_id": "App::run", "reference_name": m, "candidates": {"receiver": "$db"}, "line": 4} for m in ("insert", "insert", "close")],
+        spark, [{"id": "Desk::go"}] + [{"id": x, "kind": "method"} for x in ("Db::insert", "Db::close", "Log::insert")], [],
+        [{"from_node_id": "Desk::go", "reference_name": m, "candidates": {"receiver": "$db"}, "line": 4} for m in ("insert", "insert", "close")],
     )
     r = resolve.resolve_targets(g).collect()
     assert [(x.receiver, x.calls, list(x.classes)) for x in r] == [("$db", 3, ["Db"])]
     open_ = {x.method: list(x.candidates) for x in resolve.unresolved(g).collect()}
     assert open_ == {"insert": ["Db::insert", "Log::insert"], "close": ["Db::close"]}
-    given = spark.createDataFrame([("App::run", "$db", None, None, "Db"), ("App::run", "$x", "insert", "Db::insert", None)], "caller string, receiver string, method string, target string, receiver_type string")
+    given = spark.createDataFrame([("Desk::go", "$db", None, None, "Db"), ("Desk::go", "$x", "insert", "Db::insert", None)], "caller string, receiver string, method string, target string, receiver_type string")
     good, bad = resolve.resolve_given(g, given)
     assert {(x.method, x.target_qname) for x in good.collect()} == {("insert", "Db::insert"), ("close", "Db::close")}
     assert [x.reason for x in bad.collect()] == ["no such unresolved call"]
