@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+import os
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -146,7 +148,7 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "checkcalls": ((), lambda w: quality.check_calls(w.graph)),
     "checkargs": ((), lambda w: quality.check_args(w.graph, w.sites)),
     "doccheck": ((), lambda w: quality.check_docs(w.graph, w.sources)),
-    "prereqs": (("declared",), lambda w, declared: quality.prereqs(w.graph, w.spark.createDataFrame([(m,) for m in _lists(declared)], "module string"))),
+    "prereqs": ((), lambda w: _prereqs(w)),
     "dead_exports": ((), lambda w: _nodes(quality.dead_exports(w.graph))),
     "duplication": ((), lambda w, min_nodes=30: quality.duplication(w.graph, int(min_nodes))),
     "smells": ((), lambda w: quality.smells(w.graph)),
@@ -167,7 +169,7 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "risk": ((), lambda w: history.risk(w.graph, history.churn(w.commits()))),
     "cochange": ((), lambda w: history.cochange(history.transactions(w.commits()), w.graph)),
     "owners": ((), lambda w: history.owners(w.graph, history.authorship(w.commits()))),
-    "reviewers": (("paths",), lambda w, paths: history.suggest_reviewers(history.authorship(w.commits()), w.spark.createDataFrame([(p,) for p in _lists(paths)], "file string"))),
+    "suggest_reviewers": (("ref",), lambda w, ref: history.suggest_reviewers(history.authorship(w.commits()), w.spark.createDataFrame([(p,) for p in git.changed(w.root, ref)], "file string"))),
     "diff": (("ref",), lambda w, ref: w.changes(ref)),
     "semver": (("ref",), lambda w, ref: diff.semver(w.changes(ref))),
     "changelog": (("ref",), lambda w, ref: diff.changelog(w.changes(ref))),
@@ -176,15 +178,83 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "graph": ((), _subgraph),
     "status": ((), lambda w: quality.kind_counts(w.graph)),
     "sync": ((), lambda w: w.sync().event([])),
-    "rename": (("symbol", "name"), lambda w, symbol, name: refactor.rename(w.graph, w.sources, symbol, name).edits),
-    "move": (("symbol", "package"), lambda w, symbol, package: refactor.move(w.graph, w.sources, symbol, package).edits),
-    "inline": (("symbol",), lambda w, symbol: refactor.inline(w.graph, w.sources, symbol).edits),
-    "dedupe": (("symbol",), lambda w, symbol: refactor.dedupe(w.graph, w.sources, symbol).edits),
-    "remove": (("symbol",), lambda w, symbol: refactor.remove(w.graph, w.sources, symbol).edits),
-    "change_signature": (("symbol", "order"), lambda w, symbol, order: refactor.change_signature(w.graph, w.sources, symbol, _lists(order)).edits),
+    "index": ((), lambda w, embed=False: _counted(w.index(embed=bool(embed)))),
+    "export": (("path",), lambda w, path, form="json": _exported(w, path, form)),
+    "resolve": (("resolutions",), lambda w, resolutions: _learned(w, resolutions)),
+    "rename": (("symbol", "name"), lambda w, symbol, name, apply=False: _edited(w, refactor.rename(w.graph, w.sources, symbol, name), apply)),
+    "move": (("symbol", "package"), lambda w, symbol, package, apply=False: _edited(w, refactor.move(w.graph, w.sources, symbol, package), apply)),
+    "inline": (("symbol",), lambda w, symbol, apply=False: _edited(w, refactor.inline(w.graph, w.sources, symbol), apply)),
+    "dedupe": (("symbol",), lambda w, symbol, apply=False: _edited(w, refactor.dedupe(w.graph, w.sources, symbol), apply)),
+    "rm": (("symbol",), lambda w, symbol, apply=False: _edited(w, refactor.remove(w.graph, w.sources, symbol), apply)),
+    "change_signature": (("symbol", "order"), lambda w, symbol, order, apply=False: _edited(w, refactor.change_signature(w.graph, w.sources, symbol, _lists(order)), apply)),
+    "extract": (("file", "lines", "name"), lambda w, file, lines, name, apply=False: _extracted(w, file, lines, name, apply)),
 }
 
 
+def _counted(g: CodeGraph) -> str:
+    return f"{g.nodes.count()} nodes, {g.edges.count()} edges, {g.refs.count()} open references"
+
+
+def _exported(w: Workbench, path: str, form: str) -> str:
+    """All edges of the graph, by executors."""
+    export.write(traverse.subgraph(w.graph)[1], path, form)
+    return f"written to {path}"
+
+
+def _learned(w: Workbench, resolutions: str) -> dict[str, DataFrame]:
+    """resolutions: JSON list of objects with caller, receiver, and method and target, or receiver_type."""
+    names = ("caller", "receiver", "method", "target", "receiver_type")
+    rows = [tuple(r.get(n) for n in names) for r in json.loads(resolutions)]
+    good, bad = w.learn(w.spark.createDataFrame(rows, ", ".join(f"{n} string" for n in names)))
+    return {"accepted": good, "rejected": bad}
+
+
+def _written(w: Workbench, changed) -> list[str]:
+    """Writes changed (path, text) into the tree, which must be a local one; returns the paths."""
+    out = []
+    for path, text in changed:
+        place = os.path.normpath(os.path.join(w.root.removeprefix("file://"), path))
+        if not place.startswith(os.path.normpath(w.root.removeprefix("file://")) + os.sep):
+            raise ValueError(f"{path} is outside of the tree")
+        with open(place, "w", encoding="utf-8", newline="") as file:
+            file.write(text)
+        out.append(path)
+    return out
+
+
+def _edited(w: Workbench, plan: refactor.Plan, apply) -> str | dict[str, DataFrame]:
+    """A plan's tables; with apply its edits are made and the graph refreshed."""
+    if plan.error:
+        return f"refused: {plan.error}"
+    if not apply:
+        return {"edits": plan.edits, "frontier": plan.frontier}
+    paths = _written(w, ((r.path, r.text) for r in refactor.apply(w.sources, plan.edits).toLocalIterator()))
+    return f"changed {', '.join(sorted(paths)) or 'nothing'}; " + w.sync().event([])
+
+
+def _extracted(w: Workbench, file: str, lines: str, name: str, apply) -> str:
+    first, _, last = lines.partition("-")
+    row = w.sources.where(F.col("path") == file).first()
+    if row is None:
+        return f"refused: no file {file}"
+    new, why = refactor.extract_sub(row.text, int(first), int(last or first), name)
+    if why:
+        return f"refused: {why}"
+    if not apply:
+        return new
+    _written(w, [(file, new)])
+    return f"changed {file}; " + w.sync().event([])
+
+
+def _prereqs(w: Workbench) -> str:
+    """What the code uses and what its distribution says it needs."""
+    names = "{META.json,MYMETA.json,cpanfile,Makefile.PL}"
+    found = w.spark.read.option("wholetext", True).option("pathGlobFilter", names).text(w.root).select(F.element_at(F.split(F.input_file_name(), "/"), -1).alias("name"), "value")
+    declared, source = files.declared_prereqs({r.name: r.value for r in found.collect()})
+    rows = quality.prereqs(w.graph, w.spark.createDataFrame([(m,) for m in declared], "module string"))
+    return f"declared in {source or 'no file'}: {len(declared)}\n\n" + export.table(rows, "prereqs")
+
+
 def _layers(w: Workbench) -> str:
     found, broken = resolve.layers(w.graph)
     return "\n".join([*(f"{k}: {', '.join(found[k])}" for k in sorted(found)), *(f"violation: {b}" for b in broken)]) or "No modules."
@@ -210,7 +280,7 @@ def render(found, title: str) -> str:
     return str(found)
 
 
-def ask(w: Workbench, name: str, **arguments) -> str:
+def ask(w: Workbench, name: str, /, **arguments) -> str:
     needed, f = TOOLS[name]
     missing = [a for a in needed if a not in arguments]
     if missing:

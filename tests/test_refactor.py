@@ -108,6 +108,9 @@ def test_workbench_and_servers(spark, tmp_path):
     assert "graph LR" in ask(bench, "graph", around="A::add") and "digraph" in ask(bench, "graph", form="dot")
     assert "A::add" in ask(bench, "context", question="who calls A::add?")
     assert "A_add" in ask(bench, "graph") and json.loads(ask(bench, "graph", form="json"))["edges"]
+    (root / "cpanfile").write_text("requires 'Not::Used';\n")
+    assert "Not::Used" in ask(bench, "prereqs")
+    assert "start" in ask(bench, "rename", symbol="A::twice", name="double") and "refused" in ask(bench, "rm", symbol="A::add")
     with pytest.raises(TypeError):
         ask(bench, "callers")
     out = io.StringIO()
@@ -120,3 +123,5 @@ def test_workbench_and_servers(spark, tmp_path):
     EditorServer(bench).run(io.BytesIO(raw), sink)
     replies = [json.loads(p.split(b"\r\n\r\n", 1)[-1]) for p in sink.getvalue().split(b"Content-Length: ")[1:]]
     assert replies[0]["result"][0]["range"]["start"]["line"] == 1 and "twice" in replies[1]["result"]["contents"]["value"] and len(replies[2]["result"]) == 6 and replies[3]["result"][0]["name"] == "A::twice"
+    assert "changed lib/A.pm" in ask(bench, "rename", symbol="A::twice", name="double", apply="1")
+    assert "sub double (" in (root / "lib/A.pm").read_text() and "A::double" in ask(bench, "callers", symbol="A::add")
