@@ -162,9 +162,9 @@ def resolve_refs(g: CodeGraph) -> tuple[DataFrame, DataFrame]:
 
 
 def anchors(g: CodeGraph, refs: DataFrame) -> DataFrame:
-    """refs with caller (qualified name of where they stand) and receiver."""
+    """Method calls among refs with caller (qualified name of where they stand) and receiver."""
     who = g.nodes.select(F.col("id").alias("from_node_id"), F.col("qualified_name").alias("caller"))
-    return refs.join(who, "from_node_id").where("caller is not null").withColumn("receiver", F.coalesce("candidates.receiver", F.lit("")))
+    return refs.where("reference_kind = 'method_call'").join(who, "from_node_id").where("caller is not null").withColumn("receiver", F.coalesce("candidates.receiver", F.lit("")))
 
 
 def apply_learned(g: CodeGraph, refs: DataFrame) -> DataFrame:
@@ -208,9 +208,10 @@ def resolve_all(g: CodeGraph) -> CodeGraph:
     return g.with_(edges=scratch.save(upsert_edges(g.edges, new.select(*g.edges.columns)), "all"), refs=scratch.save(left, "left"))
 
 
-def unresolved(g: CodeGraph, limit: int = 50) -> DataFrame:
+def unresolved(g: CodeGraph, name: str | None = None, limit: int = 50) -> DataFrame:
     """Open calls by (caller, method, receiver) on variables, with the subs they may mean: n, first line, candidates."""
     refs = anchors(g, g.refs).where(F.col("receiver").startswith("$"))
+    refs = refs.where(F.col("reference_name") == name) if name is not None else refs
     group = refs.groupBy("caller", F.col("reference_name").alias("method"), "receiver").agg(F.count("*").alias("n"), F.min(F.struct("ref_ord", "file_path", "line")).alias("m"))
     subs = g.nodes.where("kind in ('function', 'method') and qualified_name is not null").groupBy(F.col("name").alias("method")).agg(F.sort_array(F.collect_set("qualified_name")).alias("candidates"))
     met = group.join(subs, "method")

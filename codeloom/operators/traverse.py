@@ -91,7 +91,8 @@ def affected(g: CodeGraph, files: list[str], tests_only: bool = False, depth: in
     place = F.col("file_path")
     match = F.lit(False)
     for f in files:
-        match = match | (place == f) | place.endswith("/" + f.lstrip("./")) | F.lit(f).endswith(F.concat(F.lit("/"), place))
+        tail = f.removeprefix("./")
+        match = match | (place == f) | (place == tail) | place.endswith("/" + tail)
     own = g.nodes.where("file_path is not null").where(match)
     found = expand(g.links(*CALLS), own, depth, "in").where("depth > 0")
     out = g.nodes.join(found.select("id").distinct(), "id", "left_semi").select("file_path").unionByName(own.select("file_path"))

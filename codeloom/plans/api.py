@@ -159,7 +159,7 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "scaffold": (("symbol",), lambda w, symbol: _scaffold(w, symbol)),
     "sinks": ((), lambda w: traverse.sinks(w.graph)),
     "taint": ((), lambda w: traverse.taint(w.graph)),
-    "unresolved": ((), lambda w: resolve.unresolved(w.graph)),
+    "unresolved": ((), lambda w, name=None: resolve.unresolved(w.graph, name)),
     "resolve_targets": ((), lambda w, name=None: resolve.resolve_targets(w.graph, name)),
     "mro": (("module",), lambda w, module: resolve.linearized(w.graph, w.spark.createDataFrame([(module,)], "class string")).orderBy("pos")),
     "definition": (("file", "line"), lambda w, file, line: _nodes(lookup.definition_at(w.graph, file, int(line)))),

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,30 +11,40 @@ from codeloom.plans import schema as S
 from codeloom.plans.scratch import Scratch
 
 CALLS = ("calls", "references")
+_EMPTY = {"refs": S.REFS, "files": S.FILES, "embeddings": S.EMBEDDINGS, "resolutions": S.RESOLUTIONS}
+
+
+Table = DataFrame | Callable[[], DataFrame]
 
 
-@dataclass(frozen=True)
 class CodeGraph:
-    """Tables of one snapshot; see codeloom.plans.schema. Missing tables are empty."""
+    """Tables of one snapshot; see codeloom.plans.schema. Missing tables are empty; a table may be given as what makes it."""
+
+    def __init__(self, nodes: Table, edges: Table, refs: Table | None = None, files: Table | None = None, embeddings: Table | None = None, resolutions: Table | None = None, spark: SparkSession | None = None):
+        self._tables = {"nodes": nodes, "edges": edges, "refs": refs, "files": files, "embeddings": embeddings, "resolutions": resolutions}
+        self._spark = spark
 
-    nodes: DataFrame
-    edges: DataFrame
-    refs: DataFrame | None = None
-    files: DataFrame | None = None
-    embeddings: DataFrame | None = None
-    resolutions: DataFrame | None = None
+    def _table(self, name: str) -> DataFrame:
+        found = self._tables[name]
+        if found is None:
+            found = self._tables[name] = self.spark.createDataFrame([], _EMPTY[name])
+        elif not isinstance(found, DataFrame):
+            found = self._tables[name] = found()
+        return found
 
-    def __post_init__(self):
-        for name, ddl in (("refs", S.REFS), ("files", S.FILES), ("embeddings", S.EMBEDDINGS), ("resolutions", S.RESOLUTIONS)):
-            if getattr(self, name) is None:
-                object.__setattr__(self, name, self.spark.createDataFrame([], ddl))
+    nodes = property(lambda self: self._table("nodes"))
+    edges = property(lambda self: self._table("edges"))
+    refs = property(lambda self: self._table("refs"))
+    files = property(lambda self: self._table("files"))
+    embeddings = property(lambda self: self._table("embeddings"))
+    resolutions = property(lambda self: self._table("resolutions"))
 
     @property
     def spark(self) -> SparkSession:
-        return self.nodes.sparkSession
+        return self._spark or self.nodes.sparkSession
 
-    def with_(self, **tables: DataFrame) -> CodeGraph:
-        return replace(self, **tables)
+    def with_(self, **tables: Table) -> CodeGraph:
+        return CodeGraph(**{**self._tables, **tables}, spark=self._spark)
 
     def links(self, *kinds: str) -> DataFrame:
         """Edges of these kinds that have both ends."""

@@ -13,19 +13,30 @@ def _table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def _shaped(df: DataFrame, ddl: str, **columns) -> DataFrame:
-    """df's columns cast into a schema; what it lacks is null."""
-    import pyspark.sql.types as T
+def _fields(ddl: str) -> list[tuple[str, str]]:
+    from pyspark.sql import types as T
 
-    kind = T._parse_datatype_string(ddl) if hasattr(T, "_parse_datatype_string") else T.StructType.fromDDL(ddl)
+    return [(f.name, f.dataType.simpleString()) for f in T.StructType.fromDDL(ddl).fields]
+
+
+def _shaped(df: DataFrame, ddl: str) -> DataFrame:
+    """df's columns cast into a schema; what it lacks is null. One expression list, as a call for each column takes longer than a query."""
     have = set(df.columns)
-    return df.select(*((F.col(f.name) if f.name in have else F.lit(None)).cast(f.dataType).alias(f.name) for f in kind.fields))
+    return df.selectExpr(*(f"cast({'`' + n + '`' if n in have else 'null'} as {t}) as `{n}`" for n, t in _known_fields(ddl)))
+
+
+_held: dict[str, list[tuple[str, str]]] = {}
+
+
+def _known_fields(ddl: str) -> list[tuple[str, str]]:
+    if ddl not in _held:
+        _held[ddl] = _fields(ddl)
+    return _held[ddl]
 
 
-def _metadata(**values):
-    names = ["complexity", "returns", "dup", "taint_source", "taint_flow", "sink_params", "taint_out", "accessor", "helper", "modifier", "role", "cpan", "verb", "path", "framework", "attrs", "provenance"]
-    kinds = dict(zip(names, "int string string string boolean array<int> array<struct<callee:string,method:int,arg:int,param:int,src:int>> boolean boolean string boolean boolean string string string array<string> string".split(" ")))
-    return F.struct(*(values.get(n, F.lit(None)).cast(kinds[n]).alias(n) for n in names)).alias("metadata")
+def _struct(kind: str, **values: str):
+    """A metadata column with these expressions; its other fields are null."""
+    return F.expr("named_struct(" + ", ".join(f"'{n}', cast({values.get(n, 'null')} as {t})" for n, t in _known_fields(kind.removeprefix("struct<").removesuffix(">"))) + ")").alias("metadata")
 
 
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,27 +46,26 @@ def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     key = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string")).alias("id")
     lib = lambda name: F.concat(F.lit("lib/"), name, F.lit(".pm")).alias("file_path")
     kind = lambda k: F.lit(k).alias("kind")
-    no = _metadata()
     rows = [
-        region.select(key("R", "r_regionkey"), kind("package"), F.col("r_name").alias("name"), F.col("r_name").alias("qualified_name"), lib(F.col("r_name")), no),
-        nation.select(key("N", "n_nationkey"), kind("class"), F.col("n_name").alias("name"), F.concat_ws("::", "r_name", "n_name").alias("qualified_name"), lib(F.col("r_name")), no),
-        part.select(F.concat_ws("::", F.lit("B"), "p_brand", "p_type").alias("id"), kind("package"), F.concat_ws("::", "p_brand", "p_type").alias("name"), F.concat_ws("::", "p_brand", "p_type").alias("qualified_name"), lib(F.col("p_brand")), no).distinct(),
+        region.select(key("R", "r_regionkey"), kind("package"), F.col("r_name").alias("name"), F.col("r_name").alias("qualified_name"), lib(F.col("r_name"))),
+        nation.select(key("N", "n_nationkey"), kind("class"), F.col("n_name").alias("name"), F.concat_ws("::", "r_name", "n_name").alias("qualified_name"), lib(F.col("r_name"))),
+        part.select(F.concat_ws("::", F.lit("B"), "p_brand", "p_type").alias("id"), kind("package"), F.concat_ws("::", "p_brand", "p_type").alias("name"), F.concat_ws("::", "p_brand", "p_type").alias("qualified_name"), lib(F.col("p_brand"))).distinct(),
         part.select(
             key("P", "p_partkey"), kind("function"), F.concat(F.lit("p"), "p_partkey").alias("name"), F.concat_ws("::", "p_brand", "p_type", F.concat(F.lit("p"), "p_partkey")).alias("qualified_name"), lib(F.col("p_brand")),
             (F.col("p_partkey") * 10).cast("int").alias("start_line"), (F.col("p_partkey") * 10 + F.col("p_size") % 15).cast("int").alias("end_line"),
             F.concat(F.lit("("), F.array_join(F.transform(F.sequence(F.lit(1), F.col("p_size") % 7 + 1), lambda k: F.concat(F.lit("$a"), k)), ", "), F.lit(")")).alias("signature"),
             F.when(F.col("p_size") % 3 != 0, F.col("p_name")).alias("docstring"), F.when(F.col("p_size") <= 5, "private").otherwise("public").alias("visibility"), (F.col("p_size") >= 45).alias("is_exported"),
-            _metadata(complexity=F.col("p_size"), dup=F.concat(F.col("p_size"), F.lit(":"), F.md5(F.concat("p_name", "p_type").cast("binary"))), taint_source=F.when(F.col("p_size") % 25 == 1, "ENV")),
+            _struct(S.NODE_METADATA, complexity="p_size", dup="concat(p_size, ':', md5(cast(concat(p_name, p_type) as binary)))", taint_source="case when p_size % 25 = 1 then 'ENV' end"),
         ),
         supplier.join(F.broadcast(nation), F.col("s_nationkey") == F.col("n_nationkey")).select(
             key("S", "s_suppkey"), kind("method"), F.concat(F.lit("s"), "s_suppkey").alias("name"), F.concat_ws("::", "r_name", "n_name", F.concat(F.lit("s"), "s_suppkey")).alias("qualified_name"), lib(F.col("r_name")),
-            (F.col("s_suppkey") * 10).cast("int").alias("start_line"), (F.col("s_suppkey") * 10 + 8).cast("int").alias("end_line"), F.when(F.col("s_acctbal") < 0, "private").otherwise("public").alias("visibility"), F.lit(False).alias("is_exported"), no,
+            (F.col("s_suppkey") * 10).cast("int").alias("start_line"), (F.col("s_suppkey") * 10 + 8).cast("int").alias("end_line"), F.when(F.col("s_acctbal") < 0, "private").otherwise("public").alias("visibility"), F.lit(False).alias("is_exported"),
         ),
         customer.select(
             key("C", "c_custkey"), kind("function"), F.concat(F.lit("c"), "c_custkey").alias("name"), F.concat(F.lit("main::c"), "c_custkey").alias("qualified_name"), F.concat(F.lit("t/"), "c_mktsegment", F.lit(".t")).alias("file_path"),
-            F.lit("public").alias("visibility"), F.lit(False).alias("is_exported"), no,
+            F.lit("public").alias("visibility"), F.lit(False).alias("is_exported"),
         ),
-        nation.select(key("T", "n_nationkey"), kind("route"), F.concat(F.lit("/"), F.lower("n_name")).alias("name"), F.concat(F.lit("/"), F.lower("n_name")).alias("qualified_name"), F.lit("bin/app.psgi").alias("file_path"), no),
+        nation.select(key("T", "n_nationkey"), kind("route"), F.concat(F.lit("/"), F.lower("n_name")).alias("name"), F.concat(F.lit("/"), F.lower("n_name")).alias("qualified_name"), F.lit("bin/app.psgi").alias("file_path")),
     ]
     out = _shaped(rows[0], S.NODES)
     for r in rows[1:]:
@@ -87,7 +97,6 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, part, supplier = (_table(spark, sf_dir, t) for t in ("nation", "part", "supplier"))
     line, orders, customer = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     key = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
-    meta = lambda **m: F.struct(*(m.get(n, F.lit(None)).cast(t).alias(n) for n, t in (("via", "string"), ("name", "string"), ("module", "string"), ("symbols", "array<string>"), ("modifier", "string"), ("sink", "string"), ("dynamic", "boolean")))).alias("metadata")
     k = lambda x: F.lit(x).alias("kind")
     to = lambda a, b: (a.alias("source"), b.alias("target"))
     static = F.lit("static").alias("provenance")
@@ -101,8 +110,8 @@ def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
         line.where("l_linenumber = 1").select(*to(key("P", "l_partkey"), key("S", "l_suppkey")), k("references"), F.lit("heuristic").alias("provenance")).distinct(),
         _trade(spark, sf_dir).select(*to(key("N", "src"), key("N", "dst")), k("imports"), static),
         nation.where("n_nationkey > 0").select(*to(key("N", "n_nationkey"), F.concat(F.lit("N"), F.floor(F.col("n_nationkey") / 2))), k("extends"), F.lit("inferred").alias("provenance")),
-        nation.select(*to(key("T", "n_nationkey"), F.concat(F.lit("P"), F.col("n_nationkey") * 7 + 1)), k("references"), F.lit("framework").alias("provenance"), meta(via=F.lit("route"))),
-        part.where("p_size % 10 = 0").select(*to(key("P", "p_partkey"), F.lit(None).cast("string")), k("sink"), static, meta(sink=F.when(F.col("p_size") % 20 == 0, "sql").otherwise("command"), name=F.when(F.col("p_size") % 20 == 0, "do").otherwise("system"), dynamic=F.col("p_size") % 30 != 20)),
+        nation.select(*to(key("T", "n_nationkey"), F.concat(F.lit("P"), F.col("n_nationkey") * 7 + 1)), k("references"), F.lit("framework").alias("provenance"), _struct(S.EDGE_METADATA, via="'route'")),
+        part.where("p_size % 10 = 0").select(*to(key("P", "p_partkey"), F.lit(None).cast("string")), k("sink"), static, _struct(S.EDGE_METADATA, sink="case when p_size % 20 = 0 then 'sql' else 'command' end", name="case when p_size % 20 = 0 then 'do' else 'system' end", dynamic="p_size % 30 <> 20")),
     ]
     out = _shaped(rows[0], S.EDGES)
     for r in rows[1:]:
@@ -125,8 +134,11 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
-    files = nodes(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("node_count"))
-    return CodeGraph(nodes(spark, sf_dir), edges(spark, sf_dir), refs(spark, sf_dir), _shaped(files, S.FILES), embeddings(spark, sf_dir))
+    """The projection; a table of it is built when a query first reads it."""
+    return CodeGraph(
+        lambda: nodes(spark, sf_dir), lambda: edges(spark, sf_dir), lambda: refs(spark, sf_dir),
+        lambda: _shaped(nodes(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("node_count")), S.FILES), lambda: embeddings(spark, sf_dir), spark=spark,
+    )
 
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
