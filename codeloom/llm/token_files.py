@@ -324,7 +324,8 @@ def write_files(docs: DataFrame, vocabulary: str, scratch: Scratch, file_tokens:
     bounds = np.unique(np.array(cuts or [], np.int64))
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     encoded = rows.mapInArrow(lambda b: trimmed(_encoded(b, spec.value, bounds)), "place int, doc_id long, packed binary")
-    ordered = encoded.repartition(n, "place").sortWithinPartitions("place", "doc_id", "packed")
+    # Each place is a partition of its own; rows without a doc_id have place -1.
+    ordered = encoded.repartitionById(len(bounds) + 2, F.col("place") + 1).sortWithinPartitions("place", "doc_id", "packed")
     return scratch.save(ordered.mapInArrow(lambda b: trimmed(_files(b, file_tokens)), "place int, part int, n_tokens long, payload binary"), name)
 
 
