@@ -11,7 +11,8 @@ threshold lies 4.5 standard deviations below 0.8.
 
 Components need only enough links to connect them: a node first proposes a spanning forest of its most similar pairs. Where
 links fail on the full sets, further rounds propose the best remaining pairs between different components, 16 times as many
-each round, until none is left. Nothing is capped for good. In those rounds a pair counts in the first tree only in which it
+each round, until none is left. Nothing is capped for good. In nodes that stay large, sets are linked to pivots, confirmed on the
+full sets, and all that isn't in the largest component so found is compared with the whole node. In those rounds a pair counts in the first tree only in which it
 meets at an unbranched node.
 """
 
@@ -36,6 +37,8 @@ TREES = 12
 NODE = 2_048
 #: Branchings below a tree's first nodes. Sets that still share a node of over NODE agree in over ten tokens.
 LEVELS = 8
+#: Rounds of pivots in a node that is still large.
+ROUNDS = 3
 SKETCH = 370
 
 _FACTORS = np.random.default_rng(20_240_229).integers(1, 1 << 63, COORDINATES + PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -268,20 +271,48 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _deep(deep: DataFrame, sketches: DataFrame, scratch: Scratch) -> DataFrame:
-    """Pairs of nodes that branching doesn't split: four pivots of each against its sets, then sets near no pivot against all."""
-    pivots = deep.groupBy("node").agg(F.array(*(F.min(F.struct(F.xxhash64("cid", F.lit(k)), F.col("cid").alias("cid")))["cid"] for k in range(4))).alias("p"))
-    pivots = pivots.select("node", F.explode(F.array_distinct("p")).alias("a"))
-    first, second = sketches.select(F.col("cid").alias("a"), F.col("sketch").alias("s")), sketches.select(F.col("cid").alias("b"), F.col("sketch").alias("t"))
+def _deep(deep: DataFrame, values: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
+    """Large nodes (node, cid) that branching doesn't split: pairs tried on the full sets, components of those that hold, small nodes.
 
-    def near(pairs: DataFrame) -> DataFrame:
-        met = pairs.where("a <> b").join(first, "a").join(second, "b").select("node", "a", "b", "s", "t")
-        return met.mapInArrow(_agree, "node long, a long, b long")
+    Four pivots of each node are compared with its sets, and four of those left, ROUNDS times. Each link is confirmed on the full
+    sets before it counts. The sets outside of a node's largest component then meet all sets of the node, in small nodes: blocks of
+    NODE / 2 of either. So any two sets of a node are of one component, or are in a small node.
+    """
+    seen = deep.select(F.col("node"), "cid")
+    short = values.select("cid", "sketch")
+    tried, comps = None, None
+    for turn in range(ROUNDS + 1):
+        label = seen.withColumn("comp", F.col("cid")) if comps is None else seen.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
+        label = scratch.save(label, f"deep-labels-{turn}")
+        most = label.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("node", "size", F.col("m.comp").alias("core"), F.col("m.n").alias("held"))
+        left = label.join(F.broadcast(most.where("held < size")), "node").where("comp <> core or held = 1").select("node", "cid", "size")
+        if turn == ROUNDS:
+            break
+        pivots = left.groupBy("node").agg(F.array(*(F.min(F.struct(F.xxhash64("cid", F.lit(4 * turn + k)), F.col("cid").alias("cid")))["cid"] for k in range(4))).alias("p"))
+        pivots = pivots.select("node", F.explode(F.array_distinct("p")).alias("a")).join(short.select(F.col("cid").alias("a"), F.col("sketch").alias("s")), "a")
+        met = label.select("node", F.col("cid").alias("b")).join(F.broadcast(pivots), "node").where("a <> b").join(short.select(F.col("cid").alias("b"), F.col("sketch").alias("t")), "b")
+        near = met.select("node", "a", "b", "s", "t").mapInArrow(_agree, "node long, a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+        if tried is not None:
+            near = near.join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        done = scratch.save(_tried(near, values, percent), f"deep-tried-{turn}")
+        tried = done if tried is None else tried.unionByName(done)
+        links = tried.where("linked").select("a", "b")
+        if not done.where("linked").isEmpty():
+            comps = components(links, scratch, f"deep-components-{turn}")
+    half = max(1, NODE // 2)
+    blocks = lambda n: F.greatest(F.ceil(n / half), F.lit(1))
+    some = left.groupBy("node").agg(F.count("*").alias("some"), F.max("size").alias("size"))
+    own = F.xxhash64("cid", F.lit(77))
+    rows = left.select("node", "cid").join(F.broadcast(some), "node").select("node", "cid", F.pmod(own, blocks(F.col("some"))).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("size")) - 1)).alias("j"))
+    every = label.select("node", "cid").join(F.broadcast(some), "node").select("node", "cid", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("some")) - 1)).alias("i"), F.pmod(own, blocks(F.col("size"))).alias("j"))
+    small = rows.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "cid", F.lit(-1).alias("tree")).distinct()
+    return tried, comps, scratch.save(small, "deep-nodes")
 
-    by_pivot = scratch.save(near(deep.select("node", F.col("cid").alias("b")).join(pivots, "node")), "deep-1")
-    left = deep.select("node", F.col("cid").alias("b")).join(by_pivot.select("node", "b").distinct(), ["node", "b"], "left_anti").join(pivots.select("node", F.col("a").alias("b")), ["node", "b"], "left_anti")
-    left = left.select("node", F.col("b").alias("a"))
-    return by_pivot.unionByName(scratch.save(near(deep.select("node", F.col("cid").alias("b")).join(left, "node")), "deep-2"))
+
+def _tried(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
+    """(a, b, linked) of pairs by their full sets."""
+    both = pairs.join(values.select(F.col("cid").alias("a"), F.col("whole").alias("x")), "a").join(values.select(F.col("cid").alias("b"), F.col("whole").alias("y")), "b").select("a", "b", "x", "y")
+    return both.mapInArrow(lambda b: trimmed(_confirm(b, percent)), "a long, b long, linked boolean")
 
 
 def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
@@ -339,13 +370,15 @@ def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int =
     finally:
         spark.conf.set(key, before)
 
+    tried, comps, turn = None, None, 0
+    if large is not None:
+        tried, comps, small = _deep(large, values, scratch, percent)
+        nodes = nodes.unionByName(small)
     roots = nodes.select("cid", "tree", "node").repartition("cid").sortWithinPartitions("cid").mapInArrow(_roots_of, "cid long, roots binary")
     short = values.select("cid", "sketch").join(roots, "cid", "left").select("cid", "sketch", "roots")
     short = scratch.save(short, "sketches")
     sketched = short.where("roots is not null")
-    pairs_0 = None if large is None else _deep(large, short.select("cid", "sketch"), scratch).select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"), F.lit(False).alias("more"))
 
-    tried, comps, turn = None, None, 0
     while True:
         if comps is None:
             rows = nodes.withColumn("comp", F.col("cid")).join(sketched, "cid")
@@ -357,8 +390,6 @@ def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int =
             rows = label.join(mixed, "node", "left_semi").join(sketched, "cid")
         rows = rows.select("node", "cid", "comp", "tree", "sketch", "roots").repartition("node").sortWithinPartitions("node", "cid")
         pairs = rows.mapInArrow(lambda b, t=turn: trimmed(_compare(b, t)), "a long, b long, more boolean")
-        if turn == 0 and pairs_0 is not None:
-            pairs = pairs.unionByName(pairs_0)
         pairs = pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
         if tried is not None:
             pairs = pairs.join(tried.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left")
@@ -369,8 +400,7 @@ def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int =
         if not new and not more:
             break
         fresh = pairs.where("old is null").select("a", "b")
-        both = fresh.join(values.select(F.col("cid").alias("a"), F.col("whole").alias("x")), "a").join(values.select(F.col("cid").alias("b"), F.col("whole").alias("y")), "b").select("a", "b", "x", "y")
-        done = scratch.save(both.mapInArrow(lambda b: trimmed(_confirm(b, percent)), "a long, b long, linked boolean"), f"tried-{turn}")
+        done = scratch.save(_tried(fresh, values, percent), f"tried-{turn}")
         tried = done if tried is None else tried.unionByName(done)
         good = done.where("linked").select("a", "b")
         turn += 1

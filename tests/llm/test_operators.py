@@ -172,6 +172,21 @@ def test_near_dedup_equals_all_pairs(spark, monkeypatch):
     assert {r.doc_id for r in left.collect()} == {r.doc_id for r in got if r.stays}
 
 
+def test_near_pairs_in_a_large_node_whose_pivots_fail(spark, monkeypatch):
+    rng, texts = random.Random(4), []
+    for k in range(60):  # two of a pair have 0.98; others are near by sketches, but most aren't linked
+        own = [f"w{j}" for j in range(403)]
+        for j in rng.sample(range(3, 370, 4), 8):
+            own[j] = f"p{k}x{j}"
+        texts += [" ".join(own), " ".join([*own[:380], f"q{k}", *own[381:]])]
+    rows = docs_of(spark, texts)
+    want = sorted(brute([(r.doc_id, r.text) for r in rows.collect()]))
+    assert len({w[2] for w in want}) > 30
+    monkeypatch.setattr(near_dedup, "NODE", 16)
+    monkeypatch.setattr(near_dedup, "LEVELS", 0)
+    assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.link(rows).collect()) == want
+
+
 def test_sketches_estimate_and_recall():
     rng = np.random.default_rng(3)
     met = 0
