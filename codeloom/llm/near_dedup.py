@@ -1,13 +1,13 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Each distinct set of word shingles gets 64 minwise tokens. In each of TREES independent trees the sets start at nodes of two
-selected coordinates' tokens; a node of more than NODE sets branches by the tokens of one further selected coordinate, or of
-two (at one node in four), so that a pair of similarity 0.8 meets as often below as above. Sets that meet no other drop out;
+selected coordinates' tokens; a node of more than NODE sets branches by the tokens of each of three further selected coordinates,
+unless most of its sets are so alike that branching hardly splits it. Sets that meet no other drop out;
 the others' texts are read once more for their full sets and for sketches of 512 minwise bytes. Nodes of up to NODE sets are
 compared exhaustively by sketches, and what passes is confirmed on the full sets.
 
-A pair of similarity 0.8 starts together in a tree with probability 0.64, and misses all 12 trees with 5e-6; the sketch
-threshold lies 4.5 standard deviations below 0.8.
+A pair of similarity 0.8 starts together in a tree with probability 0.64, and misses all 13 trees with 1.7e-6 where no node
+branches, 3.7e-6 after one branching and 4.8e-6 after eight, by the number of its 64 coordinates that agree; the sketch threshold lies 4.5 standard deviations below 0.8.
 
 Components need only enough links to connect them: a node first proposes a spanning forest of its most similar pairs. Where
 links fail on the full sets, further rounds propose the best remaining pairs between different components, 16 times as many
@@ -33,12 +33,14 @@ from codeloom.llm.scratch import Scratch
 
 COORDINATES = 64
 PLACES = 512
-TREES = 12
+TREES = 13
 NODE = 2_048
 #: Branchings below a tree's first nodes. Sets that still share a node of over NODE agree in over ten tokens.
 LEVELS = 8
 #: Rounds of pivots in a node that is still large.
 ROUNDS = 3
+#: Branching hardly splits nodes of which half the pairs agree in so many tokens.
+DENSE = 46
 SKETCH = 370
 
 _FACTORS = np.random.default_rng(20_240_229).integers(1, 1 << 63, COORDINATES + PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
@@ -130,12 +132,23 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not len(batch):
             continue
         node, sig = batch.column(0).to_numpy().view(np.uint64), _matrix(batch.column(2), np.uint32)
-        chance = _mix(node + np.uint64(99))
-        for k in range(2):
-            some = np.arange(len(node)) if not k else np.flatnonzero(chance % np.uint64(4) == 0)
-            c = (_mix(node + np.uint64(k + 1)) >> np.uint64(20)) % np.uint64(COORDINATES)
-            below = _node(node[some], c[some], sig[some, c[some].astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1).take(pa.array(some)), pa.array(np.full(len(some), -1, np.int32))], names=["node", "cid", "tree"])
+        first = (_mix(node + np.uint64(1)) >> np.uint64(20)) % np.uint64(COORDINATES)
+        step = (_mix(node + np.uint64(2)) >> np.uint64(20)) | np.uint64(1)
+        for k in range(3):
+            c = (first + np.uint64(k) * step) % np.uint64(COORDINATES)
+            below = _node(node, c, sig[np.arange(len(node)), c.astype(np.int64)])
+            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1), pa.array(np.full(len(node), -1, np.int32))], names=["node", "cid", "tree"])
+
+
+def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, tokens of some of its sets) to the nodes of which half the pairs agree in DENSE tokens or more."""
+    for batch in batches:
+        keep = []
+        for sigs in batch.column(1):
+            sig = np.stack([np.frombuffer(x, np.uint32) for x in sigs.as_py()])
+            a, b = np.triu_indices(len(sig), 1)
+            keep.append(len(a) > 0 and float(((sig[a] == sig[b]).sum(axis=1) >= DENSE).mean()) >= 0.5)
+        yield batch.select([0]).filter(pa.array(keep, pa.bool_()))
 
 
 def _forest(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
@@ -329,24 +342,31 @@ def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int =
     tokens = classes.select("cid", "sig")
 
     now = tokens.mapInArrow(_roots, "node long, cid long, tree int")
-    leaves, level = [], 0
+    leaves, deep, level = [], [], 0
     while True:
         now = scratch.save(now, f"paths-{level}")
         size = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = scratch.save(now.join(size, "node"), f"nodes-{level}")
         scratch.drop(f"paths-{level}")
         leaves.append(met.where(f"n <= {NODE}").select("node", "cid", "tree"))
-        large = met.where(f"n > {NODE}").select("node", "cid")
+        large = met.where(f"n > {NODE}")
         if large.isEmpty():
-            large = None
             break
         if level == LEVELS:
+            deep.append(large.select("node", "cid"))
             break
+        some = large.where("pmod(xxhash64(cid, node), 1000000) * n < 32000000").join(tokens, "cid").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+        dense = scratch.save(some.mapInArrow(_dense, "node long"), f"dense-{level}")
+        deep.append(large.join(F.broadcast(dense), "node", "left_semi").select("node", "cid"))
+        large = large.join(F.broadcast(dense), "node", "left_anti")
         now = large.join(tokens, "cid").select("node", "cid", "sig").mapInArrow(_branches, "node long, cid long, tree int").distinct()
         level += 1
     nodes = leaves[0]
     for more in leaves[1:]:
         nodes = nodes.unionByName(more)
+    large = None
+    for more in deep:
+        large = more if large is None else large.unionByName(more)
     live = nodes.select("cid") if large is None else nodes.select("cid").unionByName(large.select("cid"))
 
     wanted = classes.join(live.distinct(), "cid", "left_semi").select("cid", "digest", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
@@ -371,7 +391,7 @@ def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int =
         spark.conf.set(key, before)
 
     tried, comps, turn = None, None, 0
-    if large is not None:
+    if large is not None and not large.isEmpty():
         tried, comps, small = _deep(large, values, scratch, percent)
         nodes = nodes.unionByName(small)
     roots = nodes.select("cid", "tree", "node").repartition("cid").sortWithinPartitions("cid").mapInArrow(_roots_of, "cid long, roots binary")

@@ -187,6 +187,22 @@ def test_near_pairs_in_a_large_node_whose_pivots_fail(spark, monkeypatch):
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in near_dedup.link(rows).collect()) == want
 
 
+def test_near_pairs_meet_in_branched_nodes():
+    import pyarrow as pa
+
+    rng = np.random.default_rng(5)
+    sig = rng.integers(0, 1 << 32, (400, 64), dtype=np.uint32)
+    sig[1::2] = np.where(rng.random((200, 64)) < 0.8, sig[::2], sig[1::2])  # pairs of similarity 0.8
+    tokens = [x.tobytes() for x in sig]
+    now = {(k // 2 + 1, k) for k in range(400)}
+    for _ in range(4):
+        node, ids = zip(*sorted(now))
+        batch = pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(ids, pa.int64()), pa.array([tokens[i] for i in ids], pa.binary())], names=["node", "cid", "sig"])
+        below = {(n, i) for b in near_dedup._branches([batch]) for n, i in zip(b.column(0).to_pylist(), b.column(1).to_pylist())}
+        now = {(n, i) for n, i in below if (n, i ^ 1) in below}
+    assert len({i // 2 for _, i in now}) > 0.95 * 200
+
+
 def test_sketches_estimate_and_recall():
     rng = np.random.default_rng(3)
     met = 0
