@@ -40,6 +40,7 @@ _HOST = re.compile(r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]*)")
 _words = lambda s: frozenset(s.split())
 VOID = _words("area base br col embed hr img input link meta param source track wbr")
 RAW = _words("script style textarea title xmp iframe noembed noframes")
+_ENDS = {tag: re.compile("</" + tag, re.I | re.A) for tag in RAW}
 INLINE = _words("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark meter q rp rt ruby s samp small span strike strong sub sup time tt u var wbr")
 CLOSE_P = _words("address article aside blockquote center details dialog dir div dl fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr main menu nav ol p pre search section summary table ul")
 SAME = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",), "tbody": ("tbody", "thead", "tfoot", "tr", "td", "th"), "tfoot": ("tbody", "thead", "tr", "td", "th")}
@@ -89,7 +90,6 @@ def parse(page: str) -> Element:
     """The tree of a page. Unclosed and misplaced tags are mended as browsers do; what a page's end cuts off is dropped."""
     root = Element("#page")
     stack, at, size = [root], 0, len(page)
-    lower = None
     while at < size:
         m = _TOKEN.search(page, at)
         if m is None:
@@ -122,10 +122,8 @@ def parse(page: str) -> Element:
         e = Element(tag, *_marks(attrs)) if attrs.strip(" /\n") else Element(tag)
         stack[-1].items.append(e)
         if tag in RAW:
-            if lower is None:
-                lower = page.lower()
-            end = lower.find("</" + tag, at)
-            end = size if end < 0 or len(lower) != size else end
+            last = _ENDS[tag].search(page, at)
+            end = last.start() if last else size
             if tag in ("textarea", "title"):
                 e.items.append(page[at:end])
             at = end

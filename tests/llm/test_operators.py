@@ -368,6 +368,11 @@ def test_pages(spark):
     assert got[200][0].text.startswith("Head 7\n")
 
 
+def test_letters_that_grow_in_lower_case():
+    page = "<html><head><title>\u0130stanbul</TITLE><style>p{}</Style></head><body><p>All of it</p></body></html>"
+    assert wrappers.Reader(wrappers.from_page(wrappers.parse(page))).text(wrappers.parse(page)) == "All of it"
+
+
 def test_wrappers_merge_in_any_order():
     pages = [page(k, "<div class='ad'>x</div>" if k % 2 else "") for k in range(12)]
     trees = [wrappers.from_page(wrappers.parse(p)) for p in pages]
