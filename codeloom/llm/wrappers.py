@@ -8,7 +8,8 @@ repeat. There are no alternatives, so any two wrappers align in one pass, and pa
 
 A wrapper's items count the pages, characters and link characters they have seen. From these and from what elements say of
 themselves (nav, aside, class names and the like) each item is marked as main text or not; a page is read by walking it along
-its host's wrapper.
+its host's wrapper. Text slots that stay constant over a host's pages, PAGES or more, are its template's and not main text; where
+such text outweighs the open slots, the pages are copies of each other and it stays.
 """
 
 from __future__ import annotations
@@ -53,6 +54,8 @@ NOT_MAIN = _words(
 )
 MAIN = _words("article content main post entry story body text")
 PAGE_ONLY = _words("header banner")
+#: Pages of a host from which on text that none of them changes is its template's.
+PAGES = 5
 
 
 class Element:
@@ -162,14 +165,15 @@ def from_page(e: Element, link: bool = False) -> Item:
     return ["e", 1, 0, e.tag, e.key, sorted(e.marks), folded(items), 1, chars, links]
 
 
-def merged(a: Item, b: Item) -> Item:
-    """What both of two items with one label are."""
+def merged(a: Item, b: Item, within: bool = False) -> Item:
+    """What both of two items with one label are. Within a page, or pages, the pages of both are at least those of either."""
+    pages = max if within else int.__add__
     low, many = min(a[1], b[1]), max(a[2], b[2])
     if a[0] == "t":
-        return ["t", low, many, a[3] if a[3] == b[3] else None, a[4] + b[4], a[5] + b[5], a[6] + b[6]]
+        return ["t", low, many, a[3] if a[3] == b[3] else None, pages(a[4], b[4]), a[5] + b[5], a[6] + b[6]]
     if a[0] == "e":
-        return ["e", low, many, a[3], a[4], a[5], aligned(a[6], b[6]), a[7] + b[7], a[8] + b[8], a[9] + b[9]]
-    return ["g", low, many, [merged(x, y) for x, y in zip(a[3], b[3])]]
+        return ["e", low, many, a[3], a[4], a[5], aligned(a[6], b[6], within), pages(a[7], b[7]), a[8] + b[8], a[9] + b[9]]
+    return ["g", low, many, [merged(x, y, within) for x, y in zip(a[3], b[3])]]
 
 
 def folded(items: list[Item], most: int = 3) -> list[Item]:
@@ -181,7 +185,7 @@ def folded(items: list[Item], most: int = 3) -> list[Item]:
     for x in items:
         key = label(x)
         if out and labels[-1] == key and key != "t":
-            x = merged(out[-1], x)
+            x = merged(out[-1], x, True)
             x[1], x[2] = 1 if out[-1][1] or x[1] else 0, 1
             out[-1] = x
         else:
@@ -191,10 +195,10 @@ def folded(items: list[Item], most: int = 3) -> list[Item]:
         k = 0
         while k + 2 * width <= len(out):
             if labels[k : k + width] == labels[k + width : k + 2 * width]:
-                group = [merged(x, y) for x, y in zip(out[k : k + width], out[k + width : k + 2 * width])]
+                group = [merged(x, y, True) for x, y in zip(out[k : k + width], out[k + width : k + 2 * width])]
                 end = k + 2 * width
                 while labels[end : end + width] == labels[k : k + width]:
-                    group = [merged(x, y) for x, y in zip(group, out[end : end + width])]
+                    group = [merged(x, y, True) for x, y in zip(group, out[end : end + width])]
                     end += width
                 out[k:end] = [["g", 1, 1, group]]
                 labels[k:end] = [label(out[k])]
@@ -205,7 +209,7 @@ def folded(items: list[Item], most: int = 3) -> list[Item]:
         by: dict = {}
         for x in flat(out):
             key = label(x)
-            by[key] = merged(by[key], x) if key in by else x
+            by[key] = merged(by[key], x, True) if key in by else x
         for x in by.values():
             x[1], x[2] = 0, 1
         return [["g", 0, 1, [by[k] for k in sorted(by, key=str)]]]
@@ -220,11 +224,11 @@ def flat(items: list[Item]) -> Iterator[Item]:
             yield x
 
 
-def aligned(a: list[Item], b: list[Item]) -> list[Item]:
+def aligned(a: list[Item], b: list[Item], within: bool = False) -> list[Item]:
     """The union-free expression of all that either matches: a longest common subsequence by label, the rest optional."""
     x, y = [label(i) for i in a], [label(i) for i in b]
     if x == y:
-        return [merged(p, q) for p, q in zip(a, b)]
+        return [merged(p, q, within) for p, q in zip(a, b)]
     n, m = len(a), len(b)
     best = [[0] * (m + 1) for _ in range(n + 1)]
     for i in range(n - 1, -1, -1):
@@ -233,7 +237,7 @@ def aligned(a: list[Item], b: list[Item]) -> list[Item]:
     out, i, j = [], 0, 0
     while i < n or j < m:
         if i < n and j < m and x[i] == y[j]:
-            out.append(merged(a[i], b[j]))
+            out.append(merged(a[i], b[j], within))
             i, j = i + 1, j + 1
         elif j == m or i < n and best[i + 1][j] >= best[i][j + 1]:
             out.append([*a[i][:1], 0, *a[i][2:]])
@@ -293,6 +297,38 @@ class Reader:
                 mains = [max(named, key=lambda x: x[8] - x[9])]
         self.regions = {id(x) for x in mains}
         self.has_region = bool(mains)
+        #: By element, the digests of its text slots that the pages hold constant.
+        self.constant: dict[int, set[int]] = {}
+        if self.pages >= PAGES:
+            held, free = self._slots(wrapper)
+            if held > free:  # pages that are copies of each other tell nothing of the template
+                self.constant = {}
+
+    def _slots(self, x: Item) -> tuple[int, int]:
+        """Notes the slots that half of the pages and PAGES of them have and hold constant; characters of these and of all others."""
+        held = free = 0
+        if x[0] == "e" and self.out.get(id(x), True):
+            return 0, 0
+        for y in x[6] if x[0] == "e" else x[3]:
+            if y[0] != "t":
+                more = self._slots(y)
+            elif y[3] is not None and y[4] >= max(PAGES, self.pages / 2):
+                self.constant.setdefault(id(x), set()).add(y[3])
+                more = y[5], 0
+            else:
+                more = 0, y[5]
+            held, free = held + more[0], free + more[1]
+        return held, free
+
+    def _constants(self, x: Item) -> set[int]:
+        """The constant slots of an element, those of its repeated groups among them."""
+        found = set(self.constant.get(id(x), ()))
+        groups = [y for y in x[6] if y[0] == "g"]
+        while groups:
+            g = groups.pop()
+            found |= self.constant.get(id(g), set())
+            groups += [y for y in g[3] if y[0] == "g"]
+        return found
 
     def _mark(self, x: Item, top: bool) -> None:
         words = set(x[5])
@@ -345,10 +381,13 @@ class Reader:
             elif e.tag == "br":
                 held.append(" ")
             places = list(flat(x[6])) if x is not None else []
+            known = self._constants(x) if x is not None and self.constant else ()
             at = 0
             for y in e.items:
                 if isinstance(y, str):
-                    if on:
+                    if known and zlib.crc32(" ".join(y.split()).encode("utf-8", "surrogatepass")) in known:
+                        held.append(" ")
+                    elif on:
                         held.append(y)
                     continue
                 # The next place of this label, else the first.

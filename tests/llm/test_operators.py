@@ -368,6 +368,19 @@ def test_pages(spark):
     assert got[200][0].text.startswith("Head 7\n")
 
 
+def test_constant_text_is_not_main_text():
+    for body in ("<div class='b3'>Home About Terms</div><div class='b4'><p>{0}</p></div>", "<article><p>Home About Terms</p><div>{0}</div></article>"):
+        pages = [f"<html><body>{body.format(prose(k, 20))}</body></html>" for k in range(8)]
+        same = [pages[0]] * 8
+        for all_, constant in ((pages, True), (pages[:2], False), (same, False)):
+            one = wrappers.from_page(wrappers.parse(all_[0]))
+            for p in all_[1:]:
+                one = wrappers.merged(one, wrappers.from_page(wrappers.parse(p)))
+            reader = wrappers.Reader(json.loads(json.dumps(one)))
+            for p, k in zip(all_, range(8) if all_ is not same else [0] * 8):
+                assert reader.text(wrappers.parse(p)) == "Home About Terms\n" * (not constant) + prose(k, 20)
+
+
 def test_letters_that_grow_in_lower_case():
     page = "<html><head><title>\u0130stanbul</TITLE><style>p{}</Style></head><body><p>All of it</p></body></html>"
     assert wrappers.Reader(wrappers.from_page(wrappers.parse(page))).text(wrappers.parse(page)) == "All of it"
