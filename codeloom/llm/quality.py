@@ -18,8 +18,6 @@ SCHEMA = "doc_id long, score double"
 BITS = 18
 #: Labelled rows that a model is fitted on at most; they are those with the smallest md5 of their doc_id.
 SAMPLE_ROWS = 6_000
-#: Features kept of one training row at most; scoring has no such bound.
-ROW_FEATURES = 4_096
 
 _TAIL = re.compile(r"[^\w]+$")
 _known: dict[str, int] = {}
@@ -109,7 +107,7 @@ def held_out(doc_id):
 def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
     """Fit on at most sample_rows labelled rows that are not held out; labels with a null doc_id or quality are passed over.
 
-    The sample is bounded, so the ids are broadcast, and only hashed features come to the driver. Several labels of one
+    The sample is bounded, so the ids are broadcast, and only hashed features, all of each row, come to the driver. Several labels of one
     doc_id count as their largest.
     """
     bounded(docs.sparkSession)
@@ -125,9 +123,6 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             out = {"doc_id": [], "y": [], "slots": [], "row_values": []}
             for i, y, text in zip(*(c.to_pylist() for c in batch.columns)):
                 slots, values = features(text or "")
-                if len(slots) > ROW_FEATURES:
-                    top = np.argsort(-values, kind="stable")[:ROW_FEATURES]
-                    slots, values = slots[top], values[top]
                 for k, v in zip(out, (i, y, slots.astype(np.int32).tobytes(), values.astype(np.float32).tobytes())):
                     out[k].append(v)
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["y"], pa.int32()), pa.array(out["slots"], pa.binary()), pa.array(out["row_values"], pa.binary())], names=list(out))
@@ -138,7 +133,7 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
         .mapInArrow(lambda b: trimmed(run(b), _forget), "doc_id long, y int, slots binary, row_values binary")
         .collect()
     )
-    rows = [(np.frombuffer(r.slots, np.int32).astype(np.int64), np.frombuffer(r.row_values, np.float32).astype(float), r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y, bytes(r.slots)))]
+    rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.row_values, np.float32), r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y, bytes(r.slots)))]
     return fit_ftrl(rows)
 
 

@@ -231,6 +231,16 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.predicted}
 
 
+def test_quality_learns_long_texts_whole(spark, monkeypatch):
+    text = " ".join(f"word{k}" for k in range(9_000))
+    i = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 3 != 1)
+    learned = []
+    monkeypatch.setattr(quality, "fit_ftrl", learned.extend)
+    quality.train(docs_of(spark, [text], [i]), spark.createDataFrame([(i, 1)], "doc_id long, quality int"))
+    slots, values = quality.features(text)
+    assert len(slots) > 4_096 and np.array_equal(learned[0][0], slots) and np.allclose(learned[0][1], values)
+
+
 def test_quality_without_labels_or_with_one(spark):
     d = docs_of(spark, ["some text", None])
     for rows in ([], [(0, 1, 0)]):
