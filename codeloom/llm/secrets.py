@@ -1,9 +1,9 @@
 """Secret scans: three fixed patterns, and a linear-chain conditional random field over tokens decoded by Viterbi.
 
 A token is a run of [A-Za-z0-9+/_.=~-]. The chain tags it as begin, inside or outside of a secret from its shape, the words and
-punctuation beside it and features of the whole text. Structural zeros hold begin and inside to tokens that have a digit and eight
-characters or more; every other token is outside, so that the chain falls into independent runs of such tokens and is decoded
-exactly without walking through all the prose between them.
+punctuation beside it and features of the whole text. Structural zeros hold begin and inside to tokens of LEAST characters or more
+that have a digit or follow a word that names secrets, and to all of LONG characters or more; every other token is outside, so that
+the chain falls into independent runs of such tokens and is decoded exactly without walking through all the prose between them.
 
 The field is fitted by gradient ascent on the log-likelihood of a fixed, seeded set of made-up lines, so it needs no labelled
 secrets and is the same in every run.
@@ -43,7 +43,11 @@ RUN = "A-Za-z0-9+/_.=~-"
 _DIGIT = re.compile(rf"[0-9][{RUN}]*", re.A)
 _BEFORE = re.compile(rf"[{RUN}]*\Z", re.A)
 _WORDS = re.compile(r"[A-Za-z_]+", re.A)
-LEAST = 8
+LEAST, LONG = 6, 16
+_LONG_RUN = re.compile(rf"[{RUN}]{{{LONG},}}", re.A)
+NAMES = ("passw", "passphrase", "pwd", "secret", "token", "key", "authorization", "bearer", "credential")
+_NAMED = re.compile(rf"(?:{'|'.join(NAMES)})[A-Za-z]{{0,6}}[\"']?[ \t]*(?:[:=][ \t]*)?[\"']?(?=[{RUN}]{{{LEAST}}})", re.I | re.A)
+_RUN = re.compile(rf"[{RUN}]*", re.A)
 TAGS = ("O", "B", "I")
 
 
@@ -61,16 +65,25 @@ def base_spans(text: str) -> list[tuple[int, int, str]]:
 
 
 def candidates(text: str) -> list[tuple[int, int]]:
-    """Tokens with a digit and LEAST characters or more."""
-    found, at = [], 0
+    """Tokens of LEAST characters or more that have a digit or follow one of NAMES, and all of LONG characters or more."""
+    found, at = {(m.start(), m.end()) for m in _LONG_RUN.finditer(text)}, 0
+    inside = lambda c: c.isascii() and (c.isalnum() or c in "+/_.=~-")
     while m := _DIGIT.search(text, at):
         start = m.start()
-        while start > at and text[start - 1].isascii() and (text[start - 1].isalnum() or text[start - 1] in "+/_.=~-"):
+        while start > at and inside(text[start - 1]):
             start -= 1
         if m.end() - start >= LEAST:
-            found.append((start, m.end()))
+            found.add((start, m.end()))
         at = m.end()
-    return found
+    low = text.lower()
+    if any(k in low for k in NAMES):
+        for m in _NAMED.finditer(text):
+            start, end = m.end(), _RUN.match(text, m.end()).end()
+            while start and inside(text[start - 1]):
+                start -= 1
+            if start != m.start() or "=" in text[start:end]:  # not the name alone
+                found.add((start, end))
+    return sorted(found)
 
 
 def _shape(token: str) -> str:
@@ -192,8 +205,12 @@ def _made_up(seed: int, lines: int) -> list[tuple[str, list[tuple[int, int, bool
         lambda: sure(lambda: pick(low + up + dig + "+/", 20, 60)) + rng.choice(("", "=", "==")), lambda: "sk-" + sure(lambda: pick(low + up + dig, 20, 48)), lambda: sure(lambda: pick(low + up + dig, 16, 40)),
         lambda: "eyJ" + sure(lambda: pick(low + up + dig + "_-", 20, 60)) + "." + pick(low + up + dig + "_-", 20, 60), lambda: "xoxb-" + pick(dig, 10, 12) + "-" + pick(low + up + dig, 20, 24),
     )
+    names = ("password", "token", "api_key", "secret", "key", "Authorization", "bearer", "credential", "pwd")
+    # These only where a name and a mark stand before them.
+    weak = (lambda: pick(low, 6, 15), lambda: pick(low + up, 6, 15), lambda: pick(low + up + dig, 6, 9), lambda: "-".join(word() for _ in range(4)))
+    secrets += (lambda: pick(low + up, 20, 48), lambda: pick(low + up + "+/", 24, 60) + rng.choice(("", "=", "==")))
     plain = (
-        lambda: f"{rng.randint(1980, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"+{rng.randint(1, 99)}-{pick(dig, 3, 3)}-{pick(dig, 3, 3)}-{pick(dig, 4, 4)}", lambda: pick(dig, 8, 16),
+        lambda: f"{rng.randint(1980, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"+{rng.randint(1, 99)}-{pick(dig, 3, 3)}-{pick(dig, 3, 3)}-{pick(dig, 4, 4)}", lambda: pick(dig, 6, 16), lambda: pick(low, 16, 20), lambda: pick(low, 14, 24).title(), lambda: "-".join(word() for _ in range(4)), lambda: f"https://{word()}.com/{word()}/{word()}", lambda: f"{rng.choice(names)} {word()} {word()}", lambda: f"{rng.choice(names)} {pick(low, 6, 12)}",
         lambda: f"{word()}.{word()}{rng.randint(1, 999)}", lambda: f"{word()}{rng.randint(1, 99)}{word()}", lambda: f"/{word()}/{word()}/{rng.randint(1, 9999)}.html", lambda: f"v{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 200)}-rc{rng.randint(1, 9)}",
         lambda: f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}", lambda: f"{word().title()}-{rng.randint(1000, 99999)}", lambda: f"{pick(dig, 1, 3)}.{pick(dig, 3, 3)}.{pick(dig, 3, 3)}", lambda: f"{word()}_{word()}_{rng.randint(1, 999)}", lambda: f"ISBN-{pick(dig, 13, 13)}",
     )
@@ -204,11 +221,11 @@ def _made_up(seed: int, lines: int) -> list[tuple[str, list[tuple[int, int, bool
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + rng.choice((" ", ", ", ". "))
             if rng.random() < 0.45:
                 named = rng.random() < 0.6
-                left = rng.choice(("password", "token", "api_key", "secret", "key", "Authorization", "bearer", "credential", "pwd")) + rng.choice(("=", ": ", " = \"", "='", ": '", " ")) if named else ""
+                left = rng.choice(names) + rng.choice(("=", ": ", " = \"", "='", ": '", " ")) if named else ""
                 many = 2 if rng.random() < 0.1 else 1
                 text += left
                 for k in range(many):
-                    t = rng.choice(secrets)()
+                    t = rng.choice(weak if left.strip() != left.rstrip("=: '\"") and rng.random() < 0.3 else secrets)()
                     spans.append((len(text), len(text) + len(t), k == 0))
                     text += t + (" " if k + 1 < many else "")
                 text += left[-1:] if left[-1:] in "\"'" else ""

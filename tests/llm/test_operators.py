@@ -323,6 +323,20 @@ def test_the_field_on_lines_it_has_not_seen():
     assert hit / said > 0.95 and hit / true > 0.95
 
 
+def test_the_field_finds_secrets_without_digits():
+    field = secrets.fitted()
+    hit = true = 0
+    for text, spans in secrets._made_up(98, 300):
+        found = secrets.field_spans(text, field)
+        for s, e, _ in spans:
+            if not any(c.isdigit() for c in text[s:e]):
+                hit, true = hit + any(a < e and s < b for a, b in found), true + 1
+    assert true > 50 and hit / true > 0.9
+    for text in ("pwd: hunterxyz ok", "bearer QwErTyUiOpAsDfGhJkLzXcVb", "credential='correct-horse-battery'", "pwd=ab12cd"):
+        assert len(secrets.field_spans(text, field)) == 1, text
+    assert not secrets.field_spans("the token was lost and the key factor remains", field)
+
+
 def test_viterbi_equals_enumeration():
     from itertools import product
 
