@@ -153,7 +153,7 @@ SELECT route, n.qualified_name AS sub, sink, sink_name AS name, dynamic, min(dep
 query("taint_sources", """
 , r AS (SELECT e.target AS id, 0 AS k, 'endpoint' AS source_kind, n.name AS detail FROM edges e JOIN nodes n ON n.id = e.source WHERE via = 'route' UNION ALL SELECT id, 2, 'external', taint_source FROM nodes WHERE taint_source IS NOT NULL)
 SELECT id, arg_min(source_kind, (k, detail)) AS source_kind, arg_min(detail, (k, detail)) AS detail FROM r GROUP BY 1""")(lambda g, s, d: traverse.taint_sources(g))
-query("taint")(lambda g, s, d: traverse.taint(g, depth=4).withColumn("path", F.array_join("path", " > ")).withColumn("sinks", F.array_join("sinks", ",")))
+query("taint")(lambda g, s, d: traverse.taint(g).withColumn("path", F.array_join("path", " > ")).withColumn("sinks", F.array_join("sinks", ",")))
 
 # Modules.
 
@@ -273,7 +273,7 @@ def _diff(s: SparkSession, d: str) -> DataFrame:
     return diff.diff(star.snapshot(s, d, True), star.snapshot(s, d, False))
 
 
-query("review_symbols")(lambda g, s, d: diff.review(g, diff.diff(g.nodes.where("id <> 'P2'"), g.nodes.where("id <> 'P3'")), depth=3)["symbols"])
+query("review_symbols")(lambda g, s, d: diff.review(g, diff.diff(g.nodes.where("id <> 'P2'"), g.nodes.where("id <> 'P3'")))["symbols"])
 query("gate")(lambda g, s, d: diff.gate(g, diff.diff(g.nodes.where("id <> 'P2'"), g.nodes.where("id <> 'P3'"))))
 
 

@@ -188,3 +188,19 @@ def test_diff_and_gate(spark):
     assert "### Removed" in diff.changelog(d)
     r = diff.gate(new, d).first()
     assert (r.breaking, r.untested, r.score, r.verdict) == (2, 2, 58, "BLOCK")
+
+
+def test_queries_without_sql_walk_to_the_operators_depth(spark, monkeypatch):
+    from codeloom.plans import queries, star
+
+    subs = [{"id": f"M::s{k}"} for k in range(9)]
+    subs[0]["metadata"] = {"taint_source": "ENV"}
+    calls = [(f"M::s{k}", f"M::s{k + 1}", "calls") for k in range(8)]
+    g = graph(spark, [*subs, {"id": "P2", "file_path": "t/p.t"}], [*calls, ("P2", "M::s0", "calls"), ("M::s8", None, "sink", {"metadata": {"sink": "sql", "name": "do", "dynamic": True}})])
+    monkeypatch.setattr(star, "graph", lambda *a, **k: g)
+    assert [(r.src_sub, r.sink_sub) for r in queries.QUERIES["taint"](spark, "").collect()] == [("M::s0", "M::s8")]
+    review = queries.diff.review
+    depths = []
+    monkeypatch.setattr(queries.diff, "review", lambda g, c, **k: depths.append(k) or review(g, c, **k))
+    queries.QUERIES["review_symbols"](spark, "")
+    assert depths == [{}]
