@@ -27,7 +27,7 @@ SHOWN = "coalesce(qualified_name, name, '')"
 def query(name: str, sql: str | None = None, recursive: bool = False, bare: bool = False):
     """Registers a query, and its SQL behind the projection's CTEs."""
     def add(f: Callable[[CodeGraph, SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(star.graph(spark, sf_dir), spark, sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: f(star.graph(spark, sf_dir, whole=sql is None), spark, sf_dir)
         if sql:
             SQL[name] = sql if bare else f"WITH {'RECURSIVE ' * recursive}{star.SQL.strip()}{sql}"
         return f

@@ -3,6 +3,7 @@
 import random
 
 import pytest
+from pyspark.sql import functions as F
 from tests.helpers import graph, ids
 
 from codeloom.functions import columns as C
@@ -204,3 +205,17 @@ def test_queries_without_sql_walk_to_the_operators_depth(spark, monkeypatch):
     monkeypatch.setattr(queries.diff, "review", lambda g, c, **k: depths.append(k) or review(g, c, **k))
     queries.QUERIES["review_symbols"](spark, "")
     assert depths == [{}]
+
+
+def test_queries_without_sql_have_the_tests_of_all_customers(spark, monkeypatch):
+    from codeloom.plans import queries, star
+
+    sf = "/root/testdata/sf0.01"
+    tests = lambda g: {r.source for r in g.edges.where("kind = 'calls' and source like 'C%'").select("source").distinct().collect()}
+    seen = []
+    monkeypatch.setattr(queries.quality, "metrics", seen.append)
+    queries.QUERIES["metrics"](spark, sf)
+    orders = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/lineitem.parquet"), F.expr("o_orderkey = l_orderkey"))
+    want = orders.join(spark.read.parquet(f"{sf}/customer.parquet").where("c_mktsegment = 'BUILDING'"), F.expr("o_custkey = c_custkey"))
+    assert tests(seen[0]) == {f"C{r.c_custkey}" for r in want.select("c_custkey").distinct().collect()}
+    assert tests(star.graph(spark, sf)) < tests(seen[0])
