@@ -1,6 +1,6 @@
 """BPE encoding and decoding by a prefix-sharing trie.
 
-The distinct words of a batch are inserted into a trie in sorted order, so that its nodes arrive depth first. A node's state
+Texts are cut at spaces, and the words of the distinct cuts of a batch are inserted into a trie in sorted order, so that its nodes arrive depth first. A node's state
 is the last token of the encoding of its prefix: the one token t that ends there and is compatible with the state at the node
 len(t) symbols above. A prefix that many words share is therefore encoded once, and a word's ids are read off by walking
 states back to the root.
@@ -13,20 +13,25 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 import unicodedata
 from collections.abc import Iterable, Iterator
 from itertools import islice
 
+import ahocorasick
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.batches import bounded, trimmed
+from codeloom.llm.batches import ROWS, bounded, dealt, joined_cuts, trimmed
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
-#: Distinct words whose encodings a worker keeps between batches.
-CACHE_WORDS = 160_000
+#: Distinct cuts (what stands between spaces), and distinct words, whose encodings a worker keeps between batches.
+CACHE_CUTS = 200_000
+CACHE_WORDS = 100_000
 
 
 def byte_symbols() -> list[str]:
@@ -83,9 +88,16 @@ class TrieBpe:
             if self._merge(atoms) == [i]:
                 (self.final if last else self.inner)[raw] = i
                 self.symbols[i], self.length[i] = atoms, len(raw)
-        self.longest = max(map(len, [*self.inner, *self.final]))
+        self.longest, self.longest_final = max(map(len, self.inner)), max(map(len, self.final))
+        # All inner tokens that end at a place, found in one pass over a word; bytes stand as the characters of those numbers.
+        self.find = ahocorasick.Automaton()
+        for raw, i in self.inner.items():
+            self.find.add_word(raw.decode("latin-1"), (len(raw), i))
+        self.find.make_automaton()
         self.fits: dict[int, bool] = {}
-        self.known: dict[str, tuple[int, bytes, str]] = {}
+        self.known: dict[str, bytes] = {}
+        self.cuts: dict[str, bytes] = {}
+        self.tokens = pa.array([self.text_of.get(i, "") for i in range(max(self.text_of) + 1)], pa.string())
         rules = [x["pattern"]["Regex"] for x in spec["pre_tokenizer"]["pretokenizers"] if x["type"] == "Split"]
         self.pieces = regex.compile(rules[0])
         odd = _unassigned()
@@ -113,10 +125,11 @@ class TrieBpe:
             got = self.fits[key] = self._merge(self.symbols[a] + self.symbols[b]) == [a, b]
         return got
 
-    def _last(self, prefix: bytes, depth: int, states: list[int], tokens: dict[bytes, int]) -> int:
-        """The last token of the encoding of prefix[:depth], whose shorter prefixes have their states."""
-        for start in range(max(0, depth - self.longest), depth):
-            t = tokens.get(prefix[start:depth])
+    def _final(self, raw: bytes, states: list[int]) -> int:
+        """The last token of the encoding of a word whose shorter prefixes have their states."""
+        n = len(raw)
+        for start in range(max(0, n - self.longest_final), n):
+            t = self.final.get(raw[start:])
             if t is not None and (start == 0 or self._fit(states[start], t)):
                 return t
         raise ValueError("the vocabulary lacks a symbol")
@@ -125,8 +138,9 @@ class TrieBpe:
         """Ids of distinct non-empty words, by one depth-first walk over their trie."""
         states: list[int] = [0]
         above = b""
-        length = self.length
-        for raw, word in sorted((w.encode(), w) for w in words):
+        length, find, fits = self.length, self.find.iter, self.fits
+        for word in sorted(words):  # the order of code points is that of their bytes
+            raw = word.encode()
             body = raw[:-1]
             shared = 0
             for x, y in zip(above, body):
@@ -134,10 +148,22 @@ class TrieBpe:
                     break
                 shared += 1
             del states[shared + 1 :]
-            for depth in range(shared + 1, len(body) + 1):
-                states.append(self._last(body, depth, states, self.inner))
+            if len(body) > shared:
+                states += [-1] * (len(body) - shared)
+                base = max(0, shared + 1 - self.longest)
+                for end, (size, t) in find(body[base:].decode("latin-1")):
+                    depth = base + end + 1
+                    if depth > shared and states[depth] < 0:
+                        start = depth - size
+                        if start:
+                            fit = fits.get(states[start] << 20 | t)
+                            if fit is None:
+                                fit = self._fit(states[start], t)
+                            if not fit:
+                                continue
+                        states[depth] = t
             above = body
-            t = self._last(raw, len(raw), states, self.final)
+            t = self._final(raw, states)
             ids, at = [t], len(raw) - length[t]
             while at:
                 t = states[at]
@@ -151,9 +177,8 @@ class TrieBpe:
         if len(self.known) + len(new) > CACHE_WORDS:
             # Words met early are the frequent ones.
             self.known = dict(islice(self.known.items(), CACHE_WORDS // 2)) | {w: self.known[w] for w in words if w in self.known}
-        text_of = self.text_of
         for word, ids in self.encode_words(new):
-            self.known[word] = (len(ids), b"".join([i.to_bytes(4, "little") for i in ids]), " ".join([text_of[i] for i in ids]))
+            self.known[word] = struct.pack(f"<{len(ids)}I", *ids)
 
     def split(self, text: str) -> list[str]:
         """The words of a text; a special token's string stays one word, with a zero byte before it."""
@@ -175,9 +200,14 @@ class TrieBpe:
         # \x1c-\x1f are no white space to the vocabulary's rules, and so belong to words.
         return self.pieces.findall(text.lower())
 
-    def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
-        """Per text: number of ids, ids as little-endian unsigned 32-bit integers, decoded text."""
-        words = [self.split(t) for t in texts]
+    def _of(self, cuts: list[str]) -> list[bytes]:
+        """Ids of distinct cuts. No word and no special token holds a space, so each cut is encoded for itself."""
+        got = list(map(self.cuts.get, cuts))
+        gaps = [k for k, g in enumerate(got) if g is None]
+        if not gaps:
+            return got
+        # Plain letters are one word.
+        words = [[c.lower()] if (c := cuts[k]).isascii() and c.isalpha() else self.split(c) for k in gaps]
         distinct: set[str] = set()
         for w in words:
             distinct.update(w)
@@ -185,16 +215,31 @@ class TrieBpe:
         self.learn(distinct - marks)
         known = self.known
         for w in marks:
-            i = self.special[w[1:]]
-            known[w] = (1, i.to_bytes(4, "little"), w[1:])
-        out = []
-        for w in words:
-            got = [known[x] for x in w]
-            out.append((sum([g[0] for g in got]), b"".join([g[1] for g in got]), " ".join([g[2] for g in got])))
-        return out
+            known[w] = self.special[w[1:]].to_bytes(4, "little")
+        for k, w in zip(gaps, words):
+            got[k] = known[w[0]] if len(w) == 1 else b"".join([known[x] for x in w])
+        if len(self.cuts) + len(gaps) > CACHE_CUTS:
+            self.cuts = dict(islice(self.cuts.items(), CACHE_CUTS // 2))
+        self.cuts.update(zip([cuts[k] for k in gaps[: CACHE_CUTS // 2]], [got[k] for k in gaps]))
+        return got
+
+    def encoded(self, texts: pa.Array) -> pa.Array:
+        """Ids of each text (none null) as little-endian unsigned 32-bit integers."""
+        return joined_cuts(pc.split_pattern(texts, " "), self._of)
+
+    def decoded(self, ids: pa.Array) -> pa.Array:
+        """The text of each row of ids; without a decoder in the vocabulary file, tokens stand apart by one space."""
+        width = np.diff(np.frombuffer(ids.buffers()[1], np.int32, len(ids) + 1, 4 * ids.offset)) // 4 if len(ids) else np.zeros(0, np.int32)
+        raw = np.frombuffer(ids.buffers()[2], np.uint32, int(width.sum()), int(np.frombuffer(ids.buffers()[1], np.int32, 1, 4 * ids.offset)[0])) if width.sum() else np.zeros(0, np.uint32)
+        each = self.tokens.take(pa.array(raw))
+        return pc.binary_join(pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(width)]), pa.int32()), each), " ")
+
+    def encode(self, texts: list[str]) -> list[tuple[int, bytes, str]]:
+        """Per text: number of ids, ids as little-endian unsigned 32-bit integers, decoded text."""
+        ids = self.encoded(pa.array(texts, pa.string()))
+        return [(len(i) // 4, i, t) for i, t in zip(ids.to_pylist(), self.decoded(ids).to_pylist())]
 
     def decode(self, ids: bytes) -> str:
-        """The text of ids; without a decoder in the vocabulary file, tokens stand apart by one space."""
         return " ".join([self.text_of[int.from_bytes(ids[k : k + 4], "little")] for k in range(0, len(ids), 4)])
 
 
@@ -210,7 +255,7 @@ def loaded(spec: str) -> TrieBpe:
     return _LOADED[key]
 
 
-def encode_decode(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000) -> DataFrame:
+def encode_decode(docs: DataFrame, vocabulary: str, batch_chars: int = 4_000_000) -> DataFrame:
     """Encode and decode every whole text.
 
     docs has doc_id and text; other columns are ignored. Returns doc_id, n_tokens, ids (little-endian unsigned 32-bit) and
@@ -225,20 +270,11 @@ def encode_decode(docs: DataFrame, vocabulary: str, batch_chars: int = 2_000_000
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bpe = loaded(spec.value)
-        for batch in batches:
-            ids, texts = batch.column(0), batch.column(1)
-            sizes = texts.cast(pa.string()).to_pylist()
-            start = 0
-            while start < len(sizes):
-                end, held = start, 0
-                while end < len(sizes) and (end == start or held < batch_chars):
-                    held += len(sizes[end] or "")
-                    end += 1
-                got = bpe.encode([t or "" for t in sizes[start:end]])
-                yield pa.RecordBatch.from_arrays(
-                    [ids.slice(start, end - start), pa.array([g[0] for g in got], pa.int64()), pa.array([g[1] for g in got], pa.binary()), pa.array([g[2] for g in got], pa.string())],
-                    names=["doc_id", "n_tokens", "ids", "decoded"],
-                )
-                start = end
+        for batch in dealt(batches, 1, batch_chars):
+            ids = bpe.encoded(pc.fill_null(batch.column(1).cast(pa.string()), ""))
+            n = pc.divide(pc.binary_length(ids), 4).cast(pa.int64())
+            decoded = bpe.decoded(ids)
+            for k in range(0, len(batch), ROWS):
+                yield pa.RecordBatch.from_arrays([x.slice(k, ROWS) for x in (batch.column(0), n, ids, decoded)], names=["doc_id", "n_tokens", "ids", "decoded"])
 
     return docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string")).mapInArrow(lambda b: trimmed(run(b)), SCHEMA)

@@ -1,9 +1,10 @@
 """Nearest neighbours by a block matrix join with int8 product tiles.
 
-Queries and candidates are packed into blocks; every tile of a query block and a candidate block is one product of int8
-matrices, which gives each pair's inner product up to a bound from the two vectors' quantisation errors. A pair survives in its
-tile if its upper bound reaches the k-th largest lower bound of its query; survivors' inner products are recomputed in double
-precision, and each query's tiles are merged by a heap. So the result is exact.
+Queries and candidates are packed into blocks of int8 codes; every tile of a query block and a candidate block is one product of
+int8 matrices, which gives each pair's inner product up to a bound from the two vectors' quantisation errors. Blocks hold codes, bounds and ids
+only. A pair survives in its tile if its upper bound reaches the k-th largest lower bound of its query there; each query's tiles are
+merged by a heap of the k largest lower bounds of all, and what still reaches it is recomputed from the original vectors in double
+precision. So the result is exact.
 """
 
 from __future__ import annotations
@@ -13,12 +14,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from codeloom.llm.scratch import Scratch
+
 QUERY_ROWS = 1_024
 ROWS = 4_096
-BLOCK = "block long, ids binary, raw binary, codes binary, scales binary, slips binary, sizes binary, dim int"
+BLOCK = "block long, ids binary, rows binary, codes binary, scales binary, slips binary, sizes binary, dim int"
 
 
 def quantise(x: np.ndarray) -> tuple[np.ndarray, ...]:
@@ -41,57 +44,63 @@ def _valid(vectors: pa.Array) -> list[np.ndarray | None]:
     return out
 
 
+def _exact(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(row, vec_id, embedding) to those that take part, the vector as little-endian doubles."""
+    for batch in batches:
+        found = _valid(batch.column(2))
+        keep = pa.array([x is not None and i is not None for x, i in zip(found, batch.column(1).to_pylist())], pa.bool_())
+        raw = pa.array([None if x is None else (x + 0.0).astype("<f8").tobytes() for x in found], pa.binary())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), raw], names=["row", "vec_id", "raw"]).filter(keep)
+
+
 def _pack(batches: Iterator[pa.RecordBatch], rows: int, most_equal: int | None) -> Iterator[pa.RecordBatch]:
-    """(block, vec_id, embedding), sorted by block, to one row a block and dimension. Of equal vectors those most_equal with the smallest ids stay."""
+    """(block, row, vec_id, raw), sorted by block, to one row a block and dimension. Of equal vectors those most_equal with the smallest ids stay."""
     at, held = None, {}
 
     def done():
-        for dim, pairs in sorted(held.items()):
-            pairs.sort(key=lambda p: p[0])
+        for dim, found in sorted(held.items()):
+            found.sort(key=lambda p: p[:2])
             if most_equal is not None:
                 seen: dict[bytes, int] = {}
                 some = []
-                for i, x in pairs:
-                    raw = (x + 0.0).tobytes()
-                    seen[raw] = seen.get(raw, 0) + 1
-                    if seen[raw] <= most_equal:
-                        some.append((i, x))
-                pairs = some
-            for k in range(0, len(pairs), rows):
-                ids = np.array([i for i, _ in pairs[k : k + rows]], "<i8")
-                x = np.stack([v for _, v in pairs[k : k + rows]])
-                codes, scale, slip, size = quantise(x)
-                got = [pa.array([at], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, x, codes, scale, slip, size)), pa.array([dim], pa.int32())]
-                yield pa.RecordBatch.from_arrays(got, names=["block", "ids", "raw", "codes", "scales", "slips", "sizes", "dim"])
+                for p in found:
+                    seen[p[2]] = seen.get(p[2], 0) + 1
+                    if seen[p[2]] <= most_equal:
+                        some.append(p)
+                found = some
+            for k in range(0, len(found), rows):
+                some = found[k : k + rows]
+                ids, row = np.array([p[0] for p in some], "<i8"), np.array([p[1] for p in some], "<i8")
+                codes, scale, slip, size = quantise(np.stack([np.frombuffer(p[2], "<f8") for p in some]))
+                got = [pa.array([at], pa.int64()), *(pa.array([a.tobytes()], pa.binary()) for a in (ids, row, codes, scale, slip, size)), pa.array([dim], pa.int32())]
+                yield pa.RecordBatch.from_arrays(got, names=["block", "ids", "rows", "codes", "scales", "slips", "sizes", "dim"])
 
     for batch in batches:
-        for block, i, x in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), _valid(batch.column(2))):
+        for block, row, i, raw in zip(*(c.to_pylist() for c in batch.columns)):
             if block != at:
                 yield from done()
                 at, held = block, {}
-            if i is not None and x is not None:
-                held.setdefault(len(x), []).append((i, x))
+            held.setdefault(len(raw) // 8, []).append((i, row, raw))
     yield from done()
 
 
 def blocks(vectors: DataFrame, rows: int, most_equal: int | None) -> DataFrame:
-    """vectors (vec_id, embedding) in blocks of about rows, dealt by a hash of the id."""
+    """vectors (row, vec_id, raw) in blocks of about rows, dealt by a hash of the row."""
     n = max(1, -(-vectors.count() // rows))
-    dealt = vectors.select(F.pmod(F.xxhash64("vec_id"), F.lit(n)).alias("block"), "vec_id", "embedding")
+    dealt = vectors.select(F.pmod(F.xxhash64("row"), F.lit(n)).alias("block"), "row", "vec_id", "raw")
     return dealt.repartition("block").sortWithinPartitions("block").mapInArrow(lambda b: _pack(b, 2 * rows, most_equal), BLOCK)
 
 
 def _load(row: dict, side: str) -> tuple[np.ndarray, ...]:
-    ids = np.frombuffer(row[f"{side}ids"], "<i8")
-    kinds = {"raw": np.float64, "codes": np.int8, "scales": np.float64, "slips": np.float64, "sizes": np.float64}
+    kinds = {"ids": "<i8", "rows": "<i8", "codes": np.int8, "scales": np.float64, "slips": np.float64, "sizes": np.float64}
     a = {k: np.frombuffer(row[f"{side}{k}"], t) for k, t in kinds.items()}
-    return ids, a["raw"].reshape(len(ids), -1), a["codes"].reshape(len(ids), -1), a["scales"], a["slips"], a["sizes"]
+    return a["ids"], a["rows"], a["codes"].reshape(len(a["ids"]), -1), a["scales"], a["slips"], a["sizes"]
 
 
-def tile(query: tuple, other: tuple, k: int) -> Iterator[tuple[int, list[tuple[float, int]]]]:
-    """Each query of a tile with its k nearest others: (inner product, vec_id), nearest first."""
-    q_ids, q_raw, q_codes, q_scale, q_slip, q_size = query
-    ids, raw, codes, scale, slip, size = other
+def tile(query: tuple, other: tuple, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The row of each query of a tile, with the rows of the others that may be among its k nearest and their lower and upper bounds."""
+    q_ids, q_rows, q_codes, q_scale, q_slip, q_size = query
+    ids, rows, codes, scale, slip, size = other
     # Sums of up to 2**24 are exact in single precision, so for over a thousand dimensions the product runs in double.
     kind = np.float32 if q_codes.shape[1] * 127 * 127 < 1 << 24 else np.float64
     right = codes.astype(kind).T
@@ -104,41 +113,48 @@ def tile(query: tuple, other: tuple, k: int) -> Iterator[tuple[int, list[tuple[f
         own = q_ids[s:e, None] == ids[None]
         low = np.where(own, -np.inf, near - bound)
         least = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(low), -np.inf)
+        high = near + bound
         # Written so that a bound that isn't a number keeps its pair.
-        for r, keep in enumerate(~(near + bound < least[:, None]) & ~own):
+        for r, keep in enumerate(~(high < least[:, None]) & ~own):
             j = np.flatnonzero(keep)
             if len(j):
-                exact = (raw[j] * q_raw[s + r]).sum(axis=1)
-                top = np.lexsort((ids[j], -exact))[:k]
-                yield int(q_ids[s + r]), [(float(exact[t]), int(ids[j[t]])) for t in top]
+                yield int(q_rows[s + r]), rows[j], low[r, j], high[r, j]
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
             found = list(tile(_load(row, "q_"), _load(row, ""), k))
-            q = [i for i, top in found for _ in top]
-            yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array([i for _, top in found for _, i in top], pa.int64()), pa.array([x for _, top in found for x, _ in top], pa.float64())], names=["query_id", "vec_id", "score"])
+            if found:
+                q, others, low, high = zip(*found)
+                q = np.repeat(np.array(q, np.int64), [len(o) for o in others])
+                yield pa.RecordBatch.from_arrays([pa.array(q), *(pa.array(np.concatenate(x)) for x in (others, low, high))], names=["q", "row", "low", "high"])
+
 
+def _survivors(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """Rows (q, row, low, high) in order of q, high from large to small, to the pairs (q, row) whose upper bound reaches the k-th largest lower bound of q.
 
-def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by query_id to each query's k nearest, by a heap of k."""
-    now, heap, out = None, [], []
+    While a query's rows come in, a heap holds its k largest lower bounds; what lies below the least of them can't be needed.
+    """
+    now, heap, held, out = None, [], [], []
 
     def done():
-        for rank, (score, i) in enumerate(sorted(heap, key=lambda x: (-x[0], -x[1])), 1):
-            out.append((now, rank, -i, score))
+        least = heap[0] if len(heap) == k else -np.inf
+        out.extend((now, row) for row, high in held if not high < least)
 
-    def batch_of(rows):
-        return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows), (pa.int64(), pa.int32(), pa.int64(), pa.float64()))], names=["query_id", "rank", "vec_id", "score"])
+    def batch_of(pairs):
+        return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*pairs)], names=["q", "row"])
 
     for batch in batches:
-        for q, i, score in zip(*(c.to_pylist() for c in batch.columns)):
+        for q, row, low, high in zip(*(c.to_pylist() for c in batch.columns)):
             if q != now:
                 done()
-                now, heap = q, []
-            # The smallest id of equal scores is nearest, so ids go in with their signs turned.
-            (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, (score, -i))
+                now, heap, held = q, [], []
+            if len(heap) == k and high < heap[0]:
+                continue
+            held.append((row, high))
+            if low == low:
+                (heapq.heappush if len(heap) < k else heapq.heappushpop)(heap, low)
         if len(out) > 10_000:
             yield batch_of(out)
             out.clear()
@@ -147,21 +163,62 @@ def _merge(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch
         yield batch_of(out)
 
 
-def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows: int = ROWS, query_rows: int = QUERY_ROWS) -> DataFrame:
+def products(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Inner products by row in double precision, summed from the first component to the last."""
+    total = np.zeros(len(x))
+    for d in range(x.shape[1]):
+        total = total + x[:, d] * y[:, d]
+    return total
+
+
+def _scores(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(query_id, vec_id, x, y) to (query_id, vec_id, score)."""
+    for batch in batches:
+        score = np.zeros(len(batch))
+        x, y = (batch.column(k).to_pylist() for k in (2, 3))
+        by: dict[int, list[int]] = {}
+        for k, v in enumerate(x):
+            by.setdefault(len(v), []).append(k)
+        for n, at in by.items():
+            rows = lambda c: np.frombuffer(b"".join([c[k] for k in at]), "<f8").reshape(len(at), n // 8)  # noqa: B023, E731
+            score[at] = products(rows(x), rows(y))
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+
+def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, rows: int = ROWS, query_rows: int = QUERY_ROWS, scratch: Scratch | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: each query's k nearest vectors but itself by inner product, ties to the smaller vec_id.
 
     vectors and queries have vec_id and embedding. Null, empty and zero vectors, such with null or non-finite components, and
     rows without a vec_id take no part; vectors of other lengths than a query's are no candidates of it. Rows that repeat a
-    vec_id are candidates each; queries that do count once, with the smallest vector. Blocks are bounded.
+    vec_id are candidates each; queries that do count once, with the smallest vector. Blocks are bounded. An empty table gives no
+    rows. Other columns, whatever their names, are not read. Inner products are summed in order of the components.
     """
-    every = blocks(vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding"), rows, k + 1)
-    queries = queries.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding").groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
-    asked = blocks(queries, query_rows, None)
-    asked = asked.select(*(F.col(c).alias(f"q_{c}") for c in asked.columns))
+    scratch = scratch or Scratch(vectors.sparkSession, "nearest")
+    rows_of = lambda df: df.select(F.monotonically_increasing_id().alias("row"), F.col("vec_id").cast("long").alias("vec_id"), "embedding").mapInArrow(_exact, "row long, vec_id long, raw binary")
+    every = scratch.save(rows_of(vectors), "vectors")
+    asked = scratch.save(rows_of(queries.groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(F.min("embedding").alias("embedding"))), "queries")
+    n = max(1, -(-asked.count() // query_rows))
+    questions = blocks(asked, query_rows, None)
+    questions = questions.select(*(F.col(c).alias(f"q_{c}") for c in questions.columns))
     # A tile for each pair of blocks: candidate blocks are dealt to the query blocks, whose number is stated by the query set.
-    n = max(1, -(-queries.count() // query_rows))
-    dealt = every.withColumn("q_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
-    tiles = dealt.join(asked, (F.col("q_at") == F.col("q_block")) & (F.col("dim") == F.col("q_dim"))).drop("q_at", "q_block", "block", "dim", "q_dim")
-    found = tiles.mapInArrow(lambda b: _tiles(b, k), "query_id long, vec_id long, score double")
-    ordered = found.repartition("query_id").sortWithinPartitions("query_id")
-    return ordered.mapInArrow(lambda b: _merge(b, k), "query_id long, rank int, vec_id long, score double")
+    dealt = blocks(every, rows, k + 1).withColumn("q_at", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(n - 1).cast("long"))))
+    tiles = dealt.join(questions, (F.col("q_at") == F.col("q_block")) & (F.col("dim") == F.col("q_dim"))).drop("q_at", "q_block", "block", "dim", "q_dim")
+    found = tiles.mapInArrow(lambda b: _tiles(b, k), "q long, row long, low double, high double")
+    pairs = found.repartition("q").sortWithinPartitions("q", F.desc("high")).mapInArrow(lambda b: _survivors(b, k), "q long, row long")
+    pairs = scratch.save(pairs, "pairs")
+    right = every.select("row", "vec_id", F.col("raw").alias("y"))
+    left = asked.select(F.col("row").alias("q"), F.col("vec_id").alias("query_id"), F.col("raw").alias("x"))
+    scored = pairs.join(right, "row").join(left, "q").select("query_id", "vec_id", "x", "y").mapInArrow(_scores, "query_id long, vec_id long, score double")
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+    return scored.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+
+
+def oracle_sql(k: int = 20, every: int = 20) -> str:
+    """The same in DuckDB's SQL, by all pairs of a query and a candidate."""
+    return f"""
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS x FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) > 0
+  AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0 AND len(list_filter(embedding, lambda e: e <> 0)) > 0),
+p AS (SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.x, c.x) AS score FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.x) = len(c.x) WHERE q.vec_id % {every} = 0)
+SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank, vec_id, score FROM p
+QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) <= {k}
+"""

@@ -3,18 +3,25 @@
 from __future__ import annotations
 
 import os
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, nearest, quality, secrets, token_files, wrappers
-from codeloom.llm.scratch import Scratch
+from codeloom.llm.scratch import Scratch, shared_dir
 
 
 def vocabulary(name: str) -> str:
-    """Path of a public tokenizer's file; CODELOOM_TOKENIZERS names another folder."""
-    folder = os.environ.get("CODELOOM_TOKENIZERS", "/opt/tokenizers")
-    return os.path.join(folder, name)
+    """Path of a public tokenizer's file, by the module that comes with the files; CODELOOM_TOKENIZERS names another folder."""
+    folder = os.environ.get("CODELOOM_TOKENIZERS")
+    if folder:
+        return os.path.join(folder, name)
+    try:
+        import public_tokenizers
+    except ModuleNotFoundError:
+        return os.path.join("/opt/tokenizers", name)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -51,8 +58,8 @@ def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = token_files.write_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), Scratch(spark, "token-files"))
-    return token_files.read_files(files)
+    folder = f"{shared_dir(spark)}/codeloom-token-files-{uuid.uuid4().hex}"
+    return token_files.read_files(token_files.write_files(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), folder))
 
 
 def op7_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -87,4 +94,4 @@ QUERIES = {
     "op9_mixing": op9_mixing,
     "op10_nearest": op10_nearest,
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op9_mixing": mixing.oracle_sql()}
+SQL = {"op2_exact_dedup": OP2_SQL, "op9_mixing": mixing.oracle_sql(), "op10_nearest": nearest.oracle_sql()}
