@@ -9,11 +9,14 @@ compared exhaustively by sketches, and what passes is confirmed on the full sets
 A pair of similarity 0.8 starts together in a tree with probability 0.64, and misses all 13 trees with 1.7e-6 where no node
 branches, 3.7e-6 after one branching and 4.8e-6 after eight, by the number of its 64 coordinates that agree; the sketch threshold lies 4.5 standard deviations below 0.8.
 
-Components need only enough links to connect them: a node first proposes a spanning forest of its most similar pairs. Where
-links fail on the full sets, further rounds propose the best remaining pairs between different components, 16 times as many
-each round, until none is left. Nothing is capped for good. In nodes that stay large, sets are linked to pivots, confirmed on the
-full sets, and all that isn't in the largest component so found is compared with the whole node. In those rounds a pair counts in the first tree only in which it
-meets at an unbranched node.
+A node that stays large is cut into blocks of NODE / 2 by a hash, and PIVOTS of its sets stand in all of its blocks, so that most of
+its sets are linked at once. Then the sets outside of its largest component meet the whole node, block by block: any two sets of it
+are of one component or meet.
+
+Components need only enough links to connect them: a node first proposes a spanning forest of its most similar pairs. A node of
+which a proposed pair failed on the full sets then proposes all remaining pairs between different components. Where these are more
+than PAIRS for each set, they aren't written: the sets concerned come to the node's task with their full sets and are linked there,
+in parts of at most WEIGHT bytes. Nothing is capped.
 """
 
 from __future__ import annotations
@@ -29,7 +32,7 @@ from pyspark.sql import functions as F
 from codeloom.llm.batches import bounded, trimmed
 from codeloom.llm.components import components
 from codeloom.llm.rows import without
-from codeloom.llm.scratch import Scratch
+from codeloom.llm.scratch import Scratch, held
 
 COORDINATES = 64
 PLACES = 512
@@ -37,11 +40,14 @@ TREES = 13
 NODE = 2_048
 #: Branchings below a tree's first nodes. Sets that still share a node of over NODE agree in over ten tokens.
 LEVELS = 8
-#: Rounds of pivots in a node that is still large.
-ROUNDS = 3
+#: Sets of a node that is still large that stand in each of its blocks.
+PIVOTS = 16
 #: Branching hardly splits nodes of which half the pairs agree in so many tokens.
 DENSE = 46
 SKETCH = 370
+#: Pairs for each set that a node proposes at most; with more it is resolved in its task, which holds so many bytes of full sets at once.
+PAIRS = 4
+WEIGHT = 64 << 20
 
 _FACTORS = np.random.default_rng(20_240_229).integers(1, 1 << 63, COORDINATES + PLACES, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
 _PRIME = np.uint64(0x9E3779B97F4A7C15)
@@ -113,7 +119,7 @@ def _node(path: np.ndarray, coordinate: np.ndarray, token: np.ndarray) -> np.nda
 
 
 def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(cid, sig) to a row (node, cid, tree) for each tree."""
+    """(cid, sig) to a row (node, cid) for each tree."""
     order = np.random.default_rng(7).permutation(COORDINATES)
     for batch in batches:
         if not len(batch):
@@ -123,7 +129,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             node = np.full(len(ids), t + 1, np.uint64)
             for c in order[2 * t : 2 * t + 2]:
                 node = _node(node, np.array([c]), sig[:, c])
-            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), ids, pa.array(np.full(len(ids), t, np.int32))], names=["node", "cid", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array(node.view(np.int64)), ids], names=["node", "cid"])
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +143,7 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(3):
             c = (first + np.uint64(k) * step) % np.uint64(COORDINATES)
             below = _node(node, c, sig[np.arange(len(node)), c.astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1), pa.array(np.full(len(node), -1, np.int32))], names=["node", "cid", "tree"])
+            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1)], names=["node", "cid"])
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -170,108 +176,105 @@ def _forest(ids: np.ndarray, sketch: np.ndarray) -> list[tuple[int, int]]:
     return found
 
 
-def _rest(ids: np.ndarray, sketch: np.ndarray, comp: np.ndarray, met: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
-    """The most similar pairs between different components that meet in none of the earlier trees, at most so many; whether there were more.
+def _rest(sketch: np.ndarray, comp: np.ndarray, most: int) -> tuple[list[tuple[int, int]], bool]:
+    """All pairs between different components whose sketches pass; where they are more than so many, the sets in them, each as a pair with itself."""
+    found: list[tuple[int, int]] = []
+    concerned = np.zeros(len(comp), bool)
+    for k in range(len(comp) - 1):
+        other = np.flatnonzero(comp[k + 1 :] != comp[k]) + k + 1
+        other = other[(sketch[other] == sketch[k]).sum(axis=1, dtype=np.int32) >= SKETCH]
+        if len(other):
+            concerned[other] = concerned[k] = True
+            if len(found) <= most:
+                found += [(k, j) for j in other.tolist()]
+    if len(found) <= most:
+        return found, False
+    return [(k, k) for k in np.flatnonzero(concerned).tolist()], True
 
-    met holds a row for each set: its nodes in the earlier trees, 0 where that node was branched.
-    """
-    near, a, b = [], [], []
-    for k in range(len(ids) - 1):
-        agree = (sketch[k + 1 :] == sketch[k]).sum(axis=1, dtype=np.int32)
-        j = np.flatnonzero((agree >= SKETCH) & (comp[k + 1 :] != comp[k]))
-        if len(j) and met.shape[1]:
-            j = j[~((met[k + 1 :][j] == met[k]) & (met[k] != 0)).any(axis=1)]
-        if len(j):
-            near.append(agree[j])
-            a.append(np.full(len(j), k))
-            b.append(j + k + 1)
-    if not near:
-        return [], False
-    near, a, b = map(np.concatenate, (near, a, b))
-    top = np.lexsort((ids[b], ids[a], -near))[:most]
-    return list(zip(a[top].tolist(), b[top].tolist())), len(near) > most
-
-
-def _compare(batches: Iterator[pa.RecordBatch], turn: int) -> Iterator[pa.RecordBatch]:
-    """Rows (node, cid, comp, tree, sketch, roots) in order of node to proposed pairs (a, b, more)."""
-    held: list[tuple[np.ndarray, ...]] = []
-
-    def propose(ids, comp, tree, sketches, roots, cuts):
-        a, b, more = [], [], []
-        for start, end in zip(cuts, cuts[1:]):
-            if end - start < 2 or (comp[start:end] == comp[start]).all():
-                continue
-            if turn == 0:
-                pairs, cut = _forest(ids[start:end], sketches[start:end]), False
-            else:
-                before = int(tree[start]) if tree[start] >= 0 else TREES
-                pairs, cut = _rest(ids[start:end], sketches[start:end], comp[start:end], roots[start:end, :before], (end - start) * 16**turn)
-            for x, y in pairs:
-                x, y = int(ids[start + x]), int(ids[start + y])
-                a.append(min(x, y))
-                b.append(max(x, y))
-                more.append(cut)
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(more, pa.bool_())], names=["a", "b", "more"])
+
+def _by_node(batches: Iterator[pa.RecordBatch], columns) -> Iterator[tuple]:
+    """Rows in order of node, cid, as arrays by column for each run of whole nodes, with the places where nodes begin. columns makes the arrays of a batch."""
+    held: list[tuple] = []
 
     def joined():
-        node, *rest = map(np.concatenate, zip(*held))
-        return node, rest, [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist()]
+        rest = [sum((list(x) for x in c), []) if isinstance(c[0], list) else np.concatenate(c) for c in zip(*held)]
+        node = rest[0]
+        return rest, [0, *(np.flatnonzero(node[1:] != node[:-1]) + 1).tolist()]
 
     for batch in batches:
         if not len(batch):
             continue
-        node, ids, comp, tree = (batch.column(k).to_numpy() for k in range(4))
-        held.append((node, ids, comp, tree, _matrix(batch.column(4), np.uint8), _matrix(batch.column(5), np.uint32)))
-        if node[-1] == held[0][0][0]:
+        held.append(columns(batch))
+        if held[-1][0][-1] == held[0][0][0]:
             continue
-        node, rest, cuts = joined()
-        yield propose(*rest, cuts)
-        held = [(node[cuts[-1] :], *(x[cuts[-1] :] for x in rest))]
+        rest, cuts = joined()
+        yield rest, cuts
+        held = [tuple(x[cuts[-1] :] for x in rest)]
     if held:
-        node, rest, cuts = joined()
-        yield propose(*rest, [*cuts, len(node)])
+        rest, cuts = joined()
+        yield rest, [*cuts, len(rest[0])]
 
 
-def _roots_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (cid, tree, node) in order of cid to (cid, roots): its unbranched root nodes, 0 where a tree has none for it."""
-    now, own, ids, found = None, None, [], []
-    for batch in batches:
-        for cid, tree, node in zip(*(c.to_pylist() for c in batch.columns)):
-            if cid != now:
-                if now is not None:
-                    ids.append(now)
-                    found.append(own.tobytes())
-                now, own = cid, np.zeros(TREES, np.uint32)
-            if tree >= 0:
-                own[tree] = node & 0xFFFFFFFF or 1
-        if len(ids) > 10_000:
-            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["cid", "roots"])
-            ids, found = [], []
-    if now is not None:
-        ids.append(now)
-        found.append(own.tobytes())
-    yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(found, pa.binary())], names=["cid", "roots"])
-
-
-def _agree(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows (node, a, b, sketch, sketch) to those pairs that pass by their sketches."""
-    for batch in batches:
-        if len(batch):
-            near = (_matrix(batch.column(3), np.uint8) == _matrix(batch.column(4), np.uint8)).sum(axis=1) >= SKETCH
-            yield batch.select([0, 1, 2]).filter(pa.array(near))
+def _compare(batches: Iterator[pa.RecordBatch], turn: int, most: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, cid, comp, sketch) in order of node, cid to proposed pairs (a, b, node, dense). A set that comes twice in a node counts once."""
+    for (node, ids, comp, sketches), cuts in _by_node(batches, lambda b: (*(b.column(k).to_numpy() for k in range(3)), _matrix(b.column(3), np.uint8))):
+        out: tuple[list, ...] = ([], [], [], [])
+        for start, end in zip(cuts, cuts[1:]):
+            own, labels, sketch = ids[start:end], comp[start:end], sketches[start:end]
+            if end - start > 1 and (own[1:] == own[:-1]).any():
+                once = np.concatenate([[True], own[1:] != own[:-1]])
+                own, labels, sketch = own[once], labels[once], sketch[once]
+            if len(own) < 2 or (labels == labels[0]).all():
+                continue
+            pairs, dense = _rest(sketch, labels, most * len(own)) if turn else (_forest(own, sketch), False)
+            for x, y in pairs:
+                x, y = int(own[x]), int(own[y])
+                for o, v in zip(out, (min(x, y), max(x, y), int(node[start]), dense)):
+                    o.append(v)
+        yield pa.RecordBatch.from_arrays([*(pa.array(o, pa.int64()) for o in out[:3]), pa.array(out[3], pa.bool_())], names=["a", "b", "node", "dense"])
+
+
+def _links(ids: np.ndarray, comp: np.ndarray, sketch: np.ndarray, whole: list[np.ndarray], percent: int) -> Iterator[tuple[int, int]]:
+    """Links between different components, confirmed on the full sets: enough to connect all that are linked."""
+    _, label = np.unique(comp, return_inverse=True)
+    for k in range(len(ids) - 1):
+        other = np.arange(k + 1, len(ids))
+        other = other[label[other] != label[k]]
+        agree = (sketch[other] == sketch[k]).sum(axis=1, dtype=np.int32)
+        other = other[agree >= SKETCH][np.argsort(-agree[agree >= SKETCH], kind="stable")]
+        while len(other):
+            some, other = other[:64], other[64:]
+            sizes = np.array([len(whole[j]) for j in some])
+            flat = np.concatenate([whole[j] for j in some])
+            at = np.minimum(np.searchsorted(whole[k], flat), len(whole[k]) - 1)
+            both = np.add.reduceat((whole[k][at] == flat).astype(np.int64), np.concatenate([[0], np.cumsum(sizes)[:-1]]))
+            for j in some[100 * both >= percent * (sizes + len(whole[k]) - both)].tolist():
+                if label[j] != label[k]:
+                    label[label == label[j]] = label[k]
+                    yield int(ids[k]), int(ids[j])
+            other = other[label[other] != label[k]]
+
+
+def _resolve(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """Rows (node, cid, comp, sketch, whole) in order of node, cid to links (a, b)."""
+    read = lambda b: (*(b.column(k).to_numpy() for k in range(3)), _matrix(b.column(3), np.uint8), [np.frombuffer(x.as_py(), np.uint64) for x in b.column(4)])
+    for (_, ids, comp, sketches, whole), cuts in _by_node(batches, read):
+        pairs = [p for start, end in zip(cuts, cuts[1:]) for p in _links(ids[start:end], comp[start:end], sketches[start:end], whole[start:end], percent)]
+        yield pa.RecordBatch.from_arrays([pa.array([p[k] for p in pairs], pa.int64()) for k in (0, 1)], names=["a", "b"])
 
 
 def _whole_sets(batches: Iterator[pa.RecordBatch], words: int) -> Iterator[pa.RecordBatch]:
-    """(cid, digest, text) to (cid, whole, sketch), for texts that have the set of that digest."""
+    """(cid, digest, text) to (cid, n, whole, sketch), for texts that have the set of that digest."""
     for batch in batches:
-        ids, whole, short = [], [], []
+        ids, n, whole, short = [], [], [], []
         for cid, digest, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
             values = shingles(text.as_py() or "", words)
             if hashlib.blake2b(values.tobytes(), digest_size=16).digest() == digest:
                 ids.append(cid)
+                n.append(len(values))
                 whole.append(values.tobytes())
                 short.append(sketch(values).tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(whole, pa.binary()), pa.array(short, pa.binary())], names=["cid", "whole", "sketch"])
+        yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(n, pa.int64()), pa.array(whole, pa.binary()), pa.array(short, pa.binary())], names=["cid", "n", "whole", "sketch"])
 
 
 def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
@@ -284,42 +287,30 @@ def _confirm(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(linked, pa.bool_())], names=["a", "b", "linked"])
 
 
-def _deep(deep: DataFrame, values: DataFrame, scratch: Scratch, percent: int) -> tuple[DataFrame, DataFrame | None, DataFrame]:
-    """Large nodes (node, cid) that branching doesn't split: pairs tried on the full sets, components of those that hold, small nodes.
+def _blocks(deep: DataFrame) -> DataFrame:
+    """Large nodes (node, cid, n) as small ones: blocks of about NODE / 2 by a hash, PIVOTS sets of a node in all of its blocks."""
+    many = F.ceil(F.col("n") / max(1, NODE // 2))
+    own = F.pmod(F.xxhash64("cid", F.lit(77)), many)
+    block = lambda i: F.xxhash64(F.col("node"), i, F.lit("block")).alias("node")
+    pivot = F.pmod(F.xxhash64("cid", "node"), F.lit(1_000_000)) * F.col("n") < PIVOTS * 1_000_000
+    pivots = deep.where(pivot).select("node", "cid", own.alias("own"), F.explode(F.sequence(F.lit(0).cast("long"), many - 1)).alias("i")).where("i <> own")
+    return deep.select(block(own), "cid").unionByName(pivots.select(block(F.col("i")), "cid"))
 
-    Four pivots of each node are compared with its sets, and four of those left, ROUNDS times. Each link is confirmed on the full
-    sets before it counts. The sets outside of a node's largest component then meet all sets of the node, in small nodes: blocks of
-    NODE / 2 of either. So any two sets of a node are of one component, or are in a small node.
-    """
-    seen = deep.select(F.col("node"), "cid")
-    short = values.select("cid", "sketch")
-    tried, comps = None, None
-    for turn in range(ROUNDS + 1):
-        label = seen.withColumn("comp", F.col("cid")) if comps is None else seen.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
-        label = scratch.save(label, f"deep-labels-{turn}")
-        most = label.groupBy("node", "comp").agg(F.count("*").alias("n")).groupBy("node").agg(F.max(F.struct("n", "comp")).alias("m"), F.sum("n").alias("size")).select("node", "size", F.col("m.comp").alias("core"), F.col("m.n").alias("held"))
-        left = label.join(F.broadcast(most.where("held < size")), "node").where("comp <> core or held = 1").select("node", "cid", "size")
-        if turn == ROUNDS:
-            break
-        pivots = left.groupBy("node").agg(F.array(*(F.min(F.struct(F.xxhash64("cid", F.lit(4 * turn + k)), F.col("cid").alias("cid")))["cid"] for k in range(4))).alias("p"))
-        pivots = pivots.select("node", F.explode(F.array_distinct("p")).alias("a")).join(short.select(F.col("cid").alias("a"), F.col("sketch").alias("s")), "a")
-        met = label.select("node", F.col("cid").alias("b")).join(F.broadcast(pivots), "node").where("a <> b").join(short.select(F.col("cid").alias("b"), F.col("sketch").alias("t")), "b")
-        near = met.select("node", "a", "b", "s", "t").mapInArrow(_agree, "node long, a long, b long").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-        if tried is not None:
-            near = near.join(tried.select("a", "b"), ["a", "b"], "left_anti")
-        done = scratch.save(_tried(near, values, percent), f"deep-tried-{turn}")
-        tried = done if tried is None else tried.unionByName(done)
-        links = tried.where("linked").select("a", "b")
-        if not done.where("linked").isEmpty():
-            comps = components(links, scratch, f"deep-components-{turn}")
+
+def _outside(deep: DataFrame, comps: DataFrame, scratch: Scratch) -> DataFrame:
+    """Large nodes (node, cid, n): the sets outside of a node's largest component with all of its sets, in small nodes of half and half."""
+    label = deep.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", "n", F.coalesce("component", "cid").alias("comp"))
+    label = scratch.save(label, "deep-labels")
+    core = label.groupBy("node", "comp").agg(F.count("*").alias("held")).groupBy("node").agg(F.max(F.struct("held", "comp")).alias("m")).select("node", F.col("m.comp").alias("core"), F.col("m.held").alias("held"))
+    core = scratch.save(core, "deep-cores")
     half = max(1, NODE // 2)
-    blocks = lambda n: F.greatest(F.ceil(n / half), F.lit(1))
-    some = left.groupBy("node").agg(F.count("*").alias("some"), F.max("size").alias("size"))
-    own = F.xxhash64("cid", F.lit(77))
-    rows = left.select("node", "cid").join(F.broadcast(some), "node").select("node", "cid", F.pmod(own, blocks(F.col("some"))).alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("size")) - 1)).alias("j"))
-    every = label.select("node", "cid").join(F.broadcast(some), "node").select("node", "cid", F.explode(F.sequence(F.lit(0).cast("long"), blocks(F.col("some")) - 1)).alias("i"), F.pmod(own, blocks(F.col("size"))).alias("j"))
-    small = rows.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "cid", F.lit(-1).alias("tree")).distinct()
-    return tried, comps, scratch.save(small, "deep-nodes")
+    far = label.join(core, "node").where("held < n").withColumn("left", F.col("comp") != F.col("core"))
+    own, some, all_ = F.xxhash64("cid", F.lit(77)), F.ceil((F.col("n") - F.col("held")) / half), F.ceil(F.col("n") / half)
+    far = far.select("node", "cid", "left", F.pmod(own, some).alias("i"), F.pmod(own, all_).alias("j"), some.alias("some"), all_.alias("all_"))
+    first = lambda n: F.sequence(F.lit(0).cast("long"), n - 1)
+    rows = far.where("left").select("node", "cid", "i", F.explode(first(F.col("all_"))).alias("j"))
+    every = far.select("node", "cid", F.explode(first(F.col("some"))).alias("i"), "j")
+    return scratch.save(rows.unionByName(every).select(F.xxhash64("node", "i", "j").alias("node"), "cid"), "deep-nodes")
 
 
 def _tried(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
@@ -328,111 +319,118 @@ def _tried(pairs: DataFrame, values: DataFrame, percent: int) -> DataFrame:
     return both.mapInArrow(lambda b: trimmed(_confirm(b, percent)), "a long, b long, linked boolean")
 
 
-def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
-    """Written tables: (row_id, doc_id, text_hash, n_shingles, digest, sig) by row of docs, and (digest, component) by distinct set."""
-    bounded(docs.sparkSession)
-    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    read = read.select("row_id", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    sets = scratch.save(read.mapInArrow(lambda b: trimmed(_sets(b, words), _forget), "row_id long, doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "sets")
-
-    # One class for each distinct set. Of its rows, that with the smallest doc_id gives the text when the set is needed again.
-    full = sets.where("n_shingles > 0")
-    classes = full.groupBy("digest").agg(F.min("row_id").alias("cid"), F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "text_hash")).alias("of"))
-    classes = scratch.save(classes.select("cid", "digest", "sig", "of.doc_id", "of.text_hash"), "classes")
-    tokens = classes.select("cid", "sig")
-
-    now = tokens.mapInArrow(_roots, "node long, cid long, tree int")
-    leaves, deep, level = [], [], 0
+def _nodes_of(tokens: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], list[DataFrame]]:
+    """(cid, sig) to written nodes (node, cid): those of two to NODE sets, and large ones (node, cid, n) that branching doesn't split."""
+    now = tokens.mapInArrow(_roots, "node long, cid long")
+    nodes, deep, level = [], [], 0
     while True:
         now = scratch.save(now, f"paths-{level}")
         size = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = scratch.save(now.join(size, "node"), f"nodes-{level}")
-        scratch.drop(f"paths-{level}")
-        leaves.append(met.where(f"n <= {NODE}").select("node", "cid", "tree"))
+        scratch.drop(f"paths-{level}", f"large-{level - 1}")
+        nodes.append(met.where(f"n <= {NODE}").select("node", "cid"))
         large = met.where(f"n > {NODE}")
         if large.isEmpty():
             break
         if level == LEVELS:
-            deep.append(large.select("node", "cid"))
+            deep.append(large.select("node", "cid", "n"))
             break
-        some = large.where("pmod(xxhash64(cid, node), 1000000) * n < 32000000").join(tokens, "cid").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+        large = scratch.save(large.join(tokens, "cid").select("node", "cid", "n", "sig"), f"large-{level}")
+        some = large.where("pmod(xxhash64(cid, node), 1000000) * n < 32000000").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
         dense = scratch.save(some.mapInArrow(_dense, "node long"), f"dense-{level}")
-        deep.append(large.join(F.broadcast(dense), "node", "left_semi").select("node", "cid"))
-        large = large.join(F.broadcast(dense), "node", "left_anti")
-        now = large.join(tokens, "cid").select("node", "cid", "sig").mapInArrow(_branches, "node long, cid long, tree int").distinct()
+        deep.append(scratch.save(large.join(dense, "node", "left_semi").select("node", "cid", "n"), f"deep-{level}"))
+        now = large.join(dense, "node", "left_anti").select("node", "cid", "sig").mapInArrow(_branches, "node long, cid long")
         level += 1
-    nodes = leaves[0]
-    for more in leaves[1:]:
-        nodes = nodes.unionByName(more)
-    large = None
-    for more in deep:
-        large = more if large is None else large.unionByName(more)
-    live = nodes.select("cid") if large is None else nodes.select("cid").unionByName(large.select("cid"))
-
-    wanted = classes.join(live.distinct(), "cid", "left_semi").select("cid", "digest", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
+    return nodes, deep
+
+
+def _all(tables: list[DataFrame]) -> DataFrame:
+    found = tables[0]
+    for more in tables[1:]:
+        found = found.unionByName(more)
+    return found
+
+
+def _values(docs: DataFrame, classes: DataFrame, sets: DataFrame, nodes: DataFrame, words: int, scratch: Scratch) -> DataFrame:
+    """(cid, n, whole, sketch) of the classes in nodes, from the texts of their rows."""
+    wanted = classes.join(nodes.select("cid").distinct(), "cid", "left_semi").select("cid", "digest", F.col("doc_id").alias("i"), F.col("text_hash").alias("h"))
     wanted = scratch.save(wanted, "wanted")
     text = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    # Where the ids are too many to broadcast, Spark drops most other texts before it deals them out, by a Bloom filter of
-    # bounded size over the ids. Its rule looks for a comparison on the side that makes the filter.
-    spark = docs.sparkSession
-    key = "spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold"
-    before = spark.conf.get(key)
-    spark.conf.set(key, "0")
     got = text.join(wanted.where("i >= -9223372036854775808"), (F.col("doc_id") == F.col("i")) & (F.xxhash64("text") == F.col("h"))).select("cid", "digest", "text")
-    lost = wanted.where("i is null")
-    if not lost.isEmpty():
-        got = got.unionByName(text.where("doc_id is null").join(lost, F.xxhash64("text") == F.col("h")).select("cid", "digest", "text"))
-    got = got.mapInArrow(lambda b: trimmed(_whole_sets(b, words), _forget), "cid long, whole binary, sketch binary")
-    if not wanted.where("i is null").isEmpty() or not docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+    nameless = not wanted.where("i is null").isEmpty()
+    if nameless:
+        got = got.unionByName(text.where("doc_id is null").join(wanted.where("i is null"), F.xxhash64("text") == F.col("h")).select("cid", "digest", "text"))
+    got = got.mapInArrow(lambda b: trimmed(_whole_sets(b, words), _forget), "cid long, n long, whole binary, sketch binary")
+    if nameless or not sets.groupBy("doc_id").count().where("count > 1").isEmpty():
         got = got.dropDuplicates(["cid"])  # rows that repeat a doc_id and text
-    try:
-        values = scratch.save(got, "values")
-    finally:
-        spark.conf.set(key, before)
-
-    tried, comps, turn = None, None, 0
-    if large is not None and not large.isEmpty():
-        tried, comps, small = _deep(large, values, scratch, percent)
-        nodes = nodes.unionByName(small)
-    roots = nodes.select("cid", "tree", "node").repartition("cid").sortWithinPartitions("cid").mapInArrow(_roots_of, "cid long, roots binary")
-    short = values.select("cid", "sketch").join(roots, "cid", "left").select("cid", "sketch", "roots")
-    short = scratch.save(short, "sketches")
-    sketched = short.where("roots is not null")
+    # Where the ids are too many to broadcast, Spark drops most other texts before it deals them out, by a Bloom filter of
+    # bounded size over the ids. Its rule looks for a comparison on the side that makes the filter, and of itself leaves tables under 10 GB alone.
+    with held(docs.sparkSession, {"spark.sql.optimizer.runtime.bloomFilter.applicationSideScanSizeThreshold": "0"}):
+        return scratch.save(got, "values")
 
-    while True:
-        if comps is None:
-            rows = nodes.withColumn("comp", F.col("cid")).join(sketched, "cid")
-        else:
-            # Only nodes whose sets aren't all of one component take part again.
-            label = nodes.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", "tree", F.coalesce("component", "cid").alias("comp"))
-            label = scratch.save(label, f"labels-{turn}")
-            mixed = label.groupBy("node").agg(F.min("comp").alias("l"), F.max("comp").alias("h")).where("l <> h").select("node")
-            rows = label.join(mixed, "node", "left_semi").join(sketched, "cid")
-        rows = rows.select("node", "cid", "comp", "tree", "sketch", "roots").repartition("node").sortWithinPartitions("node", "cid")
-        pairs = rows.mapInArrow(lambda b, t=turn: trimmed(_compare(b, t)), "a long, b long, more boolean")
-        pairs = pairs.groupBy("a", "b").agg(F.max("more").alias("more"))
-        if tried is not None:
-            pairs = pairs.join(tried.select("a", "b", F.lit(True).alias("old")), ["a", "b"], "left")
-        else:
-            pairs = pairs.withColumn("old", F.lit(None).cast("boolean"))
-        pairs = scratch.save(pairs, f"pairs-{turn}")
-        more, new = pairs.agg(F.max("more"), F.count(F.when(F.col("old").isNull(), 1))).first()
-        if not new and not more:
-            break
-        fresh = pairs.where("old is null").select("a", "b")
-        done = scratch.save(_tried(fresh, values, percent), f"tried-{turn}")
-        tried = done if tried is None else tried.unionByName(done)
-        good = done.where("linked").select("a", "b")
-        turn += 1
-        if comps is not None and good.isEmpty():
-            if more:
-                continue
-            break
-        links = good if comps is None else good.unionByName(comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b")))
-        comps = components(links, scratch, f"components-{turn}")
-    own = classes.select("digest", "cid")
-    own = own.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("digest", F.coalesce("component", "cid").alias("component")) if comps is not None else own.select("digest", F.col("cid").alias("component"))
-    return sets.drop("sig"), own
+
+def _proposed(rows: DataFrame, values: DataFrame, turn: int, scratch: Scratch) -> DataFrame:
+    """Written pairs (a, b, node, dense) of nodes (node, cid, comp)."""
+    met = rows.join(values.select("cid", "sketch"), "cid").select("node", "cid", "comp", "sketch").repartition("node").sortWithinPartitions("node", "cid")
+    most = PAIRS
+    return scratch.save(met.mapInArrow(lambda b: trimmed(_compare(b, turn, most)), "a long, b long, node long, dense boolean"), f"pairs-{turn}")
+
+
+def _resolved(dense: DataFrame, comps: DataFrame, values: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
+    """Written links (a, b) of nodes (node, cid) by their full sets, in parts: any two of a node's sets are in one of its parts."""
+    weight = dense.join(values.select("cid", "n"), "cid").groupBy("node").agg(F.ceil(F.sum("n") * 16 / WEIGHT).alias("many"))
+    weight = scratch.save(weight, "weights")
+    own = F.pmod(F.xxhash64("cid", F.lit(78)), F.col("many"))
+    part = dense.join(weight, "node").select("node", "cid", own.alias("i"), F.explode(F.sequence(F.lit(0).cast("long"), F.col("many") - 1)).alias("j"))
+    part = part.select(F.xxhash64("node", F.least("i", "j"), F.greatest("i", "j")).alias("node"), "cid")
+    rows = part.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
+    rows = rows.join(values.select("cid", "sketch", "whole"), "cid").select("node", "cid", "comp", "sketch", "whole").repartition("node").sortWithinPartitions("node", "cid")
+    return scratch.save(rows.mapInArrow(lambda b: trimmed(_resolve(b, percent)), "a long, b long"), "resolved")
+
+
+def classes_of(docs: DataFrame, scratch: Scratch, words: int = 4, percent: int = 80) -> tuple[DataFrame, DataFrame]:
+    """Written tables: (row_id, doc_id, text_hash, n_shingles, digest, sig) by row of docs, and (digest, component_id, first_row) by distinct
+    set that several rows have or that is linked."""
+    bounded(docs.sparkSession)
+    read = docs.select(F.monotonically_increasing_id().alias("row_id"), F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    read = read.select("row_id", "doc_id", F.xxhash64("text").alias("text_hash"), "text")
+    sets = scratch.save(read.mapInArrow(lambda b: trimmed(_sets(b, words), _forget), "row_id long, doc_id long, text_hash long, n_shingles long, digest binary, sig binary"), "sets")
+
+    # One class for each distinct set, named by its first row: that with the smallest doc_id, which gives the text when the set is needed again.
+    classes = sets.where("n_shingles > 0").groupBy("digest").agg(F.first("sig").alias("sig"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id", "text_hash")).alias("of"), F.count("*").alias("rows"))
+    classes = scratch.save(classes.select(F.col("of.row_id").alias("cid"), "digest", "sig", "of.doc_id", "of.text_hash", "rows"), "classes")
+
+    nodes, deep = _nodes_of(classes.select("cid", "sig"), scratch)
+    if deep:
+        large = _all(deep)
+        nodes.append(scratch.save(_blocks(large), "blocks"))
+    values = _values(docs, classes, sets, _all(nodes), words, scratch)
+    first = _proposed(_all(nodes).select("node", "cid", F.col("cid").alias("comp")), values, 0, scratch)
+    tried = scratch.save(_tried(first.select("a", "b").distinct(), values, percent), "tried-0")
+    good = tried.where("linked").select("a", "b")
+    comps = components(good, scratch, "components-0")
+
+    # A node is done if all that it proposed holds. The others' sets, and those outside of a large node's main component, once more.
+    again = scratch.save(first.join(tried.where("not linked"), ["a", "b"], "left_semi").select("node").distinct(), "again")
+    rows = _all(nodes).join(again, "node", "left_semi")
+    if deep:
+        rows = rows.unionByName(_outside(large, comps, scratch))
+    if deep or not again.isEmpty():
+        labelled = rows.join(comps.withColumnRenamed("id", "cid"), "cid", "left").select("node", "cid", F.coalesce("component", "cid").alias("comp"))
+        second = _proposed(labelled, values, 1, scratch)
+        fresh = second.where("not dense").select("a", "b").distinct().join(tried.select("a", "b"), ["a", "b"], "left_anti")
+        links = scratch.save(_tried(fresh, values, percent), "tried-1").where("linked").select("a", "b")
+        dense = second.where("dense").select("node", F.col("a").alias("cid"))
+        if not dense.isEmpty():
+            links = links.unionByName(_resolved(dense, comps, values, percent, scratch))
+        if not links.isEmpty():
+            comps = components(links.unionByName(comps.where("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))), scratch, "components-1")
+
+    member = classes.join(comps, F.col("cid") == F.col("id")).select("component", "digest", "doc_id", "cid")
+    best = member.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "cid"))["cid"].alias("first_row"))
+    told = member.join(best, "component").select("digest", "component_id", "first_row")
+    alone = classes.where("rows > 1").join(comps, F.col("cid") == F.col("id"), "left_anti").select("digest", F.col("doc_id").alias("component_id"), F.col("cid").alias("first_row"))
+    return sets.drop("sig"), scratch.save(told.unionByName(alone), "told")
 
 
 def link(docs: DataFrame, words: int = 4, percent: int = 80, scratch: Scratch | None = None) -> DataFrame:
@@ -441,15 +439,20 @@ def link(docs: DataFrame, words: int = 4, percent: int = 80, scratch: Scratch |
     Sets of word shingles (see shingles) of similarity percent / 100 or more are linked; component_id is the smallest doc_id
     reachable. Texts that are null, or have no words, have the empty set and their own doc_id. Rows without a doc_id take part
     and get the component's id, null where no row of it has one. kept is doc_id = component_id; stays marks one row of each
-    component, the first of those kept where rows are repeated. Shingles are compared by 64-bit hashes.
+    component, the first of those kept where rows are repeated. Sketches that tie go by the smaller id of a set; repeated rows are one
+    set and have a row each. An empty table gives no rows. Other columns of docs, whatever their names, are not read; very long texts
+    count whole. Shingles are compared by 64-bit hashes.
     """
     scratch = scratch or Scratch(docs.sparkSession, "near")
-    sets, own = classes_of(docs, scratch, words, percent)
-    rows = sets.join(own, "digest", "left").withColumn("component", F.coalesce("component", -1 - F.col("row_id")))
-    rows = scratch.save(rows.select("row_id", "doc_id", "text_hash", "n_shingles", "component"), "rows")
-    best = rows.groupBy("component").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))["row_id"].alias("first_row"))
-    met = rows.join(scratch.save(best, "best"), "component").withColumn("stays", F.col("row_id") == F.col("first_row"))
-    return met.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays")).alias("kept"), "stays", "text_hash")
+    sets, told = classes_of(docs, scratch, words, percent)
+    scratch.keep("sets", "told")
+    # Rows without a set stay apart, so that a join doesn't gather them.
+    rows = sets.where("digest is not null").join(told, "digest", "left")
+    rows = rows.unionByName(sets.where("digest is null").withColumns({"component_id": F.lit(None).cast("long"), "first_row": F.lit(None).cast("long")}))
+    stays = F.col("row_id") == F.coalesce("first_row", "row_id")
+    own = F.when(F.col("first_row").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
+    rows = rows.select("doc_id", "n_shingles", own.alias("component_id"), stays.alias("stays"), "text_hash")
+    return rows.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.col("stays")).alias("kept"), "stays", "text_hash")
 
 
 def drop_near_copies(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
