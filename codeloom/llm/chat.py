@@ -124,7 +124,8 @@ def format_conversations(conversations: DataFrame, piece_chars: int = 1_000_000)
 
     Turns are ordered by turn (null first), role, text; null roles and texts count as empty; repeated rows are turns of their
     own; rows without a conv_id are one conversation. Conversations stream through: memory is bounded by a piece and the
-    longest text.
+    longest text. A conversation's turns are in order and its digests are sums over all of them, so it is one task's, however long.
+    An empty table gives no rows. Other columns, whatever their names, are not read.
     """
     bounded(conversations.sparkSession)
     rows = conversations.select(F.col("conv_id").cast("long").alias("conv_id"), F.col("turn").cast("long").alias("turn"), F.col("role").cast("string").alias("role"), F.col("text").cast("string").alias("text"))

@@ -46,7 +46,8 @@ def name_documents(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
     distinct = block.select(low(F.col("block")).alias("h"), "block").groupBy("h", "block").agg(F.lit(1).alias("one"))
     names = scratch.save(_named(distinct, ["h", "block"]).select("h", "name"), "names-0")
 
-    met = names.groupBy("h").agg(F.count("*").alias("k"), F.min("name").alias("name"))
+    # Written, so that the join with the documents' blocks holds no aggregate and Spark can split a block that very many have.
+    met = scratch.save(names.groupBy("h").agg(F.count("*").alias("k"), F.min("name").alias("name")), "met")
     held = facts.select("row_id", "n_blocks", F.posexplode("hashes").alias("pos", "h"))
     collided = scratch.save(met.where("k > 1").select("h"), "collided")
     if collided.isEmpty():
@@ -86,7 +87,7 @@ def name_documents(docs: DataFrame, scratch: Scratch, block_bytes: int = BLOCK_B
         last = last.unionByName(more)
     found = facts.select("row_id", "doc_id", "text_key").join(last.select("row_id", "n_blocks", "name"), "row_id")
     found = scratch.save(found, "identities")
-    scratch.drop("facts", "collided", *(f"level-{k}" for k in range(level + 1)))
+    scratch.drop("facts", "met", "collided", *(f"level-{k}" for k in range(level + 1)))
     return found
 
 
@@ -94,20 +95,28 @@ def dedup(docs: DataFrame, scratch: Scratch | None = None, block_bytes: int = BL
     """A row for each row of docs: doc_id, keep_id, group_size, kept, text_sha256 (and text_key, its other name).
 
     Of equal normalised texts one row stays: that with the smallest doc_id; rows without a doc_id come last; of rows that
-    share the smallest doc_id, one. keep_id is null only where all rows of a group have no doc_id. Empty tables give no rows.
+    share the smallest doc_id, one. keep_id is null only where all rows of a group have no doc_id. Empty tables give no rows. Texts are
+    compared whole, however long. Other columns of docs, whatever their names, are not read.
     """
     scratch = scratch or Scratch(docs.sparkSession, "exact")
     found = name_documents(docs, scratch, block_bytes, hash_bits)
+    # Only groups of several rows are looked up; they are written, so that Spark can split the rows of a large one.
     group = found.groupBy("n_blocks", "name").agg(
         F.count("*").alias("group_size"), F.min("doc_id").alias("keep_id"),
         F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row_id"))["row_id"].alias("keep_row"),
     )
-    return found.join(group, ["n_blocks", "name"]).select("doc_id", "keep_id", "group_size", (F.col("row_id") == F.col("keep_row")).alias("kept"), F.col("text_key").alias("text_sha256"))
+    group = scratch.save(group.where("group_size > 1"), "groups")
+    met = found.join(group, ["n_blocks", "name"], "left")
+    alone = F.col("group_size").isNull()
+    return met.select(
+        "doc_id", F.when(alone, F.col("doc_id")).otherwise(F.col("keep_id")).alias("keep_id"), F.coalesce("group_size", F.lit(1).cast("long")).alias("group_size"),
+        (alone | (F.col("row_id") == F.col("keep_row"))).alias("kept"), F.col("text_key").alias("text_sha256"),
+    )
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
     """The rows of docs that stay, with the columns of docs."""
     scratch = Scratch(docs.sparkSession, "exact")
     decided = scratch.save(dedup(docs, scratch).select("doc_id", F.col("text_sha256").alias("text_key"), "kept"), "decided")
-    scratch.drop("identities")
+    scratch.drop("identities", "groups")
     return without(docs, decided, scratch)

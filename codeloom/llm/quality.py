@@ -108,7 +108,8 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
     """Fit on at most sample_rows labelled rows that are not held out; labels with a null doc_id or quality are passed over.
 
     The sample is bounded, so the ids are broadcast, and only hashed features, all of each row, come to the driver. Several labels of one
-    doc_id count as their largest.
+    doc_id count as their largest. Rows of docs that share a labelled doc_id are learned from each, but of all of them no more than
+    sample_rows: those with the smallest md5 of their doc_id, then the smallest hash of their text.
     """
     bounded(docs.sparkSession)
     chosen = (
@@ -128,8 +129,9 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
             yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["y"], pa.int32()), pa.array(out["slots"], pa.binary()), pa.array(out["row_values"], pa.binary())], names=list(out))
 
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"), F.xxhash64("text"))
     found = (
-        texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text")
+        texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").orderBy(*order).limit(sample_rows)
         .mapInArrow(lambda b: trimmed(run(b), _forget), "doc_id long, y int, slots binary, row_values binary")
         .collect()
     )
@@ -138,7 +140,11 @@ def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) ->
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
-    """A row (doc_id, score) for each row of docs: the probability of label 1 by a sparse dot product. A null text scores as empty."""
+    """A row (doc_id, score) for each row of docs: the probability of label 1 by a sparse dot product.
+
+    A null text scores as empty. Very long texts count whole; repeated rows each have a row; an empty table has none. Other columns of docs,
+    whatever their names, are not read.
+    """
     bounded(docs.sparkSession)
     sent = docs.sparkSession.sparkContext.broadcast(weights.tobytes())
 
@@ -155,13 +161,16 @@ def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
 
 
 def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """doc_id, held_out, score, predicted for every row of docs, by a model fitted on rows of labels that are not held out."""
+    """doc_id, held_out, score, predicted for every row of docs, by a model fitted on rows of labels that are not held out.
+
+    predicted is 1 from a score of 0.5 on, so also where it is exactly that. See train and score for nulls, repeated rows and the like.
+    """
     scored = score(docs, train(docs, labels, sample_rows))
     return scored.select("doc_id", held_out("doc_id").alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns, in one pass over the texts."""
+    """The rows of docs that are not rejected, with all their columns, whatever their names, in one pass over the texts. Repeated rows stay or go alike."""
     bounded(docs.sparkSession)
     model = train(docs, labels, sample_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model.tobytes())

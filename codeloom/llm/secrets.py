@@ -110,6 +110,7 @@ def token_features(text: str, start: int, end: int, file: tuple[str, ...]) -> li
         "bias", f"shape={_shape(token)}", f"len={min(n // 4, 10)}", f"ent={int(entropy * 2)}", f"dig={int(10 * digits / n)}", f"chg={min(changes, 12) // 2}",
         f"hex={all(c in '0123456789abcdefABCDEF' for c in token)}", f"cap={token.isupper()}", f"alnum={token.isalnum()}", f"num={digits + sum(c in '+-./' for c in token) == n}",
         f"pre={token[:3].lower()}", f"mark={mark if mark in '=:' else 'w'}", f"quote={before[-1:] in tuple('\"' + chr(39))}", f"slash={token.count('/') > 1}", f"dots={min(token.count('.'), 3)}", f"at={'@' in before[-24:] + after[:1]}",
+        f"own={'=' in token[:-1] and any(k in token.partition('=')[0].lower() for k in NAMES)}",
         f"next={after[:1] if after[:1] in tuple(' @:/,.;)' + chr(34) + chr(39)) else 'o'}",
         *(f"w-{k}={w.lower()[:12]}" for k, w in enumerate(reversed(words))), *file,
     ]
@@ -158,33 +159,11 @@ class Field:
         self.emit = np.zeros((len(self.names), 3))
         g_emit, g_step = np.full(self.emit.shape, 1e-6), np.full((3, 3), 1e-6)
         ids = [[[self.names[f] for f in token] for token in names] for names, _ in rows]
-        log_sum = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
         for epoch in range(epochs):
             for r in np.random.default_rng(epoch).permutation(len(rows)):
                 feats, tags = ids[r], rows[r][1]
-                n, step = len(tags), self.step + self.bar
-                s = np.stack([self.emit[f].sum(axis=0) for f in feats])
-                fwd, bwd = np.zeros((n, 3)), np.zeros((n, 3))
-                fwd[0] = s[0] + step[0]
-                for k in range(1, n):
-                    fwd[k] = s[k] + log_sum(fwd[k - 1][:, None] + step, 0)
-                bwd[-1] = step[:, 0]
-                for k in range(n - 2, -1, -1):
-                    bwd[k] = log_sum(step + s[k + 1] + bwd[k + 1], 1)
-                total = log_sum(fwd[-1] + bwd[-1], 0)
-                d_step = np.zeros((3, 3))
-                before = 0
-                for k in range(n):
-                    p = np.exp(fwd[k] + bwd[k] - total)
-                    d = -p
-                    d[tags[k]] += 1
-                    d_step[before, tags[k]] += 1
-                    if k:
-                        d_step -= np.exp(fwd[k - 1][:, None] + step + s[k] + bwd[k] - total)
-                    else:
-                        d_step[0] -= p
-                    before = tags[k]
-                    f = feats[k]
+                _, d_emit, d_step = self.likelihood(np.stack([self.emit[f].sum(axis=0) for f in feats]), tags)
+                for f, d in zip(feats, d_emit):
                     d = d - ridge * self.emit[f]
                     g_emit[f] += d * d
                     self.emit[f] += rate * d / np.sqrt(g_emit[f])
@@ -192,6 +171,31 @@ class Field:
                 self.step += rate * d_step / np.sqrt(g_step)
         return self
 
+    def likelihood(self, scores: np.ndarray, tags: list[int]) -> tuple[float, np.ndarray, np.ndarray]:
+        """Log-likelihood of a run's tags, and its gradients by the scores and by the weights of neighbouring tags (forward-backward)."""
+        log_sum = lambda x, axis: (m := x.max(axis=axis, keepdims=True)).squeeze(axis) + np.log(np.exp(x - m).sum(axis=axis))
+        n, step = len(tags), self.step + self.bar
+        fwd, bwd = np.zeros((n, 3)), np.zeros((n, 3))
+        fwd[0] = scores[0] + step[0]
+        for k in range(1, n):
+            fwd[k] = scores[k] + log_sum(fwd[k - 1][:, None] + step, 0)
+        bwd[-1] = step[:, 0]
+        for k in range(n - 2, -1, -1):
+            bwd[k] = log_sum(step + scores[k + 1] + bwd[k + 1], 1)
+        total = log_sum(fwd[-1] + bwd[-1], 0)
+        d_scores, d_step, before, value = -np.exp(fwd + bwd - total), np.zeros((3, 3)), 0, -total
+        d_step[0] += d_scores[0]
+        d_step[:, 0] += d_scores[-1]
+        for k, t in enumerate(tags):
+            d_scores[k, t] += 1
+            d_step[before, t] += 1
+            value += scores[k, t] + step[before, t]
+            if k:
+                d_step -= np.exp(fwd[k - 1][:, None] + step + scores[k] + bwd[k] - total)
+            before = t
+        d_step[before, 0] += 1
+        return float(value + step[before, 0]), d_scores, d_step
+
 
 def _made_up(seed: int, lines: int) -> list[tuple[str, list[tuple[int, int, bool]]]]:
     """Lines with (start, end, whether it begins) of their secrets' tokens."""
@@ -205,12 +209,14 @@ def _made_up(seed: int, lines: int) -> list[tuple[str, list[tuple[int, int, bool
         lambda: sure(lambda: pick(low + up + dig + "+/", 20, 60)) + rng.choice(("", "=", "==")), lambda: "sk-" + sure(lambda: pick(low + up + dig, 20, 48)), lambda: sure(lambda: pick(low + up + dig, 16, 40)),
         lambda: "eyJ" + sure(lambda: pick(low + up + dig + "_-", 20, 60)) + "." + pick(low + up + dig + "_-", 20, 60), lambda: "xoxb-" + pick(dig, 10, 12) + "-" + pick(low + up + dig, 20, 24),
     )
-    names = ("password", "token", "api_key", "secret", "key", "Authorization", "bearer", "credential", "pwd")
+    names = ("password", "token", "api_key", "secret", "key", "Authorization", "bearer", "credential", "pwd", "passphrase", "private key", "auth_token", "client_secret")
     # These only where a name and a mark stand before them.
     weak = (lambda: pick(low, 6, 15), lambda: pick(low + up, 6, 15), lambda: pick(low + up + dig, 6, 9), lambda: "-".join(word() for _ in range(4)))
+    said = (lambda: sure(lambda: pick(low + dig, 8, 14)), lambda: sure(lambda: pick(low + up + dig, 7, 12)))
     secrets += (lambda: pick(low + up, 20, 48), lambda: pick(low + up + "+/", 24, 60) + rng.choice(("", "=", "==")))
     plain = (
-        lambda: f"{rng.randint(1980, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"+{rng.randint(1, 99)}-{pick(dig, 3, 3)}-{pick(dig, 3, 3)}-{pick(dig, 4, 4)}", lambda: pick(dig, 6, 16), lambda: pick(low, 16, 20), lambda: pick(low, 14, 24).title(), lambda: "-".join(word() for _ in range(4)), lambda: f"https://{word()}.com/{word()}/{word()}", lambda: f"{rng.choice(names)} {word()} {word()}", lambda: f"{rng.choice(names)} {pick(low, 6, 12)}",
+        lambda: f"{rng.randint(1980, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}", lambda: f"+{rng.randint(1, 99)}-{pick(dig, 3, 3)}-{pick(dig, 3, 3)}-{pick(dig, 4, 4)}", lambda: pick(dig, 6, 16), lambda: pick(low, 16, 20), lambda: pick(low, 14, 24).title(), lambda: "-".join(word() for _ in range(4)), lambda: f"https://{word()}.com/{word()}/{word()}", lambda: f"{rng.choice(names)} {word()} {word()}", lambda: f"{rng.choice(names)} {pick(low, 6, 12)}", lambda: f"{rng.choice(names)} {pick(low, 6, 9)} {pick(low, 6, 9)}", lambda: f"{rng.choice(names)}s {word()} {pick(low, 6, 9)}", lambda: f"{word()} {rng.choice(('is', 'was', 'for', 'and'))} {pick(low, 16, 26)}.", lambda: f"{word()}. {word().title()} {rng.choice(('is', 'was'))} {pick(low, 16, 24)}",
+        lambda: f"{word()}({word()}_{rng.randint(1, 99)}, {word()}[{rng.randint(0, 9)}]);", lambda: f"{word().title()}{word().title()}{word().title()}({word()})", lambda: f"{pick(low, 2, 5)}.{word()}.{word()}_{word()}.{word()}()", lambda: f"{word()}_{word()}_{word()}_{word()}", lambda: "=" * rng.randint(6, 40), lambda: "-" * rng.randint(6, 40), lambda: f"{rng.choice(names)} {rng.choice(('is', 'was', 'of', 'for'))} {rng.choice(('lost', 'the', 'a', 'missing', 'rotated', 'required', 'invalid', 'expired'))} {word()}",
         lambda: f"{word()}.{word()}{rng.randint(1, 999)}", lambda: f"{word()}{rng.randint(1, 99)}{word()}", lambda: f"/{word()}/{word()}/{rng.randint(1, 9999)}.html", lambda: f"v{rng.randint(1, 20)}.{rng.randint(0, 20)}.{rng.randint(0, 200)}-rc{rng.randint(1, 9)}",
         lambda: f"{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}.{rng.randint(1, 255)}", lambda: f"{word().title()}-{rng.randint(1000, 99999)}", lambda: f"{pick(dig, 1, 3)}.{pick(dig, 3, 3)}.{pick(dig, 3, 3)}", lambda: f"{word()}_{word()}_{rng.randint(1, 999)}", lambda: f"ISBN-{pick(dig, 13, 13)}",
     )
@@ -221,11 +227,12 @@ def _made_up(seed: int, lines: int) -> list[tuple[str, list[tuple[int, int, bool
             text += " ".join(word() for _ in range(rng.randint(1, 4))) + rng.choice((" ", ", ", ". "))
             if rng.random() < 0.45:
                 named = rng.random() < 0.6
-                left = rng.choice(names) + rng.choice(("=", ": ", " = \"", "='", ": '", " ")) if named else ""
+                left = rng.choice(names) + rng.choice(("=", "=", ": ", " = \"", "='", ": '", " ", " is ", " was ", " => ", ":")) if named else ""
                 many = 2 if rng.random() < 0.1 else 1
                 text += left
                 for k in range(many):
-                    t = rng.choice(weak if left.strip() != left.rstrip("=: '\"") and rng.random() < 0.3 else secrets)()
+                    short = weak if left.strip() != left.rstrip("=: '\"") else said if left.endswith(("is ", "was ")) else ()
+                    t = rng.choice(short if short and rng.random() < 0.5 else secrets)()
                     spans.append((len(text), len(text) + len(t), k == 0))
                     text += t + (" " if k + 1 < many else "")
                 text += left[-1:] if left[-1:] in "\"'" else ""
@@ -290,7 +297,11 @@ def spans(text: str, field: Field) -> list[tuple[int, int, str]]:
 
 
 def scan(docs: DataFrame) -> DataFrame:
-    """doc_id and the spans' kinds, starts and ends (code points, end exclusive) of each row of docs. Null texts have none."""
+    """doc_id and the spans' kinds, starts and ends (code points, end exclusive) of each row of docs.
+
+    Null and empty texts have none. Very long texts count whole; repeated rows each have a row; an empty table has none. Of spans
+    that start together the kind as listed in KINDS comes first. Other columns of docs, whatever their names, are not read.
+    """
     bounded(docs.sparkSession)
     field = fitted()
     sent = docs.sparkSession.sparkContext.broadcast((field.names, field.emit, field.step))

@@ -4,12 +4,14 @@ The pages of a host are token streams of one template. Each page's stream is fir
 nested elements, text slots, and repeated groups where neighbouring squares of one to three items match. The host's expression
 (its wrapper) is then aligned with one page's after another: what matches is kept, text that differs becomes an open slot, and a
 mismatch is resolved by making the items that one side lacks optional, or by folding items that match their neighbour into a
-repeat. There are no alternatives, so any two wrappers align in one pass, and partial wrappers of the tasks merge likewise.
-
-A wrapper's items count the pages, characters and link characters they have seen. From these and from what elements say of
-themselves (nav, aside, class names and the like) each item is marked as main text or not; a page is read by walking it along
-its host's wrapper. Text slots that stay constant over a host's pages, PAGES or more, are its template's and not main text; where
-such text outweighs the open slots, the pages are copies of each other and it stays.
+repeat. What comes back at a third place of a list is an irregular repeat: one group, of which each round may have any of its
+items. There are no alternatives, so any two wrappers align in one pass, and partial wrappers of the tasks merge likewise.
+
+A wrapper's items count the pages, characters and link characters they have seen, and know whether their text was the same on
+all pages. What is constant on half of a host's pages, PAGES or more, is its template, be it a text slot, an element or a repeat,
+and not main text; open slots are the pages' own. Of these, what elements say of themselves (nav, aside, class names and the like) tells
+comments, related links and other changing parts from the article. A page is read by walking it along its host's wrapper. Where next to nothing
+is open, the pages are copies of each other and tell nothing of a template.
 """
 
 from __future__ import annotations
@@ -54,8 +56,10 @@ NOT_MAIN = _words(
 )
 MAIN = _words("article content main post entry story body text")
 PAGE_ONLY = _words("header banner")
-#: Pages of a host from which on text that none of them changes is its template's.
+#: Pages of a host from which on what none of them changes is its template.
 PAGES = 5
+#: Pages with this many times more constant text than open text are copies of each other.
+COPIES = 10
 
 
 class Element:
@@ -136,17 +140,22 @@ def parse(page: str) -> Element:
     return root
 
 
-# Expressions are lists: ["t", low, many, constant's digest or None, pages, chars, link chars], ["e", low, many, tag, key, marks,
-# items, pages, chars, link chars], ["g", low, many, items]. low is 0 for what is optional, many 1 for what repeats.
+# Expressions are lists: ["t", low, many, digest, pages, chars, link chars], ["e", low, many, tag, key, marks, items, pages, chars,
+# link chars, digest], ["g", low, many, items], ["b", low, many, items]. low is 0 for what is optional, many 1 for what repeats. A
+# "g" repeats its items in order, a "b" any of them. A digest is that of the text if all pages have the same, or else None.
 Item = list
 
 
 def label(x: Item):
-    return "t" if x[0] == "t" else (x[3], x[4]) if x[0] == "e" else ("g", *(label(y) for y in x[3]))
+    return x[0] if x[0] in "tb" else (x[3], x[4]) if x[0] == "e" else ("g", *(label(y) for y in x[3]))
+
+
+def _digest(text: str) -> int:
+    return zlib.crc32(text.encode("utf-8", "surrogatepass"))
 
 
 def from_page(e: Element, link: bool = False) -> Item:
-    items, chars, links = [], 0, 0
+    items, chars, links, own = [], 0, 0, []
     link = link or e.tag == "a"
     if e.tag not in ("script", "style"):
         for x in e.items:
@@ -154,30 +163,47 @@ def from_page(e: Element, link: bool = False) -> Item:
                 text = " ".join(x.split())
                 if text:
                     n = len(text)
-                    items.append(["t", 1, 0, zlib.crc32(text.encode("utf-8", "surrogatepass")), 1, n, n * link])
+                    own.append(_digest(text))
+                    items.append(["t", 1, 0, own[-1], 1, n, n * link])
                     chars += n
                     links += n * link
             else:
                 y = from_page(x, link)
                 items.append(y)
+                own.append(y[10])
                 chars += y[8]
                 links += y[9]
-    return ["e", 1, 0, e.tag, e.key, sorted(e.marks), folded(items), 1, chars, links]
+    return ["e", 1, 0, e.tag, e.key, sorted(e.marks), folded(items), 1, chars, links, _digest(str(own))]
 
 
 def merged(a: Item, b: Item, within: bool = False) -> Item:
-    """What both of two items with one label are. Within a page, or pages, the pages of both are at least those of either."""
+    """What both of two items with one label are. Within a page, or pages, the pages of both are at least those of either, and an element's
+    text is that of both, one after the other."""
     pages = max if within else int.__add__
     low, many = min(a[1], b[1]), max(a[2], b[2])
     if a[0] == "t":
         return ["t", low, many, a[3] if a[3] == b[3] else None, pages(a[4], b[4]), a[5] + b[5], a[6] + b[6]]
     if a[0] == "e":
-        return ["e", low, many, a[3], a[4], a[5], aligned(a[6], b[6], within), pages(a[7], b[7]), a[8] + b[8], a[9] + b[9]]
+        one = None if a[10] is None or b[10] is None else _digest(f"{a[10]},{b[10]}") if within else a[10] if a[10] == b[10] else None
+        return ["e", low, many, a[3], a[4], a[5], aligned(a[6], b[6], within), pages(a[7], b[7]), a[8] + b[8], a[9] + b[9], one]
+    if a[0] == "b":
+        return _bag([a, b], within)
     return ["g", low, many, [merged(x, y, within) for x, y in zip(a[3], b[3])]]
 
 
+def _bag(items: list[Item], within: bool) -> Item:
+    """An irregular repeat of items and of the items of groups among them."""
+    by: dict = {}
+    for x in flat(items):
+        key = label(x)
+        by[key] = merged(by[key], x, within) if key in by else [*x]
+    for x in by.values():
+        x[1], x[2] = 0, 1
+    return ["b", 1 if any(x[1] for x in items) else 0, 1, [by[k] for k in sorted(by, key=str)]]
+
+
 def folded(items: list[Item], most: int = 3) -> list[Item]:
-    """Neighbouring equal labels as one repeat, then squares of two or three items as repeated groups."""
+    """Neighbouring equal labels as one repeat, squares of two or three items as repeated groups, irregular repeats as bags."""
     if len(items) < 2:
         return items
     out: list[Item] = []
@@ -204,21 +230,23 @@ def folded(items: list[Item], most: int = 3) -> list[Item]:
                 labels[k:end] = [label(out[k])]
             else:
                 k += 1
-    if len(out) > 40:
-        # Too long to be a template: one repeated group in which each label is optional.
-        by: dict = {}
-        for x in flat(out):
-            key = label(x)
-            by[key] = merged(by[key], x, True) if key in by else x
-        for x in by.values():
-            x[1], x[2] = 0, 1
-        return [["g", 0, 1, [by[k] for k in sorted(by, key=str)]]]
+    while len(out) > 2:
+        # From the first place to the last of a label with three, or with one in a bag and one beside it.
+        places: dict = {}
+        for k, x in enumerate(out):
+            for key in {label(y) for y in flat([x])} | ({"b"} if x[0] == "b" else set()):
+                places.setdefault(key, []).append(k)
+        wide = [(p[-1] - p[0], p) for p in places.values() if len(p) > 2 or len(p) == 2 and any(out[k][0] == "b" for k in p)]
+        if not wide:
+            break
+        first, last = max(wide)[1][0], max(wide)[1][-1]
+        out[first : last + 1] = [_bag(out[first : last + 1], True)]
     return out
 
 
 def flat(items: list[Item]) -> Iterator[Item]:
     for x in items:
-        if x[0] == "g":
+        if x[0] in "gb":
             yield from flat(x[3])
         else:
             yield x
@@ -297,37 +325,41 @@ class Reader:
                 mains = [max(named, key=lambda x: x[8] - x[9])]
         self.regions = {id(x) for x in mains}
         self.has_region = bool(mains)
-        #: By element, the digests of its text slots that the pages hold constant.
+        #: By element, the digests of its text slots that the pages hold constant; the elements that they hold constant.
         self.constant: dict[int, set[int]] = {}
+        self.template: set[int] = set()
         if self.pages >= PAGES:
             held, free = self._slots(wrapper)
-            if held > free:  # pages that are copies of each other tell nothing of the template
-                self.constant = {}
+            if held > COPIES * free:
+                self.constant, self.template = {}, set()
 
     def _slots(self, x: Item) -> tuple[int, int]:
-        """Notes the slots that half of the pages and PAGES of them have and hold constant; characters of these and of all others."""
+        """Notes the slots and elements that half of the pages and PAGES of them have and hold constant; characters of these and of all others."""
         held = free = 0
         if x[0] == "e" and self.out.get(id(x), True):
             return 0, 0
         for y in x[6] if x[0] == "e" else x[3]:
-            if y[0] != "t":
-                more = self._slots(y)
-            elif y[3] is not None and y[4] >= max(PAGES, self.pages / 2):
-                self.constant.setdefault(id(x), set()).add(y[3])
-                more = y[5], 0
+            same = y[3] if y[0] == "t" else y[10] if y[0] == "e" else None
+            seen, chars = (y[4], y[5]) if y[0] == "t" else (y[7], y[8]) if y[0] == "e" else (0, 0)
+            if same is not None and chars and seen >= max(PAGES, self.pages / 2) and not (y[0] == "e" and self.out.get(id(y), True)):
+                if y[0] == "t":
+                    self.constant.setdefault(id(x), set()).add(same)
+                else:
+                    self.template.add(id(y))
+                more = chars, 0
             else:
-                more = 0, y[5]
+                more = (0, chars) if y[0] == "t" else self._slots(y)
             held, free = held + more[0], free + more[1]
         return held, free
 
     def _constants(self, x: Item) -> set[int]:
         """The constant slots of an element, those of its repeated groups among them."""
         found = set(self.constant.get(id(x), ()))
-        groups = [y for y in x[6] if y[0] == "g"]
+        groups = [y for y in x[6] if y[0] in "gb"]
         while groups:
             g = groups.pop()
             found |= self.constant.get(id(g), set())
-            groups += [y for y in g[3] if y[0] == "g"]
+            groups += [y for y in g[3] if y[0] in "gb"]
         return found
 
     def _mark(self, x: Item, top: bool) -> None:
@@ -369,7 +401,7 @@ class Reader:
             if x is None:
                 bad = e.tag in NEVER or bool(e.marks & NOT_MAIN)
             else:
-                bad = self.out.get(id(x), True) or whole and self._sparse(x)
+                bad = self.out.get(id(x), True) or id(x) in self.template or whole and self._sparse(x)
                 on = on or id(x) in self.regions
             if bad:
                 if e.tag not in INLINE:
@@ -385,7 +417,7 @@ class Reader:
             at = 0
             for y in e.items:
                 if isinstance(y, str):
-                    if known and zlib.crc32(" ".join(y.split()).encode("utf-8", "surrogatepass")) in known:
+                    if known and _digest(" ".join(y.split())) in known:
                         held.append(" ")
                     elif on:
                         held.append(y)
@@ -439,7 +471,8 @@ def extract(pages: DataFrame, scratch: Scratch | None = None) -> DataFrame:
     """page_id, url and main text of every row of pages, from its whole html.
 
     Blocks are joined by line ends in page order, white space in a block is one space, character references are decoded.
-    A null or empty html has the empty text. Pages without a url or host share one wrapper. Repeated rows each have a row.
+    A null or empty html has the empty text. Pages without a url or host share one wrapper. Repeated rows each have a row, and an
+    empty table none. Very long pages count whole. Columns of pages but page_id, url and html, whatever their names, are not read.
     """
     scratch = scratch or Scratch(pages.sparkSession, "wrappers")
     bounded(pages.sparkSession)
