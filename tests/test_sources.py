@@ -7,6 +7,7 @@ import pytest
 
 from codeloom.operators import quality, resolve, traverse
 from codeloom.sources import files
+from codeloom.sources.perl import pod, xs
 from codeloom.sources.perl.extract import extract
 from codeloom.streaming.sync import Snapshots, sync, watch
 
@@ -154,3 +155,66 @@ def test_details():
     clones = extract("d.pm", "sub a { my $x = shift; for my $i (1..3) { print $x + $i; } return $x }\nsub b { my $q = shift; for my $j (4..9) { print $q + $j; } return $q }\nsub c { my $q = shift; return $q . 'x' . 'y' }")
     dups = [n["metadata"].get("dup") for n in clones["nodes"] if n["kind"] == "function"]
     assert dups[0] == dups[1] != dups[2]
+
+
+def test_xs_sections_and_paragraphs():
+    text = """#include "perl.h"
+
+int
+helper(int a)
+{ return a; }
+
+MODULE = Acme::Calc    PACKAGE = Acme::Calc
+
+int
+add(a, b)
+    int a
+  CODE:
+    RETVAL = a + b;
+  OUTPUT:
+    RETVAL
+
+double
+square(x)
+    double x
+
+PACKAGE = Acme::Calc::More  PREFIX = more_
+
+char *
+more_name(self)
+  CODE:
+    if (self)
+call(self);
+
+BOOT:
+setup(aTHX);
+"""
+    packages, found = xs.functions(text)
+    assert packages == {"Acme::Calc": 7, "Acme::Calc::More": 21}
+    assert found == [("Acme::Calc", "add", 10), ("Acme::Calc", "square", 18), ("Acme::Calc::More", "name", 24)]
+    assert xs.functions("int\nf(a)\n") == ({}, [])
+
+
+def test_pod_names():
+    text = "code\n\n=head1 NAME\n\nX - y\n\n=head2 C<< run >>($x)\n\nRuns.\n\nTwice.\n\n=item B<I<stop>>\n\n=back\n\nlost\n\n=head2 run again\n\nother\n\n=cut\n\nsub f {}\n"
+    assert pod.docstrings(text) == {"NAME": "X - y", "run": "Runs.\n\nTwice."}
+
+
+@pytest.mark.parametrize("code,want", [
+    ("my $n = $c->param('n'); return run($n);", {"taint_out": [{"callee": "run", "method": 0, "arg": 1, "param": 2, "src": None}, {"callee": "run", "method": 0, "arg": 1, "param": None, "src": 1}]}),
+    ("my $cmd = $c->param('c'); my $two = \"x $cmd\"; system($two);", {"taint_flow": True, "sink_params": [2]}),
+    ("system('ls', '-l');", {}),
+    ("system(\"$ENV{SHELL} -c\");", {"taint_flow": True, "taint_source": "$ENV"}),
+    ("my $x = <STDIN>; $dbh->do($x);", {"taint_flow": True, "taint_source": "STDIN"}),
+    ("my ($x, $y) = @ARGV; exec($y);", {"taint_flow": True, "taint_source": "@ARGV"}),
+    ("my $q = $c; my $r = [$q]; $dbh->selectrow_array('select ?', $r); log_it(1, $r);", {"sink_params": [2], "taint_out": [{"callee": "log_it", "method": 0, "arg": 2, "param": 2, "src": None}]}),
+    ("# $ENV{X} only in words\nmy $n = 1; run($n);", {}),
+])
+def test_where_values_go(code, want):
+    nodes = extract("A.pm", f"package A;\nsub f ($self, $c) {{\n{code}\n}}\n1;\n")["nodes"]
+    found = next(n for n in nodes if n["name"] == "f")["metadata"]
+    got = {k: v for k, v in found.items() if k in ("taint_flow", "sink_params", "taint_out", "taint_source") and v}
+    if "taint_out" in got:
+        got["taint_out"] = [x for x in got["taint_out"] if x["callee"] not in ("param",)]
+        got = {k: v for k, v in got.items() if v}
+    assert got == want
