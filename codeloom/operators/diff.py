@@ -56,7 +56,7 @@ def review(g: CodeGraph, changes: DataFrame, depth: int = 25, wide: int = 5) ->
     """changes, symbols (callers, tests, untested, wide of each changed sub still there), affected (files). All subs in one traversal."""
     subs = g.nodes.where(F.col("kind").isin(*SUBS)).join(changes.where("change <> 'removed'").select("file", "qualified_name").withColumnRenamed("file", "file_path"), ["file_path", "qualified_name"], "left_semi")
     callers = g.links("calls").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers"))
-    reach = expand(g.links(*CALLS), subs.select(F.col("id").alias("root"), "id"), depth, "in", keys=("root",)).where("depth > 0")
+    reach = expand(g.walks(*CALLS), subs.select(F.col("id").alias("root"), "id"), depth, "in", keys=("root",)).where("depth > 0")
     tests = reach.join(g.nodes.where(F.col("file_path").endswith(".t")).select("id", "file_path"), "id").groupBy(F.col("root").alias("id")).agg(F.countDistinct("file_path").alias("tests"))
     out = subs.join(callers, "id", "left").join(tests, "id", "left").fillna(0, ["callers", "tests"])
     judged = C.is_public() & ~F.coalesce("metadata.accessor", F.lit(False))

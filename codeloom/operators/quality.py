@@ -11,6 +11,7 @@ from codeloom.functions import columns as C
 from codeloom.functions import vocabulary as V
 from codeloom.operators import resolve, traverse
 from codeloom.plans.graph import CALLS, CodeGraph, expand
+from codeloom.plans.scratch import Scratch
 
 CALLABLE = ("function", "method", "constant")
 
@@ -59,7 +60,7 @@ def hotspots(g: CodeGraph, limit: int = 15, depth: int = 50) -> dict[str, DataFr
     """fan_in (with each symbol's blast radius, all roots in one traversal), fan_out, packages (by their dependencies), complex."""
     name = g.nodes.where(F.col("kind").isin(*CALLABLE)).select("id", C.shown_name().alias("qualified_name"))
     top = top_fan_in(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
-    known = g.links(*CALLS).join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi")
+    known = Scratch(g.spark, "hotspots").save(g.walks(*CALLS).join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi"), "links")
     reach = expand(known, top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
     fan_in = top.join(reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("impact")), "id", "left").select("id", "qualified_name", "n", F.coalesce("impact", F.lit(0)).alias("impact"))
     fan_out = top_fan_out(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)

@@ -51,7 +51,7 @@ def parents(g: CodeGraph) -> DataFrame:
     return e.select("class", "parent", F.row_number().over(order).alias("pos"))
 
 
-def linearized(g: CodeGraph, classes: DataFrame | None = None, most: int = 64) -> DataFrame:
+def linearized(g: CodeGraph, classes: DataFrame | None = None) -> DataFrame:
     """class, pos (from 0), ancestor: each class's ancestry, depth first, left to right, each ancestor once.
 
     An ancestor stands where its least path of places leads, which is where a depth-first walk meets it; each step keeps only
@@ -63,7 +63,7 @@ def linearized(g: CodeGraph, classes: DataFrame | None = None, most: int = 64) -
         classes = g.nodes.where("kind in ('package', 'class')").select(F.col("qualified_name").alias("class")).where("`class` is not null").distinct()
     best = scratch.save(classes.select("class", F.col("class").alias("ancestor"), F.array().cast("array<int>").alias("path")), "best-0")
     front, k = best, 0
-    while k < most:
+    while True:
         met = front.join(up.withColumnRenamed("class", "of"), F.col("ancestor") == F.col("of")).select("class", F.col("parent").alias("ancestor"), F.concat("path", F.array("pos")).alias("path"))
         met = met.where("`class` <> ancestor").groupBy("class", "ancestor").agg(F.min("path").alias("path"))
         old = best.select("class", "ancestor", F.col("path").alias("had"))

@@ -80,21 +80,26 @@ def subgraph(g: CodeGraph, around: str | None = None, depth: int = 2) -> tuple[D
     if around is None:
         nodes = g.nodes.where("kind in ('function', 'method', 'package', 'class', 'route', 'constant')")
     else:
-        nodes = g.nodes.join(expand(g.links(*kinds), defs(g, around), depth, "both").select("id").distinct(), "id", "left_semi")
+        nodes = g.nodes.join(expand(g.walks(*kinds), defs(g, around), depth, "both").select("id").distinct(), "id", "left_semi")
     name = lambda side, col: nodes.select(F.col("id").alias(side), C.shown_name().alias(col))
     edges = g.links(*kinds).join(name("source", "from"), "source").join(name("target", "to"), "target")
     return nodes, edges.select("source", "target", "from", "to", "kind", "provenance").orderBy("from", "to", "kind", "source", "target")
 
 
-def affected(g: CodeGraph, files: list[str], tests_only: bool = False, depth: int = 25) -> DataFrame:
-    """Files that calls and references lead back to from changed ones, those included. A changed path may be a path's last part."""
-    place = F.col("file_path")
-    match = F.lit(False)
-    for f in files:
-        tail = f.removeprefix("./")
-        match = match | (place == f) | (place == tail) | place.endswith("/" + tail)
-    own = g.nodes.where("file_path is not null").where(match)
-    found = expand(g.links(*CALLS), own, depth, "in").where("depth > 0")
+def _of_files(g: CodeGraph, files: list[str] | DataFrame) -> DataFrame:
+    """The nodes of files, given by their paths or by the last parts of these: a join with all the last parts of each path."""
+    asked = files if isinstance(files, DataFrame) else g.spark.createDataFrame([(f,) for f in files], "path string")
+    asked = asked.select(F.regexp_replace("path", r"^\./", "").alias("asked")).unionByName(asked.select(F.col("path").alias("asked"))).distinct()
+    parts = F.split("file_path", "/")
+    lasts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda k: F.array_join(F.slice(parts, k, F.size(parts)), "/"))
+    paths = g.nodes.where("file_path is not null").select("file_path").distinct().select("file_path", F.explode(lasts).alias("asked"))
+    return g.nodes.join(paths.join(asked, "asked", "left_semi").select("file_path").distinct(), "file_path", "left_semi")
+
+
+def affected(g: CodeGraph, files: list[str] | DataFrame, tests_only: bool = False, depth: int = 25) -> DataFrame:
+    """Files that calls and references lead back to from changed ones (paths, or a table with path), those included. A changed path may be a path's last part."""
+    own = _of_files(g, files)
+    found = expand(g.walks(*CALLS), own, depth, "in").where("depth > 0")
     out = g.nodes.join(found.select("id").distinct(), "id", "left_semi").select("file_path").unionByName(own.select("file_path"))
     out = out.where("file_path is not null").distinct()
     return (out.where(F.col("file_path").endswith(".t")) if tests_only else out).orderBy("file_path")
@@ -102,13 +107,13 @@ def affected(g: CodeGraph, files: list[str], tests_only: bool = False, depth: in
 
 def covers(g: CodeGraph, symbol: str, depth: int = 25) -> DataFrame:
     """Test files that reach a symbol."""
-    found = expand(g.links(*CALLS), defs(g, symbol), depth, "in").where("depth > 0")
+    found = expand(g.walks(*CALLS), defs(g, symbol), depth, "in").where("depth > 0")
     return g.nodes.join(found.select("id").distinct(), "id", "left_semi").where(F.col("file_path").endswith(".t")).select("file_path").distinct().orderBy("file_path")
 
 
 def reached_by_tests(g: CodeGraph, depth: int = 50) -> DataFrame:
     """Ids that test files' nodes reach, theirs included."""
-    return expand(g.links(*CALLS), g.nodes.where(F.col("file_path").endswith(".t")), depth, "out").select("id").distinct()
+    return expand(g.walks(*CALLS), g.nodes.where(F.col("file_path").endswith(".t")), depth, "out").select("id").distinct()
 
 
 def route_handlers(g: CodeGraph) -> DataFrame:
@@ -128,7 +133,7 @@ def sinks(g: CodeGraph, depth: int = 40) -> DataFrame:
     """Sinks that each route's handler reaches, all routes in one traversal: route, sub, sink, name, dynamic, depth."""
     routes = route_handlers(g)
     # Depth counts levels looked at: the handler's is the first.
-    found = expand(g.links(*CALLS), routes.select("route", F.col("handler").alias("id")), depth - 1, "out", keys=("route",))
+    found = expand(g.walks(*CALLS), routes.select("route", F.col("handler").alias("id")), depth - 1, "out", keys=("route",))
     met = found.join(sink_sites(g), found["id"] == F.col("source")).join(g.nodes.select(F.col("id").alias("source"), C.shown_name().alias("sub")), "source")
     return met.select("route", "sub", "sink", "name", "dynamic", "depth")
 
@@ -159,7 +164,7 @@ def taint(g: CodeGraph, limit: int = 50, depth: int = 40) -> DataFrame:
     scratch = Scratch(g.spark, "taint")
     source = scratch.save(taint_sources(g), "sources")
     sites = scratch.save(sink_sites(g).where("dynamic").groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set(F.concat_ws(":", "sink", "name"))).alias("sinks")), "sites")
-    tree = expand(g.links(*CALLS), source.select(F.col("id").alias("root"), "id"), depth - 1, "out", keys=("root",), via=True)
+    tree = expand(g.walks(*CALLS), source.select(F.col("id").alias("root"), "id"), depth - 1, "out", keys=("root",), via=True)
     tree = scratch.save(tree, "tree")
     ends = tree.join(sites, "id").select("root", F.col("id").alias("sink_id"), "sinks", "id", "parent", F.array("id").alias("ids"))
     longest = ends.join(tree.select("root", "id", "depth"), ["root", "id"]).agg(F.max("depth")).first()[0] or 0

@@ -18,11 +18,15 @@ Table = DataFrame | Callable[[], DataFrame]
 
 
 class CodeGraph:
-    """Tables of one snapshot; see codeloom.plans.schema. Missing tables are empty; a table may be given as what makes it."""
+    """Tables of one snapshot; see codeloom.plans.schema. Missing tables are empty; a table may be given as what makes it.
 
-    def __init__(self, nodes: Table, edges: Table, refs: Table | None = None, files: Table | None = None, embeddings: Table | None = None, resolutions: Table | None = None, spark: SparkSession | None = None):
+    stored says that the tables are read from files as they are, so that a traversal may read them at each level.
+    """
+
+    def __init__(self, nodes: Table, edges: Table, refs: Table | None = None, files: Table | None = None, embeddings: Table | None = None, resolutions: Table | None = None, spark: SparkSession | None = None, stored: bool = False):
         self._tables = {"nodes": nodes, "edges": edges, "refs": refs, "files": files, "embeddings": embeddings, "resolutions": resolutions}
-        self._spark = spark
+        self._spark, self.stored = spark, stored
+        self._walks: dict[tuple[str, ...], DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
         found = self._tables[name]
@@ -50,12 +54,21 @@ class CodeGraph:
         """Edges of these kinds that have both ends."""
         return self.edges.where(F.col("kind").isin(*kinds) & F.col("source").isNotNull() & F.col("target").isNotNull())
 
+    def walks(self, *kinds: str) -> DataFrame:
+        """links() for traversals. Where the edges are computed, not stored, they are written once for all traversals of this graph."""
+        if self.stored:
+            return self.links(*kinds)
+        if kinds not in self._walks:
+            self._walks[kinds] = Scratch(self.spark, "walks").save(self.links(*kinds).select("source", "target", "kind", "edge_ord"), "links")
+        return self._walks[kinds]
+
 
 def expand(links: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", seeds_seen: bool = True, keys: tuple[str, ...] = (), via: bool = False) -> DataFrame:
     """Breadth-first levels from seeds (id, and keys such as root): rows (keys, id, depth), seeds at depth 0.
 
-    A step joins the frontier with the links, keeps one row per new (keys, id) and drops what earlier levels hold; each level
-    is a written table, so that a plan never grows with the depth and a lost executor costs one level. With seeds_seen False a
+    A step joins the frontier with the links (a stored table, see CodeGraph.walks; a small frontier is broadcast), keeps one row
+    per new (keys, id) and drops what earlier levels hold; each level is a written table, so that a plan never grows with the depth
+    and a lost executor costs one level. With seeds_seen False a
     seed may be found again, at its distance along a cycle, and then has that row too. With via, rows also carry the row that
     found them: parent, its place in the order of discovery and the link's kind; of several, the least parent order and then the
     least edge_ord counts. direction is out, in or both.
@@ -65,7 +78,7 @@ def expand(links: DataFrame, seeds: DataFrame, max_depth: int, direction: str =
     hop = links.select(F.col("source").alias("_a"), F.col("target").alias("_b"), F.col("kind").alias("_k"), F.coalesce(F.col("edge_ord"), F.lit(0)).alias("_o"))
     back = hop.select(F.col("_b").alias("_a"), F.col("_a").alias("_b"), "_k", "_o")
     hop = {"out": hop, "in": back, "both": hop.unionByName(back)}[direction]
-    hop = scratch.save(hop if via else hop.select("_a", "_b").distinct(), "links")
+    hop = hop if via else hop.select("_a", "_b")
     by = [*keys, "id"]
     extra = [F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")] if via else []
     front = scratch.save(seeds.select(*by).distinct().select(*by, F.lit(0).alias("depth"), *extra), "level-0")

@@ -27,7 +27,7 @@ SHOWN = "coalesce(qualified_name, name, '')"
 def query(name: str, sql: str | None = None, recursive: bool = False, bare: bool = False):
     """Registers a query, and its SQL behind the projection's CTEs."""
     def add(f: Callable[[CodeGraph, SparkSession, str], DataFrame]):
-        QUERIES[name] = lambda spark, sf_dir: f(star.graph(spark, sf_dir, whole=sql is None), spark, sf_dir)
+        QUERIES[name] = lambda spark, sf_dir: f(star.graph(spark, sf_dir), spark, sf_dir)
         if sql:
             SQL[name] = sql if bare else f"WITH {'RECURSIVE ' * recursive}{star.SQL.strip()}{sql}"
         return f
@@ -83,10 +83,10 @@ query("smells_long_params", f"""{_CROSS}
 SELECT id, qualified_name, len(string_split(signature, ','))::INT AS n FROM own WHERE signature IS NOT NULL AND len(string_split(signature, ',')) >= 5 ORDER BY n DESC, qualified_name, id LIMIT 20""")(
     lambda g, s, d: quality.long_parameters(g).select("id", "qualified_name", "n"))
 query("hotspots", """
-, top AS (SELECT target AS id, count(*) AS n FROM links GROUP BY 1 ORDER BY n DESC, id LIMIT 9),
-known AS (SELECT t.id, t.n, qualified_name FROM top t JOIN nodes USING (id) WHERE kind IN ('function', 'method', 'constant') ORDER BY n DESC, t.id LIMIT 3),
-walk AS (SELECT DISTINCT k.id AS root, source AS id, 1 AS depth FROM known k JOIN links ON target = k.id UNION SELECT root, source, depth + 1 FROM walk JOIN links ON target = walk.id WHERE depth < 2)
-SELECT k.id, any_value(qualified_name) AS qualified_name, any_value(n) AS n, count(DISTINCT walk.id) AS impact FROM known k LEFT JOIN walk ON root = k.id GROUP BY 1""", recursive=True)(lambda g, s, d: quality.hotspots(g, limit=3, depth=2)["fan_in"])
+, top AS (SELECT target AS id, count(*) AS n FROM links GROUP BY 1 ORDER BY n DESC, id LIMIT 45),
+known AS (SELECT t.id, t.n, qualified_name FROM top t JOIN nodes USING (id) WHERE kind IN ('function', 'method', 'constant') ORDER BY n DESC, t.id LIMIT 15),
+walk AS (SELECT DISTINCT k.id AS root, source AS id FROM known k JOIN links ON target = k.id UNION SELECT root, source FROM walk JOIN links ON target = walk.id)
+SELECT k.id, any_value(qualified_name) AS qualified_name, any_value(n) AS n, count(DISTINCT walk.id) AS impact FROM known k LEFT JOIN walk ON root = k.id GROUP BY 1""", recursive=True)(lambda g, s, d: quality.hotspots(g)["fan_in"])
 query("tidy", f"""
 , pk AS (SELECT id, {PKG.format(SHOWN)} AS p FROM nodes)
 SELECT 'unused' AS bucket, qualified_name AS symbol, 1::BIGINT AS n FROM nodes n WHERE kind = 'function' AND NOT coalesce(is_exported, false) AND NOT EXISTS (SELECT 1 FROM links WHERE target = n.id) AND name NOT IN (SELECT reference_name FROM refs)
@@ -117,39 +117,77 @@ query("search_phrase", r"""
 SELECT doc_id FROM toks WHERE contains(t, ' of the ')""")(lambda g, s, d: s.read.parquet(f"{d}/documents.parquet").where(C.has_phrase(F.col("text"), "of THE")).select("doc_id"))
 SQL["search_phrase"] = SQL["search_phrase"].replace(star.SQL.strip() + "\n, toks", "toks", 1)
 
+# Lookups by keys: an id, a file, kinds, names, a place.
+_ASKED = "SELECT id FROM nodes WHERE file_path = 'lib/ASIA.pm'"
+_PLACE = "(SELECT file_path FROM nodes WHERE id = 'P1')"
+_AT = f"\n, hit AS (SELECT e.target, e.line FROM calls e JOIN nodes n ON n.id = e.source WHERE n.file_path = {_PLACE} AND e.line = 11)"
+_LINES = ", calls AS (SELECT 'P' || a AS source, 'P' || b AS target, (a * 10 + 1)::INT AS line FROM lead_)"
+
+
+def _asked(g: CodeGraph) -> DataFrame:
+    return g.nodes.where("file_path = 'lib/ASIA.pm'").select("id")
+
+
+def _place(g: CodeGraph) -> str:
+    return g.nodes.where("id = 'P1'").select("file_path").first().file_path
+
+
+query("node_by_id", "\nSELECT id, kind, qualified_name, file_path FROM nodes WHERE id = 'P7'")(lambda g, s, d: lookup.node(g, "P7").select("id", "kind", "qualified_name", "file_path"))
+query("nodes_by_qualified_name", "\nSELECT id, name FROM nodes WHERE qualified_name = 'ASIA'")(lambda g, s, d: lookup.nodes_by_qualified_name(g, "ASIA").select("id", "name"))
+query("nodes_in_file", "\nSELECT id, name FROM nodes WHERE file_path = 'lib/ASIA.pm'")(lambda g, s, d: lookup.nodes_in_file(g, "lib/ASIA.pm").select("id", "name"))
+query("nodes_of_kinds", "\nSELECT id, kind, name FROM nodes WHERE kind IN ('class', 'route')")(lambda g, s, d: lookup.all_nodes(g, "class", "route").select("id", "kind", "name"))
+query("outgoing_edges", f"\nSELECT source, target, kind FROM edges WHERE kind IN ('contains', 'imports') AND source IN ({_ASKED})")(lambda g, s, d: lookup.outgoing(g, _asked(g), "contains", "imports").select("source", "target", "kind"))
+query("incoming_edges", f"\nSELECT source, target, kind FROM edges WHERE target IN ({_ASKED})")(lambda g, s, d: lookup.incoming(g, _asked(g)).select("source", "target", "kind"))
+query("edges_of_kind", "\nSELECT source, target, provenance FROM edges WHERE kind IN ('extends', 'imports')")(lambda g, s, d: lookup.edges_of_kind(g, "extends", "imports").select("source", "target", "provenance"))
+query("node_names", f"\nSELECT id, qualified_name FROM nodes WHERE id IN ({_ASKED})")(lambda g, s, d: lookup.node_names(g, _asked(g)))
+query("callables_by_name", "\nSELECT id, name FROM nodes WHERE kind IN ('function', 'method') AND name IN (SELECT reference_name FROM refs)")(lambda g, s, d: lookup.callables_by_name(g, g.refs.select(F.col("reference_name").alias("name"))).select("id", "name"))
+query("file_paths", "\nSELECT DISTINCT file_path AS path FROM nodes")(lambda g, s, d: lookup.file_paths(g))
+query("node_file_paths", "\nSELECT DISTINCT file_path FROM nodes WHERE file_path IS NOT NULL")(lambda g, s, d: lookup.node_file_paths(g))
+query("unresolved_names", "\nSELECT DISTINCT reference_name FROM refs")(lambda g, s, d: lookup.unresolved_names(g))
+query("qualified_names", "\nSELECT DISTINCT qualified_name FROM nodes WHERE kind IN ('package', 'class')")(lambda g, s, d: lookup.qualified_names(g, "package", "class"))
+query("edges_at", f"{_LINES}{_AT}\nSELECT target, line FROM hit")(lambda g, s, d: lookup.edges_at(g, _place(g), 11).select("target", "line"))
+query("definition_at", f"{_LINES}{_AT}\nSELECT id, qualified_name FROM nodes WHERE id IN (SELECT target FROM hit)")(lambda g, s, d: lookup.definition_at(g, _place(g), 11).select("id", "qualified_name"))
+query("node_at_start", f"\nSELECT id FROM nodes WHERE file_path = {_PLACE} AND start_line = 10 ORDER BY length({SHOWN}) DESC, id LIMIT 1")(lambda g, s, d: lookup.node_at_start(g, _place(g), 10).select("id"))
+query("symbol_at", f"\nSELECT id FROM nodes WHERE file_path = {_PLACE} AND start_line = 10 ORDER BY length({SHOWN}) DESC, id LIMIT 1")(lambda g, s, d: lookup.symbol_at(g, _place(g), 10).select("id"))
+query("references_at", f"""{_LINES}, every AS (SELECT source, target, line FROM calls UNION ALL SELECT e.source, e.target, NULL FROM edges e WHERE kind IN ('calls', 'references') AND target IS NOT NULL AND (e.source, e.target, e.kind) NOT IN (SELECT source, target, 'calls' FROM calls))
+SELECT n.file_path AS file, e.line, {SHOWN.replace('qualified_name', 'n.qualified_name').replace(' name', ' n.name')} AS caller FROM every e JOIN nodes n ON n.id = e.source
+WHERE e.target = (SELECT id FROM nodes WHERE file_path = {_PLACE} AND start_line = 10 ORDER BY length({SHOWN}) DESC, id LIMIT 1)""")(lambda g, s, d: lookup.references_at(g, _place(g), 10).select("file", "line", "caller"))
+query("normalised_vectors", """SELECT 'V' || vec_id AS node_id, round(embedding[1]::DOUBLE / sqrt(list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[])), 5) AS first FROM embeddings WHERE list_inner_product(embedding::DOUBLE[], embedding::DOUBLE[]) > 0""", bare=True)(
+    lambda g, s, d: g.embeddings.where(semantic.dot(F.col("vec"), F.col("vec")) > 0).select("node_id", F.round(F.element_at(semantic.normalise(F.col("vec")), 1), 5).alias("first")))
+
 # Traversals.
 
 query("callees", f"\nSELECT n.id, n.qualified_name, e.provenance FROM edges e JOIN nodes s ON s.id = e.source AND s.name = '{PART}' JOIN nodes n ON n.id = e.target WHERE e.kind = 'calls'")(lambda g, s, d: traverse.callees(g, PART).select("id", "qualified_name", "provenance"))
 query("callers", f"\nSELECT n.id, n.qualified_name, e.provenance FROM edges e JOIN nodes t ON t.id = e.target AND t.name = '{PART}' JOIN nodes n ON n.id = e.source WHERE e.kind = 'calls'")(lambda g, s, d: traverse.callers(g, PART).select("id", "qualified_name", "provenance"))
 query("impact", """
-, walk AS (SELECT DISTINCT source AS id, 1 AS depth FROM links WHERE target = 'P1' UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 4)
-SELECT id, min(depth)::INT AS depth FROM walk GROUP BY 1""", recursive=True)(lambda g, s, d: traverse.impact(g, PART, depth=4).select("id", "depth"))
+, walk AS (SELECT DISTINCT source AS id, 1 AS depth FROM links WHERE target = 'P1' UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 5)
+SELECT id, min(depth)::INT AS depth FROM walk GROUP BY 1""", recursive=True)(lambda g, s, d: traverse.impact(g, PART).select("id", "depth"))
 query("covers", """
-, walk AS (SELECT 'S1' AS id, 0 AS depth UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 3)
-SELECT DISTINCT file_path FROM walk JOIN nodes USING (id) WHERE depth > 0 AND file_path LIKE '%.t'""", recursive=True)(lambda g, s, d: traverse.covers(g, SUPPLIER, depth=3))
+, walk AS (SELECT 'S1' AS id, 0 AS depth UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 25)
+SELECT DISTINCT file_path FROM walk JOIN nodes USING (id) WHERE depth > 0 AND file_path LIKE '%.t'""", recursive=True)(lambda g, s, d: traverse.covers(g, SUPPLIER))
 query("affected", """
-, walk AS (SELECT id, 0 AS depth FROM nodes WHERE file_path = 'lib/ASIA.pm' UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 2)
-SELECT DISTINCT file_path FROM walk JOIN nodes USING (id)""", recursive=True)(lambda g, s, d: traverse.affected(g, ["ASIA.pm"], depth=2))
+, walk AS (SELECT id, 0 AS depth FROM nodes WHERE file_path = 'lib/ASIA.pm' UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 25)
+SELECT DISTINCT file_path FROM walk JOIN nodes USING (id)""", recursive=True)(lambda g, s, d: traverse.affected(g, ["ASIA.pm"]))
 query("untested", f"""
-, walk AS (SELECT id, 0 AS depth FROM nodes WHERE file_path LIKE '%.t' UNION SELECT target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 2)
+, walk AS (SELECT id, 0 AS depth FROM nodes WHERE file_path LIKE '%.t' UNION SELECT target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 50)
 SELECT DISTINCT n.id FROM edges e JOIN nodes p ON p.id = e.source AND p.kind IN ('package', 'class') JOIN nodes n ON n.id = e.target
-WHERE e.kind = 'contains' AND n.kind IN ('function', 'method') AND {PUBLIC.replace('is_exported', 'n.is_exported').replace('visibility', 'n.visibility')} AND n.id NOT IN (SELECT id FROM walk)""", recursive=True)(lambda g, s, d: quality.untested(g, depth=2).select("id"))
+WHERE e.kind = 'contains' AND n.kind IN ('function', 'method') AND {PUBLIC.replace('is_exported', 'n.is_exported').replace('visibility', 'n.visibility')} AND n.id NOT IN (SELECT id FROM walk)""", recursive=True)(lambda g, s, d: quality.untested(g).select("id"))
 query("subgraph", """
 , e3 AS (SELECT source, target, kind, provenance FROM edges WHERE kind IN ('calls', 'references', 'extends') AND target IS NOT NULL),
-walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT CASE WHEN source = walk.id THEN target ELSE source END, depth + 1 FROM e3 JOIN walk ON source = walk.id OR target = walk.id WHERE depth < 1),
+walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT CASE WHEN source = walk.id THEN target ELSE source END, depth + 1 FROM e3 JOIN walk ON source = walk.id OR target = walk.id WHERE depth < 2),
 kept AS (SELECT DISTINCT id, coalesce(qualified_name, name, '') AS n FROM walk JOIN nodes USING (id))
-SELECT source, target, a.n AS "from", b.n AS "to", kind, provenance FROM e3 JOIN kept a ON a.id = source JOIN kept b ON b.id = target""", recursive=True)(lambda g, s, d: traverse.subgraph(g, PART, depth=1)[1])
+SELECT source, target, a.n AS "from", b.n AS "to", kind, provenance FROM e3 JOIN kept a ON a.id = source JOIN kept b ON b.id = target""", recursive=True)(lambda g, s, d: traverse.subgraph(g, PART)[1])
 query("path_length", """
 , walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 12)
 SELECT min(depth)::BIGINT AS hops FROM walk WHERE id = 'S2'""", recursive=True)(lambda g, s, d: traverse.path(g, PART, "s2").agg(F.max("hop").cast("long").alias("hops")))
 query("bfs_levels", """
 , walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 3)
 SELECT depth, count(*) AS n FROM (SELECT id, min(depth)::INT AS depth FROM walk GROUP BY 1) GROUP BY 1""", recursive=True)(
-    lambda g, s, d: expand(g.links(*CALLS), traverse.defs(g, PART), 3, "in").groupBy("depth").agg(F.count("*").alias("n")))
+    lambda g, s, d: expand(g.walks(*CALLS), traverse.defs(g, PART), 3, "in").groupBy("depth").agg(F.count("*").alias("n")))
 query("sinks", """
 , sites AS (SELECT source, sink, sink_name, bool_or(dynamic) AS dynamic FROM edges WHERE kind = 'sink' GROUP BY ALL),
-walk AS (SELECT e.source AS route, e.target AS id, 0 AS depth FROM edges e WHERE via = 'route' UNION SELECT route, target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 1)
-SELECT route, n.qualified_name AS sub, sink, sink_name AS name, dynamic, min(depth)::INT AS depth FROM walk JOIN sites ON sites.source = walk.id JOIN nodes n ON n.id = walk.id GROUP BY ALL""", recursive=True)(lambda g, s, d: traverse.sinks(g, depth=2))
+walk AS (SELECT e.source AS route, e.target AS id, 0 AS depth FROM edges e WHERE via = 'route' UNION SELECT route, target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 39)
+SELECT route, n.qualified_name AS sub, sink, sink_name AS name, dynamic, min(depth)::INT AS depth FROM walk JOIN sites ON sites.source = walk.id JOIN nodes n ON n.id = walk.id GROUP BY ALL""", recursive=True)(lambda g, s, d: traverse.sinks(g))
 query("taint_sources", """
 , r AS (SELECT e.target AS id, 0 AS k, 'endpoint' AS source_kind, n.name AS detail FROM edges e JOIN nodes n ON n.id = e.source WHERE via = 'route' UNION ALL SELECT id, 2, 'external', taint_source FROM nodes WHERE taint_source IS NOT NULL)
 SELECT id, arg_min(source_kind, (k, detail)) AS source_kind, arg_min(detail, (k, detail)) AS detail FROM r GROUP BY 1""")(lambda g, s, d: traverse.taint_sources(g))
@@ -211,10 +249,10 @@ query("check_calls")(lambda g, s, d: quality.check_calls(g))
 
 query("churn", "\nSELECT file, count(DISTINCT commit_id) AS churn FROM commits GROUP BY 1")(lambda g, s, d: history.churn(star.commits(s, d)))
 query("cochange", """
-, size AS (SELECT commit_id FROM commits GROUP BY 1 HAVING count(*) <= 8), own AS (SELECT commit_id, file FROM commits SEMI JOIN size USING (commit_id)),
+, size AS (SELECT commit_id FROM commits GROUP BY 1 HAVING count(*) <= 25), own AS (SELECT commit_id, file FROM commits SEMI JOIN size USING (commit_id)),
 n AS (SELECT file, count(*) AS n FROM own GROUP BY 1), p AS (SELECT x.file AS a, y.file AS b, count(*) AS support FROM own x JOIN own y USING (commit_id) WHERE x.file < y.file GROUP BY ALL HAVING count(*) >= 2)
 SELECT a, b, support, support / (x.n + y.n - support) AS coupling FROM p JOIN n x ON x.file = a JOIN n y ON y.file = b ORDER BY coupling DESC, support DESC, a, b LIMIT 15""")(
-    lambda g, s, d: history.cochange(star.commits(s, d), min_support=2, max_files=8).drop("linked"))
+    lambda g, s, d: history.cochange(star.commits(s, d), min_support=2, max_files=25).drop("linked"))
 
 
 def _part_commits(s: SparkSession, d: str) -> DataFrame:

@@ -93,15 +93,14 @@ def _trade(spark: SparkSession, sf_dir: str) -> DataFrame:
     return total.withColumn("k", F.row_number().over(best)).where("k <= 2").select("src", "dst")
 
 
-def edges(spark: SparkSession, sf_dir: str, whole: bool = False) -> DataFrame:
-    """Without whole, the tests are those of SQL below: of the first 200 customers only."""
+def edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     nation, part, supplier = (_table(spark, sf_dir, t) for t in ("nation", "part", "supplier"))
     line, orders, customer = (_table(spark, sf_dir, t) for t in ("lineitem", "orders", "customer"))
     key = lambda letter, col: F.concat(F.lit(letter), F.col(col).cast("string"))
     k = lambda x: F.lit(x).alias("kind")
     to = lambda a, b: (a.alias("source"), b.alias("target"))
     static = F.lit("static").alias("provenance")
-    tests = line.select("l_orderkey", "l_partkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(customer.where("c_mktsegment = 'BUILDING'" + " and c_custkey <= 200" * (not whole)).select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
+    tests = line.select("l_orderkey", "l_partkey").join(orders.select("o_orderkey", "o_custkey"), F.col("l_orderkey") == F.col("o_orderkey")).join(customer.where("c_mktsegment = 'BUILDING'").select("c_custkey"), F.col("o_custkey") == F.col("c_custkey"))
     rows = [
         nation.select(*to(key("R", "n_regionkey"), key("N", "n_nationkey")), k("contains"), static),
         supplier.select(*to(key("N", "s_nationkey"), key("S", "s_suppkey")), k("contains"), static),
@@ -134,10 +133,10 @@ def embeddings(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _table(spark, sf_dir, "embeddings").select(F.concat(F.lit("V"), F.col("vec_id")).alias("node_id"), F.size("embedding").alias("dim"), F.col("embedding").alias("vec"))
 
 
-def graph(spark: SparkSession, sf_dir: str, whole: bool = False) -> CodeGraph:
+def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
     """The projection; a table of it is built when a query first reads it."""
     return CodeGraph(
-        lambda: nodes(spark, sf_dir), lambda: edges(spark, sf_dir, whole), lambda: refs(spark, sf_dir),
+        lambda: nodes(spark, sf_dir), lambda: edges(spark, sf_dir), lambda: refs(spark, sf_dir),
         lambda: _shaped(nodes(spark, sf_dir).groupBy(F.col("file_path").alias("path")).agg(F.count("*").cast("int").alias("node_count")), S.FILES), lambda: embeddings(spark, sf_dir), spark=spark,
     )
 
@@ -181,7 +180,7 @@ edges AS (
   UNION ALL SELECT 'N' || s_nationkey, 'S' || s_suppkey, 'contains', 'static', NULL, NULL, NULL, NULL FROM supplier
   UNION ALL SELECT 'B::' || p_brand || '::' || p_type, 'P' || p_partkey, 'contains', 'static', NULL, NULL, NULL, NULL FROM part
   UNION ALL SELECT 'P' || a, 'P' || b, 'calls', 'static', NULL, NULL, NULL, NULL FROM lead_
-  UNION ALL SELECT DISTINCT 'C' || c_custkey, 'P' || l_partkey, 'calls', 'static', NULL, NULL, NULL, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING' AND c_custkey <= 200
+  UNION ALL SELECT DISTINCT 'C' || c_custkey, 'P' || l_partkey, 'calls', 'static', NULL, NULL, NULL, NULL FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey WHERE c_mktsegment = 'BUILDING'
   UNION ALL SELECT DISTINCT 'P' || l_partkey, 'S' || l_suppkey, 'references', 'heuristic', NULL, NULL, NULL, NULL FROM lineitem WHERE l_linenumber = 1
   UNION ALL SELECT 'N' || src, 'N' || dst, 'imports', 'static', NULL, NULL, NULL, NULL FROM trade
   UNION ALL SELECT 'N' || n_nationkey, 'N' || (n_nationkey // 2), 'extends', 'inferred', NULL, NULL, NULL, NULL FROM nation WHERE n_nationkey > 0

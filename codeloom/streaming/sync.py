@@ -26,6 +26,8 @@ class Change:
     changed: list[str]
     deleted: list[str]
     dependents: list[str]
+    #: A table of all new and changed paths, however many.
+    touched: DataFrame | None = None
 
     def event(self, affected_tests: list[str]) -> str:
         return json.dumps({"added": self.added, "changed": self.changed, "deleted": self.deleted, "affected_tests": affected_tests})
@@ -54,7 +56,7 @@ def sync(g: CodeGraph, sources: DataFrame, call_sites: DataFrame | None = None,
 
     sources is the whole tree; with partial only some files of it, none of which is deleted. Files whose digest or extraction
     version differs are read again, and so are the files that point into changed or deleted ones, so that references to what
-    is gone come open again. Without a change nothing is resolved. Paths are reported, up to limit_paths.
+    is gone come open again. Without a change nothing is resolved. Paths are reported, up to limit_paths of a kind; Change.touched holds all that are new or changed.
     """
     scratch = Scratch(g.spark, "sync")
     now = scratch.save(sources.select("path", F.sha1("content").alias("hash"), F.lit(files.EXTRACTION_VERSION).alias("extraction_version")), "now")
@@ -88,7 +90,7 @@ def sync(g: CodeGraph, sources: DataFrame, call_sites: DataFrame | None = None,
         gone = touched.select(F.col("path").alias("file")).unionByName(again.select(F.col("path").alias("file"))).distinct()
         call_sites = scratch.save(call_sites.join(gone, "file", "left_anti").unionByName(got["call_sites"].select(*call_sites.columns)), "sites")
     told = {s: [r.path for r in touched.where(F.col("state") == s).orderBy("path").limit(limit_paths).collect()] for s in ("added", "changed", "deleted")}
-    return resolve.resolve_all(new), call_sites, Change(**told, dependents=[r.path for r in near.orderBy("path").limit(limit_paths).collect()])
+    return resolve.resolve_all(new), call_sites, Change(**told, dependents=[r.path for r in near.orderBy("path").limit(limit_paths).collect()], touched=touched.where("state <> 'deleted'").select("path"))
 
 
 class Snapshots:
@@ -137,7 +139,7 @@ class Snapshots:
         table = lambda n: self.spark.read.parquet(f"{self.root}/{version}/{n}")
         jvm, fs = self._fs()
         sites = table("call_sites") if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}/call_sites")) else None
-        return CodeGraph(*(table(n) for n in ("nodes", "edges", "refs", "files", "embeddings", "resolutions"))), sites
+        return CodeGraph(*(table(n) for n in ("nodes", "edges", "refs", "files", "embeddings", "resolutions")), stored=True), sites
 
 
 def watch(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callable[[str], None], interval: str = "2 seconds", available_now: bool = False):
@@ -157,7 +159,7 @@ def watch(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callab
         new, sites, change = sync(g, sources, sites, partial=True)
         if change.added or change.changed:
             snapshots.write(new, sites, f"batch {batch_id}")
-            tests = [r.file_path for r in traverse.affected(new, change.added + change.changed, tests_only=True).collect()]
+            tests = [r.file_path for r in traverse.affected(snapshots.read()[0], change.touched, tests_only=True).collect()]
             on_event(change.event(tests))
 
     stream = spark.readStream.format("binaryFile").schema(schema).option("recursiveFileLookup", True).option("pathGlobFilter", "*.{pl,pm,t,psgi,pod,xs}").load(root)
