@@ -207,7 +207,7 @@ def test_queries_without_sql_walk_to_the_operators_depth(spark, monkeypatch):
     assert depths == [{}]
 
 
-def test_queries_without_sql_have_the_tests_of_all_customers(spark, monkeypatch):
+def test_queries_have_the_tests_of_all_customers(spark, monkeypatch):
     from codeloom.plans import queries, star
 
     sf = "/root/testdata/sf0.01"
@@ -217,5 +217,5 @@ def test_queries_without_sql_have_the_tests_of_all_customers(spark, monkeypatch)
     queries.QUERIES["metrics"](spark, sf)
     orders = spark.read.parquet(f"{sf}/orders.parquet").join(spark.read.parquet(f"{sf}/lineitem.parquet"), F.expr("o_orderkey = l_orderkey"))
     want = orders.join(spark.read.parquet(f"{sf}/customer.parquet").where("c_mktsegment = 'BUILDING'"), F.expr("o_custkey = c_custkey"))
-    assert tests(seen[0]) == {f"C{r.c_custkey}" for r in want.select("c_custkey").distinct().collect()}
-    assert tests(star.graph(spark, sf)) < tests(seen[0])
+    want = {f"C{r.c_custkey}" for r in want.select("c_custkey").distinct().collect()}
+    assert tests(seen[0]) == tests(star.graph(spark, sf)) == want
