@@ -251,12 +251,16 @@ def metrics(g: CodeGraph) -> DataFrame:
 
 
 def overview(g: CodeGraph, limit: int = 12) -> dict[str, DataFrame]:
-    """Tables to find one's way by: kinds, provenance, scripts, central, namespaces, inherited."""
+    """Tables to find one's way by: totals (one row), kinds, provenance, scripts, routes with their handlers, central, namespaces, inherited."""
+    count = lambda df, n: df.agg(F.count("*").alias(n))
+    totals = reduce(lambda a, b: a.crossJoin(b), [count(g.files, "files"), count(g.nodes, "nodes"), count(g.edges, "edges"), count(g.refs, "unresolved")])  # one row each
+    handler = g.nodes.select(F.col("id").alias("handler"), C.shown_name().alias("handler_name"))
+    routes = traverse.route_handlers(g).join(handler, "handler", "left").select("route", "route_name", "handler", "handler_name").orderBy("route_name", "route")
     name = g.nodes.select("id", C.shown_name().alias("qualified_name"), "kind")
     central = top_fan_in(g, 3 * limit).join(name.where(F.col("kind").isin(*CALLABLE)), "id").select("id", "qualified_name", F.col("n").alias("callers")).orderBy(F.desc("callers"), "id").limit(limit)
     scripts = g.nodes.where("kind = 'file'").where(F.col("file_path").rlike(r"\.(pl|psgi)$")).select("file_path").distinct().orderBy("file_path")
     inherited = most_subclassed(g, limit).join(name, "id").select("id", "qualified_name", F.col("n").alias("subclasses")).orderBy(F.desc("subclasses"), "id")
-    return {"kinds": kind_counts(g), "provenance": provenance_counts(g), "scripts": scripts, "central": central, "namespaces": namespaces(g, limit), "inherited": inherited}
+    return {"totals": totals, "kinds": kind_counts(g), "provenance": provenance_counts(g), "scripts": scripts, "routes": routes, "central": central, "namespaces": namespaces(g, limit), "inherited": inherited}
 
 
 def tidy(g: CodeGraph) -> DataFrame:

@@ -96,6 +96,10 @@ query("metrics")(lambda g, s, d: quality.metrics(g))
 query("overview_central", """
 , top AS (SELECT target AS id, count(*) AS callers FROM links GROUP BY 1 ORDER BY callers DESC, id LIMIT 36)
 SELECT id, qualified_name, callers FROM top JOIN nodes USING (id) WHERE kind IN ('function', 'method', 'constant') ORDER BY callers DESC, id LIMIT 12""")(lambda g, s, d: quality.overview(g)["central"])
+query("overview_totals", """
+SELECT (SELECT count(DISTINCT file_path) FROM nodes) AS files, (SELECT count(*) FROM nodes) AS nodes, (SELECT count(*) FROM edges) AS edges, (SELECT count(*) FROM refs) AS unresolved""")(lambda g, s, d: quality.overview(g)["totals"])
+query("overview_routes", """
+SELECT r.id AS route, r.name AS route_name, h.id AS handler, h.qualified_name AS handler_name FROM edges e JOIN nodes r ON r.id = e.source LEFT JOIN nodes h ON h.id = e.target WHERE via = 'route'""")(lambda g, s, d: quality.overview(g)["routes"])
 
 # Lookups.
 
@@ -116,6 +120,9 @@ query("search_phrase", r"""
 , toks AS (SELECT doc_id, ' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce(text, '')), '[^\p{L}\p{N}]+'), lambda t: t <> ''), ' ') || ' ' AS t FROM documents)
 SELECT doc_id FROM toks WHERE contains(t, ' of the ')""")(lambda g, s, d: s.read.parquet(f"{d}/documents.parquet").where(C.has_phrase(F.col("text"), "of THE")).select("doc_id"))
 SQL["search_phrase"] = SQL["search_phrase"].replace(star.SQL.strip() + "\n, toks", "toks", 1)
+_TOKENS = r"(' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''), ' ') || ' ')"
+query("search", "\nSELECT id, qualified_name FROM nodes WHERE " + " OR ".join(f"contains({_TOKENS.format(c)}, ' brand 11 ')" for c in ("name", "qualified_name", "docstring")) + " ORDER BY id LIMIT 50")(
+    lambda g, s, d: lookup.search(g, "Brand 11").select("id", "qualified_name"))
 
 # Lookups by keys: an id, a file, kinds, names, a place.
 _ASKED = "SELECT id FROM nodes WHERE file_path = 'lib/ASIA.pm'"
@@ -180,6 +187,12 @@ SELECT source, target, a.n AS "from", b.n AS "to", kind, provenance FROM e3 JOIN
 query("path_length", """
 , walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 12)
 SELECT min(depth)::BIGINT AS hops FROM walk WHERE id = 'S2'""", recursive=True)(lambda g, s, d: traverse.path(g, PART, "s2").agg(F.max("hop").cast("long").alias("hops")))
+query("path", """
+, walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT target, depth + 1 FROM links JOIN walk ON source = walk.id WHERE depth < 12),
+lvl AS (SELECT id, min(depth) AS depth FROM walk GROUP BY 1),
+par AS (SELECT target AS id, arg_min(source, (source, kind)) AS parent, arg_min(kind, (source, kind)) AS via FROM links JOIN lvl a ON a.id = source JOIN lvl b ON b.id = target WHERE b.depth = a.depth + 1 GROUP BY 1),
+back AS (SELECT id, depth AS hop FROM lvl WHERE id = 'S2' UNION ALL SELECT parent, hop - 1 FROM back JOIN par ON par.id = back.id WHERE hop > 0)
+SELECT hop::INT AS hop, back.id, n.qualified_name, par.via FROM back JOIN nodes n ON n.id = back.id LEFT JOIN par ON par.id = back.id""", recursive=True)(lambda g, s, d: traverse.path(g, PART, "s2"))
 query("bfs_levels", """
 , walk AS (SELECT 'P1' AS id, 0 AS depth UNION SELECT source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 3)
 SELECT depth, count(*) AS n FROM (SELECT id, min(depth)::INT AS depth FROM walk GROUP BY 1) GROUP BY 1""", recursive=True)(
@@ -242,8 +255,25 @@ def _upserted(g: CodeGraph, s: SparkSession, d: str) -> DataFrame:
 
 query("upsert_edges", """
 SELECT source, target, kind, CASE WHEN kind IN ('calls', 'references') AND length(source) % 2 = 0 THEN 'optree' ELSE provenance END AS provenance FROM edges WHERE kind IN ('calls', 'references', 'imports')""")(_upserted)
-query("resolve_refs")(lambda g, s, d: resolve.resolve_refs(g)[1].groupBy("reference_name").agg(F.count("*").alias("n")))
-query("check_calls")(lambda g, s, d: quality.check_calls(g))
+
+def _typed(g: CodeGraph, s: SparkSession, d: str) -> CodeGraph:
+    """The graph with method calls on receivers of known classes, the nations."""
+    nation = s.read.parquet(f"{d}/nation.parquet").join(s.read.parquet(f"{d}/region.parquet"), F.col("n_regionkey") == F.col("r_regionkey"))
+    refs = g.refs.join(F.broadcast(nation.select("n_nationkey", F.concat_ws("::", "r_name", "n_name").alias("_c"))), F.pmod("ref_ord", F.lit(25)) == F.col("n_nationkey"))  # 25 nations at any scale
+    return g.with_(refs=refs.withColumn("candidates", F.col("candidates").withField("receiver_type", F.col("_c"))).select(*g.refs.columns))
+
+
+_TYPED = """
+, typed AS (SELECT r.*, r_name || '::' || n_name AS cls, n_nationkey AS k FROM refs r JOIN nat ON n_nationkey = ref_ord % 25),
+up AS (SELECT n_nationkey AS k, n_nationkey AS a FROM nation UNION SELECT k, a // 2 FROM up WHERE a > 0),
+has AS (SELECT k, 's' || s_suppkey AS method, 'S' || s_suppkey AS id FROM up JOIN supplier ON s_nationkey = a)"""
+query("resolved_refs", _TYPED + "\nSELECT ref_ord, id AS target, 'inferred' AS provenance FROM typed JOIN has ON has.k = typed.k AND method = reference_name", recursive=True)(
+    lambda g, s, d: resolve.resolve_refs(_typed(g, s, d))[0].select("ref_ord", "target", "provenance"))
+query("resolve_refs", _TYPED + "\nSELECT reference_name, count(*) AS n FROM typed WHERE NOT EXISTS (SELECT 1 FROM has WHERE has.k = typed.k AND method = reference_name) GROUP BY 1", recursive=True)(
+    lambda g, s, d: resolve.resolve_refs(_typed(g, s, d))[1].groupBy("reference_name").agg(F.count("*").alias("n")))
+query("check_calls", f"""{_TYPED}
+SELECT cls AS class, reference_name AS method, coalesce({SHOWN}, '?') AS caller, line::INT AS line, 'lib/x.pm' AS file FROM typed LEFT JOIN nodes n ON n.id = from_node_id
+WHERE NOT EXISTS (SELECT 1 FROM has WHERE has.k = typed.k AND method = reference_name) GROUP BY ALL""", recursive=True)(lambda g, s, d: quality.check_calls(_typed(g, s, d)))
 
 # History.
 
@@ -280,8 +310,14 @@ SELECT file, author, c / t AS share, authors, t::BIGINT AS commits, coalesce(n,
     lambda g, s, d: history.owners(g, history.authorship(_part_commits(s, d))))
 query("suggest_reviewers", _PART_COMMITS + """,
 au AS (SELECT file, author, count(DISTINCT commit_id) AS c FROM pc WHERE NOT is_merge GROUP BY 1, 2)
-SELECT author, sum(c)::BIGINT AS commits FROM au WHERE file IN ('lib/Brand#11.pm', 'lib/Brand#12.pm', 'lib/Brand#22.pm') GROUP BY 1""")(
-    lambda g, s, d: history.suggest_reviewers(history.authorship(_part_commits(s, d)), s.createDataFrame([(f"lib/Brand#{k}.pm",) for k in (11, 12, 22)], "file string")).select("author", "commits"))
+SELECT author, sum(c)::BIGINT AS commits, array_to_string(list_sort(list(DISTINCT file)), ',') AS files FROM au WHERE file IN ('lib/Brand#11.pm', 'lib/Brand#12.pm', 'lib/Brand#22.pm') GROUP BY 1""")(
+    lambda g, s, d: history.suggest_reviewers(history.authorship(_part_commits(s, d)), s.createDataFrame([(f"lib/Brand#{k}.pm",) for k in (11, 12, 22)], "file string")).withColumn("files", F.array_join("files", ",")))
+query("cochange_linked", _PART_COMMITS + """,
+cf AS (SELECT DISTINCT commit_id, file FROM pc), size AS (SELECT commit_id FROM cf GROUP BY 1 HAVING count(*) <= 25), own AS (SELECT commit_id, file FROM cf SEMI JOIN size USING (commit_id)),
+n AS (SELECT file, count(*) AS n FROM own GROUP BY 1), p AS (SELECT x.file AS a, y.file AS b, count(*) AS support FROM own x JOIN own y USING (commit_id) WHERE x.file < y.file GROUP BY ALL HAVING count(*) >= 3),
+fl AS (SELECT DISTINCT least(a.file_path, b.file_path) AS a, greatest(a.file_path, b.file_path) AS b FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind IN ('calls', 'references', 'imports', 'extends', 'implements') AND a.file_path <> b.file_path)
+SELECT p.a, p.b, support, support / (x.n + y.n - support) AS coupling, fl.a IS NOT NULL AS linked FROM p JOIN n x ON x.file = p.a JOIN n y ON y.file = p.b LEFT JOIN fl ON fl.a = p.a AND fl.b = p.b ORDER BY coupling DESC, support DESC, p.a, p.b LIMIT 15""")(
+    lambda g, s, d: history.cochange(_part_commits(s, d), g))
 
 # Vectors.
 
@@ -311,8 +347,24 @@ def _diff(s: SparkSession, d: str) -> DataFrame:
     return diff.diff(star.snapshot(s, d, True), star.snapshot(s, d, False))
 
 
-query("review_symbols")(lambda g, s, d: diff.review(g, diff.diff(g.nodes.where("id <> 'P2'"), g.nodes.where("id <> 'P3'")))["symbols"])
-query("gate")(lambda g, s, d: diff.gate(g, diff.diff(g.nodes.where("id <> 'P2'"), g.nodes.where("id <> 'P3'"))))
+_SUBS = "('function', 'method', 'constant')"
+_REVIEW = f"""
+, old_ AS (SELECT file_path, qualified_name, {PUBLIC} AS pub FROM nodes WHERE id <> 'P2' AND kind IN {_SUBS}), new_ AS (SELECT file_path, qualified_name, {PUBLIC} AS pub FROM nodes WHERE id <> 'P3' AND kind IN {_SUBS}),
+subs AS (SELECT n.id, n.qualified_name, {PUBLIC} AS pub FROM nodes n WHERE kind IN {_SUBS} AND (file_path, qualified_name) IN (SELECT (file_path, qualified_name) FROM new_ ANTI JOIN old_ USING (file_path, qualified_name))),
+walk AS (SELECT id AS root, id, 0 AS depth FROM subs UNION SELECT root, source, depth + 1 FROM links JOIN walk ON target = walk.id WHERE depth < 25),
+reach AS (SELECT root, count(DISTINCT file_path) AS tests FROM walk JOIN nodes USING (id) WHERE depth > 0 AND file_path LIKE '%.t' GROUP BY 1), fan AS (SELECT target, count(*) AS callers FROM links WHERE kind = 'calls' GROUP BY 1),
+syms AS (SELECT id, qualified_name, coalesce(callers, 0) AS callers, coalesce(tests, 0) AS tests, pub AND coalesce(tests, 0) = 0 AS untested, pub AND coalesce(callers, 0) >= 5 AS wide FROM subs LEFT JOIN fan ON target = id LEFT JOIN reach ON root = id)"""
+
+
+def _changed(g: CodeGraph) -> DataFrame:
+    return diff.diff(g.nodes.where("id <> 'P2'"), g.nodes.where("id <> 'P3'"))
+
+
+query("review_symbols", _REVIEW + "\nSELECT * FROM syms", recursive=True)(lambda g, s, d: diff.review(g, _changed(g))["symbols"])
+query("gate", _REVIEW + """,
+parts AS (SELECT (SELECT count(*) FROM old_ ANTI JOIN new_ USING (file_path, qualified_name) WHERE pub) AS breaking, 0::BIGINT AS broken, 0::BIGINT AS arity, count(*) FILTER (untested) AS untested, count(*) FILTER (wide) AS wide FROM syms),
+scored AS (SELECT *, greatest(0, 100 - 15 * breaking - 12 * broken - 10 * arity - 6 * untested - 4 * wide)::BIGINT AS score FROM parts)
+SELECT *, CASE WHEN score >= 85 THEN 'PASS' WHEN score >= 60 THEN 'REVIEW' ELSE 'BLOCK' END AS verdict FROM scored""", recursive=True)(lambda g, s, d: diff.gate(g, _changed(g)))
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
