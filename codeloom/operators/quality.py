@@ -230,7 +230,11 @@ def prereqs(g: CodeGraph, declared: DataFrame) -> DataFrame:
 
 
 def metrics(g: CodeGraph) -> DataFrame:
-    """One row of headline numbers; denominators are at least 1."""
+    """One row of headline numbers; denominators are at least 1. cycles is null where the module graph is too large for resolve.cycles."""
+    try:
+        rings = len(resolve.cycles(g))
+    except resolve.TooLarge:
+        rings = None
     one = F.lit(1)
     kinds = F.col("kind")
     n = g.nodes.agg(
@@ -242,7 +246,7 @@ def metrics(g: CodeGraph) -> DataFrame:
     count = lambda df, name: df.agg(F.count("*").alias(name))
     parts = [n, e, count(g.files, "files"), count(g.refs, "unresolved"), count(unused(g), "unused"), count(untested(g), "untested"), count(undocumented(g), "undocumented"), count(duplication(g, limit=None), "clone_groups")]
     row = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
-    row = row.withColumn("cycles", F.lit(len(resolve.cycles(g))).cast("long"))
+    row = row.withColumn("cycles", F.lit(rings).cast("long"))
     share = lambda a, b: 100.0 * a / F.greatest(b, one)
     return row.select(
         "files", "packages", "subs", "public_api", "nodes", "edges", "unresolved", share(F.col("_rels"), F.col("_rels") + F.col("unresolved")).alias("resolved_pct"), "complex", "max_complexity", "cycles", "unused", "clone_groups",

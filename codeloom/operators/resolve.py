@@ -300,11 +300,15 @@ def module_edges(g: CodeGraph, *kinds: str) -> DataFrame:
     return e.where("dep <> module").join(own, "dep", "left_semi").select("module", "dep").distinct()
 
 
+class TooLarge(ValueError):
+    """A module graph beyond what the driver takes."""
+
+
 def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
     """The module graph on the driver. Its size is checked: it grows with modules, not with code or data."""
     rows = edges.limit(MODULE_EDGES + 1).collect()
     if len(rows) > MODULE_EDGES:
-        raise ValueError(f"over {MODULE_EDGES} edges between modules; use on_cycles() or layers_of_dag()")
+        raise TooLarge(f"over {MODULE_EDGES} edges between modules; use on_cycles() or layers_of_dag()")
     out: dict[str, list[str]] = {}
     for r in rows:
         out.setdefault(r.module, []).append(r.dep)
@@ -346,7 +350,7 @@ def layers(g: CodeGraph) -> tuple[dict[int, list[str]], list[str]]:
     near = _adjacency(module_edges(g, "imports", "extends"))
     every = [r.q for r in g.nodes.where("kind in ('package', 'class') and not coalesce(metadata.cpan, false)").select(C.shown_name().alias("q")).distinct().limit(MODULE_EDGES + 1).collect()]
     if len(every) > MODULE_EDGES:
-        raise ValueError(f"over {MODULE_EDGES} modules; use layers_of_dag()")
+        raise TooLarge(f"over {MODULE_EDGES} modules; use layers_of_dag()")
     depth, active, broken = {}, set(), []
     for root in sorted(every):
         if root in depth:

@@ -49,7 +49,7 @@ def path(g: CodeGraph, start: str, end: str) -> DataFrame:
 
 
 def expand_until(g: CodeGraph, seeds: DataFrame, targets: DataFrame, most: int = 1_000) -> list[tuple[int, str, str | None]] | None:
-    """The rows of one path, at most as many as it has hops: the only thing collected."""
+    """The rows of one path, at most as many as it has hops: the only thing collected. Raises where the search isn't over after most hops."""
     hit = targets.join(seeds.select("id"), "id", "left_semi").orderBy("id").first()
     if hit:
         return [(0, hit.id, None)]
@@ -57,7 +57,7 @@ def expand_until(g: CodeGraph, seeds: DataFrame, targets: DataFrame, most: int =
     hop = scratch.save(g.links(*CALLS).select("source", "target", "kind", F.coalesce("edge_ord", F.lit(0)).alias("o")), "links")
     front = scratch.save(seeds.select("id").distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")), "level-0")
     levels, seen = [front], front.select("id")
-    for depth in range(1, most):
+    for depth in range(1, most + 1):
         met = front.join(hop, front["id"] == hop["source"]).groupBy(F.col("target").alias("id")).agg(F.min(F.struct("o", F.col("source").alias("s"), "kind")).alias("m"))
         front = scratch.save(met.select("id", F.col("m.s").alias("parent"), F.col("m.kind").alias("via")).join(seen, "id", "left_anti"), f"level-{depth}")
         levels.append(front)
@@ -71,7 +71,7 @@ def expand_until(g: CodeGraph, seeds: DataFrame, targets: DataFrame, most: int =
         if front.isEmpty():
             return None
         seen = seen.unionByName(front.select("id"))
-    return None
+    raise ValueError(f"no path of up to {most} hops, and more to search")
 
 
 def subgraph(g: CodeGraph, around: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:

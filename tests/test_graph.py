@@ -95,6 +95,29 @@ def test_layers_and_cycles(spark):
         resolve.layers_of_dag(resolve.module_edges(g, "imports"), most=20)
 
 
+def test_large_module_graphs_leave_the_cycles_of_metrics_open(spark, monkeypatch):
+    g = graph(spark, [{"id": x, "kind": "package"} for x in "ABC"], [("A", "B", "imports"), ("B", "A", "imports"), ("B", "C", "imports")])
+    assert quality.metrics(g).first().cycles == 1
+    monkeypatch.setattr(resolve, "MODULE_EDGES", 2)
+    row = quality.metrics(g).first()
+    assert row.cycles is None and (row.packages, row.edges) == (3, 3)
+
+
+def test_a_search_for_a_path_that_is_not_over_says_so(spark):
+    g = graph(spark, [{"id": x} for x in "abcd"], [("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "calls")])
+    start, end = lookup.defs(g, "a"), lookup.defs(g, "d").select("id")
+    assert [r[1] for r in traverse.expand_until(g, start, end, most=3)] == ["a", "b", "c", "d"]
+    with pytest.raises(ValueError):
+        traverse.expand_until(g, start, end, most=2)
+
+
+def test_overview(spark):
+    g = graph(spark, [{"id": "r", "kind": "route", "name": "/in"}, {"id": "P::h"}], [("r", "P::h", "references", {"metadata": {"via": "route"}}), ("P::h", None, "sink")], [{"from_node_id": "P::h", "reference_name": "x"}])
+    got = quality.overview(g)
+    assert got["totals"].first()[:] == (0, 2, 2, 1)
+    assert [tuple(r) for r in got["routes"].collect()] == [("r", "/in", "P::h", "P::h")]
+
+
 def test_owners(spark):
     g = graph(spark, [{"id": "a", "file_path": "A"}, {"id": "b", "file_path": "B"}, {"id": "c", "file_path": "B"}], [("b", "a", "calls"), ("c", "a", "calls"), ("c", "b", "calls")])
     authors = spark.createDataFrame([("A", "solo", 10), ("B", "solo", 3), ("B", "other", 5)], "file string, author string, commits long")
