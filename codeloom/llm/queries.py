@@ -8,7 +8,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, nearest, quality, secrets, token_files, wrappers
+from codeloom.llm import bpe, chat, clustering, exact_dedup, filter_audit, mixing, near_dedup, nearest, quality, secrets, sharding, token_files, wrappers
 from codeloom.llm.scratch import Scratch, shared_dir
 
 
@@ -82,6 +82,18 @@ def op10_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return nearest.nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0))
 
 
+def op11_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return sharding.shard(table(spark, sf_dir, "documents"))
+
+
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op13_clustering(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return clustering.cluster(table(spark, sf_dir, "embeddings"))
+
+
 QUERIES = {
     "op1_bpe": op1_bpe,
     "op2_exact_dedup": op2_exact_dedup,
@@ -93,5 +105,15 @@ QUERIES = {
     "op8_chat": op8_chat,
     "op9_mixing": op9_mixing,
     "op10_nearest": op10_nearest,
+    "op11_sharding": op11_sharding,
+    "op12_filter_audit": op12_filter_audit,
+    "op13_clustering": op13_clustering,
+}
+SQL = {
+    "op2_exact_dedup": OP2_SQL,
+    "op9_mixing": mixing.oracle_sql(),
+    "op10_nearest": nearest.oracle_sql(),
+    "op11_sharding": sharding.oracle_sql(),
+    "op12_filter_audit": filter_audit.oracle_sql(),
+    "op13_clustering": clustering.oracle_sql(),
 }
-SQL = {"op2_exact_dedup": OP2_SQL, "op9_mixing": mixing.oracle_sql(), "op10_nearest": nearest.oracle_sql()}
