@@ -21,6 +21,14 @@ def bounded(spark: SparkSession) -> None:
         spark.conf.set(key, str(ROWS))
 
 
+def given_back() -> None:
+    """What this process no longer needs goes back to the machine."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def trimmed(batches: Iterator[pa.RecordBatch], *forget: Callable[[], None]) -> Iterator[pa.RecordBatch]:
     """What batches gives; at its end forget empties caches (which a worker has under their module's names), and what the worker no longer needs goes back to the machine.
 
@@ -29,10 +37,7 @@ def trimmed(batches: Iterator[pa.RecordBatch], *forget: Callable[[], None]) -> I
     yield from batches
     for f in forget:
         f()
-    gc.collect()
-    pa.default_memory_pool().release_unused()
-    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
-        ctypes.CDLL(None).malloc_trim(0)
+    given_back()
 
 
 def dealt(batches: Iterator[pa.RecordBatch], column: int, chars: int) -> Iterator[pa.RecordBatch]:

@@ -26,7 +26,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from codeloom.llm.batches import ROWS, bounded, dealt, joined_cuts, trimmed
+from codeloom.llm.batches import ROWS, bounded, dealt, given_back, joined_cuts, trimmed
 
 SCHEMA = "doc_id long, n_tokens long, ids binary, decoded string"
 #: Distinct cuts (what stands between spaces), and distinct words, whose encodings a worker keeps between batches.
@@ -252,6 +252,7 @@ def loaded(spec: str) -> TrieBpe:
     if key not in _LOADED:
         _LOADED.clear()
         _LOADED[key] = TrieBpe(json.loads(spec))
+        given_back()  # what the parsed file took
     return _LOADED[key]
 
 

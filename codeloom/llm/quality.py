@@ -6,6 +6,7 @@ import math
 import re
 import zlib
 from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.llm.batches import bounded, trimmed
+from codeloom.llm.scratch import Scratch
 
 SCHEMA = "doc_id long, score double"
 BITS = 18
@@ -73,30 +75,44 @@ def features(text: str, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate([slots, extra]), np.concatenate([value, np.full(len(extra), 0.6 / math.sqrt(len(extra)))])
 
 
-def fit_ftrl(rows: list[tuple[np.ndarray, np.ndarray, int]], bits: int = BITS, alpha: float = 0.5, beta: float = 1.0, l1: float = 0.02, l2: float = 0.05, epochs: int = 3) -> np.ndarray:
-    """Weights by per-coordinate follow-the-regularised-leader; the last is the bias. Without both labels the bias alone decides."""
-    n = (1 << bits) + 1
-    z, g2 = np.zeros(n), np.zeros(n)
-
-    def weights(i):
-        w = -(z[i] - np.sign(z[i]) * l1) / ((beta + np.sqrt(g2[i])) / alpha + l2)
-        return np.where(np.abs(z[i]) <= l1, 0.0, w)
-
-    ones = sum(y for _, _, y in rows)
-    share = {1: len(rows) / (2 * max(1, ones)), 0: len(rows) / (2 * max(1, len(rows) - ones))}
-    bias = np.array([n - 1])
-    for epoch in range(epochs):
-        for k in np.random.default_rng(epoch).permutation(len(rows)):
-            slots, values, y = rows[k]
-            slots, values = np.concatenate([slots, bias]), np.concatenate([values, [0.3]])
-            w = weights(slots)
-            p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ values)))))
-            g = (p - y) * share[y] * values
-            # np.add.at: two features of a row may share a slot.
-            sigma = (np.sqrt(g2[slots] + g * g) - np.sqrt(g2[slots])) / alpha
-            np.add.at(z, slots, g - sigma * w)
-            np.add.at(g2, slots, g * g)
-    return weights(np.arange(n)).astype(np.float32)
+@dataclass
+class Ftrl:
+    """Follow-the-regularised-leader by coordinate; the last is the bias. Two arrays of 2**bits numbers are all its state."""
+
+    bits: int = BITS
+    alpha: float = 0.5
+    beta: float = 1.0
+    l1: float = 0.02
+    l2: float = 0.05
+    z: np.ndarray = field(init=False)
+    g2: np.ndarray = field(init=False)
+
+    def __post_init__(self):
+        self.z, self.g2 = np.zeros((1 << self.bits) + 1), np.zeros((1 << self.bits) + 1)
+
+    def _weights(self, i) -> np.ndarray:
+        z = self.z[i]
+        w = -(z - np.sign(z) * self.l1) / ((self.beta + np.sqrt(self.g2[i])) / self.alpha + self.l2)
+        return np.where(np.abs(z) <= self.l1, 0.0, w)
+
+    def learn(self, slots: np.ndarray, values: np.ndarray, y: int, share: float) -> None:
+        """One row, that counts share."""
+        slots, values = np.concatenate([slots, [len(self.z) - 1]]), np.concatenate([values, [0.3]])
+        w = self._weights(slots)
+        p = 1 / (1 + math.exp(-max(-35.0, min(35.0, float(w @ values)))))
+        g = (p - y) * share * values
+        # np.add.at: two features of a row may share a slot.
+        sigma = (np.sqrt(self.g2[slots] + g * g) - np.sqrt(self.g2[slots])) / self.alpha
+        np.add.at(self.z, slots, g - sigma * w)
+        np.add.at(self.g2, slots, g * g)
+
+    def weights(self) -> np.ndarray:
+        return self._weights(slice(None)).astype(np.float32)
+
+
+def shares(ones: int, rows: int) -> dict[int, float]:
+    """What a row of each label counts, so that both labels count alike."""
+    return {1: rows / (2 * max(1, ones)), 0: rows / (2 * max(1, rows - ones))}
 
 
 def held_out(doc_id):
@@ -104,39 +120,63 @@ def held_out(doc_id):
     return F.coalesce(F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(False))
 
 
-def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> np.ndarray:
-    """Fit on at most sample_rows labelled rows that are not held out; labels with a null doc_id or quality are passed over.
+def _featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(doc_id, h, y, text) to (doc_id, h, y, slots, row_values), a row a batch, as one may be long."""
+    for batch in batches:
+        for i, h, y, text in zip(*batch.columns):
+            slots, values = features(text.as_py() or "")
+            made = slots.astype(np.int32).tobytes(), values.astype(np.float32).tobytes()
+            yield pa.RecordBatch.from_arrays([pa.array([i.as_py()], pa.int64()), pa.array([h.as_py()], pa.int64()), pa.array([y.as_py()], pa.int32()), *(pa.array([x], pa.binary()) for x in made)], names=["doc_id", "h", "y", "slots", "row_values"])
+
+
+def _learned(batches: Iterator[pa.RecordBatch], share: dict[int, float]) -> Iterator[pa.RecordBatch]:
+    """Rows (epoch, y, slots, row_values) in the order to learn them to one row with the weights: a task holds the model and a batch."""
+    model = Ftrl()
+    for batch in batches:
+        for y, slots, values in zip(*(batch.column(k) for k in (1, 2, 3))):
+            y = y.as_py()
+            model.learn(np.frombuffer(slots.as_buffer(), np.int32), np.frombuffer(values.as_buffer(), np.float32), y, share[y])
+    yield pa.RecordBatch.from_arrays([pa.array([model.weights().tobytes()], pa.binary())], names=["weights"])
+
+
+def sampled(docs: DataFrame, labels: DataFrame, scratch: Scratch, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
+    """A written table of the rows to learn from: doc_id, h (a hash of the text), y, slots, row_values.
 
-    The sample is bounded, so the ids are broadcast, and only hashed features, all of each row, come to the driver. Several labels of one
-    doc_id count as their largest. Rows of docs that share a labelled doc_id are learned from each, but of all of them no more than
-    sample_rows: those with the smallest md5 of their doc_id, then the smallest hash of their text.
+    The keys are chosen first; their number is bounded, so they are broadcast, and only the chosen texts are made into features, where they are read.
     """
-    bounded(docs.sparkSession)
+    order = F.md5(F.col("doc_id").cast("string").cast("binary"))
     chosen = (
         labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
         .where(F.col("doc_id").isNotNull() & F.col("y").isin(0, 1) & ~held_out("doc_id"))
         .groupBy("doc_id").agg(F.max("y").alias("y"))
-        .orderBy(F.md5(F.col("doc_id").cast("string").cast("binary")), "doc_id").limit(sample_rows)
+        .orderBy(order, "doc_id").limit(sample_rows)
     )
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"))
+    keys = scratch.save(keyed.join(F.broadcast(chosen), "doc_id").distinct().orderBy(order, "doc_id", "h").limit(sample_rows), "keys")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    found = texts.join(F.broadcast(keys), ["doc_id", "h"]).select("doc_id", "h", "y", "text").mapInArrow(lambda b: trimmed(_featured(b), _forget), "doc_id long, h long, y int, slots binary, row_values binary")
+    return scratch.save(found.dropDuplicates(["doc_id", "h"]), "features")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = {"doc_id": [], "y": [], "slots": [], "row_values": []}
-            for i, y, text in zip(*(c.to_pylist() for c in batch.columns)):
-                slots, values = features(text or "")
-                for k, v in zip(out, (i, y, slots.astype(np.int32).tobytes(), values.astype(np.float32).tobytes())):
-                    out[k].append(v)
-            yield pa.RecordBatch.from_arrays([pa.array(out["doc_id"], pa.int64()), pa.array(out["y"], pa.int32()), pa.array(out["slots"], pa.binary()), pa.array(out["row_values"], pa.binary())], names=list(out))
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    order = (F.md5(F.col("doc_id").cast("string").cast("binary")), F.col("doc_id"), F.xxhash64("text"))
-    found = (
-        texts.join(F.broadcast(chosen), "doc_id").select("doc_id", "y", "text").orderBy(*order).limit(sample_rows)
-        .mapInArrow(lambda b: trimmed(run(b), _forget), "doc_id long, y int, slots binary, row_values binary")
-        .collect()
-    )
-    rows = [(np.frombuffer(r.slots, np.int32), np.frombuffer(r.row_values, np.float32), r.y) for r in sorted(found, key=lambda r: (r.doc_id, r.y, bytes(r.slots)))]
-    return fit_ftrl(rows)
+
+def train(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS, epochs: int = 3) -> np.ndarray:
+    """Fit on at most sample_rows labelled rows that are not held out; labels with a null doc_id or quality are passed over.
+
+    The sample's features are written; one task learns them as a stream, in an order seeded for each epoch, and holds the model and a
+    batch, however long the rows; the driver gets the weights. Several labels of one
+    doc_id count as their largest. Rows of docs that share a labelled doc_id are learned from each (equal ones once), but of all of them no more than
+    sample_rows: those with the smallest md5 of their doc_id, then the smallest hash of their text. Null texts are learned as empty.
+    Without labelled rows, as with empty tables, all weights are 0. Other columns, whatever their names, are not read.
+    """
+    bounded(docs.sparkSession)
+    scratch = Scratch(docs.sparkSession, "quality")
+    found = sampled(docs, labels, scratch, sample_rows)
+    rows, ones = found.agg(F.count("*"), F.coalesce(F.sum("y"), F.lit(0))).first()
+    share = shares(ones, rows)
+    seeded = found.withColumn("epoch", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1)))).repartition(1).sortWithinPartitions("epoch", F.md5(F.concat_ws(":", "epoch", "doc_id", "h").cast("binary")))
+    model = seeded.select("epoch", "y", "slots", "row_values").mapInArrow(lambda b: trimmed(_learned(b, share)), "weights binary").first()
+    scratch.drop("keys", "features")
+    return np.frombuffer(model.weights, np.float32) if model else Ftrl().weights()
 
 
 def score(docs: DataFrame, weights: np.ndarray, bits: int = BITS) -> DataFrame:
@@ -170,7 +210,10 @@ def classify(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS)
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, sample_rows: int = SAMPLE_ROWS) -> DataFrame:
-    """The rows of docs that are not rejected, with all their columns, whatever their names, in one pass over the texts. Repeated rows stay or go alike."""
+    """The rows of docs that are not rejected, with all their columns, whatever their names, in one pass over the texts.
+
+    Repeated rows stay or go alike; a null text is judged as an empty one, a long one whole. An empty table gives no rows.
+    """
     bounded(docs.sparkSession)
     model = train(docs, labels, sample_rows)
     sent = docs.sparkSession.sparkContext.broadcast(model.tobytes())

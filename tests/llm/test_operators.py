@@ -17,7 +17,7 @@ from hypothesis import strategies as st
 
 from codeloom.llm import bpe, chat, exact_dedup, mixing, near_dedup, nearest, quality, secrets, token_files, wrappers
 from codeloom.llm.queries import vocabulary
-from codeloom.llm.scratch import shared_dir
+from codeloom.llm.scratch import Scratch, shared_dir
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, name long, h string, component string, sig string"
 WORDS = vocabulary("word_bpe_49k.json")
@@ -259,14 +259,12 @@ def test_quality_on_held_out_rows(spark):
     assert kept.columns == d.columns and {r.doc_id for r in kept.collect()} == {k for k, r in got.items() if r.predicted}
 
 
-def test_quality_learns_long_texts_whole(spark, monkeypatch):
+def test_quality_learns_long_texts_whole(spark):
     text = " ".join(f"word{k}" for k in range(9_000))
     i = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 3 != 1)
-    learned = []
-    monkeypatch.setattr(quality, "fit_ftrl", learned.extend)
-    quality.train(docs_of(spark, [text], [i]), spark.createDataFrame([(i, 1)], "doc_id long, quality int"))
+    learned = quality.sampled(docs_of(spark, [text], [i]), spark.createDataFrame([(i, 1)], "doc_id long, quality int"), Scratch(spark, "test")).collect()
     slots, values = quality.features(text)
-    assert len(slots) > 4_096 and np.array_equal(learned[0][0], slots) and np.allclose(learned[0][1], values)
+    assert len(slots) > 4_096 and np.array_equal(np.frombuffer(learned[0].slots, np.int32), slots) and np.allclose(np.frombuffer(learned[0].row_values, np.float32), values)
 
 
 def plain_features(text):
@@ -313,7 +311,11 @@ def test_training_equals_scalar_updates():
     for k in range(40):
         slots, values = quality.features(prose(k, rng.randint(0, 12)) if k % 3 else "$$$ !!! " * rng.randint(1, 4), 8)
         rows.append((slots, values, int(k % 3 > 0)))
-    got = quality.fit_ftrl(rows, 8, epochs=2)
+    model = quality.Ftrl(8)
+    for epoch in range(2):
+        for k in np.random.default_rng(epoch).permutation(len(rows)):
+            model.learn(*rows[k], quality.shares(sum(y for _, _, y in rows), len(rows))[rows[k][2]])
+    got = model.weights()
     alpha, beta, l1, l2, z, g2 = 0.5, 1.0, 0.02, 0.05, defaultdict(float), defaultdict(float)
 
     def weight(i):
@@ -334,12 +336,24 @@ def test_training_equals_scalar_updates():
     assert np.allclose(got, [weight(i) for i in range(257)], atol=1e-5)
 
 
-def test_rows_of_one_labelled_id_are_bounded(spark, monkeypatch):
+def test_rows_of_one_labelled_id_are_bounded(spark):
     i = next(k for k in range(9) if zlib.crc32(str(k).encode()) % 3 != 1)
-    learned = []
-    monkeypatch.setattr(quality, "fit_ftrl", learned.extend)
-    quality.train(docs_of(spark, [prose(k, 10) for k in range(30)], [i] * 30), spark.createDataFrame([(i, 1)], "doc_id long, quality int"), sample_rows=7)
-    assert len(learned) == 7
+    labels = spark.createDataFrame([(i, 1)], "doc_id long, quality int")
+    d = docs_of(spark, [prose(k // 2, 10) for k in range(30)], [i] * 30)
+    assert quality.sampled(d, labels, Scratch(spark, "test"), sample_rows=7).count() == 7
+    assert quality.sampled(d, labels, Scratch(spark, "test")).count() == 15  # equal rows once
+
+
+def test_training_learns_the_sample_in_its_seeded_order(spark):
+    d = docs_of(spark, [prose(k, 12) if k % 3 else "$$$ !!! " * (k + 1) for k in range(40)] + [None])
+    labels = spark.createDataFrame([(k, int(k % 3 > 0)) for k in range(41)], "doc_id long, quality int")
+    rows = quality.sampled(d, labels, Scratch(spark, "test")).collect()
+    assert {r.doc_id for r in rows} == {k for k in range(41) if zlib.crc32(str(k).encode()) % 3 != 1}
+    model, share = quality.Ftrl(), quality.shares(sum(r.y for r in rows), len(rows))
+    for epoch in range(3):
+        for r in sorted(rows, key=lambda r: hashlib.md5(f"{epoch}:{r.doc_id}:{r.h}".encode()).hexdigest()):
+            model.learn(np.frombuffer(r.slots, np.int32), np.frombuffer(r.row_values, np.float32), r.y, share[r.y])
+    assert np.array_equal(quality.train(d, labels), model.weights())
 
 
 def test_quality_without_labels_or_with_one(spark):
