@@ -15,6 +15,7 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of equal texts one document stays."""
     return exact_dedup.drop_copies(docs)
 
 
@@ -29,7 +30,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenize(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"))
+    """Every document's tokens, in small batches: the executors still hold what earlier stages took."""
+    return bpe.encode_decode(docs, vocabulary("word_bpe_49k.json"), batch_chars=1_000_000)
 
 
 STAGES = [("quality", classify), ("exact_dedup", drop_exact_copies), ("near_dedup", drop_near_copies), ("mixing", mix), ("bpe", tokenize)]
@@ -39,6 +41,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stages over documents. Null and empty texts, repeated rows and further columns go through as each operator's docstring says; an empty table gives no rows."""
     scratch = Scratch(spark, "pipeline")
     docs = table(spark, sf_dir, "documents")
     for k, (name, stage) in enumerate(STAGES[:-1]):
