@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +13,7 @@ from codeloom.functions import vocabulary as V
 from codeloom.operators import resolve, traverse
 from codeloom.plans.graph import CALLS, CodeGraph, expand
 from codeloom.plans.scratch import Scratch
+from codeloom.sources.perl import pod
 
 CALLABLE = ("function", "method", "constant")
 
@@ -199,13 +201,13 @@ def check_args(g: CodeGraph, call_sites: DataFrame) -> DataFrame:
 
 
 def pod_names(sources: DataFrame) -> DataFrame:
-    """file, line, name of documented calls: headings and items that show name(...) or $object->name."""
-    line = sources.select(F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("k", "l")).where(F.col("l").rlike(r"^=(?:head[234]|item)\s+\S"))
-    p = F.regexp_extract("l", r"^=(?:head[234]|item)\s+(\S.*)$", 1)
-    p = F.regexp_replace(F.regexp_replace(p, "[A-Z]<+", ""), r"(?<!-)>+", "")
-    arrow = F.regexp_extract(p, r"(?:\$\w+|\w+)\s*->\s*(\w+)", 1)
-    call = F.regexp_extract(p, r"^\s*(\w+)\s*\(", 1)
-    return line.select("file", (F.col("k") + 1).alias("line"), F.when(arrow != "", arrow).otherwise(call).alias("name")).where("name <> ''")
+    """file, line, name of documented calls: headings and items that show name(...) or $object->name. A narrow stage."""
+    def found(parts):
+        for part in parts:
+            rows = [(path, line, name) for path, text in zip(part["path"], part["text"]) for name, line in pod.documented_calls(text or "")]
+            yield pd.DataFrame(rows, columns=["file", "line", "name"])
+
+    return sources.select("path", "text").mapInPandas(found, "file string, line int, name string")
 
 
 def check_docs(g: CodeGraph, sources: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from codeloom.plans import schema as S
 from codeloom.plans.graph import CodeGraph
 from codeloom.plans.scratch import Scratch
 from codeloom.sources.perl.extract import extract
+from codeloom.sources.perl.lexer import lex
 
 #: Raised when the extractor's output changes, so that unchanged sources are read again.
 EXTRACTION_VERSION = 1
@@ -111,18 +112,43 @@ def dependencies(g: CodeGraph, library: DataFrame, scratch: Scratch, most_module
     return g.with_(nodes=nodes, edges=edges)
 
 
+#: The keys of a Makefile.PL that name what a distribution requires.
+_REQUIRING = ("PREREQ_PM", "TEST_REQUIRES", "CONFIGURE_REQUIRES", "BUILD_REQUIRES")
+
+
+def _name(token) -> str | None:
+    name = token.value if token.kind == "str" else token.text if token.kind == "word" else ""
+    return name if name and name.replace("::", "").replace("_", "").isalnum() else None
+
+
+def _required_calls(text: str) -> set[str]:
+    """The modules of a cpanfile: the first argument of each statement that calls requires."""
+    t = lex(text).tokens
+    begins = (k for k, x in enumerate(t) if x.kind == "word" and x.text == "requires" and (not k or t[k - 1].text in (";", "{", "}")))
+    first = (t[k + 2] if t[k + 1].text == "(" else t[k + 1] for k in begins if k + 2 < len(t))
+    return {name for x in first if x.kind == "str" and (name := _name(x))}
+
+
+def _required_keys(text: str) -> set[str]:
+    """The modules of a Makefile.PL: the keys of the hashes that stand under its requiring keys."""
+    t = lex(text).tokens
+    found = set()
+    for k, x in enumerate(t[:-2]):
+        if (x.value or x.text) in _REQUIRING and t[k + 1].text == "=>" and t[k + 2].text == "{":
+            inside = t[k + 3 : t[k + 2].match if t[k + 2].match > 0 else len(t)]
+            found |= {name for key, arrow in zip(inside, inside[1:]) if arrow.text == "=>" and (name := _name(key))}
+    return found
+
+
 def declared_prereqs(root_files: dict[str, str]) -> tuple[list[str], str | None]:
     """(modules, file) that a distribution requires, by the first of META.json, MYMETA.json, cpanfile and Makefile.PL that says so."""
     for name in ("META.json", "MYMETA.json"):
-        if name in root_files:
-            try:
-                phases = json.loads(root_files[name]).get("prereqs") or {}
-            except (ValueError, AttributeError):
-                continue
-            return sorted({m for p in phases.values() for m in (p or {}).get("requires") or {}}), name
-    found = re.findall(r"(?:^|\n)\s*requires\s+['\"]([\w:]+)['\"]", root_files.get("cpanfile", ""))
-    if found:
-        return sorted(set(found)), "cpanfile"
-    bodies = re.findall(r"(?:PREREQ_PM|(?:TEST|CONFIGURE|BUILD)_REQUIRES)\s*=>\s*\{([^}]*)\}", root_files.get("Makefile.PL", ""))
-    found = [m for b in bodies for m in re.findall(r"['\"]([\w:]+)['\"]\s*=>", b)]
-    return (sorted(set(found)), "Makefile.PL") if found else ([], None)
+        try:
+            phases = json.loads(root_files.get(name, "")).get("prereqs") or {}
+        except (ValueError, AttributeError):
+            continue
+        return sorted({m for p in phases.values() for m in (p or {}).get("requires") or {}}), name
+    for name, read in (("cpanfile", _required_calls), ("Makefile.PL", _required_keys)):
+        if found := read(root_files.get(name, "")):
+            return sorted(found), name
+    return [], None

@@ -200,6 +200,27 @@ def test_pod_names():
     assert pod.docstrings(text) == {"NAME": "X - y", "run": "Runs.\n\nTwice."}
 
 
+def test_documented_calls():
+    text = "=head1 run(1)\n\n=head2 C<< run >>($x)\n\n=head3 Words of ours\n\n=item C<$obj->start($x)>\n\n=item B<I<stop>>()\n\n=head2 My::Class->make\n\n=item $h->{x}->get\n\n=item\tlast_one ( )\n\n=item Other::name()\n"
+    assert pod.documented_calls(text) == [("run", 3), ("start", 7), ("stop", 9), ("make", 11), ("last_one", 15)]
+
+
+def test_declared_prereqs():
+    makefile = "WriteMakefile(NAME => 'X', PREREQ_PM => { 'A::B' => 0, C => '1.0', # 'D' => 1\n }, TEST_REQUIRES => {\"E::F\" => 0}, OTHER => { 'G' => 0 });"
+    assert files.declared_prereqs({"Makefile.PL": makefile}) == (["A::B", "C", "E::F"], "Makefile.PL")
+    cpanfile = "requires 'A', '1.0';\nrequires(\"B::C\");\n# requires 'D';\non test => sub { requires 'E' => 2; recommends 'F' };\n"
+    assert files.declared_prereqs({"cpanfile": cpanfile, "Makefile.PL": makefile}) == (["A", "B::C", "E"], "cpanfile")
+    assert files.declared_prereqs({"cpanfile": "", "META.json": "not json", "Makefile.PL": makefile})[1] == "Makefile.PL"
+    assert files.declared_prereqs({"MYMETA.json": '{"prereqs": {"runtime": {"requires": {"Z": 0}}, "test": null}}', "cpanfile": cpanfile}) == (["Z"], "MYMETA.json")
+    assert files.declared_prereqs({}) == ([], None)
+
+
+@pytest.mark.parametrize("line,role", [("use Mojo::Base -role;", True), ("use Mojo::Base -base, -signatures;", False), ("use Mojo::Base 'Some-role';", False), ("use Mojo::Base '-role', -signatures;", True)])
+def test_role_flags(line, role):
+    package = next(n for n in extract("A.pm", f"package A;\n{line}\n1;\n")["nodes"] if n["name"] == "A")
+    assert bool((package["metadata"] or {}).get("role")) == role
+
+
 @pytest.mark.parametrize("code,want", [
     ("my $n = $c->param('n'); return run($n);", {"taint_out": [{"callee": "run", "method": 0, "arg": 1, "param": 2, "src": None}, {"callee": "run", "method": 0, "arg": 1, "param": None, "src": 1}]}),
     ("my $cmd = $c->param('c'); my $two = \"x $cmd\"; system($two);", {"taint_flow": True, "sink_params": [2]}),
