@@ -62,8 +62,7 @@ def hotspots(g: CodeGraph, limit: int = 15, depth: int = 50) -> dict[str, DataFr
     """fan_in (with each symbol's blast radius, all roots in one traversal), fan_out, packages (by their dependencies), complex."""
     name = g.nodes.where(F.col("kind").isin(*CALLABLE)).select("id", C.shown_name().alias("qualified_name"))
     top = top_fan_in(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
-    known = Scratch(g.spark, "hotspots").save(g.walks(*CALLS).join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi"), "links")
-    reach = expand(known, top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
+    reach = expand(traverse.known_walks(g), top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
     fan_in = top.join(reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("impact")), "id", "left").select("id", "qualified_name", "n", F.coalesce("impact", F.lit(0)).alias("impact"))
     fan_out = top_fan_out(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
     packages = resolve.deps(g).groupBy("module").agg(F.count("*").alias("deps")).orderBy(F.desc("deps"), "module").limit(limit)
@@ -232,11 +231,10 @@ def prereqs(g: CodeGraph, declared: DataFrame) -> DataFrame:
 
 
 def metrics(g: CodeGraph) -> DataFrame:
-    """One row of headline numbers; denominators are at least 1. cycles is null where the module graph is too large for resolve.cycles."""
-    try:
-        rings = len(resolve.cycles(g))
-    except resolve.TooLarge:
-        rings = None
+    """One row of headline numbers; denominators are at least 1. cycles counts the groups of modules that lead to each other."""
+    from codeloom.operators import components
+
+    rings = components.components(resolve.module_edges(g, "imports", "extends", "implements").select(F.col("module").alias("source"), F.col("dep").alias("target"))).select("component").distinct()
     one = F.lit(1)
     kinds = F.col("kind")
     n = g.nodes.agg(
@@ -246,9 +244,8 @@ def metrics(g: CodeGraph) -> DataFrame:
     )
     e = g.edges.agg(F.count("*").alias("edges"), F.count(F.when(kinds.isin("calls", "references"), one)).alias("_rels"))
     count = lambda df, name: df.agg(F.count("*").alias(name))
-    parts = [n, e, count(g.files, "files"), count(g.refs, "unresolved"), count(unused(g), "unused"), count(untested(g), "untested"), count(undocumented(g), "undocumented"), count(duplication(g, limit=None), "clone_groups")]
+    parts = [n, e, count(g.files, "files"), count(g.refs, "unresolved"), count(unused(g), "unused"), count(untested(g), "untested"), count(undocumented(g), "undocumented"), count(duplication(g, limit=None), "clone_groups"), count(rings, "cycles")]
     row = reduce(lambda a, b: a.crossJoin(b), parts)  # one row each
-    row = row.withColumn("cycles", F.lit(rings).cast("long"))
     share = lambda a, b: 100.0 * a / F.greatest(b, one)
     return row.select(
         "files", "packages", "subs", "public_api", "nodes", "edges", "unresolved", share(F.col("_rels"), F.col("_rels") + F.col("unresolved")).alias("resolved_pct"), "complex", "max_complexity", "cycles", "unused", "clone_groups",

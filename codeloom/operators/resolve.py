@@ -12,9 +12,6 @@ from codeloom.plans import schema as S
 from codeloom.plans.graph import CodeGraph
 from codeloom.plans.scratch import Scratch
 
-#: Edges between modules that the walks in order of names (cycles, layers) take to the driver; beyond it they refuse.
-MODULE_EDGES = 1_000_000
-
 
 def first_by_name(g: CodeGraph, *kinds: str) -> DataFrame:
     """q, id, kind, returns of the first node of each qualified name: by file, line, id."""
@@ -298,107 +295,3 @@ def module_edges(g: CodeGraph, *kinds: str) -> DataFrame:
     packages = g.nodes.where("kind in ('package', 'class') and not coalesce(metadata.cpan, false)").select(F.col("id").alias("source"), C.shown_name().alias("module"))
     e = g.edges.where(F.col("kind").isin(*kinds)).join(packages, "source").join(name, "target", "left").withColumn("dep", F.coalesce("t", "metadata.name", "metadata.module"))
     return e.where("dep <> module").join(own, "dep", "left_semi").select("module", "dep").distinct()
-
-
-class TooLarge(ValueError):
-    """A module graph beyond what the driver takes."""
-
-
-def _adjacency(edges: DataFrame) -> dict[str, list[str]]:
-    """The module graph on the driver. Its size is checked: it grows with modules, not with code or data."""
-    rows = edges.limit(MODULE_EDGES + 1).collect()
-    if len(rows) > MODULE_EDGES:
-        raise TooLarge(f"over {MODULE_EDGES} edges between modules; use on_cycles() or layers_of_dag()")
-    out: dict[str, list[str]] = {}
-    for r in rows:
-        out.setdefault(r.module, []).append(r.dep)
-    return {m: sorted(d) for m, d in out.items()}
-
-
-def cycles(g: CodeGraph) -> list[list[str]]:
-    """Cycles of module dependencies that a depth-first walk in order of names closes, each set of members once."""
-    near = _adjacency(module_edges(g, "imports", "extends", "implements"))
-    done, seen, out = set(), set(), []
-    for root in sorted(near):
-        stack, place, walk = [], {}, [(root, None)]
-        if root in done:
-            continue
-        walk = [iter([root])]
-        while walk:
-            m = next(walk[-1], None)
-            if m is None:
-                walk.pop()
-                if stack:
-                    last = stack.pop()
-                    del place[last]
-                    done.add(last)
-                continue
-            if m in place:
-                ring = stack[place[m] :]
-                if frozenset(ring) not in seen:
-                    seen.add(frozenset(ring))
-                    out.append(ring)
-            elif m not in done:
-                place[m] = len(stack)
-                stack.append(m)
-                walk.append(iter(near.get(m, ())))
-    return out
-
-
-def layers(g: CodeGraph) -> tuple[dict[int, list[str]], list[str]]:
-    """Modules by the length of their longest chain of imports and extends, and the dependencies that close cycles, which don't count."""
-    near = _adjacency(module_edges(g, "imports", "extends"))
-    every = [r.q for r in g.nodes.where("kind in ('package', 'class') and not coalesce(metadata.cpan, false)").select(C.shown_name().alias("q")).distinct().limit(MODULE_EDGES + 1).collect()]
-    if len(every) > MODULE_EDGES:
-        raise TooLarge(f"over {MODULE_EDGES} modules; use layers_of_dag()")
-    depth, active, broken = {}, set(), []
-    for root in sorted(every):
-        if root in depth:
-            continue
-        active.add(root)
-        walk = [[root, iter(near.get(root, ())), -1]]
-        while walk:
-            top = walk[-1]
-            d = next(top[1], None)
-            if d is None:
-                walk.pop()
-                active.discard(top[0])
-                depth[top[0]] = top[2] + 1
-                if walk:
-                    walk[-1][2] = max(walk[-1][2], depth[top[0]])
-            elif d in active:
-                broken.append(f"{top[0]} -> {d}")
-            elif d in depth:
-                top[2] = max(top[2], depth[d])
-            else:
-                active.add(d)
-                walk.append([d, iter(near.get(d, ())), -1])
-    out: dict[int, list[str]] = {}
-    for m in sorted(depth):
-        out.setdefault(depth[m], []).append(m)
-    return out, list(dict.fromkeys(broken))
-
-
-def layers_of_dag(edges: DataFrame, most: int = 1_000) -> DataFrame:
-    """module, layer for edges (module, dep) without cycles, of any size: a round of joins a layer. Fails on a cycle longer than most."""
-    scratch = Scratch(edges.sparkSession, "layers")
-    e = scratch.save(edges.select("module", "dep").distinct(), "edges")
-    now = scratch.save(e.select("module").unionByName(e.select(F.col("dep").alias("module"))).distinct().withColumn("layer", F.lit(0)), "layer-0")
-    front = now
-    for k in range(1, most + 1):
-        up = e.join(front.select(F.col("module").alias("dep")), "dep", "left_semi").select("module").distinct()
-        if up.isEmpty():
-            return now
-        front = scratch.save(up.withColumn("layer", F.lit(k)), f"front-{k}")
-        now = scratch.save(now.join(front.select("module"), "module", "left_anti").unionByName(front), f"layer-{k}")
-    raise ValueError("the edges have a cycle")
-
-
-def on_cycles(edges: DataFrame) -> DataFrame:
-    """Modules that lie on a cycle of edges (module, dep), of any size: those that reach themselves."""
-    from codeloom.plans.graph import expand
-
-    links = edges.select(F.col("module").alias("source"), F.col("dep").alias("target"), F.lit("imports").alias("kind"), F.lit(0).cast("long").alias("edge_ord"))
-    seeds = edges.select(F.col("module").alias("root"), F.col("module").alias("id")).distinct()
-    back = expand(links, seeds, 1_000, "out", seeds_seen=False, keys=("root",)).where("depth > 0 and root = id")
-    return back.select(F.col("root").alias("module")).distinct()

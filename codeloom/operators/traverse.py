@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -28,19 +30,21 @@ def impact(g: CodeGraph, symbol: str, depth: int = 5) -> DataFrame:
 
     A dangling source is met but neither returned nor followed.
     """
-    known = g.nodes.select(F.col("id").alias("source"))
-    links = g.links(*CALLS).join(known, "source", "left_semi")
-    found = expand(links, defs(g, symbol), depth, "in", seeds_seen=False).where("depth > 0")
+    found = expand(known_walks(g), defs(g, symbol), depth, "in", seeds_seen=False).where("depth > 0")
     return g.nodes.join(found, "id")
 
 
+def known_walks(g: CodeGraph) -> DataFrame:
+    """Calls and references from nodes that are there, written once for all traversals of this graph."""
+    return g.written("known", lambda: g.walks(*CALLS).join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target", "kind", "edge_ord"))
+
+
 def path(g: CodeGraph, start: str, end: str) -> DataFrame:
     """One shortest call path: hop, id, qualified_name, via (the kind of the edge into it). Empty where there is none.
 
-    Parents are those of the least edge order, then id. The walk stops at the first level that holds a target.
+    Parents are those of the least edge order, then id; of several ends the one with the smallest id is reached.
     """
-    targets = defs(g, end).select("id")
-    at = expand_until(g, defs(g, start), targets)
+    at = between(g.walks(*CALLS), defs(g, start), defs(g, end))
     spark = g.spark
     if at is None:
         return spark.createDataFrame([], "hop int, id string, qualified_name string, via string")
@@ -48,30 +52,48 @@ def path(g: CodeGraph, start: str, end: str) -> DataFrame:
     return rows.join(g.nodes.select("id", C.shown_name().alias("qualified_name")), "id").select("hop", "id", "qualified_name", "via").orderBy("hop")
 
 
-def expand_until(g: CodeGraph, seeds: DataFrame, targets: DataFrame, most: int = 1_000) -> list[tuple[int, str, str | None]] | None:
-    """The rows of one path, at most as many as it has hops: the only thing collected. Raises where the search isn't over after most hops."""
-    hit = targets.join(seeds.select("id"), "id", "left_semi").orderBy("id").first()
-    if hit:
-        return [(0, hit.id, None)]
-    scratch = Scratch(g.spark, "path")
-    hop = scratch.save(g.links(*CALLS).select("source", "target", "kind", F.coalesce("edge_ord", F.lit(0)).alias("o")), "links")
-    front = scratch.save(seeds.select("id").distinct().select("id", F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")), "level-0")
-    levels, seen = [front], front.select("id")
-    for depth in range(1, most + 1):
-        met = front.join(hop, front["id"] == hop["source"]).groupBy(F.col("target").alias("id")).agg(F.min(F.struct("o", F.col("source").alias("s"), "kind")).alias("m"))
-        front = scratch.save(met.select("id", F.col("m.s").alias("parent"), F.col("m.kind").alias("via")).join(seen, "id", "left_anti"), f"level-{depth}")
-        levels.append(front)
-        found = front.join(targets, "id", "left_semi").orderBy("id").first()
-        if found:
-            out = []
-            for k in range(depth, 0, -1):
-                out.append((k, found.id, found.via))
-                found = levels[k - 1].where(F.col("id") == found.parent).first()
-            return [(0, found.id, None), *out[::-1]]
-        if front.isEmpty():
+def between(links: DataFrame, seeds: DataFrame, targets: DataFrame, most: int = 1_000) -> list[tuple[int, str, str | None]] | None:
+    """The rows of one shortest path, at most as many as it has hops: the only thing collected. Raises where the search isn't over after most hops.
+
+    Frontiers grow from both ends, the smaller one first, until they meet; each has half the hops. From where they meet, the path's
+    second half is walked within the levels that the other side found: a vertex there has all its shortest paths there.
+    """
+    scratch = Scratch(links.sparkSession, "path")
+    hop = links.select("source", "target", "kind", F.coalesce("edge_ord", F.lit(0)).alias("o"))
+    none = F.lit(None).cast("string")
+    ahead = [scratch.save(seeds.select("id").distinct().select("id", none.alias("parent"), none.alias("via")), "ahead-0")]
+    back = [scratch.save(targets.select("id").distinct(), "back-0")]
+    size = [ahead[0].count(), back[0].count()]
+
+    def step(front: DataFrame, within: DataFrame | None = None) -> DataFrame:
+        """What front leads to, each with the link that counts."""
+        met = front.select("id").join(hop, F.col("id") == hop["source"])
+        met = met if within is None else met.join(within.select(F.col("id").alias("target")), "target", "left_semi")
+        return met.groupBy(F.col("target").alias("id")).agg(F.min(F.struct("o", F.col("source").alias("s"), "kind")).alias("m")).select("id", F.col("m.s").alias("parent"), F.col("m.kind").alias("via"))
+
+    def fresh(found: DataFrame, levels: list[DataFrame]) -> DataFrame:
+        return found.join(reduce(DataFrame.unionByName, [x.select("id") for x in levels]), "id", "left_anti")
+
+    while ahead[-1].select("id").join(back[-1], "id", "left_semi").isEmpty():
+        if not min(size):
             return None
-        seen = seen.unionByName(front.select("id"))
-    raise ValueError(f"no path of up to {most} hops, and more to search")
+        if len(ahead) + len(back) - 2 >= most:
+            raise ValueError(f"no path of up to {most} hops, and more to search")
+        if size[0] <= size[1]:
+            ahead.append(scratch.save(fresh(step(ahead[-1]), ahead), f"ahead-{len(ahead)}"))
+            size[0] = ahead[-1].count()
+        else:
+            less = back[-1].join(hop, F.col("id") == hop["target"]).select(F.col("source").alias("id")).distinct()
+            back.append(scratch.save(fresh(less, back), f"back-{len(back)}"))
+            size[1] = back[-1].count()
+    ahead[-1] = ahead[-1].join(back[-1], "id", "left_semi")
+    for level in back[-2::-1]:
+        ahead.append(scratch.save(step(ahead[-1], level), f"ahead-{len(ahead)}"))
+    found, out = ahead[-1].orderBy("id").first(), []
+    for k in range(len(ahead) - 1, 0, -1):
+        out.append((k, found.id, found.via))
+        found = ahead[k - 1].where(F.col("id") == found.parent).first()
+    return [(0, found.id, None), *out[::-1]]
 
 
 def subgraph(g: CodeGraph, around: str | None = None, depth: int = 2) -> tuple[DataFrame, DataFrame]:
@@ -129,12 +151,28 @@ def sink_sites(g: CodeGraph) -> DataFrame:
     return e.groupBy("source", F.coalesce("metadata.sink", F.lit("?")).alias("sink"), F.coalesce("metadata.name", F.lit("?")).alias("name")).agg(F.bool_or(F.coalesce("metadata.dynamic", F.lit(False))).alias("dynamic"))
 
 
+def leading(links: DataFrame, ends: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
+    """The ids from which a walk of up to depth links leads to one of ends (id), and the links between them, both written.
+
+    Walks from many roots to few ends need no others: whatever lies on a path to an end leads there itself.
+    """
+    live = scratch.save(expand(links, ends.select("id"), depth, "in").select("id"), "leading")
+    side = lambda name: live.select(F.col("id").alias(name))
+    return live, scratch.save(links.join(side("target"), "target", "left_semi").join(side("source"), "source", "left_semi"), "leading-links")
+
+
 def sinks(g: CodeGraph, depth: int = 40) -> DataFrame:
-    """Sinks that each route's handler reaches, all routes in one traversal: route, sub, sink, name, dynamic, depth."""
-    routes = route_handlers(g)
+    """Sinks that each route's handler reaches, all routes in one traversal: route, sub, sink, name, dynamic, depth.
+
+    First a walk back from all sinks tells which nodes lead to any; routes then only walk there.
+    """
+    scratch = Scratch(g.spark, "sinks")
+    sites = scratch.save(sink_sites(g), "sites")
+    live, links = leading(g.walks(*CALLS), sites.select(F.col("source").alias("id")).distinct(), depth - 1, scratch)
+    routes = route_handlers(g).select("route", F.col("handler").alias("id")).join(live, "id", "left_semi")
     # Depth counts levels looked at: the handler's is the first.
-    found = expand(g.walks(*CALLS), routes.select("route", F.col("handler").alias("id")), depth - 1, "out", keys=("route",))
-    met = found.join(sink_sites(g), found["id"] == F.col("source")).join(g.nodes.select(F.col("id").alias("source"), C.shown_name().alias("sub")), "source")
+    found = expand(links, routes, depth - 1, "out", keys=("route",))
+    met = found.join(sites, found["id"] == F.col("source")).join(g.nodes.select(F.col("id").alias("source"), C.shown_name().alias("sub")), "source")
     return met.select("route", "sub", "sink", "name", "dynamic", "depth")
 
 
@@ -159,12 +197,14 @@ def taint(g: CodeGraph, limit: int = 50, depth: int = 40) -> DataFrame:
     """Paths from sources of outside values to dynamic sinks.
 
     source_kind, detail, src_sub, sink_sub, path, sinks, local, value_flow (inside one sub), param_flow (hop by hop through
-    arguments), best first. All sources go in one traversal; each (source, node) has one shortest path.
+    arguments), best first. A walk back from the sinks tells which nodes lead to any; all sources then go in one traversal of those, and each
+    (source, node) has one shortest path.
     """
     scratch = Scratch(g.spark, "taint")
     source = scratch.save(taint_sources(g), "sources")
     sites = scratch.save(sink_sites(g).where("dynamic").groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set(F.concat_ws(":", "sink", "name"))).alias("sinks")), "sites")
-    tree = expand(g.walks(*CALLS), source.select(F.col("id").alias("root"), "id"), depth - 1, "out", keys=("root",), via=True)
+    live, links = leading(g.walks(*CALLS), sites, depth - 1, scratch)
+    tree = expand(links, source.join(live, "id", "left_semi").select(F.col("id").alias("root"), "id"), depth - 1, "out", keys=("root",), via=True)
     tree = scratch.save(tree, "tree")
     ends = tree.join(sites, "id").select("root", F.col("id").alias("sink_id"), "sinks", "id", "parent", F.array("id").alias("ids"))
     longest = ends.join(tree.select("root", "id", "depth"), ["root", "id"]).agg(F.max("depth")).first()[0] or 0

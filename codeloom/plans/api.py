@@ -6,11 +6,11 @@ import json
 import os
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.operators import diff, history, lookup, quality, refactor, resolve, semantic, traverse
+from codeloom.operators import components, diff, history, lookup, quality, refactor, resolve, semantic, traverse
 from codeloom.plans import export
 from codeloom.plans.graph import CodeGraph
 from codeloom.sources import files, git
@@ -143,7 +143,7 @@ TOOLS: dict[str, tuple[tuple[str, ...], Callable]] = {
     "undocumented": ((), lambda w, module=None: _nodes(quality.undocumented(w.graph, module))),
     "api": (("module",), lambda w, module: _nodes(quality.api(w.graph, module))),
     "deps": ((), lambda w, module=None: resolve.deps(w.graph, module)),
-    "cycles": ((), lambda w: "\n".join(" -> ".join([*c, c[0]]) for c in resolve.cycles(w.graph)) or "No cycles."),
+    "cycles": ((), lambda w: _cycles(w)),
     "layers": ((), lambda w: _layers(w)),
     "checkcalls": ((), lambda w: quality.check_calls(w.graph)),
     "checkargs": ((), lambda w: quality.check_args(w.graph, w.sites)),
@@ -256,8 +256,21 @@ def _prereqs(w: Workbench) -> str:
 
 
 def _layers(w: Workbench) -> str:
-    found, broken = resolve.layers(w.graph)
-    return "\n".join([*(f"{k}: {', '.join(found[k])}" for k in sorted(found)), *(f"violation: {b}" for b in broken)]) or "No modules."
+    """A line a layer and one a violation, as the tables hold them; a page has room for the first thousand modules of a layer."""
+    found, broken = components.layers(w.graph)
+    first = found.withColumn("k", F.row_number().over(Window.partitionBy("layer").orderBy("module"))).where("k <= 1000")
+    rows = first.groupBy("layer").agg(F.array_sort(F.collect_list("module")).alias("m")).join(found.groupBy("layer").agg(F.count("*").alias("n")), "layer").orderBy("layer").collect()
+    lines = [f"{r.layer}: {', '.join(r.m)}" + (f" and {r.n - len(r.m)} more" if r.n > len(r.m) else "") for r in rows]
+    return "\n".join([*lines, *(f"violation: {r.module} -> {r.dep}" for r in broken.orderBy("module", "dep").limit(1_000).collect())]) or "No modules."
+
+
+def _cycles(w: Workbench) -> str:
+    """The ring of each cyclic component, the largest components first; a page has room for a hundred."""
+    found = components.cycles(w.graph)
+    rings = found.where("hop is not null").groupBy("component", "size").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("hop", "module"))), lambda x: x["module"]), " -> ").alias("ring"))
+    rows = rings.orderBy(F.desc("size"), "component").limit(101).collect()
+    ring = lambda r: f"{r.ring} -> {r.component}" + (f" (of {r['size']} modules that lead to each other)" if r["size"] > r.ring.count(" -> ") + 1 else "")
+    return "\n".join([*(ring(r) for r in rows[:100]), *(["and more"] if len(rows) > 100 else [])]) or "No cycles."
 
 
 def _scaffold(w: Workbench, symbol: str) -> str:

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ class CodeGraph:
     def __init__(self, nodes: Table, edges: Table, refs: Table | None = None, files: Table | None = None, embeddings: Table | None = None, resolutions: Table | None = None, spark: SparkSession | None = None, stored: bool = False):
         self._tables = {"nodes": nodes, "edges": edges, "refs": refs, "files": files, "embeddings": embeddings, "resolutions": resolutions}
         self._spark, self.stored = spark, stored
-        self._walks: dict[tuple[str, ...], DataFrame] = {}
+        self._walks: dict[str | tuple[str, ...], DataFrame] = {}
 
     def _table(self, name: str) -> DataFrame:
         found = self._tables[name]
@@ -58,20 +59,27 @@ class CodeGraph:
         """links() for traversals. Where the edges are computed, not stored, they are written once for all traversals of this graph."""
         if self.stored:
             return self.links(*kinds)
-        if kinds not in self._walks:
-            self._walks[kinds] = Scratch(self.spark, "walks").save(self.links(*kinds).select("source", "target", "kind", "edge_ord"), "links")
-        return self._walks[kinds]
+        return self.written(kinds, lambda: self.links(*kinds).select("source", "target", "kind", "edge_ord"))
 
+    def written(self, name, make: Callable[[], DataFrame]) -> DataFrame:
+        """What make gives, written once for this graph."""
+        if name not in self._walks:
+            self._walks[name] = Scratch(self.spark, "walks").save(make(), "links")
+        return self._walks[name]
 
-def expand(links: DataFrame, seeds: DataFrame, max_depth: int, direction: str = "out", seeds_seen: bool = True, keys: tuple[str, ...] = (), via: bool = False) -> DataFrame:
-    """Breadth-first levels from seeds (id, and keys such as root): rows (keys, id, depth), seeds at depth 0.
+
+#: Levels after which what was seen becomes one table again.
+MERGED = 8
+
+
+def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction: str = "out", seeds_seen: bool = True, keys: tuple[str, ...] = (), via: bool = False) -> DataFrame:
+    """Breadth-first levels from seeds (id, and keys such as root): rows (keys, id, depth), seeds at depth 0. Without a max_depth, all there are.
 
     A step joins the frontier with the links (a stored table, see CodeGraph.walks; a small frontier is broadcast), keeps one row
     per new (keys, id) and drops what earlier levels hold; each level is a written table, so that a plan never grows with the depth
-    and a lost executor costs one level. With seeds_seen False a
+    and a lost executor costs one level; every MERGED levels, what was seen becomes one table. With seeds_seen False a
     seed may be found again, at its distance along a cycle, and then has that row too. With via, rows also carry the row that
-    found them: parent, its place in the order of discovery and the link's kind; of several, the least parent order and then the
-    least edge_ord counts. direction is out, in or both.
+    found them: parent and the link's kind; of several, the least edge_ord and then the least parent counts. direction is out, in or both.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "expand")
@@ -82,20 +90,24 @@ def expand(links: DataFrame, seeds: DataFrame, max_depth: int, direction: str =
     by = [*keys, "id"]
     extra = [F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")] if via else []
     front = scratch.save(seeds.select(*by).distinct().select(*by, F.lit(0).alias("depth"), *extra), "level-0")
-    levels, seen = [front], front.select(*by) if seeds_seen else front.select(*by).limit(0)
-    for depth in range(1, max_depth + 1):
+    levels, seen, recent, depth = [front], None, [front.select(*by)] if seeds_seen else [], 0
+    while max_depth is None or depth < max_depth:
+        depth += 1
         met = front.join(hop, front["id"] == hop["_a"])
         if via:
             found = met.groupBy(*keys, F.col("_b").alias("id")).agg(F.min(F.struct("_o", F.col("_a").alias("p"), "_k")).alias("m"))
             found = found.select(*by, F.lit(depth).alias("depth"), F.col("m.p").alias("parent"), F.col("m._k").alias("via"))
         else:
             found = met.select(*keys, F.col("_b").alias("id")).distinct().select(*by, F.lit(depth).alias("depth"))
-        front = scratch.save(found.join(seen, by, "left_anti"), f"level-{depth}")
+        earlier = reduce(DataFrame.unionByName, [*([seen] if seen is not None else []), *recent]) if recent or seen is not None else None
+        front = scratch.save(found if earlier is None else found.join(earlier, by, "left_anti"), f"level-{depth}")
         if front.isEmpty():
             break
         levels.append(front)
-        seen = seen.unionByName(front.select(*by))
-    out = levels[0]
-    for level in levels[1:]:
-        out = out.unionByName(level)
-    return out
+        recent.append(front.select(*by))
+        if len(recent) == MERGED:
+            seen = scratch.save(reduce(DataFrame.unionByName, [*([seen] if seen is not None else []), *recent]), f"seen-{depth}")
+            if depth > MERGED:
+                scratch.drop(f"seen-{depth - MERGED}")
+            recent = []
+    return reduce(DataFrame.unionByName, levels)

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.operators import diff, history, lookup, quality, resolve, semantic, traverse
+from codeloom.operators import components, diff, history, lookup, quality, resolve, semantic, traverse
 from codeloom.plans import star
 from codeloom.plans.graph import CALLS, CodeGraph, expand
 
@@ -210,7 +210,18 @@ SELECT route, n.qualified_name AS sub, sink, sink_name AS name, dynamic, min(dep
 query("taint_sources", """
 , r AS (SELECT e.target AS id, 0 AS k, 'endpoint' AS source_kind, n.name AS detail FROM edges e JOIN nodes n ON n.id = e.source WHERE via = 'route' UNION ALL SELECT id, 2, 'external', taint_source FROM nodes WHERE taint_source IS NOT NULL)
 SELECT id, arg_min(source_kind, (k, detail)) AS source_kind, arg_min(detail, (k, detail)) AS detail FROM r GROUP BY 1""")(lambda g, s, d: traverse.taint_sources(g))
-query("taint")(lambda g, s, d: traverse.taint(g).withColumn("path", F.array_join("path", " > ")).withColumn("sinks", F.array_join("sinks", ",")))
+query("taint", """
+, r AS (SELECT e.target AS id, 0 AS k, 'endpoint' AS source_kind, n.name AS detail FROM edges e JOIN nodes n ON n.id = e.source WHERE via = 'route' UNION ALL SELECT id, 2, 'external', taint_source FROM nodes WHERE taint_source IS NOT NULL),
+src AS (SELECT id, arg_min(source_kind, (k, detail)) AS source_kind, arg_min(detail, (k, detail)) AS detail FROM r GROUP BY 1),
+sites AS (SELECT source AS id, array_to_string(list_sort(list(sink || ':' || sink_name)), ',') AS sinks FROM (SELECT source, sink, sink_name FROM edges WHERE kind = 'sink' GROUP BY ALL HAVING bool_or(dynamic)) GROUP BY 1),
+tree(root, id, depth) USING KEY (root, id) AS (SELECT id, id, 0 FROM src
+  UNION SELECT DISTINCT t.root, target, t.depth + 1 FROM tree t JOIN links ON source = t.id LEFT JOIN recurring.tree r ON r.root = t.root AND r.id = target WHERE r.id IS NULL AND t.depth < 39),
+parent AS (SELECT t.root, t.id, min(source) AS parent FROM tree t JOIN links ON target = t.id JOIN tree s ON s.root = t.root AND s.id = source AND s.depth = t.depth - 1 GROUP BY 1, 2),
+back AS (SELECT root, id AS sink_id, id, [id] AS ids FROM tree JOIN sites USING (id) UNION ALL SELECT back.root, sink_id, parent, list_concat([parent], ids) FROM back JOIN parent p ON p.root = back.root AND p.id = back.id),
+whole AS (SELECT root, sink_id, unnest(ids) AS id, unnest(range(len(ids))) AS k FROM back WHERE back.id = root),
+named AS (SELECT root, sink_id, array_to_string(list(qualified_name ORDER BY k), ' > ') AS path, count(*) AS n FROM whole JOIN nodes USING (id) GROUP BY 1, 2)
+SELECT source_kind, detail, a.qualified_name AS src_sub, b.qualified_name AS sink_sub, path, sinks, root = sink_id AS local, false AS value_flow, false AS param_flow
+FROM named JOIN src ON src.id = root JOIN sites ON sites.id = sink_id JOIN nodes a ON a.id = root JOIN nodes b ON b.id = sink_id ORDER BY local DESC, n, src_sub, sink_sub LIMIT 50""", recursive=True)(lambda g, s, d: traverse.taint(g).withColumn("path", F.array_join("path", " > ")).withColumn("sinks", F.array_join("sinks", ",")))
 
 # Modules.
 
@@ -222,7 +233,7 @@ _DAG = "\n, e AS (SELECT 'N' || src AS module, 'N' || dst AS dep FROM trade WHER
 
 def _dag(g: CodeGraph, s: SparkSession, d: str) -> DataFrame:
     nation = lambda c: F.expr(f"cast(substring({c}, 2) as int)")
-    return resolve.layers_of_dag(g.links("imports").where(nation("source") < nation("target")).select(F.col("source").alias("module"), F.col("target").alias("dep")))
+    return components.layered(g.links("imports").where(nation("source") < nation("target")))[0].withColumnRenamed("id", "module")
 
 
 query("layers_dag", _DAG + """,
@@ -231,9 +242,32 @@ SELECT m AS module, max(l)::INT AS layer FROM walk GROUP BY 1""", recursive=True
 query("module_cycles", """
 , e AS (SELECT DISTINCT source, target FROM edges WHERE kind = 'imports'),
 walk AS (SELECT source AS root, target AS id FROM e UNION SELECT root, target FROM walk JOIN e ON e.source = walk.id)
-SELECT DISTINCT root AS module FROM walk WHERE root = id""", recursive=True)(lambda g, s, d: resolve.on_cycles(g.links("imports").select(F.col("source").alias("module"), F.col("target").alias("dep"))))
-query("cycles")(lambda g, s, d: s.createDataFrame([(k, ",".join(c)) for k, c in enumerate(resolve.cycles(g))], "k int, members string"))
-query("layers")(lambda g, s, d: s.createDataFrame([(k, m) for k, ms in resolve.layers(g)[0].items() for m in ms], "layer int, module string"))
+SELECT DISTINCT root AS module FROM walk WHERE root = id""", recursive=True)(lambda g, s, d: components.on_cycles(g.links("imports").select(F.col("source").alias("module"), F.col("target").alias("dep"))))
+#: Modules' dependencies by name; who leads to whom; components (the smallest name of those that lead to each other); distances from a component's first module, and parents.
+_PARTS = """
+, own AS (SELECT DISTINCT qualified_name AS q FROM nodes WHERE kind IN ('package', 'class')),
+e AS (SELECT DISTINCT a.qualified_name AS source, b.qualified_name AS target FROM edges x JOIN nodes a ON a.id = x.source JOIN nodes b ON b.id = x.target
+  WHERE x.kind IN ('imports', 'extends') AND a.kind IN ('package', 'class') AND b.qualified_name IN (SELECT q FROM own) AND a.qualified_name <> b.qualified_name),
+reach AS (SELECT source AS a, target AS b FROM e UNION SELECT a, target FROM reach JOIN e ON source = b),
+parts AS (SELECT r.a AS id, min(r.b) AS component FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY r.a),
+inside AS (SELECT source, target, p.component AS root FROM e JOIN parts p ON p.id = source JOIN parts q ON q.id = target AND q.component = p.component),
+walk AS (SELECT component AS root, component AS id, 0 AS depth FROM parts WHERE id = component UNION SELECT i.root, target, depth + 1 FROM walk w JOIN inside i ON i.root = w.root AND source = w.id WHERE depth < (SELECT count(*) FROM parts)),
+tree AS (SELECT root, id, min(depth)::INT AS depth FROM walk GROUP BY 1, 2),
+broken AS (SELECT source, target FROM inside i JOIN tree a ON a.id = source JOIN tree b ON b.id = target WHERE b.depth <= a.depth),
+kept AS (SELECT source, target FROM e EXCEPT SELECT source, target FROM broken),
+up AS (SELECT q AS id, 0 AS l FROM own UNION SELECT source, l + 1 FROM up JOIN kept ON target = up.id)"""
+query("cycles", _PARTS + """,
+parent AS (SELECT t.root, t.id, t.depth, min(source) AS parent FROM tree t LEFT JOIN (SELECT i.root, i.source, i.target, s.depth AS d FROM inside i JOIN tree s ON s.id = i.source) x ON x.root = t.root AND x.target = t.id AND d = t.depth - 1 GROUP BY ALL),
+last AS (SELECT root, arg_min(source, (depth, source)) AS id FROM inside JOIN tree USING (root) WHERE target = root AND tree.id = source GROUP BY root),
+ring AS (SELECT root, last.id, depth AS hop, parent FROM last JOIN parent USING (root, id) UNION ALL SELECT root, p.id, depth, p.parent FROM ring JOIN parent p USING (root) WHERE p.id = ring.parent)
+SELECT component, count(*) OVER (PARTITION BY component) AS size, p.id AS module, hop::INT AS hop FROM parts p LEFT JOIN ring ON ring.root = component AND ring.id = p.id""", recursive=True)(lambda g, s, d: components.cycles(g))
+query("layers", _PARTS + """
+SELECT id AS module, max(l)::INT AS layer FROM up GROUP BY 1""", recursive=True)(lambda g, s, d: components.layers(g)[0])
+query("layer_violations", _PARTS + """
+SELECT source AS module, target AS dep FROM broken""", recursive=True)(lambda g, s, d: components.layers(g)[1])
+query("call_components", """
+, reach AS (SELECT source AS a, target AS b FROM links UNION SELECT a, target FROM reach JOIN links ON source = b)
+SELECT r.a AS id, min(r.b) AS component FROM reach r JOIN reach s ON r.a = s.b AND r.b = s.a GROUP BY r.a HAVING count(*) > 1""", recursive=True)(lambda g, s, d: components.components(g.walks(*CALLS)))
 query("ancestry", """
 , up AS (SELECT a.qualified_name AS c, b.qualified_name AS p FROM edges e JOIN nodes a ON a.id = e.source JOIN nodes b ON b.id = e.target WHERE e.kind = 'extends'),
 walk AS (SELECT qualified_name AS class, qualified_name AS ancestor, 0 AS pos FROM nodes WHERE kind IN ('class', 'package') UNION SELECT class, p, pos + 1 FROM walk JOIN up ON c = ancestor WHERE pos < 30)

@@ -1,15 +1,16 @@
 """Operators on hand-built graphs with known answers."""
 
 import random
+from collections import defaultdict
 
 import pytest
 from pyspark.sql import functions as F
 from tests.helpers import graph, ids
 
 from codeloom.functions import columns as C
-from codeloom.operators import diff, history, lookup, quality, resolve, semantic, traverse
+from codeloom.operators import components, diff, history, lookup, quality, resolve, semantic, traverse
 from codeloom.plans import schema as S
-from codeloom.plans.graph import expand
+from codeloom.plans.graph import CALLS, expand
 
 
 def test_calls_and_impact(spark):
@@ -85,30 +86,103 @@ def test_cochange(spark):
 
 def test_layers_and_cycles(spark):
     g = graph(spark, [{"id": x, "kind": "package"} for x in "ABCXY"], [("A", "B", "imports"), ("B", "C", "imports"), ("X", "Y", "imports"), ("Y", "X", "imports")])
-    found, broken = resolve.layers(g)
-    assert found[0][0] == "C" and "B" in found[1] and found[2] == ["A"] and len(broken) == 1
-    assert [sorted(c) for c in resolve.cycles(g)] == [["X", "Y"]]
-    assert ids(resolve.on_cycles(resolve.module_edges(g, "imports")), "module") == ["X", "Y"]
-    dag = resolve.module_edges(g, "imports").where("module in ('A', 'B')")
-    assert {(r.module, r.layer) for r in resolve.layers_of_dag(dag).collect()} == {("A", 2), ("B", 1), ("C", 0)}
-    with pytest.raises(ValueError):
-        resolve.layers_of_dag(resolve.module_edges(g, "imports"), most=20)
+    found, broken = components.layers(g)
+    assert {(r.module, r.layer) for r in found.collect()} == {("A", 2), ("B", 1), ("C", 0), ("X", 1), ("Y", 0)}
+    assert [tuple(r) for r in broken.collect()] == [("Y", "X")]
+    assert sorted(tuple(r) for r in components.cycles(g).collect()) == [("X", 2, "X", 0), ("X", 2, "Y", 1)]
+    assert ids(components.on_cycles(resolve.module_edges(g, "imports")), "module") == ["X", "Y"]
 
 
-def test_large_module_graphs_leave_the_cycles_of_metrics_open(spark, monkeypatch):
+def plain_components(edges):
+    """Reach by repeated steps."""
+    near = defaultdict(set)
+    for a, b in edges:
+        if a is not None and b is not None and a != b:
+            near[a].add(b)
+    reach = {}
+    for v in {x for e in edges for x in e if x is not None}:
+        seen, todo = set(), [v]
+        while todo:
+            for b in near[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        reach[v] = seen
+    return {v: min(w for w in r if v in reach[w]) for v, r in reach.items() if v in r}, near
+
+
+@pytest.mark.parametrize("seed,n,m", [(1, 30, 45), (3, 12, 40)])
+def test_components_cycles_and_layers_of_random_graphs(spark, seed, n, m):
+    rng = random.Random(seed)
+    edges = [(f"v{rng.randrange(n):02}", f"v{rng.randrange(n):02}") for _ in range(m)] + [(None, "v01"), ("v02", None), ("v03", "v03")]
+    df = spark.createDataFrame(edges, "source string, target string")
+    want, near = plain_components(edges)
+    assert {r.id: r.component for r in components.components(df).collect()} == want
+    rows = components.cycles_of(df).collect()
+    assert {r.id: r.component for r in rows} == want
+    for c in set(want.values()):
+        mine = {v for v, w in want.items() if w == c}
+        assert all(r["size"] == len(mine) for r in rows if r.component == c)
+        ring = [r.id for r in sorted((r for r in rows if r.component == c and r.hop is not None), key=lambda r: r.hop)]
+        assert ring[0] == c and all(b in near[a] for a, b in zip(ring, [*ring[1:], c]))
+        far, front, seen = 0, {c}, set()
+        while c not in seen:
+            front, far = {b for a in front for b in near[a]}, far + 1
+            seen |= front
+        assert len(ring) == far
+    found, broken = components.layered(df)
+    layer = {r.id: r.layer for r in found.collect()}
+    out = {(r.source, r.target) for r in broken.collect()}
+    assert set(layer) == {x for a, b in edges if a and b and a != b for x in (a, b)} and all(want[a] == want[b] for a, b in out)
+    for v, l in layer.items():
+        assert l == max((layer[b] + 1 for b in near[v] if (v, b) not in out), default=0)
+
+
+def test_a_long_chain_and_a_long_ring(spark):
+    chain = [(f"c{k:03}", f"c{k + 1:03}") for k in range(9)]
+    ring = [(f"r{k:03}", f"r{(k + 1) % 9:03}") for k in range(9)]
+    df = spark.createDataFrame([*chain, *ring, ("c009", "r007")], "source string, target string")
+    assert {r.id for r in components.components(df).collect()} == {a for a, _ in ring}
+    assert {r.component for r in components.cycles_of(df).where("hop is not null").collect()} == {"r000"}
+    assert components.components(df.limit(0)).count() == 0 and components.layered(df.limit(0))[0].count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_paths_met_from_both_ends(spark, seed):
+    """As a search from one end finds them: parents by edge order, then id."""
+    rng = random.Random(seed)
+    edges = [(f"v{rng.randrange(25):02}", f"v{rng.randrange(25):02}", "calls", rng.randrange(9)) for _ in range(40)]
+    links = spark.createDataFrame(edges, "source string, target string, kind string, edge_ord long")
+    for a, b in (("v00", "v01"), ("v02", "v03"), ("v04", "v04"), ("v05", "v06")):
+        level, seen, at = {a: None}, {a}, [{a: None}]
+        while level and b not in level:
+            found = {}
+            for s, t, _, o in edges:
+                if s in level and t not in seen:
+                    found[t] = min(found.get(t, (o, s)), (o, s))
+            level = found
+            seen |= set(found)
+            at.append(found)
+        want, x = [], b
+        for k in range(len(at) - 1, -1, -1) if level else ():
+            want.append((k, x))
+            x = at[k][x][1] if k else None
+        seeds, ends = (spark.createDataFrame([(v,)], "id string") for v in (a, b))
+        got = traverse.between(links, seeds, ends)
+        assert ([(k, v) for k, v, _ in got] if got else []) == want[::-1]
+
+
+def test_metrics_count_the_groups_of_modules_in_circles(spark):
     g = graph(spark, [{"id": x, "kind": "package"} for x in "ABC"], [("A", "B", "imports"), ("B", "A", "imports"), ("B", "C", "imports")])
-    assert quality.metrics(g).first().cycles == 1
-    monkeypatch.setattr(resolve, "MODULE_EDGES", 2)
     row = quality.metrics(g).first()
-    assert row.cycles is None and (row.packages, row.edges) == (3, 3)
+    assert (row.cycles, row.packages, row.edges) == (1, 3, 3)
 
 
 def test_a_search_for_a_path_that_is_not_over_says_so(spark):
     g = graph(spark, [{"id": x} for x in "abcd"], [("a", "b", "calls"), ("b", "c", "calls"), ("c", "d", "calls")])
     start, end = lookup.defs(g, "a"), lookup.defs(g, "d").select("id")
-    assert [r[1] for r in traverse.expand_until(g, start, end, most=3)] == ["a", "b", "c", "d"]
+    assert [r[1] for r in traverse.between(g.walks(*CALLS), start, end, most=3)] == ["a", "b", "c", "d"]
     with pytest.raises(ValueError):
-        traverse.expand_until(g, start, end, most=2)
+        traverse.between(g.walks(*CALLS), start, end, most=2)
 
 
 def test_overview(spark):
