@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.operators import quality, traverse
+from codeloom.operators import quality, reach, traverse
 from codeloom.operators.lookup import first_by
 from codeloom.plans.graph import CALLS, CodeGraph, expand
 
@@ -52,16 +52,25 @@ def changelog(changes: DataFrame) -> str:
     return "\n".join(out) + "\n"
 
 
-def review(g: CodeGraph, changes: DataFrame, depth: int = 25, wide: int = 5) -> dict[str, DataFrame]:
-    """changes, symbols (callers, tests, untested, wide of each changed sub still there), affected (files). All subs in one traversal."""
+def review(g: CodeGraph, changes: DataFrame, depth: int = 25, wide: int = 5, sketched: bool = False) -> dict[str, DataFrame]:
+    """changes, symbols (callers, tests, untested, wide of each changed sub still there), affected (files).
+
+    Test files are counted, all subs in one traversal with a row for each sub and what leads to it; or, sketched, at any depth with a row a
+    node. They are few, so that the sketches are exact up to 4,095 of them.
+    """
     subs = g.nodes.where(F.col("kind").isin(*SUBS)).join(changes.where("change <> 'removed'").select("file", "qualified_name").withColumnRenamed("file", "file_path"), ["file_path", "qualified_name"], "left_semi")
     callers = g.links("calls").groupBy(F.col("target").alias("id")).agg(F.count("*").alias("callers"))
-    reach = expand(g.walks(*CALLS), subs.select(F.col("id").alias("root"), "id"), depth, "in", keys=("root",)).where("depth > 0")
-    tests = reach.join(g.nodes.where(F.col("file_path").endswith(".t")).select("id", "file_path"), "id").groupBy(F.col("root").alias("id")).agg(F.countDistinct("file_path").alias("tests"))
+    of_test = g.nodes.where(F.col("file_path").endswith(".t")).select("id", "file_path")
+    if sketched:
+        tests = reach.reach_sizes(g.walks(*CALLS), of_test.withColumnRenamed("file_path", "value")).select("id", F.col("size").alias("tests"))
+        met = expand(g.walks(*CALLS), subs.select("id"), depth, "in").where("depth > 0")
+    else:
+        met = expand(g.walks(*CALLS), subs.select(F.col("id").alias("root"), "id"), depth, "in", keys=("root",)).where("depth > 0")
+        tests = met.join(of_test, "id").groupBy(F.col("root").alias("id")).agg(F.countDistinct("file_path").alias("tests"))
     out = subs.join(callers, "id", "left").join(tests, "id", "left").fillna(0, ["callers", "tests"])
     judged = C.is_public() & ~F.coalesce("metadata.accessor", F.lit(False))
     symbols = out.select("id", "qualified_name", "callers", "tests", (judged & (F.col("tests") == 0)).alias("untested"), (C.is_public() & (F.col("callers") >= wide)).alias("wide"))
-    files = g.nodes.join(reach.select("id").distinct(), "id", "left_semi").select("file_path").unionByName(changes.select(F.col("file").alias("file_path"))).where("file_path is not null").distinct()
+    files = g.nodes.join(met.select("id").distinct(), "id", "left_semi").select("file_path").unionByName(changes.select(F.col("file").alias("file_path"))).where("file_path is not null").distinct()
     return {"changes": changes, "symbols": symbols, "affected": files}
 
 

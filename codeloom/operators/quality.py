@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
 from codeloom.functions import vocabulary as V
-from codeloom.operators import resolve, traverse
+from codeloom.operators import components, reach, resolve, traverse
 from codeloom.plans.graph import CALLS, CodeGraph, expand
 from codeloom.plans.scratch import Scratch
 from codeloom.sources.perl import pod
@@ -58,12 +58,19 @@ def namespaces(g: CodeGraph, limit: int = 12) -> DataFrame:
     return subs.groupBy(ns.alias("ns")).agg(F.count("*").alias("subs")).orderBy(F.desc("subs"), "ns").limit(limit)
 
 
-def hotspots(g: CodeGraph, limit: int = 15, depth: int = 50) -> dict[str, DataFrame]:
-    """fan_in (with each symbol's blast radius, all roots in one traversal), fan_out, packages (by their dependencies), complex."""
+def hotspots(g: CodeGraph, limit: int = 15, depth: int = 50, sketched: bool = False) -> dict[str, DataFrame]:
+    """fan_in (with each symbol's blast radius), fan_out, packages (by their dependencies), complex.
+
+    Blast radii are counted, all symbols in one traversal with a row for each symbol and what it meets; or, sketched, estimated at any depth with a row a node.
+    """
     name = g.nodes.where(F.col("kind").isin(*CALLABLE)).select("id", C.shown_name().alias("qualified_name"))
     top = top_fan_in(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
-    reach = expand(traverse.known_walks(g), top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
-    fan_in = top.join(reach.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("impact")), "id", "left").select("id", "qualified_name", "n", F.coalesce("impact", F.lit(0)).alias("impact"))
+    if sketched:
+        radius = reach.reach_sizes(traverse.known_walks(g)).select("id", F.col("size").alias("impact"))
+    else:
+        met = expand(traverse.known_walks(g), top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
+        radius = met.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("impact"))
+    fan_in = top.join(radius, "id", "left").select("id", "qualified_name", "n", F.coalesce("impact", F.lit(0)).alias("impact"))
     fan_out = top_fan_out(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
     packages = resolve.deps(g).groupBy("module").agg(F.count("*").alias("deps")).orderBy(F.desc("deps"), "module").limit(limit)
     return {"fan_in": fan_in.orderBy(F.desc("n"), "id"), "fan_out": fan_out, "packages": packages, "complex": most_complex(g, limit)}
@@ -232,8 +239,6 @@ def prereqs(g: CodeGraph, declared: DataFrame) -> DataFrame:
 
 def metrics(g: CodeGraph) -> DataFrame:
     """One row of headline numbers; denominators are at least 1. cycles counts the groups of modules that lead to each other."""
-    from codeloom.operators import components
-
     rings = components.components(resolve.module_edges(g, "imports", "extends", "implements").select(F.col("module").alias("source"), F.col("dep").alias("target"))).select("component").distinct()
     one = F.lit(1)
     kinds = F.col("kind")

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
-from codeloom.operators import components, diff, history, lookup, quality, resolve, semantic, traverse
+from codeloom.operators import components, diff, history, lookup, quality, reach, resolve, semantic, traverse
 from codeloom.plans import star
 from codeloom.plans.graph import CALLS, CodeGraph, expand
 
@@ -261,6 +261,10 @@ parent AS (SELECT t.root, t.id, t.depth, min(source) AS parent FROM tree t LEFT
 last AS (SELECT root, arg_min(source, (depth, source)) AS id FROM inside JOIN tree USING (root) WHERE target = root AND tree.id = source GROUP BY root),
 ring AS (SELECT root, last.id, depth AS hop, parent FROM last JOIN parent USING (root, id) UNION ALL SELECT root, p.id, depth, p.parent FROM ring JOIN parent p USING (root) WHERE p.id = ring.parent)
 SELECT component, count(*) OVER (PARTITION BY component) AS size, p.id AS module, hop::INT AS hop FROM parts p LEFT JOIN ring ON ring.root = component AND ring.id = p.id""", recursive=True)(lambda g, s, d: components.cycles(g))
+query("reach_sizes", """
+, reach AS (SELECT source AS a, target AS b FROM links UNION SELECT a, target FROM reach JOIN links ON source = b),
+v AS (SELECT source AS id FROM links UNION SELECT target FROM links)
+SELECT v.id, count(a) AS size, true AS exact FROM v LEFT JOIN reach ON b = v.id GROUP BY v.id""", recursive=True)(lambda g, s, d: reach.reach_sizes(g.walks(*CALLS)))
 query("layers", _PARTS + """
 SELECT id AS module, max(l)::INT AS layer FROM up GROUP BY 1""", recursive=True)(lambda g, s, d: components.layers(g)[0])
 query("layer_violations", _PARTS + """

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from tests.helpers import graph, ids
 
 from codeloom.functions import columns as C
-from codeloom.operators import components, diff, history, lookup, quality, resolve, semantic, traverse
+from codeloom.operators import components, diff, history, lookup, quality, reach, resolve, semantic, traverse
 from codeloom.plans import schema as S
 from codeloom.plans.graph import CALLS, expand
 
@@ -137,6 +137,43 @@ def test_components_cycles_and_layers_of_random_graphs(spark, seed, n, m):
         assert l == max((layer[b] + 1 for b in near[v] if (v, b) not in out), default=0)
 
 
+@pytest.mark.parametrize("seed,n,m,lg", [(1, 40, 55, 12), (2, 30, 20, 12), (3, 500, 700, 6)])
+def test_sizes_of_what_leads_to_each_vertex(spark, seed, n, m, lg):
+    rng = random.Random(seed)
+    edges = [(f"v{rng.randrange(n)}", f"v{rng.randrange(n)}") for _ in range(m)] + [("v1", "v1"), (None, "v2")]
+    near, want = defaultdict(set), {}
+    for a, b in edges:
+        if a is not None:
+            near[b].add(a)
+    for v in {x for e in edges for x in e if x is not None}:
+        seen, todo = set(), [v]
+        while todo:
+            for b in near[todo.pop()] - seen:
+                seen.add(b)
+                todo.append(b)
+        want[v] = len(seen)
+    got = {r.id: r for r in reach.reach_sizes(spark.createDataFrame(edges, "source string, target string"), lg=lg).collect()}
+    want.update({"v2": want.get("v2", 0)})
+    assert {i for i in got} == {x for a, b in edges if a is not None for x in (a, b)}
+    assert all(r.exact == (r.size < 1 << lg) and (not r.exact or r.size == want[i]) for i, r in got.items())
+    far = [abs(r.size - want[i]) / want[i] for i, r in got.items() if not r.exact]
+    # Three standard errors.
+    assert not far or max(far) < 3 * 2 ** (-lg / 2)
+    assert lg == 12 or far
+
+
+def test_sketched_hotspots_and_reviews_count_alike(spark):
+    rng = random.Random(7)
+    nodes = [{"id": f"p::f{k}", "file_path": f"t/{k % 5}.t" if k % 6 == 0 else "lib/p.pm"} for k in range(40)]
+    edges = [(f"p::f{rng.randrange(40)}", f"p::f{rng.randrange(40)}", rng.choice(["calls", "references"])) for _ in range(55)]
+    g = graph(spark, nodes, edges)
+    rows = lambda df: sorted(map(tuple, df.collect()), key=str)
+    assert rows(quality.hotspots(g)["fan_in"]) == rows(quality.hotspots(g, sketched=True)["fan_in"])
+    changes = diff.diff(g.nodes.where("id <> 'p::f3'"), g.nodes.withColumn("signature", F.lit("($x)")))
+    counted, estimated = diff.review(g, changes), diff.review(g, changes, sketched=True)
+    assert all(rows(counted[k]) == rows(estimated[k]) for k in ("symbols", "affected"))
+
+
 def test_a_long_chain_and_a_long_ring(spark):
     chain = [(f"c{k:03}", f"c{k + 1:03}") for k in range(9)]
     ring = [(f"r{k:03}", f"r{(k + 1) % 9:03}") for k in range(9)]
