@@ -1,8 +1,9 @@
 """MinHash near-dedup by a chosen-path set similarity join.
 
 Each distinct set of word shingles gets 64 minwise tokens. In each of TREES independent trees the sets start at nodes of two
-selected coordinates' tokens; a node of more than NODE sets branches by the tokens of each of three further selected coordinates,
-unless most of its sets are so alike that branching hardly splits it. Sets that meet no other drop out;
+selected coordinates' tokens; a node of more than NODE sets branches by the tokens of each of three further selected coordinates.
+A branching counts only if it leaves no more rows in large nodes than it took, so that no level holds more than three times the rows of
+the first; else the node stays as it is, and so does one most of whose sets are so alike that branching hardly splits it. Sets that meet no other drop out;
 the others' texts are read once more for their full sets and for sketches of 512 minwise bytes. Nodes of up to NODE sets are
 compared exhaustively by sketches, and what passes is confirmed on the full sets.
 
@@ -133,7 +134,7 @@ def _roots(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, cid, sig) to rows (node, cid) one level below; the node selects the coordinates."""
+    """(node, cid, sig) to rows (node, cid, up) one level below; the node, up, selects the coordinates."""
     for batch in batches:
         if not len(batch):
             continue
@@ -143,7 +144,7 @@ def _branches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for k in range(3):
             c = (first + np.uint64(k) * step) % np.uint64(COORDINATES)
             below = _node(node, c, sig[np.arange(len(node)), c.astype(np.int64)])
-            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1)], names=["node", "cid"])
+            yield pa.RecordBatch.from_arrays([pa.array(below.view(np.int64)), batch.column(1), batch.column(0)], names=["node", "cid", "up"])
 
 
 def _dense(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -327,6 +328,15 @@ def _nodes_of(tokens: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], lis
         now = scratch.save(now, f"paths-{level}")
         size = now.groupBy("node").agg(F.count("*").alias("n")).where("n > 1")
         met = scratch.save(now.join(size, "node"), f"nodes-{level}")
+        if level:
+            # Nodes whose branching left more of their sets' rows in large nodes than they had: they stay, and what came of them goes.
+            left = met.where(f"n > {NODE}").groupBy("up").agg(F.count("*").alias("left"))
+            had = large.select(F.col("node").alias("up"), F.col("n").alias("had")).distinct()
+            stuck = scratch.save(left.join(had, "up").where("left > had").select("up"), f"stuck-{level}")
+            if not stuck.isEmpty():
+                deep.append(scratch.save(large.join(stuck, large["node"] == stuck["up"], "left_semi").select("node", "cid", "n"), f"kept-{level}"))
+                met = scratch.save(met.join(stuck, "up", "left_anti"), f"split-{level}")
+                scratch.drop(f"nodes-{level}")
         scratch.drop(f"paths-{level}", f"large-{level - 1}")
         nodes.append(met.where(f"n <= {NODE}").select("node", "cid"))
         large = met.where(f"n > {NODE}")
@@ -339,7 +349,7 @@ def _nodes_of(tokens: DataFrame, scratch: Scratch) -> tuple[list[DataFrame], lis
         some = large.where("pmod(xxhash64(cid, node), 1000000) * n < 32000000").groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
         dense = scratch.save(some.mapInArrow(_dense, "node long"), f"dense-{level}")
         deep.append(scratch.save(large.join(dense, "node", "left_semi").select("node", "cid", "n"), f"deep-{level}"))
-        now = large.join(dense, "node", "left_anti").select("node", "cid", "sig").mapInArrow(_branches, "node long, cid long")
+        now = large.join(dense, "node", "left_anti").select("node", "cid", "sig").mapInArrow(_branches, "node long, cid long, up long")
         level += 1
     return nodes, deep
 

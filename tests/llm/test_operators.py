@@ -231,6 +231,38 @@ def test_near_pairs_meet_in_branched_nodes():
     assert len({i // 2 for _, i in now}) > 0.95 * 200
 
 
+@pytest.mark.parametrize("near", [0.49, 0.64, 0.75])
+def test_branching_holds_no_more_than_three_times_the_rows(spark, monkeypatch, near):
+    """Many sets that are alike, but hardly any linked: branching would multiply them at each level. Any two that meet at first still do."""
+    rng = np.random.default_rng(9)
+    share = near**0.5
+    base, own = rng.integers(0, 1 << 32, 64, dtype=np.uint32), rng.integers(0, 1 << 32, (400, 64), dtype=np.uint32)
+    sig = np.where(rng.random((400, 64)) < share, base, own)
+    monkeypatch.setattr(near_dedup, "NODE", 40)
+    monkeypatch.setattr(near_dedup, "TREES", 2)
+    rows = {}
+
+    class Counted(Scratch):
+        def save(self, df, name):
+            out = super().save(df, name)
+            if name.startswith("paths-"):
+                rows[name] = out.count()
+            return out
+
+    tokens = spark.createDataFrame([(k, x.tobytes()) for k, x in enumerate(sig)], "cid long, sig binary")
+    nodes, deep = near_dedup._nodes_of(tokens, Counted(spark, "test"))
+    assert max(rows.values()) <= 3 * rows["paths-0"]
+    held = [set(), set()]
+    for out, tables in zip(held, (nodes, deep)):
+        for t in tables:
+            by = defaultdict(list)
+            for r in t.collect():
+                by[r.node].append(r.cid)
+            for ids in by.values():
+                out.update((a, b) for a in ids for b in ids if a < b)
+    assert held[1] and len(held[0] | held[1]) >= 0.9 * len({(a, b) for a in range(400) for b in range(a) if (sig[a] == sig[b]).sum() > 51})
+
+
 def test_sketches_estimate_and_recall():
     rng = np.random.default_rng(3)
     met = 0
