@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
+from codeloom.operators import textindex
 from codeloom.plans.graph import CALLS, CodeGraph
 
 ORDER = ("file_path", "start_line", "id")
@@ -152,18 +153,31 @@ def references_at(g: CodeGraph, file: str, line: int) -> DataFrame:
 
 
 def symbols_like(g: CodeGraph, text: str, limit: int = 100) -> DataFrame:
-    """Symbols whose name or qualified name holds a text, whatever its case; nothing in it is a wildcard. Shortest first."""
+    """Symbols whose name or qualified name holds a text, whatever its case; nothing in it is a wildcard. Shortest first.
+
+    Where the graph has an index of pieces, the folders of the text's own pieces are read; only an empty text takes a scan.
+    """
+    if g.pieces is not None and text:
+        first = textindex.holding(g.pieces, text).orderBy(F.length(C.shown_name()), C.shown_name(), "id").limit(limit)
+        return _of_ids(g, first).orderBy(F.length(C.shown_name()), C.shown_name(), "id")
     has = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(text.lower()))
     found = g.nodes.where((F.col("kind") != "file") & (has("name") | has("qualified_name")))
     return found.orderBy(F.length(C.shown_name()), C.shown_name(), "id").limit(limit)
 
 
 def search(g: CodeGraph, phrase: str, limit: int = 50) -> DataFrame:
-    """Nodes with the phrase's tokens one after another in their name, qualified name or docstring."""
+    """Nodes with the phrase's tokens one after another in their name, qualified name or docstring; by the positional index where the graph has one."""
+    if g.postings is not None:
+        return _of_ids(g, textindex.having_phrase(g.postings, phrase).orderBy("id").limit(limit)).orderBy("id")
     hit = C.has_phrase(F.col("name"), phrase) | C.has_phrase(F.col("qualified_name"), phrase) | C.has_phrase(F.col("docstring"), phrase)
     return g.nodes.where((F.col("kind") != "file") & hit).orderBy("id").limit(limit)
 
 
+def _of_ids(g: CodeGraph, found: DataFrame) -> DataFrame:
+    """The nodes of a limited number of ids, which the scan gets as a filter."""
+    return g.nodes.where(F.col("id").isin(*(r.id for r in found.select("id").collect())))
+
+
 def node_source(sources: DataFrame, nodes: DataFrame, most: int = 150) -> DataFrame:
     """id and source: a node's own lines, cut after so many with '...'. sources has path and text."""
     met = nodes.where("start_line is not null").join(sources, nodes["file_path"] == sources["path"])

@@ -21,11 +21,14 @@ Table = DataFrame | Callable[[], DataFrame]
 class CodeGraph:
     """Tables of one snapshot; see codeloom.plans.schema. Missing tables are empty; a table may be given as what makes it.
 
+    postings and pieces are indexes of the nodes (see codeloom.operators.textindex), None where there are none; with other nodes they go.
+
     stored says that the tables are read from files as they are, so that a traversal may read them at each level.
     """
 
-    def __init__(self, nodes: Table, edges: Table, refs: Table | None = None, files: Table | None = None, embeddings: Table | None = None, resolutions: Table | None = None, spark: SparkSession | None = None, stored: bool = False):
+    def __init__(self, nodes: Table, edges: Table, refs: Table | None = None, files: Table | None = None, embeddings: Table | None = None, resolutions: Table | None = None, spark: SparkSession | None = None, stored: bool = False, postings: DataFrame | None = None, pieces: DataFrame | None = None):
         self._tables = {"nodes": nodes, "edges": edges, "refs": refs, "files": files, "embeddings": embeddings, "resolutions": resolutions}
+        self.postings, self.pieces = postings, pieces
         self._spark, self.stored = spark, stored
         self._walks: dict[str | tuple[str, ...], DataFrame] = {}
 
@@ -49,7 +52,8 @@ class CodeGraph:
         return self._spark or self.nodes.sparkSession
 
     def with_(self, **tables: Table) -> CodeGraph:
-        return CodeGraph(**{**self._tables, **tables}, spark=self._spark)
+        indexes = {} if "nodes" in tables else {"postings": self.postings, "pieces": self.pieces}
+        return CodeGraph(**{**self._tables, **indexes, **tables}, spark=self._spark)
 
     def links(self, *kinds: str) -> DataFrame:
         """Edges of these kinds that have both ends."""

@@ -10,7 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from codeloom.operators import resolve, traverse
+from codeloom.operators import resolve, textindex, traverse
 from codeloom.plans.graph import CodeGraph
 from codeloom.plans.scratch import Scratch
 from codeloom.sources import files
@@ -86,6 +86,12 @@ def sync(g: CodeGraph, sources: DataFrame, call_sites: DataFrame | None = None,
     # An edge into a changed file whose target is gone falls away; its file has been read again and has the open reference.
     edges = edges.join(nodes.select(F.col("id").alias("target")).withColumn("_t", F.lit(True)), "target", "left").where("target is null or _t").select(*g.edges.columns)
     new = CodeGraph(scratch.save(nodes, "nodes"), scratch.save(edges, "edges"), scratch.save(kept.refs.unionByName(got["refs"].select(*g.refs.columns)), "refs"), scratch.save(kept.files.unionByName(got["files"].select(*g.files.columns)), "files"), g.embeddings, g.resolutions)
+    if g.postings is not None and g.pieces is not None:
+        # Files read again give all their nodes anew; the others' index rows stay as they are.
+        fresh_nodes = scratch.save(got["nodes"].select(*g.nodes.columns), "fresh-nodes")
+        lost = scratch.save(g.nodes.join(kept.nodes.select("id"), "id", "left_anti").select("id").unionByName(fresh_nodes.select("id")).distinct(), "lost-ids")
+        new.postings = textindex.kept_up(g.postings, lost, textindex.node_postings(fresh_nodes))
+        new.pieces = textindex.kept_up(g.pieces, lost, textindex.pieces(fresh_nodes))
     if call_sites is not None:
         gone = touched.select(F.col("path").alias("file")).unionByName(again.select(F.col("path").alias("file"))).distinct()
         call_sites = scratch.save(call_sites.join(gone, "file", "left_anti").unionByName(got["call_sites"].select(*call_sites.columns)), "sites")
@@ -121,6 +127,9 @@ class Snapshots:
             df = call_sites if name == "call_sites" else getattr(g, name)
             if df is not None:
                 df.write.parquet(f"{self.root}/{version}/{name}")
+        nodes = self.spark.read.parquet(f"{self.root}/{version}/nodes")
+        textindex.write(g.postings if g.postings is not None else textindex.node_postings(nodes), f"{self.root}/{version}/postings")
+        textindex.write(g.pieces if g.pieces is not None else textindex.pieces(nodes), f"{self.root}/{version}/pieces")
         jvm, fs = self._fs()
         new, now = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{version}"), jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
         out = fs.create(new, True)
@@ -138,8 +147,10 @@ class Snapshots:
             raise FileNotFoundError(f"no graph in {self.root}")
         table = lambda n: self.spark.read.parquet(f"{self.root}/{version}/{n}")
         jvm, fs = self._fs()
-        sites = table("call_sites") if fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}/call_sites")) else None
-        return CodeGraph(*(table(n) for n in ("nodes", "edges", "refs", "files", "embeddings", "resolutions")), stored=True), sites
+        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}/{n}"))
+        sites = table("call_sites") if there("call_sites") else None
+        indexes = {n: textindex.read(self.spark, f"{self.root}/{version}/{n}") for n in ("postings", "pieces") if there(n)}
+        return CodeGraph(*(table(n) for n in ("nodes", "edges", "refs", "files", "embeddings", "resolutions")), stored=True, **indexes), sites
 
 
 def watch(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callable[[str], None], interval: str = "2 seconds", available_now: bool = False):

@@ -8,9 +8,10 @@ from pyspark.sql import functions as F
 from tests.helpers import graph, ids
 
 from codeloom.functions import columns as C
-from codeloom.operators import components, diff, history, lookup, quality, reach, resolve, semantic, traverse
+from codeloom.operators import components, diff, history, lookup, quality, reach, resolve, semantic, textindex, traverse
 from codeloom.plans import schema as S
 from codeloom.plans.graph import CALLS, expand
+from codeloom.streaming.sync import Snapshots
 
 
 def test_calls_and_impact(spark):
@@ -174,6 +175,25 @@ def test_sketched_hotspots_and_reviews_count_alike(spark):
     assert all(rows(counted[k]) == rows(estimated[k]) for k in ("symbols", "affected"))
 
 
+def test_indexes_answer_as_scans_do(spark, tmp_path):
+    rng = random.Random(2)
+    words = ["get", "set", "Get_Item", "é", "x", "İx", "get::set", "a-b", "日本", "GET set"]
+    nodes = [{"id": f"n{k}", "name": rng.choice(words), "qualified_name": rng.choice([None, "::".join(rng.choices(words, k=3))]), "docstring": rng.choice([None, "", " ".join(rng.choices(words, k=6))]), "kind": rng.choice(["function", "file"])} for k in range(60)]
+    g = graph(spark, nodes, [])
+    Snapshots(spark, str(tmp_path)).write(g)
+    stored, _ = Snapshots(spark, str(tmp_path)).read()
+    rows = lambda df: [r.id for r in df.collect()]
+    assert stored.postings is not None and stored.pieces is not None
+    for phrase in ("get", "GET set", "set get item", "x x", "", "::", "日本 get", "nothing here"):
+        assert rows(lookup.search(stored, phrase)) == rows(lookup.search(g, phrase))
+        assert rows(lookup.search(stored, phrase, 3)) == rows(lookup.search(g, phrase, 3))
+    for text in ("g", "et", "get", "Get_I", "::", "%", "_", "日本::", "", "t::s", "none such"):
+        assert rows(lookup.symbols_like(stored, text)) == rows(lookup.symbols_like(g, text))
+    plan = textindex.having_phrase(stored.postings, "get set")._jdf.queryExecution().toString()
+    assert "PartitionFilters: [bucket" in plan and "In(token" in plan
+    assert g.with_(edges=g.edges).postings is None and stored.with_(nodes=g.nodes).pieces is None and stored.with_(edges=g.edges).pieces is not None
+
+
 def test_a_long_chain_and_a_long_ring(spark):
     chain = [(f"c{k:03}", f"c{k + 1:03}") for k in range(9)]
     ring = [(f"r{k:03}", f"r{(k + 1) % 9:03}") for k in range(9)]

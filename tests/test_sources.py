@@ -5,7 +5,7 @@ import random
 
 import pytest
 
-from codeloom.operators import quality, resolve, traverse
+from codeloom.operators import lookup, quality, resolve, textindex, traverse
 from codeloom.sources import files
 from codeloom.sources.perl import pod, xs
 from codeloom.sources.perl.extract import extract
@@ -100,8 +100,11 @@ def test_taint_goes_through_a_parameter(spark, tree):
     assert [(r.src_sub, r.sink_sub, r.param_flow, r.value_flow, list(r.path)) for r in rows] == [("Shop::Util::entry", "Shop::Util::run_it", True, False, ["Shop::Util::entry", "Shop::Util::run_it"])]
 
 
-def test_sync_equals_a_new_index(spark, tree):
+def test_sync_equals_a_new_index(spark, tree, tmp_path):
     g, sites = files.index(spark, str(tree))
+    store = Snapshots(spark, f"file://{tmp_path}/graph")
+    store.write(g, sites)
+    g, sites = store.read()
     same, _, change = sync(g, files.read_sources(spark, str(tree)), sites)
     assert change.added == change.changed == change.deleted == [] and same is g
     (tree / "lib/Shop/Util.pm").write_text(UTIL.replace("sub total", "\n\nsub totals"))
@@ -115,6 +118,12 @@ def test_sync_equals_a_new_index(spark, tree):
     names = lambda x: sorted((r.from_node_id, r.reference_name, r.line) for r in x.refs.collect())
     assert names(new) == names(again)
     assert "total" in {r.reference_name for r in new.refs.collect()}
+    # The indexes of words and pieces were kept up, and are those of the nodes there are now.
+    for kept, made in ((new.postings, textindex.node_postings(again.nodes)), (new.pieces, textindex.pieces(again.nodes))):
+        assert sorted(map(str, kept.select(*made.columns).collect())) == sorted(map(str, made.collect()))
+    store.write(new)
+    assert {r.qualified_name for r in lookup.search(store.read()[0], "fresh").collect()} == {"Shop::New::fresh"}
+    assert lookup.search(store.read()[0], "total t").count() == 0
 
 
 def test_stream_refreshes_a_snapshot(spark, tree, tmp_path):
