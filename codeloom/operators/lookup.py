@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
 from codeloom.operators import textindex
 from codeloom.plans.graph import CALLS, CodeGraph
+from codeloom.plans.scratch import Scratch
 
 ORDER = ("file_path", "start_line", "id")
 
@@ -117,17 +121,73 @@ def node_at_start(g: CodeGraph, file: str, line: int) -> DataFrame:
     return _covering(g).where((F.col("file_path") == file) & (F.col("start_line") == line)).orderBy(F.desc(F.length(C.shown_name())), "id").limit(1)
 
 
-def nodes_covering(g: CodeGraph, sites: DataFrame) -> DataFrame:
-    """The innermost definition around each site (file, line): a join on the file, ranked by the latest start. An open end covers all."""
-    at = sites.select(F.col("file").alias("_f"), F.col("line").alias("_l")).distinct()
-    met = _covering(g).join(at, (F.col("file_path") == F.col("_f")) & (F.col("start_line") <= F.col("_l")) & (F.coalesce(F.col("end_line"), F.col("_l")) >= F.col("_l")))
-    best = met.groupBy(F.col("_f").alias("file"), F.col("_l").alias("line")).agg(F.max(F.struct("start_line", F.col("qualified_name").alias("q"), F.col("id").alias("i"))).alias("m"))
-    return best.select("file", "line", F.col("m.i").alias("id"), F.col("m.q").alias("qualified_name"), F.col("m.start_line").alias("start_line"))
+#: Lines of a stretch of a file that one sweep goes through.
+STRETCH = 4_096
+_LEVELS = 20
+
+
+def nodes_covering(g: CodeGraph, sites: DataFrame, stretch: int = STRETCH) -> DataFrame:
+    """The innermost definition around each site (file, line), that of the latest start; an open end covers all.
+
+    Files are cut in stretches of lines, and each is swept once, with the definitions that begin or end in it and a stack of those that are open:
+    what has ended before a site can't cover a later one. Of the definitions that go right through a stretch only the innermost can matter;
+    it is found by halving: a definition stands for the few aligned runs of stretches that make up its inside, each run keeps its innermost
+    one, and a stretch asks the runs that it lies in. So a file's rows grow with its definitions and sites, never with their product.
+    """
+    wide = F.lit(stretch).cast("long")
+    at = sites.select("file", F.col("line").cast("long").alias("line")).where("file is not null and line is not null").distinct().withColumn("piece", F.floor(F.col("line") / wide))
+    at = Scratch(g.spark, "covering").save(at, "sites")
+    last = (1 << _LEVELS) - 1
+    own = _covering(g).where("file_path is not null and coalesce(end_line, start_line) >= start_line").select(
+        F.col("file_path").alias("file"), F.col("start_line").cast("long").alias("line"), F.col("end_line").cast("long").alias("end"), F.col("qualified_name").alias("q"), "id",
+        F.least(F.lit(last), F.greatest(F.lit(0), F.floor(F.col("start_line") / wide))).alias("first"), F.least(F.lit(last), F.coalesce(F.floor(F.col("end_line") / wide), F.lit(last))).alias("last"),
+    )
+    edges = own.select("*", F.explode(F.array_distinct(F.array("first", "last"))).alias("piece")).select("file", "piece", "line", "end", "q", "id")
+    # Runs (level, k) stand for the stretches from k << level on, 1 << level of them.
+    def halved(x, level):
+        low, high, runs = x["low"], x["high"], x["runs"]
+        here = lambda k, when: F.when(when, F.array(F.struct(level.alias("level"), k.alias("k")))).otherwise(F.array().cast("array<struct<level:int,k:bigint>>"))
+        some = F.concat(runs, here(low, (low <= high) & (low % 2 == 1)), here(high, (low <= high) & (high % 2 == 0) & ~((low == high) & (low % 2 == 1))))
+        return F.struct(F.floor((low + 1) / 2).cast("long").alias("low"), F.floor((high - 1) / 2).cast("long").alias("high"), some.alias("runs"))
+
+    start = F.struct((F.col("first") + 1).cast("long").alias("low"), (F.col("last") - 1).cast("long").alias("high"), F.array().cast("array<struct<level:int,k:bigint>>").alias("runs"))
+    runs = F.aggregate(F.sequence(F.lit(0), F.lit(_LEVELS)), start, halved)["runs"]
+    through = own.where("last - first > 1").select("file", "line", "q", "id", F.explode(runs).alias("run"))
+    best = through.groupBy("file", "run").agg(F.max(F.struct("line", "q", "id")).alias("m"))
+    asked = at.select("file", "piece").distinct().select("file", "piece", F.explode(F.transform(F.sequence(F.lit(0), F.lit(_LEVELS)), lambda l: F.struct(l.alias("level"), F.call_function("shiftright", F.col("piece").cast("long"), l).alias("k")))).alias("run"))
+    carried = asked.join(best, ["file", "run"]).groupBy("file", "piece").agg(F.max("m").alias("m")).select("file", "piece", "m.line", F.lit(None).cast("long").alias("end"), "m.q", "m.id")
+    nothing = F.lit(None).cast("string")
+    rows = edges.unionByName(carried).withColumn("site", F.lit(False)).unionByName(at.select("file", "piece", "line", F.lit(None).cast("long").alias("end"), nothing.alias("q"), nothing.alias("id"), F.lit(True).alias("site")))
+    swept = rows.repartition("file", "piece").sortWithinPartitions("file", "piece", "line", "site", "q", "id")
+    out = swept.select("file", "piece", "line", "site", "end", "q", "id").mapInArrow(_sweep, "file string, line long, id string, qualified_name string, start_line long")
+    return out.select("file", F.col("line").cast("int").alias("line"), "id", "qualified_name", F.col("start_line").cast("int").alias("start_line"))
+
+
+def _sweep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows (file, piece, line, site, end, q, id) in order to the innermost definition that is open at each site; a stretch's stack is all that is held."""
+    now, stack = None, []
+    for batch in batches:
+        out = []
+        for file, piece, line, site, end, q, name in zip(*(c.to_pylist() for c in batch.columns)):
+            if (file, piece) != now:
+                now, stack = (file, piece), []
+            if not site:
+                stack.append((end, line, q, name))
+                continue
+            while stack and stack[-1][0] is not None and stack[-1][0] < line:
+                stack.pop()
+            if stack:
+                out.append((file, line, stack[-1][3], stack[-1][2], stack[-1][1]))
+        kinds = (pa.string(), pa.int64(), pa.string(), pa.string(), pa.int64())
+        columns = zip(*out) if out else [[]] * 5
+        yield pa.RecordBatch.from_arrays([pa.array(list(c), k) for c, k in zip(columns, kinds)], names=["file", "line", "id", "qualified_name", "start_line"])
 
 
 def node_covering(g: CodeGraph, file: str, line: int) -> DataFrame:
-    site = g.spark.createDataFrame([(file, line)], "file string, line int")
-    return nodes_covering(g, site)
+    """The innermost definition around one site."""
+    met = _covering(g).where((F.col("file_path") == file) & (F.col("start_line") <= line) & (F.coalesce(F.col("end_line"), F.lit(line)) >= line))
+    best = met.orderBy(F.desc("start_line"), F.desc("qualified_name"), F.desc("id")).limit(1)
+    return best.select(F.lit(file).alias("file"), F.lit(line).alias("line"), "id", "qualified_name", "start_line")
 
 
 def definition_at(g: CodeGraph, file: str, line: int) -> DataFrame:

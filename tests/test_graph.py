@@ -194,6 +194,28 @@ def test_indexes_answer_as_scans_do(spark, tmp_path):
     assert g.with_(edges=g.edges).postings is None and stored.with_(nodes=g.nodes).pieces is None and stored.with_(edges=g.edges).pieces is not None
 
 
+@pytest.mark.parametrize("seed,stretch", [(1, 4_096), (2, 1), (3, 7)])
+def test_sites_fall_into_the_innermost_definition(spark, seed, stretch):
+    rng = random.Random(seed)
+    nodes = []
+    for k in range(120):
+        a = rng.randrange(1, 150)
+        nodes.append({"id": f"n{k:03}", "file_path": rng.choice(["a.pm", "b.pm", None]), "start_line": rng.choice([a, a, a, None]), "end_line": rng.choice([a, a + rng.randrange(5), a + rng.randrange(120), None, a - 1]), "qualified_name": rng.choice([None, "q", f"q{k % 7}"]), "kind": rng.choice(["function", "class", "file"])})
+    g = graph(spark, nodes, [])
+    sites = [(f, rng.randrange(1, 260)) for f in ("a.pm", "b.pm", "none.pm") for _ in range(60)]
+    key = lambda n: (n["start_line"], n["qualified_name"] is not None, n["qualified_name"] or "", n["id"])
+    want = set()
+    for f, l in set(sites):
+        met = [n for n in nodes if n["kind"] != "file" and n["file_path"] == f and n["start_line"] is not None and n["start_line"] <= l and (n["end_line"] is None or n["end_line"] >= l) and (n["end_line"] is None or n["end_line"] >= n["start_line"])]
+        if met:
+            best = max(met, key=key)
+            want.add((f, l, best["id"], best["qualified_name"], best["start_line"]))
+    got = lookup.nodes_covering(g, spark.createDataFrame([*sites, (None, 3)], "file string, line int"), stretch)
+    assert {tuple(r) for r in got.collect()} == want and got.count() == len(want)
+    f, l, *rest = sorted(want, key=str)[0]
+    assert [tuple(r) for r in lookup.node_covering(g, f, l).collect()] == [(f, l, *rest)]
+
+
 def test_a_long_chain_and_a_long_ring(spark):
     chain = [(f"c{k:03}", f"c{k + 1:03}") for k in range(9)]
     ring = [(f"r{k:03}", f"r{(k + 1) % 9:03}") for k in range(9)]
