@@ -24,14 +24,17 @@ CODE = r"\.(pl|pm|t|psgi|pod|xs)$"
 SKIPPED = r"(^|/)(\.git|blib|local|node_modules|\.build|_build|\.svn|\.hg|cover_db)(/|$)"
 
 
-def read_sources(spark: SparkSession, root: str, max_bytes: int | None = None, nested: list[str] | None = None) -> DataFrame:
+def read_sources(spark: SparkSession, root: str, max_bytes: int | None = None, nested: list[str] | None = None, only: list[str] | None = None) -> DataFrame:
     """path (from the root), content, mtime of a tree's source files.
 
     A file that goes while the tree is read is passed over. Files over max_bytes are too. nested names folders of other
-    repositories below the root, whose files don't belong to it.
+    repositories below the root, whose files don't belong to it. only names a few files (paths from the root) that alone are opened.
     """
     base = root.rstrip("/")
-    found = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True).load(base)
+    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True).option("ignoreMissingFiles", True)
+    # A path's own signs would be read as patterns.
+    opened = base if only is None else [f"{base}/" + re.sub(r"([\\*?\[\]{}])", r"\\\1", p) for p in only]
+    found = reader.load(opened) if opened else reader.load(base).limit(0)
     plain = re.sub(r"^file:/*", "/", base) if base.startswith("file:") else base
     # The reader gives whole URIs; what follows the root is a file's name.
     path = F.regexp_replace(F.col("path"), "^.*?" + re.escape(re.sub(r"^[a-z0-9+]+://[^/]*", "", plain)) + "/", "")

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import json
-import uuid
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -14,8 +13,7 @@ from codeloom.operators import resolve, textindex, traverse
 from codeloom.plans.graph import CodeGraph
 from codeloom.plans.scratch import Scratch
 from codeloom.sources import files
-
-TABLES = ("nodes", "edges", "refs", "files", "resolutions", "embeddings", "call_sites")
+from codeloom.streaming.snapshots import Snapshots
 
 
 @dataclass
@@ -51,16 +49,22 @@ def forget(g: CodeGraph, paths: DataFrame, both: bool = True) -> CodeGraph:
     return g.with_(nodes=g.nodes.join(own, "file_path", "left_anti").select(*g.nodes.columns), edges=edges.select(*g.edges.columns), refs=g.refs.join(own, "file_path", "left_anti").select(*g.refs.columns), files=g.files.join(paths.select("path"), "path", "left_anti").select(*g.files.columns))
 
 
-def sync(g: CodeGraph, sources: DataFrame, call_sites: DataFrame | None = None, partial: bool = False, limit_paths: int = 100_000) -> tuple[CodeGraph, DataFrame | None, Change]:
+def sync(g: CodeGraph, sources: DataFrame | Callable[[DataFrame], DataFrame], call_sites: DataFrame | None = None, partial: bool = False, limit_paths: int = 100_000, listed: DataFrame | None = None) -> tuple[CodeGraph, DataFrame | None, Change]:
     """The graph brought up to date with sources (path, content, mtime), the call sites likewise, and what was done.
 
     sources is the whole tree; with partial only some files of it, none of which is deleted. Files whose digest or extraction
     version differs are read again, and so are the files that point into changed or deleted ones, so that references to what
-    is gone come open again. Without a change nothing is resolved. Paths are reported, up to limit_paths of a kind; Change.touched holds all that are new or changed.
+    is gone come open again. listed (path, mtime) is the whole tree's listing: with it, files count as changed by their times, no other file's
+    content is read, and sources may be what gives (path, content, mtime) for a table of paths. Without a change nothing is resolved. Paths are reported, up to limit_paths of a kind; Change.touched holds all that are new or changed.
     """
     scratch = Scratch(g.spark, "sync")
-    now = scratch.save(sources.select("path", F.sha1("content").alias("hash"), F.lit(files.EXTRACTION_VERSION).alias("extraction_version")), "now")
-    known = g.files.select("path", F.col("hash").alias("old"), F.col("extraction_version").alias("old_version"))
+    version = F.lit(files.EXTRACTION_VERSION).alias("extraction_version")
+    if listed is not None:
+        now = scratch.save(listed.select("path", F.col("mtime").cast("string").alias("hash"), version), "now")
+        known = g.files.select("path", F.col("mtime").cast("string").alias("old"), F.col("extraction_version").alias("old_version"))
+    else:
+        now = scratch.save(sources.select("path", F.sha1("content").alias("hash"), version), "now")
+        known = g.files.select("path", F.col("hash").alias("old"), F.col("extraction_version").alias("old_version"))
     met = now.join(known, "path", "left")
     state = F.when(F.col("old").isNull(), "added").when((F.col("old") != F.col("hash")) | (F.col("old_version") != F.col("extraction_version")), "changed")
     touched = met.select("path", state.alias("state")).where("state is not null")
@@ -75,7 +79,7 @@ def sync(g: CodeGraph, sources: DataFrame, call_sites: DataFrame | None = None,
     deleted = touched.where("state = 'deleted'").select("path")
     kept = forget(forget(g, deleted, both=True), again, both=False)
     if not partial:
-        fresh = sources.join(again, "path", "left_semi")
+        fresh = (sources(again) if callable(sources) else sources).join(again, "path", "left_semi")
     else:
         fresh = sources.join(touched.where("state <> 'deleted'").select("path"), "path", "left_semi")
         kept = forget(forget(g, deleted, both=True), touched.where("state <> 'deleted'").select("path"), both=False)
@@ -99,60 +103,6 @@ def sync(g: CodeGraph, sources: DataFrame, call_sites: DataFrame | None = None,
     return resolve.resolve_all(new), call_sites, Change(**told, dependents=[r.path for r in near.orderBy("path").limit(limit_paths).collect()], touched=touched.where("state <> 'deleted'").select("path"))
 
 
-class Snapshots:
-    """A graph in a folder: each version's tables in a folder of their own, and a pointer that is swapped last.
-
-    A reader sees a whole version or the one before it. The pointer is a file of one name, replaced by Spark's file system in one
-    step, so the folder can be on any store Spark writes to.
-    """
-
-    def __init__(self, spark: SparkSession, root: str):
-        self.spark, self.root = spark, root.rstrip("/")
-
-    def _fs(self):
-        jvm = self.spark.sparkContext._jvm
-        path = jvm.org.apache.hadoop.fs.Path(self.root)
-        return jvm, path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
-
-    def version(self) -> str | None:
-        jvm, fs = self._fs()
-        path = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        if not fs.exists(path):
-            return None
-        return self.spark.read.text(f"{self.root}/CURRENT").first().value
-
-    def write(self, g: CodeGraph, call_sites: DataFrame | None = None, note: str = "") -> str:
-        version = f"v-{uuid.uuid4().hex}"
-        for name in TABLES:
-            df = call_sites if name == "call_sites" else getattr(g, name)
-            if df is not None:
-                df.write.parquet(f"{self.root}/{version}/{name}")
-        nodes = self.spark.read.parquet(f"{self.root}/{version}/nodes")
-        textindex.write(g.postings if g.postings is not None else textindex.node_postings(nodes), f"{self.root}/{version}/postings")
-        textindex.write(g.pieces if g.pieces is not None else textindex.pieces(nodes), f"{self.root}/{version}/pieces")
-        jvm, fs = self._fs()
-        new, now = jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT-{version}"), jvm.org.apache.hadoop.fs.Path(f"{self.root}/CURRENT")
-        out = fs.create(new, True)
-        out.write(bytearray((version + "\n" + note).encode()))
-        out.close()
-        context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(now.toUri(), self.spark.sparkContext._jsc.hadoopConfiguration())
-        options = self.spark.sparkContext._gateway.new_array(jvm.org.apache.hadoop.fs.Options.Rename, 1)
-        options[0] = jvm.org.apache.hadoop.fs.Options.Rename.OVERWRITE
-        context.rename(new, now, options)
-        return version
-
-    def read(self) -> tuple[CodeGraph, DataFrame | None]:
-        version = self.version()
-        if version is None:
-            raise FileNotFoundError(f"no graph in {self.root}")
-        table = lambda n: self.spark.read.parquet(f"{self.root}/{version}/{n}")
-        jvm, fs = self._fs()
-        there = lambda n: fs.exists(jvm.org.apache.hadoop.fs.Path(f"{self.root}/{version}/{n}"))
-        sites = table("call_sites") if there("call_sites") else None
-        indexes = {n: textindex.read(self.spark, f"{self.root}/{version}/{n}") for n in ("postings", "pieces") if there(n)}
-        return CodeGraph(*(table(n) for n in ("nodes", "edges", "refs", "files", "embeddings", "resolutions")), stored=True, **indexes), sites
-
-
 def watch(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callable[[str], None], interval: str = "2 seconds", available_now: bool = False):
     """A stream over a source tree: each micro-batch of new or changed files refreshes the graph and tells what it did as JSON.
 
@@ -179,10 +129,49 @@ def watch(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callab
     return writer.start()
 
 
+#: So many files at most are opened by their paths; for more the tree is read.
+OPENED = 1_000
+
+
+def listing(spark: SparkSession, root: str) -> DataFrame:
+    """path and mtime of a tree's source files; no content is read."""
+    return files.read_sources(spark, root).select("path", "mtime")
+
+
+def watch_tree(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callable[[str], None], interval: str = "2 seconds", quiet: int = 0):
+    """A stream of listings: each tick compares the tree with the files that the graph knows, and what was added, changed or deleted refreshes it.
+
+    The graph's own files are the stream's state, so a restarted stream goes on where the last version ended, and a tick that is run
+    again finds nothing to do. While a file is younger than quiet seconds, a tick waits for the burst to end; what a tick misses, the next one sees, so
+    none can overflow. Contents are read only of files that were touched and those that point into them. Files are told apart by their
+    times, in whole seconds.
+    """
+    def contents(paths: DataFrame) -> DataFrame:
+        few = [r.path for r in paths.select("path").limit(OPENED + 1).collect()]
+        if len(few) > OPENED:
+            return files.read_sources(spark, root)
+        return files.read_sources(spark, root, only=few)
+
+    def apply(batch: DataFrame, batch_id: int) -> None:
+        now = Scratch(spark, "tick").save(listing(spark, root), "listing")
+        g, sites = snapshots.read()
+        if quiet and not now.join(g.files.select("path", F.col("mtime").alias("old")), "path", "left").where((F.col("old").isNull() | (F.col("mtime") != F.col("old"))) & (F.col("mtime") > F.unix_timestamp() - quiet)).isEmpty():
+            return
+        new, sites, change = sync(g, contents, sites, listed=now)
+        if change.touched is None:
+            return
+        snapshots.write(new, sites, f"tick {batch_id}")
+        tests = [r.file_path for r in traverse.affected(snapshots.read()[0], change.touched, tests_only=True).collect()]
+        on_event(change.event(tests))
+
+    clock = spark.readStream.format("rate").option("rowsPerSecond", 1).load()
+    return clock.writeStream.foreachBatch(apply).option("checkpointLocation", f"{snapshots.root}/_ticks").trigger(processingTime=interval).start()
+
+
 def signature(spark: SparkSession, root: str) -> str:
     """A digest of a tree's paths and times, for polling."""
     rows = files.read_sources(spark, root).select("path", "mtime")
     return str(rows.agg(F.sum(F.xxhash64("path", "mtime").cast("decimal(38,0)")).alias("s"), F.count("*").alias("n")).first().asDict())
 
 
-__all__ = ["Change", "Snapshots", "dependents", "forget", "signature", "sync", "watch"]
+__all__ = ["Change", "Snapshots", "dependents", "forget", "listing", "signature", "sync", "watch", "watch_tree"]

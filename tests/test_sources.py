@@ -9,7 +9,7 @@ from codeloom.operators import lookup, quality, resolve, textindex, traverse
 from codeloom.sources import files
 from codeloom.sources.perl import pod, xs
 from codeloom.sources.perl.extract import extract
-from codeloom.streaming.sync import Snapshots, sync, watch
+from codeloom.streaming.sync import Snapshots, sync, watch, watch_tree
 
 SHOP = r"""
 package Shop::Cart;
@@ -126,6 +126,61 @@ def test_sync_equals_a_new_index(spark, tree, tmp_path):
     assert lookup.search(store.read()[0], "total t").count() == 0
 
 
+def test_a_stream_of_listings_sees_deletions(spark, tree, tmp_path):
+    import os
+    import time
+
+    g, sites = files.index(spark, str(tree))
+    store = Snapshots(spark, f"file://{tmp_path}/graph")
+    store.write(g, sites)
+    (tree / "lib/Shop/More.pm").write_text("package Shop::More; sub more { Shop::Util::total(1, 2) }")
+    (tree / "t/total.t").unlink()
+    (tree / "lib/Shop/Util.pm").write_text(UTIL.replace("sub total", "\n\nsub totals"))
+    os.utime(tree / "lib/Shop/Util.pm", (2_000_000_000, 2_000_000_000))
+    seen = []
+    q = watch_tree(spark, str(tree), store, seen.append, "1 second")
+    until = time.time() + 240
+    while not seen and q.isActive and time.time() < until:
+        time.sleep(1)
+    q.stop()
+    assert q.exception() is None and len(seen) == 1
+    told = json.loads(seen[0])
+    assert (told["added"], told["changed"], told["deleted"]) == (["lib/Shop/More.pm"], ["lib/Shop/Util.pm"], ["t/total.t"])
+    now, _ = store.read()
+    again, _ = files.index(spark, str(tree))
+    assert pairs(now) == pairs(again) and not [r for r in now.nodes.where("file_path = 't/total.t'").collect()]
+    names = lambda x: sorted((r.from_node_id, r.reference_name, r.line) for r in x.refs.collect())
+    assert names(now) == names(again)
+
+
+def test_versions_share_what_did_not_change(spark, tmp_path):
+    """A changed file writes its own buckets, a version is read whole, and old folders go when nothing refers to them."""
+    from tests.helpers import graph
+
+    nodes = [{"id": f"n{k}", "file_path": f"lib/f{k % 40}.pm", "name": f"name{k}", "docstring": f"word{k % 9}"} for k in range(200)]
+    edges = [(f"n{k}", f"n{(k * 7) % 200}", "calls") for k in range(200)]
+    store = Snapshots(spark, f"file://{tmp_path}/graph")
+    g = graph(spark, nodes, edges)
+    rows = lambda x: sorted(map(str, x.collect()))
+    same = lambda a, b: all(rows(getattr(a, t)) == rows(getattr(b, t)) for t in ("nodes", "edges", "refs", "files"))
+    first = store.write(g)
+    assert same(store.read()[0], g)
+    wrote = lambda v, t: {b for b, (_, at) in store.manifest()["tables"][t].items() if at == v}
+    assert len(wrote(first, "nodes")) > 20
+    assert store.write(store.read()[0]) and all(not wrote(store.version(), t) for t in store.manifest()["tables"])  # nothing changed
+    changed = graph(spark, [{**n, "docstring": "other"} if n["file_path"] == "lib/f3.pm" else n for n in nodes], edges)
+    third = store.write(changed, note="one file")
+    assert len(wrote(third, "nodes")) == 1 and not wrote(third, "edges") and not wrote(third, "pieces")
+    now = store.read()[0]
+    assert same(now, changed) and same(store.read(first)[0], g)
+    assert {r.id for r in lookup.search(now, "other").collect()} == {f"n{k}" for k in range(3, 200, 40)}
+    gone = graph(spark, [n for n in nodes if n["file_path"] != "lib/f5.pm"], edges)
+    store.write(gone)
+    assert same(store.read()[0], gone)
+    assert store.vacuum(keep=1)[-1] == first
+    assert same(store.read()[0], gone)
+
+
 def test_stream_refreshes_a_snapshot(spark, tree, tmp_path):
     g, sites = files.index(spark, str(tree))
     store = Snapshots(spark, f"file://{tmp_path}/graph")
