@@ -39,9 +39,9 @@ def main(argv: list[str] | None = None) -> int:
         g = bench.index(a.max_file_size, a.embed)
         print(f"{g.nodes.count()} nodes, {g.edges.count()} edges, {g.refs.count()} open references")
     elif a.command == "watch":
-        from codeloom.streaming.sync import watch
+        from codeloom.streaming.sync import watch_tree
 
-        watch(bench.spark, root, bench.snapshots, print).awaitTermination()
+        watch_tree(bench.spark, root, bench.snapshots, print).awaitTermination()
     elif a.command == "serve":
         from codeloom.plans.server import ToolServer
 
