@@ -27,7 +27,7 @@ import pyarrow.fs as pafs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from codeloom.llm.batches import ROWS, bounded, dealt, joined_cuts, trimmed
+from codeloom.llm.batches import ROWS, bounded, dealt, given_back, joined_cuts, trimmed
 from codeloom.llm.bpe import byte_symbols
 
 MAGIC = b"DAC1"
@@ -36,6 +36,8 @@ BLOCK = 512
 FILE_TOKENS = 1 << 20
 END_ID = 0
 CACHE_PIECES = 800_000
+#: Characters that go through the library at once, or one longer text.
+LIBRARY_CHARS = 200_000
 #: Letters before this one are letters in every table of characters.
 LATIN = "\u0250"
 
@@ -184,8 +186,18 @@ class PieceEncoder:
         self.symbols = str.maketrans(dict(enumerate(byte_symbols())))
         self.space = byte_symbols()[32]
 
+    def _encodings(self, texts: list[str]) -> Iterator:
+        """The library's results, for some texts at a time: it keeps over a hundred bytes a token in each."""
+        k = 0
+        while k < len(texts):
+            start, size = k, 0
+            while k < len(texts) and (size < LIBRARY_CHARS or k == start):
+                size += len(texts[k])
+                k += 1
+            yield from self.tokenizer.encode_batch_fast(texts[start:k], add_special_tokens=False)
+
     def _ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+        return [np.array(e.ids, f"<u{self.width}").tobytes() for e in self._encodings(texts)]
 
     def _lines(self, words: list[str], most: int = 200) -> list[bytes]:
         """Ids of words without white space but for one space before them, as lines of some texts: a line end is one id of its own.
@@ -194,7 +206,7 @@ class PieceEncoder:
         """
         groups = [words[k : k + most] for k in range(0, len(words), most)]
         line, w, out = int.from_bytes(self.line_id, "little"), self.width, []
-        for group, e in zip(groups, self.tokenizer.encode_batch_fast(["\n".join(g) for g in groups], add_special_tokens=False)):
+        for group, e in zip(groups, self._encodings(["\n".join(g) for g in groups])):
             ids = np.array(e.ids, f"<u{w}")
             ends = np.flatnonzero(ids == line)
             if len(ends) != len(group) - 1:
@@ -308,7 +320,7 @@ def places(ids: np.ndarray, none: np.ndarray, spread: np.ndarray, bounds: np.nda
     return np.where(none, within(np.full(len(ids), first)), place).astype(np.int32)
 
 
-def _encoded(batches: Iterator[pa.RecordBatch], spec: str, bounds: np.ndarray, first: int, batch_chars: int = 8_000_000) -> Iterator[pa.RecordBatch]:
+def _encoded(batches: Iterator[pa.RecordBatch], spec: str, bounds: np.ndarray, first: int, batch_chars: int = 4_000_000) -> Iterator[pa.RecordBatch]:
     encoder = _encoder(spec)
     end_id = END_ID.to_bytes(encoder.width, "little")
     for batch in dealt(batches, 1, batch_chars):
@@ -326,6 +338,10 @@ def _unpack(raw: bytes) -> np.ndarray:
 
 def _files(batches: Iterator[pa.RecordBatch], folder: str, file_tokens: int) -> Iterator[pa.RecordBatch]:
     """Rows in order of (place, doc_id) to files in a folder; a row (place, part, n_tokens, uri) for each."""
+    # All texts are encoded by now; a worker that did so has no more use for the vocabulary and its cache.
+    if _LOADED:
+        _LOADED.clear()
+        given_back()
     fs, top = pafs.FileSystem.from_uri(folder)
     place, part, docs, starts, held, size = None, 0, [], [], [], 0
 
