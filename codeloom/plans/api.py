@@ -67,16 +67,18 @@ class Workbench:
         return files.texts(files.read_sources(self.spark, self.root))
 
     def commits(self, since: str | None = None) -> DataFrame:
-        return git.commits(self.spark, self.root, since)
+        """Written once: questions read it several times over."""
+        from codeloom.plans.scratch import Scratch
+
+        return Scratch(self.spark, "commits").save(git.commits(self.spark, self.root, since), "commits")
 
     def changes(self, ref: str) -> DataFrame:
         """Differences of the tree from a ref: changed files as they were are parsed once more."""
         from codeloom.plans.scratch import Scratch
 
-        names = git.changed(self.root, ref)
-        old = [(n, bytearray(git.show(self.root, ref, n) or "", "utf-8"), 0) for n in names]
-        was = files.extracted(self.spark.createDataFrame(old, "path string, content binary, mtime long"), Scratch(self.spark, "diff"))["nodes"]
-        return diff.diff(was, self.graph.nodes, self.spark.createDataFrame([(n,) for n in names], "file string"))
+        names = self.spark.createDataFrame([(n,) for n in git.changed(self.root, ref)], "file string")
+        was = files.extracted(git.versions(names, self.root, ref), Scratch(self.spark, "diff"))["nodes"]
+        return diff.diff(was, self.graph.nodes, names)
 
     def view(self, symbol: str) -> dict[str, DataFrame]:
         """What there is to know of a symbol at a glance."""
