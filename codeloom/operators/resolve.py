@@ -196,13 +196,65 @@ def resolve_all(g: CodeGraph) -> CodeGraph:
     """The graph with named edges filled in, refs resolved into edges, and learned resolutions applied to what is left."""
     scratch = Scratch(g.spark, "resolved")
     g = g.with_(edges=scratch.save(resolve_named_edges(g), "edges"))
-    done, left = resolve_refs(g)
+    new, left = _as_edges(g, *resolve_refs(g))
+    return g.with_(edges=scratch.save(upsert_edges(g.edges, new), "all"), refs=scratch.save(left, "left"))
+
+
+def _as_edges(g: CodeGraph, done: DataFrame, left: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Edges of resolved refs and of those in left that learned resolutions name the target of; the rest of left."""
     learned = apply_learned(g, left)
     left = left.join(learned.select("ref_ord"), "ref_ord", "left_anti")
     new = done.select(*g.refs.columns, "target", "provenance").unionByName(learned)
     null = F.lit(None).cast(g.edges.schema["metadata"].dataType)
     new = new.select(F.col("ref_ord").alias("edge_ord"), F.col("from_node_id").alias("source"), "target", F.when(F.col("reference_kind") == "references", "references").otherwise("calls").alias("kind"), "line", "col", "provenance", null.alias("metadata"))
-    return g.with_(edges=scratch.save(upsert_edges(g.edges, new.select(*g.edges.columns)), "all"), refs=scratch.save(left, "left"))
+    return new.select(*g.edges.columns), left
+
+
+def _structure(g: CodeGraph, names: DataFrame) -> DataFrame:
+    """What methods are found through: parents of the classes among names (a column q), and what the subs among them return."""
+    up = parents(g).withColumnRenamed("class", "q").join(names, "q", "left_semi").select("q", "pos", F.col("parent").alias("leads"))
+    own = g.with_(nodes=g.nodes.join(names.withColumnRenamed("q", "qualified_name"), "qualified_name", "left_semi").select(*g.nodes.columns))
+    return up.unionByName(first_by_name(own, "function", "method", "constant").where("returns is not null").select("q", F.lit(0).alias("pos"), F.col("returns").alias("leads")))
+
+
+def resolve_changed(old: CodeGraph, g: CodeGraph, lost: DataFrame, fresh: DataFrame, start: int) -> tuple[CodeGraph, DataFrame]:
+    """What resolve_all gives, where g is old, all resolved, but for some files: the graph, and the ref_ord of each ref joined again.
+
+    lost are old's nodes of these files, fresh their nodes now; refs and edges of the files have ordinals from start on. Of the other
+    open refs, those are joined again that call by a name which a lost or fresh node has, that stand in a package whose
+    imports such a node gives, and, where a class's parents or what a sub returns differ, method calls. Edges are merged by the keys that new ones have.
+    """
+    scratch = Scratch(g.spark, "resolved")
+    open_ = F.coalesce(F.col("target").isNull() & F.col("kind").isin("extends", "imports", "overrides", "implements"), F.lit(False))
+    named = scratch.save(resolve_named_edges(g.with_(edges=g.edges.where(open_))), "named")
+    g = g.with_(edges=scratch.save(g.edges.where(~open_).unionByName(named), "edges"))
+
+    both = lost.select("kind", "name", "qualified_name").unionByName(fresh.select("kind", "name", "qualified_name"))
+    both = scratch.save(both.distinct(), "both")
+    names = both.select(F.explode(F.array("name", C.short_name(F.col("qualified_name")))).alias("n")).where("n is not null").distinct()
+    importing = lambda x, nodes: nodes.join(x.edges.where("kind = 'imports'").select(F.col("source").alias("id")), "id", "left_semi").select(F.when(F.col("kind") == "file", "main").otherwise(F.col("qualified_name")).alias("package"))
+    packages = importing(old, lost).unionByName(importing(g, fresh)).where("package is not null").distinct()
+    refs = with_package(g, g.refs)
+    asked = F.array(*(F.col(c) for c in ("reference_name", "candidates.receiver_call", "candidates.chain.base_func", "candidates.chain.method")))
+    asked = F.concat(asked, F.transform(asked, C.short_name))
+    again = refs.select("ref_ord", F.explode(F.array_distinct(asked)).alias("n")).join(names, "n", "left_semi").select("ref_ord")
+    again = again.unionByName(refs.join(packages, "package", "left_semi").select("ref_ord")).unionByName(g.refs.where(F.col("ref_ord") >= start).select("ref_ord"))
+    of = both.select(F.col("qualified_name").alias("q")).where("q is not null").distinct()
+    was, now = scratch.save(_structure(old, of), "was"), scratch.save(_structure(g, of), "now")
+    if not (was.exceptAll(now).isEmpty() and now.exceptAll(was).isEmpty()):
+        again = again.unionByName(g.refs.where("reference_kind = 'method_call'").select("ref_ord"))
+    again = scratch.save(again.distinct(), "again")
+
+    done, left = resolve_refs(g.with_(refs=scratch.save(g.refs.join(again, "ref_ord", "left_semi").select(*g.refs.columns), "refs")))
+    left = left.select(*g.refs.columns).unionByName(g.refs.join(again, "ref_ord", "left_anti").select(*g.refs.columns))
+    new, left = _as_edges(g, done, left)
+    new = scratch.save(new, "new")
+    key = ["source", "target", "kind"]
+    keys = new.select(*key).unionByName(named.select(*key)).unionByName(g.edges.where(F.col("edge_ord") >= start).select(*key)).where("target is not null").distinct()
+    keys = scratch.save(keys, "keys")
+    met = upsert_edges(g.edges.join(keys, key, "left_semi").select(*g.edges.columns), new)
+    edges = met.unionByName(g.edges.join(keys, key, "left_anti").select(*g.edges.columns))
+    return g.with_(edges=scratch.save(edges, "all"), refs=scratch.save(left, "left")), again
 
 
 def unresolved(g: CodeGraph, name: str | None = None, limit: int = 50) -> DataFrame:

@@ -26,6 +26,8 @@ class Change:
     dependents: list[str]
     #: A table of all new and changed paths, however many.
     touched: DataFrame | None = None
+    #: References that were joined again.
+    refs_again: int = 0
 
     def event(self, affected_tests: list[str]) -> str:
         return json.dumps({"added": self.added, "changed": self.changed, "deleted": self.deleted, "affected_tests": affected_tests})
@@ -54,7 +56,7 @@ def sync(g: CodeGraph, sources: DataFrame | Callable[[DataFrame], DataFrame], ca
 
     sources is the whole tree; with partial only some files of it, none of which is deleted. Files whose digest or extraction
     version differs are read again, and so are the files that point into changed or deleted ones, so that references to what
-    is gone come open again. listed (path, mtime) is the whole tree's listing: with it, files count as changed by their times, no other file's
+    is gone come open again. Of the open references of other files only those are resolved again that what changed can bear on. listed (path, mtime) is the whole tree's listing: with it, files count as changed by their times, no other file's
     content is read, and sources may be what gives (path, content, mtime) for a table of paths. Without a change nothing is resolved. Paths are reported, up to limit_paths of a kind; Change.touched holds all that are new or changed.
     """
     scratch = Scratch(g.spark, "sync")
@@ -100,7 +102,10 @@ def sync(g: CodeGraph, sources: DataFrame | Callable[[DataFrame], DataFrame], ca
         gone = touched.select(F.col("path").alias("file")).unionByName(again.select(F.col("path").alias("file"))).distinct()
         call_sites = scratch.save(call_sites.join(gone, "file", "left_anti").unionByName(got["call_sites"].select(*call_sites.columns)), "sites")
     told = {s: [r.path for r in touched.where(F.col("state") == s).orderBy("path").limit(limit_paths).collect()] for s in ("added", "changed", "deleted")}
-    return resolve.resolve_all(new), call_sites, Change(**told, dependents=[r.path for r in near.orderBy("path").limit(limit_paths).collect()], touched=touched.where("state <> 'deleted'").select("path"))
+    read = touched.select("path") if partial else touched.select("path").unionByName(again)
+    lost = g.nodes.join(read.select(F.col("path").alias("file_path")).distinct(), "file_path", "left_semi")
+    new, refs = resolve.resolve_changed(g, new, lost, got["nodes"], (top or 0) + 1)
+    return new, call_sites, Change(**told, refs_again=refs.count(), dependents=[r.path for r in near.orderBy("path").limit(limit_paths).collect()], touched=touched.where("state <> 'deleted'").select("path"))
 
 
 def watch(spark: SparkSession, root: str, snapshots: Snapshots, on_event: Callable[[str], None], interval: str = "2 seconds", available_now: bool = False):
