@@ -97,8 +97,11 @@ def _load(row: dict, side: str) -> tuple[np.ndarray, ...]:
     return a["ids"], a["rows"], a["codes"].reshape(len(a["ids"]), -1), a["scales"], a["slips"], a["sizes"]
 
 
-def tile(query: tuple, other: tuple, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
-    """The row of each query of a tile, with the rows of the others that may be among its k nearest and their lower and upper bounds."""
+def tile(query: tuple, other: tuple, k: int, best: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray]]:
+    """The row of each query of a tile, with the rows of the others that may be among its k nearest and their lower and upper bounds.
+
+    best holds each query's k largest lower bounds of the tiles before, and those of this one after.
+    """
     q_ids, q_rows, q_codes, q_scale, q_slip, q_size = query
     ids, rows, codes, scale, slip, size = other
     # Sums of up to 2**24 are exact in single precision, so for over a thousand dimensions the product runs in double.
@@ -112,7 +115,8 @@ def tile(query: tuple, other: tuple, k: int) -> Iterator[tuple[int, np.ndarray,
         bound += 1e-9 * (q_size[s:e, None] * size[None] + 1e-300)
         own = q_ids[s:e, None] == ids[None]
         low = np.where(own, -np.inf, near - bound)
-        least = np.partition(low, -k, axis=1)[:, -k] if len(ids) > k else np.full(len(low), -np.inf)
+        best[s:e] = np.partition(np.concatenate([low, best[s:e]], axis=1), -k, axis=1)[:, -k:]
+        least = best[s:e].min(axis=1)
         high = near + bound
         # Written so that a bound that isn't a number keeps its pair.
         for r, keep in enumerate(~(high < least[:, None]) & ~own):
@@ -122,9 +126,13 @@ def tile(query: tuple, other: tuple, k: int) -> Iterator[tuple[int, np.ndarray,
 
 
 def _tiles(batches: Iterator[pa.RecordBatch], k: int) -> Iterator[pa.RecordBatch]:
+    """The tiles of one query block mostly follow each other, so what an earlier one has found bounds what a later one gives."""
+    at, best = None, np.empty((0, k))
     for batch in batches:
         for row in batch.to_pylist():
-            found = list(tile(_load(row, "q_"), _load(row, ""), k))
+            if row["q_rows"] != at:
+                at, best = row["q_rows"], np.full((len(row["q_rows"]) // 8, k), -np.inf)
+            found = list(tile(_load(row, "q_"), _load(row, ""), k, best))
             if found:
                 q, others, low, high = zip(*found)
                 q = np.repeat(np.array(q, np.int64), [len(o) for o in others])
