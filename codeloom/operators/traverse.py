@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, Window
@@ -151,14 +152,14 @@ def sink_sites(g: CodeGraph) -> DataFrame:
     return e.groupBy("source", F.coalesce("metadata.sink", F.lit("?")).alias("sink"), F.coalesce("metadata.name", F.lit("?")).alias("name")).agg(F.bool_or(F.coalesce("metadata.dynamic", F.lit(False))).alias("dynamic"))
 
 
-def leading(links: DataFrame, ends: DataFrame, depth: int, scratch: Scratch) -> tuple[DataFrame, DataFrame]:
-    """The ids from which a walk of up to depth links leads to one of ends (id), and the links between them, both written.
+def leading(links: DataFrame, ends: DataFrame, depth: int, scratch: Scratch, name: str = "leading", until: Callable[[DataFrame], bool] | None = None) -> tuple[DataFrame, DataFrame]:
+    """The ids from which a walk of up to depth links leads to one of ends (id), with that depth, and the links between them, both written.
 
-    Walks from many roots to few ends need no others: whatever lies on a path to an end leads there itself.
+    Walks from many roots to few ends need no others: whatever lies on a path to an end leads there itself. until is expand's.
     """
-    live = scratch.save(expand(links, ends.select("id"), depth, "in").select("id"), "leading")
+    live = scratch.save(expand(links, ends.select("id"), depth, "in", until=until).select("id", "depth"), name)
     side = lambda name: live.select(F.col("id").alias(name))
-    return live, scratch.save(links.join(side("target"), "target", "left_semi").join(side("source"), "source", "left_semi"), "leading-links")
+    return live, scratch.save(links.join(side("target"), "target", "left_semi").join(side("source"), "source", "left_semi"), f"{name}-links")
 
 
 def sinks(g: CodeGraph, depth: int = 40) -> DataFrame:
@@ -193,29 +194,56 @@ def _flows(hops):
     return F.aggregate(hops, F.array().cast("array<int>"), lambda at, h: F.transform(goes(at, h), place(h)).cast("array<int>"))
 
 
+def _paths(tree: DataFrame, sites: DataFrame, scratch: Scratch, name: str) -> DataFrame:
+    """root, sink_id, sinks, ids: the path from its root to each sink in a written tree (root, id, depth, parent)."""
+    ends = scratch.save(tree.join(sites, "id").select("root", F.col("id").alias("sink_id"), "sinks", "id", "parent", F.array("id").alias("ids"), "depth"), f"{name}-ends")
+    longest = ends.agg(F.max("depth")).first()[0] or 0
+    ends = ends.drop("depth")
+    # Paths back to their roots, all at once, as many steps as the longest has hops.
+    for k in range(longest):
+        step = tree.select(F.col("root").alias("_r"), F.col("id").alias("_i"), F.col("parent").alias("_p"))
+        ends = ends.join(step, (F.col("root") == F.col("_r")) & (F.col("parent") == F.col("_i")), "left")
+        ends = ends.select("root", "sink_id", "sinks", "id", F.when(F.col("parent").isNotNull(), F.col("_p")).alias("parent"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "ids")).otherwise(F.col("ids")).alias("ids"))
+        if k % 8 == 7:
+            ends = scratch.save(ends, f"{name}-ends-{k}")
+    return scratch.save(ends.select("root", "sink_id", "sinks", "ids"), f"{name}-paths")
+
+
 def taint(g: CodeGraph, limit: int = 50, depth: int = 40) -> DataFrame:
     """Paths from sources of outside values to dynamic sinks.
 
     source_kind, detail, src_sub, sink_sub, path, sinks, local, value_flow (inside one sub), param_flow (hop by hop through
-    arguments), best first. A walk back from the sinks tells which nodes lead to any; all sources then go in one traversal of those, and each
-    (source, node) has one shortest path.
+    arguments), best first. Each (source, node) has one shortest path; sources go in one traversal, of nodes that lead to sinks only.
+
+    Without a flow of values shorter paths are better, so what the limit leaves is found without a row for each source and sink: a walk
+    back from the sinks ends with the level at which it has met limit sources, those that are sinks included, and no path with more hops than
+    that can be among the best.
+    Paths with param_flow come first at any length, and can only lead from subs that pass an outside value on to sinks that take a
+    parameter: these are walked whole.
     """
     scratch = Scratch(g.spark, "taint")
     source = scratch.save(taint_sources(g), "sources")
     sites = scratch.save(sink_sites(g).where("dynamic").groupBy(F.col("source").alias("id")).agg(F.sort_array(F.collect_set(F.concat_ws(":", "sink", "name"))).alias("sinks")), "sites")
-    live, links = leading(g.walks(*CALLS), sites, depth - 1, scratch)
-    tree = expand(links, source.join(live, "id", "left_semi").select(F.col("id").alias("root"), "id"), depth - 1, "out", keys=("root",), via=True)
-    tree = scratch.save(tree, "tree")
-    ends = tree.join(sites, "id").select("root", F.col("id").alias("sink_id"), "sinks", "id", "parent", F.array("id").alias("ids"))
-    longest = ends.join(tree.select("root", "id", "depth"), ["root", "id"]).agg(F.max("depth")).first()[0] or 0
-    # Paths back to their roots, all at once, as many steps as the longest has hops.
-    for k in range(longest):
-        step = tree.select(F.col("root").alias("_r"), F.col("id").alias("_i"), F.col("parent").alias("_p"))
-        ends = ends.join(step, (F.col("root") == F.col("_r")) & (F.col("parent") == F.col("_i")), "left")
-        ends = ends.select("root", "sink_id", "sinks", "id", F.when(F.col("parent").isNotNull(), F.col("_p")).alias("parent"), F.when(F.col("parent").isNotNull(), F.concat(F.array("parent"), "ids")).otherwise(F.col("ids")).alias("ids"))
-        if k % 8 == 7:
-            ends = scratch.save(ends, f"ends-{k}")
-    ends = scratch.save(ends.select("root", "sink_id", "sinks", "ids"), "ends")
+    local = source.join(sites, "id", "left_semi").join(g.nodes.select("id"), "id", "left_semi")
+    hops, met = 0, local.count()
+
+    def enough(level: DataFrame) -> bool:
+        nonlocal hops, met
+        hops, met = hops + 1, met + level.join(source.select("id"), "id", "left_semi").count()
+        return met >= limit
+
+    def walked(roots: DataFrame, sites: DataFrame, name: str, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:
+        live, links = leading(g.walks(*CALLS), sites, 0 if until and met >= limit else depth - 1, scratch, f"{name}-leading", until)
+        most = hops if until and met >= limit else depth - 1
+        tree = expand(links, roots.join(live, "id", "left_semi").select(F.col("id").alias("root"), "id"), most, "out", keys=("root",), via=True)
+        return _paths(scratch.save(tree, f"{name}-tree"), sites, scratch, name)
+
+    ends = walked(source, sites, "near", enough)
+    passes = source.join(g.nodes.where(F.exists("metadata.taint_out", lambda t: F.coalesce(t["src"], F.lit(0)) != 0)).select("id"), "id", "left_semi")
+    takes = sites.join(g.nodes.where(F.size("metadata.sink_params") > 0).select("id"), "id", "left_semi")
+    if not passes.isEmpty() and not takes.isEmpty():
+        far = walked(scratch.save(passes, "passes"), scratch.save(takes, "takes"), "far")
+        ends = scratch.save(ends.unionByName(far.join(ends, ["root", "sink_id"], "left_anti")), "ends")
     facts = g.nodes.select("id", C.shown_name().alias("q"), (F.col("kind") == "method").alias("native"), F.coalesce("metadata.taint_out", F.array().cast("array<struct<callee:string,method:int,arg:int,param:int,src:int>>")).alias("out"), F.coalesce("metadata.sink_params", F.array().cast("array<int>")).alias("sink_params"), F.coalesce("metadata.taint_flow", F.lit(False)).alias("flow"))
     place = ends.select("root", "sink_id", F.posexplode("ids").alias("k", "id")).join(facts, "id", "left")
     order = Window.partitionBy("root", "sink_id").orderBy("k")

@@ -76,7 +76,7 @@ class CodeGraph:
 MERGED = 8
 
 
-def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction: str = "out", seeds_seen: bool = True, keys: tuple[str, ...] = (), via: bool = False) -> DataFrame:
+def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction: str = "out", seeds_seen: bool = True, keys: tuple[str, ...] = (), via: bool = False, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """Breadth-first levels from seeds (id, and keys such as root): rows (keys, id, depth), seeds at depth 0. Without a max_depth, all there are.
 
     A step joins the frontier with the links (a stored table, see CodeGraph.walks; a small frontier is broadcast), keeps one row
@@ -84,6 +84,7 @@ def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction:
     and a lost executor costs one level; every MERGED levels, what was seen becomes one table. With seeds_seen False a
     seed may be found again, at its distance along a cycle, and then has that row too. With via, rows also carry the row that
     found them: parent and the link's kind; of several, the least edge_ord and then the least parent counts. direction is out, in or both.
+    until is asked of each level after the seeds', and ends the walk with the first level that it holds for.
     """
     spark = links.sparkSession
     scratch = Scratch(spark, "expand")
@@ -108,6 +109,8 @@ def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction:
         if front.isEmpty():
             break
         levels.append(front)
+        if until is not None and until(front):
+            break
         recent.append(front.select(*by))
         if len(recent) == MERGED:
             seen = scratch.save(reduce(DataFrame.unionByName, [*([seen] if seen is not None else []), *recent]), f"seen-{depth}")

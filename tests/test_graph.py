@@ -383,6 +383,29 @@ def test_queries_without_sql_walk_to_the_operators_depth(spark, monkeypatch):
     assert depths == [{}]
 
 
+def test_the_best_taint_paths_are_found_without_all(spark, monkeypatch):
+    rng = random.Random(1)
+    names = [f"M::s{k:02}" for k in range(40)]
+    nodes = [{"id": n} for n in names]
+    for k in (0, 3, 5, 9, 11, 39):
+        nodes[k]["metadata"] = {"taint_source": "ENV"}
+    # s39 passes its value on along a chain of its own, to a sink farther away than all others' nearest.
+    for k in range(30, 39):
+        nodes[k]["metadata"] = {"taint_out": [{"callee": f"s{k - 1}", "method": 0, "arg": 0, "param": 0, "src": 0}], "sink_params": [0] if k == 30 else None}
+    nodes[39]["metadata"]["taint_out"] = [{"callee": "s38", "method": 0, "arg": 0, "src": 1}]
+    calls = sorted({(names[rng.randrange(30)], names[rng.randrange(30)]) for _ in range(70)} | {(names[k], names[k - 1]) for k in range(31, 40)})
+    sink = {"metadata": {"sink": "sql", "name": "do", "dynamic": True}}
+    g = graph(spark, nodes, [*((a, b, "calls") for a, b in calls), *((names[k], None, "sink", sink) for k in (5, 7, 12, 21, 28, 30))])
+    deepest = []
+    plain = traverse.expand
+    monkeypatch.setattr(traverse, "expand", lambda links, seeds, most, *a, keys=(), **k: (keys and deepest.append(most), plain(links, seeds, most, *a, keys=keys, **k))[1])
+    every = traverse.taint(g, limit=10_000).collect()
+    assert every[0].src_sub == names[39] and every[0].param_flow and len(every[0].path) == 10 and deepest == [39, 39]
+    for n in (2, 5):
+        assert traverse.taint(g, limit=n).collect() == every[:n]
+    assert 0 in deepest and 1 in deepest
+
+
 def test_queries_have_the_tests_of_all_customers(spark, monkeypatch):
     from codeloom.plans import queries, star
 
