@@ -215,13 +215,12 @@ def references_at(g: CodeGraph, file: str, line: int) -> DataFrame:
 def symbols_like(g: CodeGraph, text: str, limit: int = 100) -> DataFrame:
     """Symbols whose name or qualified name holds a text, whatever its case; nothing in it is a wildcard. Shortest first.
 
-    Where the graph has an index of pieces, the folders of the text's own pieces are read; only an empty text takes a scan.
+    Where the graph has an index of pieces, the folders of the text's own pieces are read, and the names of what has all of them; only an
+    empty text takes a scan.
     """
-    if g.pieces is not None and text:
-        first = textindex.holding(g.pieces, text).orderBy(F.length(C.shown_name()), C.shown_name(), "id").limit(limit)
-        return _of_ids(g, first).orderBy(F.length(C.shown_name()), C.shown_name(), "id")
     has = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(text.lower()))
-    found = g.nodes.where((F.col("kind") != "file") & (has("name") | has("qualified_name")))
+    nodes = g.nodes.join(textindex.holding(g.pieces, text), "id", "left_semi") if g.pieces is not None and text else g.nodes
+    found = nodes.where((F.col("kind") != "file") & (has("name") | has("qualified_name")))
     return found.orderBy(F.length(C.shown_name()), C.shown_name(), "id").limit(limit)
 
 

@@ -1,8 +1,8 @@
 """Inverted indexes of texts: where each token stands, for phrases, and which pieces names hold, for substrings.
 
 Both are tables dealt to folders by a hash of the token or piece, and sorted within; a question reads the folders of its own tokens or pieces, and
-of these the rows whose token it is, by the files' own statistics. A token that very many texts hold is dealt over several files. Rows carry what a
-question needs to be answered, so that the texts themselves aren't read.
+of these the rows whose token it is, by the files' own statistics. A token that very many texts hold is dealt over several files. Postings carry what
+a question needs to be answered; pieces only tell which names may hold a text, so that a row is small.
 """
 
 from __future__ import annotations
@@ -14,8 +14,9 @@ from codeloom.functions import columns as C
 from codeloom.plans import schema as S
 
 BUCKETS = 64
-#: The longest piece of a name that is indexed; all shorter ones are too, for short questions.
+#: The characters of a piece of a name. One begins at each character: the last ones are filled up with END, so that a short question asks for beginnings.
 PIECE = 3
+END = "\0"
 FIELDS = ("name", "qualified_name", "docstring")
 
 
@@ -33,14 +34,15 @@ def postings(rows: DataFrame, fields: tuple[str, ...] = FIELDS, id: str = "id")
 
 
 def pieces(nodes: DataFrame) -> DataFrame:
-    """bucket, piece, id, name, qualified_name: each piece of up to PIECE characters of a node's names in lower case, once a node."""
-    def of(c: str, n: int) -> Column:
+    """bucket, piece, id: the PIECE characters from each character of a node's names on, in lower case, once a node."""
+    def of(c: str) -> Column:
         text = F.lower(F.coalesce(F.col(c), F.lit("")))
-        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.length(text) - n + 1), lambda k: F.substring(text, k, F.lit(n)))).otherwise(F.array().cast("array<string>"))
+        whole = F.concat(text, F.lit(END * (PIECE - 1)))
+        return F.when(F.length(text) > 0, F.transform(F.sequence(F.lit(1), F.length(text)), lambda k: F.substring(whole, k, F.lit(PIECE)))).otherwise(F.array().cast("array<string>"))
 
-    every = F.array_distinct(F.concat(*(of(c, n) for c in ("name", "qualified_name") for n in range(1, PIECE + 1))))
-    found = nodes.where("kind <> 'file'").select("id", "name", "qualified_name", F.explode(every).alias("piece"))
-    return found.select(bucket(F.col("piece")).alias("bucket"), "piece", "id", "name", "qualified_name")
+    every = F.array_distinct(F.concat(of("name"), of("qualified_name")))
+    found = nodes.where("kind <> 'file'").select("id", F.explode(every).alias("piece"))
+    return found.select(bucket(F.col("piece")).alias("bucket"), "piece", "id")
 
 
 def node_postings(nodes: DataFrame) -> DataFrame:
@@ -48,9 +50,9 @@ def node_postings(nodes: DataFrame) -> DataFrame:
 
 
 def write(index: DataFrame, path: str) -> None:
-    """An index into a folder, a subfolder a bucket; ranges of keys and ids are dealt, so that no task gets all rows of a frequent one."""
+    """An index into a folder, a subfolder a bucket; a bucket of very many rows is dealt to several tasks by its size, without a look at the rows beforehand."""
     key = index.columns[1]
-    index.repartitionByRange("bucket", key, "id").sortWithinPartitions("bucket", key, "id").write.partitionBy("bucket").parquet(path)
+    index.hint("rebalance", F.col("bucket")).sortWithinPartitions("bucket", key, "id").write.partitionBy("bucket").parquet(path)
 
 
 def read(spark: SparkSession, path: str) -> DataFrame:
@@ -82,11 +84,12 @@ def having_phrase(index: DataFrame, phrase: str) -> DataFrame:
 
 
 def holding(index: DataFrame, text: str) -> DataFrame:
-    """id, name, qualified_name of what holds a text in a name, whatever its case: what has all its pieces, looked at once more."""
+    """id of what may hold a text in a name, whatever its case: what has all its pieces. The names must be looked at once more."""
     low = text.lower()
     keys = sorted({low[k : k + PIECE] for k in range(max(1, len(low) - PIECE + 1))})
+    if len(low) < PIECE:  # in all folders, of which the files' statistics leave a range each
+        return index.where(F.startswith("piece", F.lit(low))).select("id").distinct()
     asked = _asked(index.sparkSession, F.array(*(F.lit(k) for k in keys)))
-    rows = index.where(F.col("bucket").isin(*{b for _, _, b in asked}) & F.col("piece").isin(*keys))
-    met = rows.groupBy("id", "name", "qualified_name").agg(F.count_distinct("piece").alias("n")).where(F.col("n") == len(keys))
-    has = lambda c: F.contains(F.lower(F.coalesce(F.col(c), F.lit(""))), F.lit(low))
-    return met.where(has("name") | has("qualified_name")).select("id", "name", "qualified_name")
+    rows = index.where(F.col("bucket").isin(*{b for _, _, b in asked}))
+    # A node has a piece once.
+    return rows.where(F.col("piece").isin(*keys)).groupBy("id").agg(F.count("*").alias("n")).where(F.col("n") == len(keys)).select("id")

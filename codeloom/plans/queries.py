@@ -118,10 +118,6 @@ def _indexed(index: DataFrame) -> DataFrame:
     return textindex.read(index.sparkSession, path)
 
 
-def _with_indexes(g: CodeGraph) -> CodeGraph:
-    return g.with_(postings=_indexed(textindex.node_postings(g.nodes)), pieces=_indexed(textindex.pieces(g.nodes)))
-
-
 query("nodes_by_name", f"\nSELECT id, qualified_name, file_path FROM nodes WHERE name = '{PART}'")(lambda g, s, d: lookup.nodes_by_name(g, PART).select("id", "qualified_name", "file_path"))
 query("unique_callables", "\nSELECT name, min(id) AS id FROM nodes WHERE kind IN ('function', 'method', 'constant') GROUP BY 1 HAVING count(*) = 1")(lambda g, s, d: lookup.unique_callables(g))
 query("symbols_like", f"\nSELECT id, qualified_name FROM nodes WHERE contains(lower({SHOWN}), 'brand#1') OR contains(lower(name), 'brand#1') ORDER BY length({SHOWN}), {SHOWN}, id LIMIT 100")(lambda g, s, d: lookup.symbols_like(g, "Brand#1").select("id", "qualified_name"))
@@ -143,8 +139,8 @@ query("search_phrase_indexed", SQL["search_phrase"], bare=True)(lambda g, s, d:
 _TOKENS = r"(' ' || array_to_string(list_filter(regexp_split_to_array(lower(coalesce({0}, '')), '[^\p{{L}}\p{{N}}]+'), lambda t: t <> ''), ' ') || ' ')"
 query("search", "\nSELECT id, qualified_name FROM nodes WHERE " + " OR ".join(f"contains({_TOKENS.format(c)}, ' brand 11 ')" for c in ("name", "qualified_name", "docstring")) + " ORDER BY id LIMIT 50")(
     lambda g, s, d: lookup.search(g, "Brand 11").select("id", "qualified_name"))
-query("search_indexed", SQL["search"], bare=True)(lambda g, s, d: lookup.search(_with_indexes(g), "Brand 11").select("id", "qualified_name"))
-query("symbols_like_indexed", SQL["symbols_like"], bare=True)(lambda g, s, d: lookup.symbols_like(_with_indexes(g), "Brand#1").select("id", "qualified_name"))
+query("search_indexed", SQL["search"], bare=True)(lambda g, s, d: lookup.search(g.with_(postings=_indexed(textindex.node_postings(g.nodes))), "Brand 11").select("id", "qualified_name"))
+query("symbols_like_indexed", SQL["symbols_like"], bare=True)(lambda g, s, d: lookup.symbols_like(g.with_(pieces=_indexed(textindex.pieces(g.nodes))), "Brand#1").select("id", "qualified_name"))
 
 # Lookups by keys: an id, a file, kinds, names, a place.
 _ASKED = "SELECT id FROM nodes WHERE file_path = 'lib/ASIA.pm'"

@@ -17,7 +17,7 @@ REFS = f"""ref_ord bigint, from_node_id string, reference_name string, reference
     candidates {CANDIDATES}"""
 RESOLUTIONS = "caller_qname string, method string, receiver string, target_qname string, provenance string"
 POSTINGS = "token string, id string, field string, at int, bucket int"
-PIECES = "piece string, id string, name string, qualified_name string, bucket int"
+PIECES = "piece string, id string, bucket int"
 EMBEDDINGS = "node_id string, dim int, vec array<float>"
 COMMITS = "commit_id string, commit_ord bigint, author string, is_merge boolean, file string"
 CALL_SITES = "file string, line int, name string, full string, is_method boolean, is_self boolean, argc int"

@@ -406,6 +406,20 @@ def test_the_best_taint_paths_are_found_without_all(spark, monkeypatch):
     assert 0 in deepest and 1 in deepest
 
 
+def test_pieces_are_few_and_each_query_writes_its_own_index(spark, monkeypatch):
+    from codeloom.plans import queries
+
+    g = graph(spark, [{"id": "n", "name": "abcab", "qualified_name": "abcab"}], [])
+    found = textindex.pieces(g.nodes)
+    assert found.columns == ["bucket", "piece", "id"] and ids(found, "piece") == ["ab\0", "abc", "b\0\0", "bca", "cab"]
+    wrote = []
+    plain = queries._indexed
+    monkeypatch.setattr(queries, "_indexed", lambda index: wrote.append(index.columns[1]) or plain(index))
+    for q in ("search_indexed", "symbols_like_indexed"):
+        queries.QUERIES[q](spark, "/root/testdata/sf0.001")
+    assert wrote == ["token", "piece"]
+
+
 def test_queries_have_the_tests_of_all_customers(spark, monkeypatch):
     from codeloom.plans import queries, star
 
