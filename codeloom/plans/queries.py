@@ -87,13 +87,13 @@ query("hotspots", """
 , top AS (SELECT target AS id, count(*) AS n FROM links GROUP BY 1 ORDER BY n DESC, id LIMIT 45),
 known AS (SELECT t.id, t.n, qualified_name FROM top t JOIN nodes USING (id) WHERE kind IN ('function', 'method', 'constant') ORDER BY n DESC, t.id LIMIT 15),
 walk AS (SELECT DISTINCT k.id AS root, source AS id FROM known k JOIN links ON target = k.id UNION SELECT root, source FROM walk JOIN links ON target = walk.id)
-SELECT k.id, any_value(qualified_name) AS qualified_name, any_value(n) AS n, count(DISTINCT walk.id) AS impact FROM known k LEFT JOIN walk ON root = k.id GROUP BY 1""", recursive=True)(lambda g, s, d: quality.hotspots(g)["fan_in"])
+SELECT k.id, any_value(qualified_name) AS qualified_name, any_value(n) AS n, count(DISTINCT walk.id) AS impact FROM known k LEFT JOIN walk ON root = k.id GROUP BY 1""", recursive=True)(lambda g, s, d: quality.hot_fan_in(g))
 query("hotspots_fan_out", """
 , top AS (SELECT source AS id, count(*) AS n FROM edges WHERE kind IN ('calls', 'references') GROUP BY 1 ORDER BY n DESC, id LIMIT 45)
-SELECT id, n, qualified_name FROM top JOIN nodes USING (id) WHERE kind IN ('function', 'method', 'constant') ORDER BY n DESC, id LIMIT 15""")(lambda g, s, d: quality.hotspots(g)["fan_out"].select("id", "n", "qualified_name"))
+SELECT id, n, qualified_name FROM top JOIN nodes USING (id) WHERE kind IN ('function', 'method', 'constant') ORDER BY n DESC, id LIMIT 15""")(lambda g, s, d: quality.hot_fan_out(g).select("id", "n", "qualified_name"))
 query("hotspots_packages", """
 SELECT p.qualified_name AS module, count(DISTINCT t.qualified_name) AS deps FROM edges e JOIN nodes p ON p.id = e.source AND p.kind IN ('package', 'class') JOIN nodes t ON t.id = e.target
-WHERE e.kind IN ('imports', 'extends') AND p.qualified_name <> t.qualified_name GROUP BY 1 ORDER BY deps DESC, module LIMIT 15""")(lambda g, s, d: quality.hotspots(g)["packages"])
+WHERE e.kind IN ('imports', 'extends') AND p.qualified_name <> t.qualified_name GROUP BY 1 ORDER BY deps DESC, module LIMIT 15""")(lambda g, s, d: quality.hot_packages(g))
 query("tidy", f"""
 , pk AS (SELECT id, {PKG.format(SHOWN)} AS p FROM nodes)
 SELECT 'unused' AS bucket, qualified_name AS symbol, 1::BIGINT AS n FROM nodes n WHERE kind = 'function' AND NOT coalesce(is_exported, false) AND NOT EXISTS (SELECT 1 FROM links WHERE target = n.id) AND name NOT IN (SELECT reference_name FROM refs)
@@ -343,8 +343,7 @@ SELECT a, b, support, support / (x.n + y.n - support) AS coupling FROM p JOIN n
 
 def _part_commits(s: SparkSession, d: str) -> DataFrame:
     """Commits whose files are the parts' own."""
-    part = s.read.parquet(f"{d}/part.parquet").select(F.concat(F.lit("lib/p"), "p_partkey", F.lit(".pm")).alias("file"), F.concat(F.lit("lib/"), "p_brand", F.lit(".pm")).alias("brand"))
-    return star.commits(s, d).join(part, "file").withColumn("file", F.col("brand")).drop("brand")
+    return star.brand_commits(s, d)
 
 
 _PART_COMMITS = "\n, pc AS (SELECT commit_id, author, is_merge, 'lib/' || p_brand || '.pm' AS file FROM commits JOIN part ON 'lib/p' || p_partkey || '.pm' = file)"

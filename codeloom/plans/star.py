@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from codeloom.plans import schema as S
@@ -143,9 +143,21 @@ def graph(spark: SparkSession, sf_dir: str) -> CodeGraph:
 
 def commits(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders as commits: each line's part is a file; the priority is the author."""
-    line, orders = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "orders")
-    met = line.select("l_orderkey", "l_partkey").join(orders.select("o_orderkey", "o_orderpriority", "o_orderstatus"), F.col("l_orderkey") == F.col("o_orderkey"))
-    return _shaped(met.select(F.col("l_orderkey").cast("string").alias("commit_id"), F.col("l_orderkey").alias("commit_ord"), F.col("o_orderpriority").alias("author"), (F.col("o_orderstatus") == "P").alias("is_merge"), F.concat(F.lit("lib/p"), "l_partkey", F.lit(".pm")).alias("file")).distinct(), S.COMMITS)
+    return _commits(spark, sf_dir, _table(spark, sf_dir, "lineitem").select("l_orderkey", F.col("l_partkey").alias("at")), F.concat(F.lit("lib/p"), "at", F.lit(".pm")))
+
+
+def brand_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders as commits whose files are those that the parts of their lines stand in."""
+    line, part = _table(spark, sf_dir, "lineitem"), _table(spark, sf_dir, "part")
+    met = line.select("l_orderkey", "l_partkey").join(part.select("p_partkey", F.col("p_brand").alias("at")), F.col("l_partkey") == F.col("p_partkey"))
+    return _commits(spark, sf_dir, met.select("l_orderkey", "at"), F.concat(F.lit("lib/"), "at", F.lit(".pm")))
+
+
+def _commits(spark: SparkSession, sf_dir: str, touched: DataFrame, file: Column) -> DataFrame:
+    """The orders of touched (l_orderkey, at), a row for each order and file. Repeated rows go while they hold keys, where the join with the orders left them, not as longer texts dealt anew."""
+    orders = _table(spark, sf_dir, "orders").select("o_orderkey", "o_orderpriority", (F.col("o_orderstatus") == "P").alias("is_merge"))
+    met = touched.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).select("l_orderkey", "at", F.col("o_orderpriority").alias("author"), "is_merge").distinct()
+    return _shaped(met.select(F.col("l_orderkey").cast("string").alias("commit_id"), F.col("l_orderkey").alias("commit_ord"), "author", "is_merge", file.alias("file")), S.COMMITS)
 
 
 def snapshot(spark: SparkSession, sf_dir: str, old: bool) -> DataFrame:
