@@ -58,22 +58,45 @@ def namespaces(g: CodeGraph, limit: int = 12) -> DataFrame:
     return subs.groupBy(ns.alias("ns")).agg(F.count("*").alias("subs")).orderBy(F.desc("subs"), "ns").limit(limit)
 
 
-def hotspots(g: CodeGraph, limit: int = 15, depth: int = 50, sketched: bool = False) -> dict[str, DataFrame]:
-    """fan_in (with each symbol's blast radius), fan_out, packages (by their dependencies), complex.
+def _ranked(g: CodeGraph, top: DataFrame, limit: int) -> DataFrame:
+    """The callables among a few ids with a number n, those with the largest."""
+    name = g.nodes.where(F.col("kind").isin(*CALLABLE)).select("id", C.shown_name().alias("qualified_name"))
+    return top.join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
+
 
-    Blast radii are counted, all symbols in one traversal with a row for each symbol and what it meets; or, sketched, estimated at any depth with a row a node.
+def hot_fan_in(g: CodeGraph, limit: int = 15, depth: int = 50, sketched: bool = False) -> DataFrame:
+    """id, qualified_name, n, impact: the most depended-upon symbols with their blast radii.
+
+    These are counted, all symbols in one traversal with a row for each symbol and what it meets, of links that lead to any of them; or,
+    sketched, estimated at any depth with a row a node.
     """
-    name = g.nodes.where(F.col("kind").isin(*CALLABLE)).select("id", C.shown_name().alias("qualified_name"))
-    top = top_fan_in(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
+    scratch = Scratch(g.spark, "hotspots")
+    used = g.walks(*CALLS).groupBy(F.col("target").alias("id")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "id").limit(3 * limit)
+    top = scratch.save(_ranked(g, used, limit), "top")
     if sketched:
         radius = reach.reach_sizes(traverse.known_walks(g)).select("id", F.col("size").alias("impact"))
     else:
-        met = expand(traverse.known_walks(g), top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
+        # What leads there at all, dangling sources too; then only links from nodes that are there count.
+        near = expand(g.walks(*CALLS), top.select("id"), depth - 1, "in").select(F.col("id").alias("target"))
+        near = scratch.save(g.walks(*CALLS).join(near, "target", "left_semi"), "near")
+        known = scratch.save(near.join(g.nodes.select(F.col("id").alias("source")), "source", "left_semi").select("source", "target", "kind", "edge_ord"), "known")
+        met = expand(known, top.select(F.col("id").alias("root"), "id"), depth, "in", seeds_seen=False, keys=("root",)).where("depth > 0")
         radius = met.groupBy(F.col("root").alias("id")).agg(F.count("*").alias("impact"))
-    fan_in = top.join(radius, "id", "left").select("id", "qualified_name", "n", F.coalesce("impact", F.lit(0)).alias("impact"))
-    fan_out = top_fan_out(g, 3 * limit).join(name, "id").orderBy(F.desc("n"), "id").limit(limit)
-    packages = resolve.deps(g).groupBy("module").agg(F.count("*").alias("deps")).orderBy(F.desc("deps"), "module").limit(limit)
-    return {"fan_in": fan_in.orderBy(F.desc("n"), "id"), "fan_out": fan_out, "packages": packages, "complex": most_complex(g, limit)}
+    return top.join(radius, "id", "left").select("id", "qualified_name", "n", F.coalesce("impact", F.lit(0)).alias("impact")).orderBy(F.desc("n"), "id")
+
+
+def hot_fan_out(g: CodeGraph, limit: int = 15) -> DataFrame:
+    return _ranked(g, top_fan_out(g, 3 * limit), limit)
+
+
+def hot_packages(g: CodeGraph, limit: int = 15) -> DataFrame:
+    """module, deps: the packages that depend on most."""
+    return resolve.deps(g).groupBy("module").agg(F.count("*").alias("deps")).orderBy(F.desc("deps"), "module").limit(limit)
+
+
+def hotspots(g: CodeGraph, limit: int = 15, depth: int = 50, sketched: bool = False) -> dict[str, DataFrame]:
+    """fan_in (with each symbol's blast radius), fan_out, packages (by their dependencies), complex; who asks for one of them calls its own function."""
+    return {"fan_in": hot_fan_in(g, limit, depth, sketched), "fan_out": hot_fan_out(g, limit), "packages": hot_packages(g, limit), "complex": most_complex(g, limit)}
 
 
 def unused(g: CodeGraph, everything: bool = False) -> DataFrame:
