@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from codeloom.functions import columns as C
 from codeloom.operators.resolve import module_edges
-from codeloom.plans.graph import CodeGraph, expand
+from codeloom.plans.graph import CodeGraph, expand, side
 from codeloom.plans.scratch import Scratch
 
 _LINK = "source string, target string, kind string, edge_ord long"
@@ -25,7 +25,7 @@ def _trimmed(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame,
     while n:
         entered = edges.select(F.col("target").alias("source")).distinct()
         left = edges.select(F.col("source").alias("target")).distinct()
-        less = scratch.save(edges.join(entered, "source", "left_semi").join(left, "target", "left_semi"), f"{name}-{k}")
+        less = scratch.save(edges.join(side(entered, n), "source", "left_semi").join(side(left, n), "target", "left_semi"), f"{name}-{k}")
         if k:
             scratch.drop(f"{name}-{k - 1}")
         before, n, edges, k = n, less.count(), less, k + 1
@@ -34,19 +34,23 @@ def _trimmed(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame,
     return edges, n
 
 
-def _coloured(edges: DataFrame, scratch: Scratch, name: str) -> DataFrame:
-    """id and colour, the smallest vertex that leads to it: only vertices whose colour has just changed tell their neighbours."""
-    colour = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct().withColumn("colour", F.col("id"))
-    colour = front = scratch.save(colour, f"{name}-0")
-    k = 0
-    while True:
-        told = edges.join(front, F.col("source") == F.col("id")).groupBy(F.col("target").alias("id")).agg(F.min("colour").alias("new"))
-        now = scratch.save(told.join(colour, "id").where("new < colour").select("id", F.col("new").alias("colour")), f"{name}-front-{k + 1}")
-        if now.isEmpty():
-            return colour
-        better = scratch.save(colour.join(now.select("id", F.col("colour").alias("new")), "id", "left").select("id", F.coalesce("new", "colour").alias("colour")), f"{name}-{k + 1}")
-        scratch.drop(f"{name}-{k}", *([f"{name}-front-{k}"] if k else []))
-        colour, front, k = better, now, k + 1
+def _coloured(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+    """id and colour, the smallest vertex that leads to it, and the number of vertices: only vertices whose colour has just changed tell their neighbours.
+
+    A round is one table: what was told and the colours so far are united and grouped, not joined.
+    """
+    every = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
+    colour = scratch.save(every.select("id", F.col("id").alias("colour"), F.lit(True).alias("changed")), f"{name}-0")
+    vertices = n = colour.count()
+    none, k = F.lit(None).cast("string"), 0
+    while n:
+        front = colour.where("changed").select(F.col("id").alias("source"), "colour")
+        told = edges.join(side(front, n), "source").select(F.col("target").alias("id"), none.alias("old"), F.col("colour").alias("new"))
+        met = told.unionByName(colour.select("id", F.col("colour").alias("old"), none.alias("new"))).groupBy("id").agg(F.max("old").alias("old"), F.min("new").alias("new"))
+        colour = scratch.save(met.select("id", F.least("old", "new").alias("colour"), F.coalesce(F.col("new") < F.col("old"), F.lit(False)).alias("changed")), f"{name}-{k + 1}")
+        scratch.drop(f"{name}-{k}")
+        n, k = colour.where("changed").count(), k + 1
+    return colour.select("id", "colour"), vertices
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -61,20 +65,21 @@ def components(edges: DataFrame) -> DataFrame:
         left, n = _trimmed(left, scratch, f"trimmed-{k}")
         if not n:
             break
-        colour = _coloured(left, scratch, f"colours-{k}")
-        own = left.join(colour.withColumnsRenamed({"id": "source", "colour": "a"}), "source").join(colour.withColumnsRenamed({"id": "target", "colour": "b"}), "target").where("a = b")
+        colour, v = _coloured(left, scratch, f"colours-{k}")
+        at = lambda end, name: side(colour.select(F.col("id").alias(end), F.col("colour").alias(name)), v)  # noqa: B023, E731
+        own = left.join(at("source", "a"), "source").join(at("target", "b"), "target").where("a = b")
         own = scratch.save(own.select("source", "target", F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("edge_ord")), f"own-{k}")
         back = expand(own, colour.where("id = colour").select("id"), None, "in").select("id")
-        some = scratch.save(colour.join(back, "id", "left_semi").select("id", F.col("colour").alias("component")), f"found-{k}")
+        some = scratch.save(colour.join(side(back, v), "id", "left_semi").select("id", F.col("colour").alias("component")), f"found-{k}")
         gone = some.select("id")
-        left = scratch.save(left.join(gone.withColumnRenamed("id", "source"), "source", "left_anti").join(gone.withColumnRenamed("id", "target"), "target", "left_anti"), f"left-{k}")
+        left = scratch.save(left.join(side(gone.withColumnRenamed("id", "source"), v), "source", "left_anti").join(side(gone.withColumnRenamed("id", "target"), v), "target", "left_anti"), f"left-{k}")
         scratch.drop(f"own-{k}")
         found, k = some if found is None else found.unionByName(some), k + 1
     if found is None:
         return edges.sparkSession.createDataFrame([], "id string, component string")
     # A colour's own vertex that nothing leads back to is found alone.
     several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return scratch.save(found.join(several, "component", "left_semi").select("id", "component"), "components")
+    return scratch.save(found.join(side(several, found.count()), "component", "left_semi").select("id", "component"), "components")
 
 
 def _inside(edges: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:

@@ -74,12 +74,22 @@ class CodeGraph:
 
 #: Levels after which what was seen becomes one table again.
 MERGED = 8
+#: Rows up to which a join sends a side to all tasks by way of the driver.
+FEW = 50_000
+
+
+def side(df: DataFrame, n: int, unique: bool = True) -> DataFrame:
+    """A right side of about n rows: sent to all tasks where these are few, else dealt by key, however small its files. So what the driver holds of a round doesn't grow.
+
+    unique says that a key has one row or few, so that a task may hold its share in memory.
+    """
+    return F.broadcast(df) if n <= FEW else df.hint("shuffle_hash" if unique else "merge")
 
 
 def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction: str = "out", seeds_seen: bool = True, keys: tuple[str, ...] = (), via: bool = False, until: Callable[[DataFrame], bool] | None = None) -> DataFrame:
     """Breadth-first levels from seeds (id, and keys such as root): rows (keys, id, depth), seeds at depth 0. Without a max_depth, all there are.
 
-    A step joins the frontier with the links (a stored table, see CodeGraph.walks; a small frontier is broadcast), keeps one row
+    A step joins the frontier with the links (a stored table, see CodeGraph.walks; a frontier of few rows is broadcast), keeps one row
     per new (keys, id) and drops what earlier levels hold; each level is a written table, so that a plan never grows with the depth
     and a lost executor costs one level; every MERGED levels, what was seen becomes one table. With seeds_seen False a
     seed may be found again, at its distance along a cycle, and then has that row too. With via, rows also carry the row that
@@ -96,18 +106,22 @@ def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction:
     extra = [F.lit(None).cast("string").alias("parent"), F.lit(None).cast("string").alias("via")] if via else []
     front = scratch.save(seeds.select(*by).distinct().select(*by, F.lit(0).alias("depth"), *extra), "level-0")
     levels, seen, recent, depth = [front], None, [front.select(*by)] if seeds_seen else [], 0
-    while max_depth is None or depth < max_depth:
+    n = front.count()
+    known = n if seeds_seen else 0
+    while n and (max_depth is None or depth < max_depth):
         depth += 1
-        met = front.join(hop, front["id"] == hop["_a"])
+        met = hop.join(side(front, n, not keys), F.col("_a") == F.col("id")).drop("id")
         if via:
             found = met.groupBy(*keys, F.col("_b").alias("id")).agg(F.min(F.struct("_o", F.col("_a").alias("p"), "_k")).alias("m"))
             found = found.select(*by, F.lit(depth).alias("depth"), F.col("m.p").alias("parent"), F.col("m._k").alias("via"))
         else:
             found = met.select(*keys, F.col("_b").alias("id")).distinct().select(*by, F.lit(depth).alias("depth"))
         earlier = reduce(DataFrame.unionByName, [*([seen] if seen is not None else []), *recent]) if recent or seen is not None else None
-        front = scratch.save(found if earlier is None else found.join(earlier, by, "left_anti"), f"level-{depth}")
-        if front.isEmpty():
+        front = scratch.save(found if earlier is None else found.join(side(earlier, known), by, "left_anti"), f"level-{depth}")
+        n = front.count()
+        if not n:
             break
+        known += n
         levels.append(front)
         if until is not None and until(front):
             break
