@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from codeloom.operators.components import components
+from codeloom.plans.graph import side
 from codeloom.plans.scratch import Scratch
 
 LG = 12
@@ -27,26 +28,31 @@ def reach_sizes(links: DataFrame, values: DataFrame | None = None, lg: int = LG)
     plain = scratch.save(links.select("source", "target").where("source is not null and target is not null").distinct(), "links")
     parts = components(plain)
     ids = plain.select(F.col("source").alias("id")).unionByName(plain.select(F.col("target").alias("id"))).distinct()
-    ids = scratch.save(ids.join(parts, "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("ring")), "ids")
+    ids = scratch.save(ids.join(side(parts, parts.count()), "id", "left").select("id", F.coalesce("component", "id").alias("c"), F.col("component").isNotNull().alias("ring")), "ids")
+    v = ids.count()
     loops = plain.where("source = target").select(F.col("source").alias("id")).distinct().withColumn("loop", F.lit(True))
-    side = lambda name, to: ids.select(F.col("id").alias(name), F.col("c").alias(to))
-    up = scratch.save(plain.join(side("source", "a"), "source").join(side("target", "b"), "target").where("a <> b").select("a", "b").distinct(), "up")
+    at = lambda end, to: side(ids.select(F.col("id").alias(end), F.col("c").alias(to)), v)
+    up = scratch.save(plain.join(at("source", "a"), "source").join(at("target", "b"), "target").where("a <> b").select("a", "b").distinct(), "up")
     values = ids.select("id", F.col("id").alias("value")) if values is None else values.select("id", "value").where("value is not null")
     # Once through a union, so that equal sketches are equal bytes from here on.
-    own = values.join(ids, "id").groupBy("c").agg(F.theta_sketch_agg("value", lg).alias("s")).groupBy("c").agg(F.theta_union_agg("s", lg).alias("s"))
+    own = values.join(side(ids, v), "id").groupBy("c").agg(F.theta_sketch_agg("value", lg).alias("s")).groupBy("c").agg(F.theta_union_agg("s", lg).alias("s"))
     full = front = scratch.save(own, "full-0")
-    k = 0
-    while True:
-        told = up.join(front.withColumnRenamed("c", "a"), "a").groupBy(F.col("b").alias("c")).agg(F.theta_union_agg("s", lg).alias("t"))
-        met = told.join(full, "c", "left").withColumn("new", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.theta_union(F.coalesce("s", "t"), "t", lg)))
+    k, n = 0, full.count()
+    # A sketch may weigh as much as a quarter of 2**lg rows of keys.
+    of = lambda sketches, n: side(sketches, n << max(lg - 2, 0), False)
+    known = n
+    while n:
+        told = up.join(of(front.withColumnRenamed("c", "a"), n), "a").groupBy(F.col("b").alias("c")).agg(F.theta_union_agg("s", lg).alias("t"))
+        met = told.join(of(full, known), "c", "left").withColumn("new", F.when(F.col("s").isNull(), F.col("t")).otherwise(F.theta_union(F.coalesce("s", "t"), "t", lg)))
         front = scratch.save(met.where("s is null or new <> s").select("c", F.col("new").alias("s")), f"front-{k + 1}")
-        if front.isEmpty():
+        n = front.count()
+        if not n:
             break
-        full = scratch.save(full.join(front.select("c"), "c", "left_anti").unionByName(front), f"full-{k + 1}")
+        full = scratch.save(full.join(side(front.select("c"), n), "c", "left_anti").unionByName(front), f"full-{k + 1}")
         scratch.drop(f"full-{k}", *([f"front-{k}"] if k else []))
-        k += 1
-    above = up.join(full.withColumnRenamed("c", "a"), "a").groupBy(F.col("b").alias("c")).agg(F.theta_union_agg("s", lg).alias("above"))
-    met = ids.join(above, "c", "left").join(full, "c", "left").join(loops, "id", "left")
+        k, known = k + 1, full.count()
+    above = up.join(of(full.withColumnRenamed("c", "a"), known), "a").groupBy(F.col("b").alias("c")).agg(F.theta_union_agg("s", lg).alias("above"))
+    met = ids.join(of(above, known), "c", "left").join(of(full, known), "c", "left").join(side(loops, v), "id", "left")
     whole = F.col("ring") | F.coalesce("loop", F.lit(False))
     size = F.coalesce(F.theta_sketch_estimate(F.when(whole, F.col("s")).otherwise(F.col("above"))), F.lit(0))
     return met.select("id", size.cast("long").alias("size")).withColumn("exact", F.col("size") < (1 << lg))

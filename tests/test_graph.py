@@ -163,6 +163,22 @@ def test_sizes_of_what_leads_to_each_vertex(spark, seed, n, m, lg):
     assert lg == 12 or far
 
 
+def test_rounds_send_no_side_of_many_rows_by_way_of_the_driver(spark, monkeypatch):
+    from codeloom.plans import graph as plans
+    from codeloom.plans.scratch import Scratch
+
+    edges = spark.createDataFrame([("a", "b"), ("b", "a"), ("b", "d")], "source string, target string")
+    edges = Scratch(spark, "test").save(edges, "edges")
+    plan = lambda df: df._jdf.queryExecution().executedPlan().toString()
+    seen, save = [], Scratch.save
+    monkeypatch.setattr(Scratch, "save", lambda self, df, name: seen.append((name, plan(df))) or save(self, df, name))
+    monkeypatch.setattr(plans, "FEW", -1)
+    sizes = reach.reach_sizes(edges)
+    seen.append(("sizes", plan(sizes)))
+    assert sorted(map(tuple, sizes.collect())) == [("a", 2, True), ("b", 2, True), ("d", 2, True)]
+    assert len(seen) > 10 and [name for name, p in seen if "Broadcast" in p] == []
+
+
 def test_sketched_hotspots_and_reviews_count_alike(spark):
     rng = random.Random(7)
     nodes = [{"id": f"p::f{k}", "file_path": f"t/{k % 5}.t" if k % 6 == 0 else "lib/p.pm"} for k in range(40)]
