@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from codeloom.functions import columns as C
 from codeloom.functions import vocabulary as V
 from codeloom.operators.lookup import defs
-from codeloom.plans.graph import CALLS, CodeGraph, expand
+from codeloom.plans.graph import CALLS, CodeGraph, expand, expand_packed, unpacked
 from codeloom.plans.scratch import Scratch
 
 
@@ -165,16 +165,14 @@ def leading(links: DataFrame, ends: DataFrame, depth: int, scratch: Scratch, nam
 def sinks(g: CodeGraph, depth: int = 40) -> DataFrame:
     """Sinks that each route's handler reaches, all routes in one traversal: route, sub, sink, name, dynamic, depth.
 
-    First a walk back from all sinks tells which nodes lead to any; routes then only walk there.
+    Routes that meet a node share its row, see expand_packed; only what is met at sinks becomes a row for each route.
     """
     scratch = Scratch(g.spark, "sinks")
-    sites = scratch.save(sink_sites(g), "sites")
-    live, links = leading(g.walks(*CALLS), sites.select(F.col("source").alias("id")).distinct(), depth - 1, scratch)
-    routes = route_handlers(g).select("route", F.col("handler").alias("id")).join(live, "id", "left_semi")
+    sites = scratch.save(sink_sites(g).join(g.nodes.select(F.col("id").alias("source"), C.shown_name().alias("sub")), "source").withColumnRenamed("source", "id"), "sites")
+    routes = route_handlers(g).select(F.col("route").alias("root"), F.col("handler").alias("id"))
     # Depth counts levels looked at: the handler's is the first.
-    found = expand(links, routes, depth - 1, "out", keys=("route",))
-    met = found.join(sites, found["id"] == F.col("source")).join(g.nodes.select(F.col("id").alias("source"), C.shown_name().alias("sub")), "source")
-    return met.select("route", "sub", "sink", "name", "dynamic", "depth")
+    found, at = expand_packed(g.walks(*CALLS), routes, depth - 1)
+    return unpacked(found.join(sites, "id"), at).select(F.col("root").alias("route"), "sub", "sink", "name", "dynamic", "depth")
 
 
 def taint_sources(g: CodeGraph) -> DataFrame:

@@ -132,3 +132,33 @@ def expand(links: DataFrame, seeds: DataFrame, max_depth: int | None, direction:
                 scratch.drop(f"seen-{depth - MERGED}")
             recent = []
     return reduce(DataFrame.unionByName, levels)
+
+
+def expand_packed(links: DataFrame, seeds: DataFrame, max_depth: int) -> tuple[DataFrame, DataFrame]:
+    """What expand(keys=("root",)) finds for many roots along the links, 64 roots to a row: (id, depth, word, fresh) and the places of the roots, (root, word, bit).
+
+    fresh has the bits of the roots that first meet id at that depth. A level is one table, of a row for each word and node met: who hears
+    of new roots is united with what is known and grouped, so that a node that 25 roots meet is walked from as often as new ones come, not 25 times.
+    """
+    scratch = Scratch(links.sparkSession, "packed")
+    at = scratch.save(seeds.select("root").distinct().coalesce(1).select("root", F.monotonically_increasing_id().alias("at")), "roots").selectExpr("root", "at div 64 as word", "cast(at % 64 as int) as bit")
+    none = F.lit(0).cast("long")
+    known = seeds.select("root", "id").join(at, "root").groupBy("word", "id").agg(F.expr("bit_or(shiftleft(1L, bit))").alias("mask"))
+    known = scratch.save(known.select("word", "id", "mask", F.col("mask").alias("fresh")), "level-0")
+    levels, depth, n = [known], 0, known.count()
+    while n and depth < max_depth:
+        depth += 1
+        front = known.where("fresh <> 0").select(F.col("id").alias("source"), "word", "fresh")
+        told = links.select("source", "target").join(side(front, n, False), "source").select("word", F.col("target").alias("id"), F.col("fresh").alias("got"), none.alias("had"))
+        met = told.unionByName(known.select("word", "id", none.alias("got"), F.col("mask").alias("had"))).groupBy("word", "id").agg(F.expr("bit_or(got)").alias("got"), F.expr("bit_or(had)").alias("had"))
+        known = scratch.save(met.selectExpr("word", "id", "got | had as mask", "got & ~had as fresh"), f"level-{depth}")
+        levels.append(known)
+        n = known.where("fresh <> 0").count()
+    rows = [level.where("fresh <> 0").select("id", F.lit(k).alias("depth"), "word", "fresh") for k, level in enumerate(levels)]
+    return reduce(DataFrame.unionByName, rows), at
+
+
+def unpacked(found: DataFrame, at: DataFrame) -> DataFrame:
+    """Rows of expand_packed, with whatever was joined to them, a row for each root."""
+    bits = found.withColumn("bit", F.explode(F.expr("filter(sequence(0, 63), b -> (shiftright(fresh, b) & 1) = 1)")))
+    return bits.join(at, ["word", "bit"]).drop("word", "bit", "fresh")

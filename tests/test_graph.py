@@ -10,7 +10,7 @@ from tests.helpers import graph, ids
 from codeloom.functions import columns as C
 from codeloom.operators import components, diff, history, lookup, quality, reach, resolve, semantic, textindex, traverse
 from codeloom.plans import schema as S
-from codeloom.plans.graph import CALLS, expand
+from codeloom.plans.graph import CALLS, expand, expand_packed, unpacked
 from codeloom.streaming.sync import Snapshots
 
 
@@ -179,6 +179,27 @@ def test_rounds_send_no_side_of_many_rows_by_way_of_the_driver(spark, monkeypatc
     assert len(seen) > 10 and [name for name, p in seen if "Broadcast" in p] == []
 
 
+def test_roots_that_share_rows_meet_what_each_meets_alone(spark):
+    from codeloom.plans.scratch import Scratch
+
+    rng = random.Random(11)
+    edges = [(str(rng.randrange(90)), str(rng.randrange(90))) for _ in range(110)]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[a].add(b)
+    want = set()
+    for root in range(70):
+        seen, front = {str(root)}, {str(root)}
+        for depth in range(4):
+            want |= {(f"r{root}", x, depth) for x in front}
+            front = {b for a in front for b in near[a]} - seen
+            seen |= front
+    links = Scratch(spark, "test").save(spark.createDataFrame(edges, "source string, target string"), "links")
+    seeds = spark.createDataFrame([(f"r{k}", str(k)) for k in range(70)], "root string, id string")
+    found = unpacked(*expand_packed(links, seeds, 3)).select("root", "id", "depth").collect()
+    assert len(found) == len(want) and {tuple(r) for r in found} == want
+
+
 def test_sketched_hotspots_and_reviews_count_alike(spark):
     rng = random.Random(7)
     nodes = [{"id": f"p::f{k}", "file_path": f"t/{k % 5}.t" if k % 6 == 0 else "lib/p.pm"} for k in range(40)]
