@@ -9,6 +9,7 @@ from codeloom.functions import columns as C
 from codeloom.operators import quality, reach, traverse
 from codeloom.operators.lookup import first_by
 from codeloom.plans.graph import CALLS, CodeGraph, expand
+from codeloom.plans.scratch import Scratch
 
 SUBS = ("function", "method", "constant")
 
@@ -76,6 +77,8 @@ def review(g: CodeGraph, changes: DataFrame, depth: int = 25, wide: int = 5, ske
 
 def gate(g: CodeGraph, changes: DataFrame, call_sites: DataFrame | None = None) -> DataFrame:
     """score and verdict of a change: 100 less 15 for each breaking change, 12 for each broken call, 10 for each wrong number of arguments, 6 for each untested and 4 for each widely used symbol, in changed files."""
+    # Written once: what was changed compares all nodes, and is asked for again and again below.
+    changes = Scratch(g.spark, "gate").save(changes, "changes")
     files = changes.select("file").distinct()
     symbols = review(g, changes)["symbols"]
     broken = quality.check_calls(g).join(files, "file", "left_semi").agg(F.count("*").alias("broken"))
