@@ -199,6 +199,7 @@ def check_calls(g: CodeGraph) -> DataFrame:
     name = F.col("reference_name")
     refs = resolve.with_package(g, g.refs.where("reference_kind = 'method_call'").where(~F.contains(name, F.lit("::")) & ~C.is_universal(name) & ~name.isin(*V.CHECKCALLS_SKIP)))
     refs = refs.withColumn("class", resolve.receiver_class()).where("`class` is not null").join(roles, "class", "left_anti")
+    refs = Scratch(g.spark, "calls").save(refs.select("class", "reference_name", "from_node_id", "file_path", "line"), "refs")
     line = resolve.linearized(g, refs.select("class").distinct())
     closed = line.join(inside.withColumn("known", F.lit(True)), "ancestor", "left").groupBy("class").agg(F.bool_and(F.coalesce("known", F.lit(False))).alias("closed")).where("closed")
     has = line.join(resolve.methods(g), F.col("ancestor") == F.col("package")).select("class", "method")
@@ -262,6 +263,10 @@ def prereqs(g: CodeGraph, declared: DataFrame) -> DataFrame:
 
 def metrics(g: CodeGraph) -> DataFrame:
     """One row of headline numbers; denominators are at least 1. cycles counts the groups of modules that lead to each other."""
+    if not g.stored:
+        # Written once: nearly each number reads the edges.
+        g = g.with_(edges=Scratch(g.spark, "metrics").save(g.edges, "edges"))
+        g.stored = True
     rings = components.components(resolve.module_edges(g, "imports", "extends", "implements").select(F.col("module").alias("source"), F.col("dep").alias("target"))).select("component").distinct()
     one = F.lit(1)
     kinds = F.col("kind")
