@@ -172,22 +172,14 @@ def apply_learned(g: CodeGraph, refs: DataFrame) -> DataFrame:
     return met.select(*refs.columns, "target", F.lit("llm").alias("provenance"))
 
 
-#: Rows of edges that a task of upsert_edges sorts, about.
-UPSERTED = 200_000
-
-
 def upsert_edges(edges: DataFrame, more: DataFrame) -> DataFrame:
     """One edge for each (source, target, kind), as if edges and then more were put in one after another.
 
     An edge counts if its provenance outranks all that came before it; of those, the last gives provenance, and each gives the
     line, column and metadata fields that no later one has. Edges without a target stand each for themselves.
-
-    Keyed edges are written first and dealt to as many tasks as give each about UPSERTED rows, so that what a task sorts doesn't grow with the input.
     """
     both = edges.withColumn("_new", F.lit(0)).unionByName(more.withColumn("_new", F.lit(1)))
     keyed, open_ = both.where("target is not null"), both.where("target is null").drop("_new")
-    keyed = Scratch(edges.sparkSession, "upsert").save(keyed, "keyed")
-    keyed = keyed.repartition(keyed.count() // UPSERTED + 1, "source", "target", "kind")
     rank = C.provenance_rank(F.coalesce("provenance", F.lit("static")))
     came = Window.partitionBy("source", "target", "kind").orderBy("_new", F.coalesce("edge_ord", F.lit(0)), F.desc("_r"))
     counted = keyed.withColumn("_r", rank).withColumn("_b", F.max("_r").over(came.rowsBetween(Window.unboundedPreceding, -1))).where("_b is null or _r > _b")
