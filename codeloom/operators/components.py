@@ -19,67 +19,90 @@ from codeloom.plans.scratch import Scratch
 _LINK = "source string, target string, kind string, edge_ord long"
 
 
-def _trimmed(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
-    """The edges between vertices that have edges both in and out, and their number."""
-    n, k = edges.count(), 0
+#: Edges from which on a first pass colours from a sample of the vertices, one in OF.
+MANY = 1_000_000
+OF = 64
+
+
+def ends_of(edges: DataFrame) -> DataFrame:
+    """id, leads, entered and loop for each end of edges (source, target): whether it has edges out to others, in from others, and to itself."""
+    others, no = F.col("source") != F.col("target"), F.lit(False)
+    both = edges.select(F.col("source").alias("id"), others.alias("leads"), no.alias("entered"), (~others).alias("loop")).unionByName(edges.select(F.col("target").alias("id"), no.alias("leads"), others.alias("entered"), no.alias("loop")))
+    return both.groupBy("id").agg(F.max("leads").alias("leads"), F.max("entered").alias("entered"), F.max("loop").alias("loop"))
+
+
+def _trimmed(edges: DataFrame, scratch: Scratch, name: str, ends: DataFrame | None = None) -> tuple[DataFrame, int]:
+    """The edges between vertices that have edges both in and out, and their number. With ends, the first pass, it stops where a round takes less than a twentieth."""
+    first, n, k = ends is not None, edges.count(), 0
     while n:
-        entered = edges.select(F.col("target").alias("source")).distinct()
-        left = edges.select(F.col("source").alias("target")).distinct()
-        less = scratch.save(edges.join(side(entered, n), "source", "left_semi").join(side(left, n), "target", "left_semi"), f"{name}-{k}")
+        ends = (scratch.save(ends_of(edges), f"{name}-ends-{k}") if ends is None else ends).where("leads and entered").select("id")
+        v = ends.count()
+        inside = lambda end: side(ends.withColumnRenamed("id", end), v)  # noqa: B023, E731
+        less = edges.join(inside("source"), "source", "left_semi").join(inside("target"), "target", "left_semi").select("source", "target")
+        less = scratch.save(less.where("source <> target").distinct() if first and not k else less, f"{name}-{k}")
         if k:
-            scratch.drop(f"{name}-{k - 1}")
-        before, n, edges, k = n, less.count(), less, k + 1
-        if n == before:
+            scratch.drop(f"{name}-{k - 1}", f"{name}-ends-{k}")
+        before, n, edges, ends, k = n, less.count(), less, None, k + 1
+        if before - n < (before / 20 if first else 1):
             break
     return edges, n
 
 
-def _coloured(edges: DataFrame, scratch: Scratch, name: str) -> tuple[DataFrame, int]:
+def _coloured(edges: DataFrame, scratch: Scratch, name: str, of: int = 1) -> tuple[DataFrame, int]:
     """id and colour, the smallest vertex that leads to it, and the number of vertices: only vertices whose colour has just changed tell their neighbours.
 
-    A round is one table: what was told and the colours so far are united and grouped, not joined.
+    A round is one table: what was told and the colours so far are united and grouped, not joined. With of, one vertex in so many is a
+    colour, and a vertex that none of them leads to has null.
     """
     every = edges.select(F.col("source").alias("id")).unionByName(edges.select(F.col("target").alias("id"))).distinct()
-    colour = scratch.save(every.select("id", F.col("id").alias("colour"), F.lit(True).alias("changed")), f"{name}-0")
-    vertices = n = colour.count()
+    begins = F.pmod(F.xxhash64("id"), F.lit(of)) == 0
+    colour = scratch.save(every.select("id", F.when(begins, F.col("id")).alias("colour"), begins.alias("changed")), f"{name}-0")
+    vertices, n = colour.count(), colour.where("changed").count()
     none, k = F.lit(None).cast("string"), 0
     while n:
         front = colour.where("changed").select(F.col("id").alias("source"), "colour")
         told = edges.join(side(front, n), "source").select(F.col("target").alias("id"), none.alias("old"), F.col("colour").alias("new"))
         met = told.unionByName(colour.select("id", F.col("colour").alias("old"), none.alias("new"))).groupBy("id").agg(F.max("old").alias("old"), F.min("new").alias("new"))
-        colour = scratch.save(met.select("id", F.least("old", "new").alias("colour"), F.coalesce(F.col("new") < F.col("old"), F.lit(False)).alias("changed")), f"{name}-{k + 1}")
+        colour = scratch.save(met.select("id", F.least("old", "new").alias("colour"), F.coalesce(F.col("new") < F.col("old"), F.col("new").isNotNull()).alias("changed")), f"{name}-{k + 1}")
         scratch.drop(f"{name}-{k}")
         n, k = colour.where("changed").count(), k + 1
-    return colour.select("id", "colour"), vertices
+    return colour.where("colour is not null").select("id", "colour"), vertices
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, ends: DataFrame | None = None) -> DataFrame:
     """id and component for the vertices of edges (source, target) that lie on a cycle: component is the smallest id of those that lead to each other.
 
-    A written table. Edges of a vertex to itself make no cycle here; null ends, and repeated edges, count for nothing.
+    A written table. Edges of a vertex to itself make no cycle here; null ends, and repeated edges, count for nothing. With ends,
+    edges is a written table, and these are what ends_of says of it.
+
+    The first pass over many edges trims no further than pays, and colours from a sample, which many vertices change their colour less
+    often for: what leads to each other has one colour there too, and what the sample misses is left for the next pass.
     """
     scratch = Scratch(edges.sparkSession, "components")
-    plain = edges.select("source", "target").where("source <> target").distinct()
-    left, found, k = scratch.save(plain, "edges"), None, 0
+    left = edges
+    if ends is None:
+        left = scratch.save(edges.select("source", "target").where("source <> target"), "edges")
+        ends = scratch.save(ends_of(left), "ends")
+    found, k = None, 0
     while True:
-        left, n = _trimmed(left, scratch, f"trimmed-{k}")
+        left, n = _trimmed(left, scratch, f"trimmed-{k}", ends if not k else None)
         if not n:
             break
-        colour, v = _coloured(left, scratch, f"colours-{k}")
+        colour, v = _coloured(left, scratch, f"colours-{k}", OF if not k and n >= MANY else 1)
         at = lambda end, name: side(colour.select(F.col("id").alias(end), F.col("colour").alias(name)), v)  # noqa: B023, E731
         own = left.join(at("source", "a"), "source").join(at("target", "b"), "target").where("a = b")
         own = scratch.save(own.select("source", "target", F.lit(None).cast("string").alias("kind"), F.lit(0).cast("long").alias("edge_ord")), f"own-{k}")
         back = expand(own, colour.where("id = colour").select("id"), None, "in").select("id")
-        some = scratch.save(colour.join(side(back, v), "id", "left_semi").select("id", F.col("colour").alias("component")), f"found-{k}")
-        gone = some.select("id")
-        left = scratch.save(left.join(side(gone.withColumnRenamed("id", "source"), v), "source", "left_anti").join(side(gone.withColumnRenamed("id", "target"), v), "target", "left_anti"), f"left-{k}")
+        some = scratch.save(colour.join(side(back, v), "id", "left_semi"), f"found-{k}")
+        gone, g = some.select("id"), some.count()
+        left = scratch.save(left.join(side(gone.withColumnRenamed("id", "source"), g), "source", "left_anti").join(side(gone.withColumnRenamed("id", "target"), g), "target", "left_anti"), f"left-{k}")
         scratch.drop(f"own-{k}")
         found, k = some if found is None else found.unionByName(some), k + 1
     if found is None:
         return edges.sparkSession.createDataFrame([], "id string, component string")
     # A colour's own vertex that nothing leads back to is found alone.
-    several = found.groupBy("component").agg(F.count("*").alias("n")).where("n > 1").select("component")
-    return scratch.save(found.join(side(several, found.count()), "component", "left_semi").select("id", "component"), "components")
+    several = scratch.save(found.groupBy("colour").agg(F.count("*").alias("n"), F.min("id").alias("component")).where("n > 1").select("colour", "component"), "several")
+    return scratch.save(found.join(side(several, several.count()), "colour").select("id", "component"), "components")
 
 
 def _inside(edges: DataFrame, parts: DataFrame, scratch: Scratch) -> DataFrame:

@@ -163,6 +163,50 @@ def test_sizes_of_what_leads_to_each_vertex(spark, seed, n, m, lg):
     assert lg == 12 or far
 
 
+def test_sketches_are_kept_once_for_all_that_hear_of_them(spark, monkeypatch):
+    from codeloom.plans.scratch import Scratch
+
+    # A component of more values than a sketch has, 60 vertices that it leads to, two of them by a vertex of its own each, and one by both these.
+    ring = [e for k in range(1, 200) for e in (("r0", f"r{k}"), (f"r{k}", "r0"))]
+    leaves = [("r7", f"s{k:02}") for k in range(60)] + [("r1", "x"), ("r2", "y"), ("x", "s00"), ("y", "s01"), ("x", "s02"), ("y", "s02")]
+    wrote, save = [], Scratch.save
+
+    def counted(self, df, name):
+        out = save(self, df, name)
+        wrote.append(sum(out.where(F.length(f.name) > 200).count() for f in out.schema.fields if f.dataType.simpleString() == "binary"))
+        return out
+
+    monkeypatch.setattr(Scratch, "save", counted)
+    got = {r.id: r for r in reach.reach_sizes(spark.createDataFrame(ring + leaves, "source string, target string"), lg=6).collect()}
+    assert len(got) == 262 and not any(r.exact for r in got.values()) and all(abs(r.size - 200) < 3 * 200 / 8 for r in got.values())
+    assert len({r.size for i, r in got.items() if i not in ("s00", "s01", "s02")}) == 1
+    assert 0 < sum(wrote) < 30
+
+
+def test_sets_told_by_base_are_whole(spark):
+    rng = random.Random(4)
+    # Without cycles, many sets larger than what is told without a base, all below what a sketch has.
+    edges = [(f"v{a:03}", f"v{b:03}") for a, b in (sorted(rng.sample(range(120), 2)) for _ in range(330))]
+    near = defaultdict(set)
+    for a, b in edges:
+        near[b].add(a)
+    want = {}
+    for v in sorted({x for e in edges for x in e}):
+        want[v] = near[v].union(*(want[a] for a in near[v]))
+    got = reach.reach_sizes(spark.createDataFrame(edges, "source string, target string"), lg=7).collect()
+    assert {r.id: r.size for r in got} == {v: len(w) for v, w in want.items()} and max(r.size for r in got) > 60 and all(r.exact for r in got)
+
+
+def test_components_from_a_sample_of_colours(spark, monkeypatch):
+    monkeypatch.setattr(components, "MANY", 1)
+    monkeypatch.setattr(components, "OF", 3)
+    rng = random.Random(6)
+    edges = [(f"v{rng.randrange(40):02}", f"v{rng.randrange(40):02}") for _ in range(60)] * 2 + [(f"w{k}", f"w{(k + 1) % 5}") for k in range(5)]
+    want, _ = plain_components(edges)
+    assert len(set(want.values())) > 2
+    assert {r.id: r.component for r in components.components(spark.createDataFrame(edges, "source string, target string")).collect()} == want
+
+
 def test_rounds_send_no_side_of_many_rows_by_way_of_the_driver(spark, monkeypatch):
     from codeloom.plans import graph as plans
     from codeloom.plans.scratch import Scratch
