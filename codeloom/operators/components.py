@@ -3,7 +3,7 @@
 All is joins over written edge tables; the driver sees counts. Components are found by trimming and colouring: vertices that nothing leads
 into, or that lead nowhere, are components of their own and go, round by round; each that is left takes the smallest name that leads
 to it as its colour; what leads back to a colour's own vertex within the colour is that vertex's component. What is found goes, and
-the rest starts again.
+the rest starts again. A first pass over many edges may colour from a sample of the vertices.
 """
 
 from __future__ import annotations
